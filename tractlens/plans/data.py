@@ -71,7 +71,7 @@ class Data:
         per_seed = (
             self.table("lineitem")
             .groupBy(F.col("l_orderkey").alias("orderkey"), (F.col("l_linenumber") % 3).alias("seed"))
-            .agg(F.avg("l_extendedprice").alias("score"))
+            .agg((F.avg("l_extendedprice") / 9973.0).alias("score"))
         )
         return self.tokens().drop("score").join(per_seed, "orderkey").drop("orderkey")
 
@@ -207,7 +207,7 @@ _CTES = {
  FROM orders JOIN tracts ON o_custkey = custkey""",
     "token_scores": """
  SELECT city, municipality, cvegeo, ordinal, y0, x0, seed, s.score
- FROM tokens JOIN (SELECT l_orderkey AS orderkey, l_linenumber % 3 AS seed, avg(l_extendedprice) AS score
+ FROM tokens JOIN (SELECT l_orderkey AS orderkey, l_linenumber % 3 AS seed, avg(l_extendedprice) / 9973.0 AS score
                    FROM lineitem GROUP BY 1, 2) s USING (orderkey)""",
     "tract_scores": """
  SELECT s.cvegeo, s.city, s.municipality, s.score, t.population, t.ordinal
