@@ -184,3 +184,17 @@ def exact_percentiles(
             for n in levels
         ],
     )
+
+
+def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "place") -> DataFrame:
+    """The first k rows per group; Spark cuts to k inside each partition before the shuffle."""
+    place = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+    return df.withColumn(name, place).where(F.col(name) <= k)
+
+
+def nth_value(df: DataFrame, group: Sequence[str], value: str, index: Column, name: str) -> DataFrame:
+    """The value at a zero-based place of the sorted group; `index` may use `_n`."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
+    ranked = running_totals(counts, group, [F.col(value).asc()], {"_cum": F.col("_c")}, {"_n": F.col("_c")})
+    here = (F.col("_cum") - F.col("_c") <= index) & (index < F.col("_cum"))
+    return ranked.groupBy(*group).agg(F.max(F.when(here, F.col(value))).alias(name))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractlens.functions.hashing import hash_order
-from tractlens.operators.scale import fits_one_task, numbered, numbered_of, with_stats
+from tractlens.operators.scale import numbered_of, top_k, with_stats
 
 WINDOW_PX = 224
 TOKEN_PX = 16
@@ -271,15 +271,7 @@ def unmatched_positions(base: DataFrame, other: DataFrame, keys: Sequence[str] =
 def vector_scaler(df: DataFrame, group: Sequence[str], key: str, vec: str = "vec", per_bag: int = 200, seed: int = 0) -> DataFrame:
     """Mean and population deviation of each feature over a sample of every bag."""
     order = [hash_order(seed, F.col(key)).asc(), F.col(key).asc()]
-    if fits_one_task(df):
-        sample = numbered(df, group, order, "_i").where(F.col("_i") <= per_bag)
-    else:
-        # a small top-k per group is cut inside each partition before the shuffle
-        from pyspark.sql import Window as W
-
-        sample = df.withColumn("_i", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(
-            F.col("_i") <= per_bag
-        )
+    sample = top_k(df, group, order, per_bag)
     return (
         sample.select(F.posexplode(vec).alias("feature", "v"))
         .groupBy("feature")

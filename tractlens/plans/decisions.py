@@ -209,8 +209,8 @@ _CONF = dict(
     res="SELECT *, abs(score / 3.0 - ordinal) AS residual FROM frame",
     cal="SELECT * FROM res WHERE city IN ('r0', 'r1', 'r2')",
     ev="SELECT * FROM res WHERE city NOT IN ('r0', 'r1', 'r2')",
-    so="""SELECT list(residual ORDER BY residual) AS l, least(1.0::DOUBLE, ceil((count(*) + 1) * 0.9::DOUBLE) / count(*)) * (count(*) - 1) AS at FROM cal""",
-    w="""SELECT 'marginal' AS rule, l[CAST(floor(at) AS BIGINT) + 1] + (l[CAST(ceil(at) AS BIGINT) + 1] - l[CAST(floor(at) AS BIGINT) + 1]) * (at - floor(at)) AS half_width FROM so
+    so="""SELECT list(residual ORDER BY residual) AS l, least(1.0::DOUBLE, ceil((count(*) + 1) * 0.9::DOUBLE) / count(*)) * (count(*) - 1) AS spot FROM cal""",
+    w="""SELECT 'marginal' AS rule, l[CAST(floor(spot) AS BIGINT) + 1] + (l[CAST(ceil(spot) AS BIGINT) + 1] - l[CAST(floor(spot) AS BIGINT) + 1]) * (spot - floor(spot)) AS half_width FROM so
          UNION ALL SELECT 'clustered', quantile_cont(q, 0.9) FROM (SELECT city, quantile_cont(residual, 0.9) AS q FROM cal GROUP BY 1)""",
     pc="""SELECT rule, city, half_width, count(*) AS tracts, CAST(sum(CASE WHEN residual <= half_width THEN 1 ELSE 0 END) AS BIGINT) AS covered
           FROM ev, w GROUP BY 1, 2, 3""",

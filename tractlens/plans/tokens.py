@@ -113,22 +113,22 @@ _WINS = windows_sql(32, 16, False)
     "d20_valid_windows",
     cte(px=_PX, obs=_OBS, pt=_PT, boxes=_B4, win=_WINS, tk=tokens_sql("SELECT * FROM win"))
     + """SELECT win.* FROM win JOIN (SELECT box, win, sum(seen) AS seen FROM tk JOIN pt USING (box, y0, x0) GROUP BY 1, 2) USING (box, win)
- WHERE seen >= 32 * 32 * 0.75::DOUBLE""",
+ WHERE seen >= 32 * 32 * 0.3::DOUBLE""",
 )
 def _(d: Data):
     px = _px(d)
-    return T.valid_windows(T.window_lattice(_b4(px), 32, 16), T.observed_pixels(px, 3), minimum=0.75)
+    return T.valid_windows(T.window_lattice(_b4(px), 32, 16), T.observed_pixels(px, 3), minimum=0.3)
 
 
 @query(
     "d20_valid_tokens",
     cte(px=_PX, obs=_OBS, pt=_PT, boxes=_B4, win=_WINS, tk=tokens_sql("SELECT * FROM win"))
     + """SELECT box, y0, x0, win, j, trow, tcol FROM (SELECT tk.*, row_number() OVER (PARTITION BY box, y0, x0 ORDER BY win, j) AS rn
- FROM tk JOIN pt USING (box, y0, x0) WHERE seen >= 16 * 16 * 0.75::DOUBLE) WHERE rn = 1""",
+ FROM tk JOIN pt USING (box, y0, x0) WHERE seen >= 16 * 16 * 0.3::DOUBLE) WHERE rn = 1""",
 )
 def _(d: Data):
     px = _px(d)
-    return T.valid_tokens(T.window_lattice(_b4(px), 32, 16), T.observed_pixels(px, 3), minimum=0.75)
+    return T.valid_tokens(T.window_lattice(_b4(px), 32, 16), T.observed_pixels(px, 3), minimum=0.3)
 
 
 @query(
