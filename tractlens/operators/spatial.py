@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tractlens.operators.scale import broadcast_if_small, top_k
 from tractlens.session import ensure_checkpoint_dir
@@ -248,36 +251,77 @@ def dissolve(edges: DataFrame, key: str) -> DataFrame:
 # ---- urban mass ---------------------------------------------------------------------------
 
 
-def polygon_distance(a: Column, b: Column) -> Column:
-    """Distance between two polygons' outlines; 0 where edges cross or one holds the other."""
+def _flat(edges: Column) -> Column:
+    return F.flatten(F.transform(edges, lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
 
-    def ends(one: Column, other: Column) -> Column:
-        # between segments that do not cross, the nearest pair has an end point in it
-        return F.array_min(F.transform(one, lambda e: distance_to_edges(e["x1"], e["y1"], other)))
 
-    def turn(p, q, r) -> Column:
-        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+def _to_segments(px, py, seg):
+    """Distances from points to segments, one row per point."""
+    x1, y1, x2, y2 = seg.T
+    dx, dy = x2 - x1, y2 - y1
+    long = np.where(dx * dx + dy * dy > 0, dx * dx + dy * dy, 1.0)
+    t = np.clip(((px[:, None] - x1) * dx + (py[:, None] - y1) * dy) / long, 0.0, 1.0)
+    return np.hypot(px[:, None] - (x1 + t * dx), py[:, None] - (y1 + t * dy))
 
-    def crosses(e: Column) -> Column:
-        p, q = (e["x1"], e["y1"]), (e["x2"], e["y2"])
-        return F.exists(
-            b,
-            lambda g: (turn(p, q, (g["x1"], g["y1"])) * turn(p, q, (g["x2"], g["y2"])) < 0)
-            & (turn((g["x1"], g["y1"]), (g["x2"], g["y2"]), p) * turn((g["x1"], g["y1"]), (g["x2"], g["y2"]), q) < 0),
-        )
 
-    met = F.exists(a, crosses) | inside(a[0]["x1"], a[0]["y1"], b) | inside(b[0]["x1"], b[0]["y1"], a)
-    return F.when(met, F.lit(0.0)).otherwise(F.least(ends(a, b), ends(b, a)))
+def _holds(x, y, seg) -> bool:
+    x1, y1, x2, y2 = seg.T
+    straddles = (y1 > y) != (y2 > y)
+    at = (x2 - x1) * (y - y1) / np.where(straddles, y2 - y1, 1.0) + x1
+    return bool((straddles & (x < at)).sum() % 2)
+
+
+def _outline_distance(a, b) -> float:
+    """Distance of two outlines, 0 where they cross or one holds the other."""
+    a, b = np.reshape(a, (-1, 4)), np.reshape(b, (-1, 4))
+    if _holds(a[0, 0], a[0, 1], b) or _holds(b[0, 0], b[0, 1], a):
+        return 0.0
+
+    def side(p, q, x, y):
+        return (q[:, 0] - p[:, 0]) * (y - p[:, 1]) - (q[:, 1] - p[:, 1]) * (x - p[:, 0])
+
+    ap, aq = a[:, None, :2].repeat(len(b), 1).reshape(-1, 2), a[:, None, 2:].repeat(len(b), 1).reshape(-1, 2)
+    bp, bq = np.tile(b[:, :2], (len(a), 1)), np.tile(b[:, 2:], (len(a), 1))
+    one = side(ap, aq, bp[:, 0], bp[:, 1]) * side(ap, aq, bq[:, 0], bq[:, 1]) < 0
+    two = side(bp, bq, ap[:, 0], ap[:, 1]) * side(bp, bq, aq[:, 0], aq[:, 1]) < 0
+    if (one & two).any():
+        return 0.0
+    # segments that do not cross are nearest at an end point of one of them
+    return float(min(_to_segments(a[:, 0], a[:, 1], b).min(), _to_segments(b[:, 0], b[:, 1], a).min()))
+
+
+@F.pandas_udf(DoubleType())
+def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_outline_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def _close_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
-    """Pairs of polygons no farther apart than `reach`: candidates share a cell of that size."""
+    """Pairs of polygons no farther apart than `reach`.
+
+    Candidates share a cell of that size and have boxes no farther apart; a polygon has as many
+    as fit around it, since polygons do not overlap.
+    """
     cell = max(reach, 1e-9)
-    a = _laid(left, cell, reach / 2.0).select("_cx", "_cy", F.col("poly_id").alias("a"))
-    b = _laid(right, cell, reach / 2.0).select("_cx", "_cy", F.col("poly_id").alias("b"))
-    candidates = a.join(b, ["_cx", "_cy"]).where("a < b OR a > b").select("a", "b").distinct()
-    rings_a = left.select(F.col("poly_id").alias("a"), F.col("edges").alias("ea"))
-    rings_b = right.select(F.col("poly_id").alias("b"), F.col("edges").alias("eb"))
+    box = ("xmin", "ymin", "xmax", "ymax")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return _laid(df, cell, reach / 2.0).select(
+            "_cx", "_cy", F.col("poly_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in box]
+        )
+
+    def gap(low: str, high: str) -> Column:
+        return F.greatest(F.col(f"a_{low}") - F.col(f"b_{high}"), F.col(f"b_{low}") - F.col(f"a_{high}"), F.lit(0.0))
+
+    gx, gy = gap("xmin", "xmax"), gap("ymin", "ymax")
+    candidates = (
+        side(left, "a")
+        .join(side(right, "b"), ["_cx", "_cy"])
+        .where((F.col("a") != F.col("b")) & (gx * gx + gy * gy <= reach * reach))
+        .select("a", "b")
+        .distinct()
+    )
+    rings_a = left.select(F.col("poly_id").alias("a"), _flat(F.col("edges")).alias("ea"))
+    rings_b = right.select(F.col("poly_id").alias("b"), _flat(F.col("edges")).alias("eb"))
     return (
         candidates.join(rings_a, "a")
         .join(rings_b, "b")
@@ -294,25 +338,35 @@ def near_core(rings: DataFrame, core: Column, reach: float) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node name of each component, by label spreading with pointer jumping.
+    """Smallest node name of each component, by parent hooking with shortcuts.
 
-    Each round is written to the checkpoint folder, so the plan stays short and a lost
-    executor costs one round.
+    A node and its parent both take the smallest grandparent heard over an edge, and every
+    node skips to its own grandparent, so the number of rounds grows with the logarithm of a
+    component. Each round is written to the checkpoint folder: the plan stays short and a
+    lost executor costs one round.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select(F.col("poly_id").alias("a"), F.col("poly_id").alias("label")).checkpoint()
+    once = pairs.select("a", "b").checkpoint()
+    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    state = nodes.select(F.col("poly_id").alias("a"), F.col("poly_id").alias("up")).checkpoint()
     for _ in range(max_rounds):
-        heard = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, "a", "left").select("a", "label", F.least("label", F.coalesce("heard", "label")).alias("next"))
-        # a label is itself a node: take over its label too, which halves the remaining distance
-        jumped = spread.join(
-            spread.select(F.col("a").alias("next"), F.col("next").alias("_far")), "next", "left"
-        ).select("a", "label", F.least("next", F.coalesce("_far", "next")).alias("next"))
-        jumped = jumped.checkpoint()
-        labels = jumped.select("a", F.col("next").alias("label"))
-        if jumped.where("label <> next").isEmpty():
-            return labels.select(F.col("a").alias("poly_id"), F.col("label").alias("component"))
+        grand = state.join(state.select(F.col("a").alias("up"), F.col("up").alias("top")), "up")
+        heard = (
+            both.join(grand.select(F.col("a").alias("b"), "top"), "b").groupBy("a").agg(F.min("top").alias("heard"))
+        )
+        offers = grand.join(heard, "a", "left").select(
+            F.explode(
+                F.array(
+                    F.struct(F.col("a"), F.least("up", "top", "heard").alias("up")),
+                    F.struct(F.col("up").alias("a"), F.least("up", "top", "heard").alias("up")),
+                )
+            ).alias("o")
+        )
+        fresh = offers.groupBy(F.col("o.a").alias("a")).agg(F.min("o.up").alias("up"))
+        moved = fresh.join(state.withColumnRenamed("up", "_old"), "a").checkpoint()
+        state = moved.select("a", "up")
+        if moved.where("up <> _old").isEmpty():
+            return state.select(F.col("a").alias("poly_id"), F.col("up").alias("component"))
     raise RuntimeError("components did not settle")
 
 

@@ -115,15 +115,15 @@ def _(d: Data):
 
 # a coarse layer of 3.7 ground units per cell: half of the small squares hold no centre
 _CO = """SELECT CAST(floor(y / 3.7) AS BIGINT) AS r, CAST(floor(x / 3.7) AS BIGINT) AS c, avg(value) AS value FROM points GROUP BY 1, 2"""
-_SQ = """SELECT c_custkey AS poly_id, (c_custkey * 29 % 2399)::DOUBLE / 100.0 AS px, (c_custkey * 17 % 2411)::DOUBLE / 100.0 AS py, 2.6::DOUBLE AS side FROM customer"""
+_SQ = """SELECT c_custkey AS poly_id, (c_custkey * 29 % 2399)::DOUBLE / 100.0 + 0.0013 AS px, (c_custkey * 17 % 2411)::DOUBLE / 100.0 + 0.0013 AS py, 2.6::DOUBLE AS side FROM customer"""
 
 
 def squares(d: Data):
     k = F.col("c_custkey")
     return d.table("customer").select(
         k.alias("poly_id"),
-        (k * 29 % 2399 / 100.0).alias("px"),
-        (k * 17 % 2411 / 100.0).alias("py"),
+        (k * 29 % 2399 / 100.0 + 0.0013).alias("px"),
+        (k * 17 % 2411 / 100.0 + 0.0013).alias("py"),
         F.lit(2.6).alias("side"),
     )
 
@@ -212,12 +212,12 @@ _LAT = """SELECT municipality, x0 / 16 AS px, y0 / 16 AS py FROM tokens"""
     "c13_dissolve",
     cte(
         "tokens",
-        e="""SELECT municipality, px AS ax, py AS ay, px + 1 AS bx, py AS by FROM (SELECT municipality, (x0 // 16)::DOUBLE AS px, (y0 // 16)::DOUBLE AS py FROM tokens)
+        e="""SELECT municipality, px AS ax, py AS ay, px + 1 AS qx, py AS qy FROM (SELECT municipality, (x0 // 16)::DOUBLE AS px, (y0 // 16)::DOUBLE AS py FROM tokens)
              UNION ALL SELECT municipality, px + 1, py, px + 1, py + 1 FROM (SELECT municipality, (x0 // 16)::DOUBLE AS px, (y0 // 16)::DOUBLE AS py FROM tokens)
              UNION ALL SELECT municipality, px, py + 1, px + 1, py + 1 FROM (SELECT municipality, (x0 // 16)::DOUBLE AS px, (y0 // 16)::DOUBLE AS py FROM tokens)
              UNION ALL SELECT municipality, px, py, px, py + 1 FROM (SELECT municipality, (x0 // 16)::DOUBLE AS px, (y0 // 16)::DOUBLE AS py FROM tokens)""",
     )
-    + "SELECT municipality, ax AS x1, ay AS y1, bx AS x2, by AS y2 FROM e GROUP BY ALL HAVING count(*) % 2 = 1",
+    + "SELECT municipality, ax AS x1, ay AS y1, qx AS x2, qy AS y2 FROM e GROUP BY ALL HAVING count(*) % 2 = 1",
 )
 def _(d: Data):
     sq = d.tokens().select(
