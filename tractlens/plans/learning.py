@@ -1 +1,207 @@
+"""Queries on training, scoring and encoding."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tractlens.operators import learn as G
+from tractlens.operators import splits as S
+from tractlens.operators import tokens as T
+from tractlens.plans.data import Data, cte
+from tractlens.plans.registry import query
+from tractlens.plans.tokens import _B4, _PX, _VCTX, _b4, _px, tokens_sql, windows_sql
+
+ROUNDS = 4
+
+
+def _bagged(d: Data):
+    """Instances with a bag of 25 neighbours in the table and a grade, and the bags' shares."""
+    inst = d.table("embeddings").select(
+        F.concat(F.lit("b"), F.expr("vec_id div 25").cast("string")).alias("bag"),
+        F.col("embedding").alias("vec"),
+        (F.col("label") % 5).cast("int").alias("ordinal"),
+        "vec_id",
+    )
+    labels = inst.groupBy("bag").agg(
+        F.array(*[F.avg((F.col("ordinal") >= k).cast("double")) for k in (1, 2, 3, 4)]).alias("shares")
+    )
+    return inst, labels
+
+
+@query("g3_label_proportion_head")
+def _(d: Data):
+    inst, labels = _bagged(d)
+    head = G.fit_proportions(inst, labels, rounds=ROUNDS)
+    return G.map_quality(G.score_tokens(inst, {"s0": head}))
+
+
+@query("g4_head_variants")
+def _(d: Data):
+    inst, labels = _bagged(d)
+    configs = [{"kind": k, "rounds": 3} for k in G.HEADS]
+    return G.sweep(configs, lambda c: (inst, labels), inst)
+
+
+@query("g4_weighted_bag_mean")
+def _(d: Data):
+    inst, labels = _bagged(d)
+    inst = inst.withColumn("people", F.col("vec_id") % 7 + 1)
+    head = G.fit_proportions(inst, labels, rounds=3, weight="people")
+    return G.map_quality(G.score_tokens(inst, {"s0": head}))
+
+
+def _fixed_heads(width: int = 64) -> dict[str, G.Head]:
+    """Heads given by a rule, for the scoring twin."""
+    j = np.arange(width, dtype=float)
+    out = {}
+    for s in range(3):
+        w = np.stack([np.sin(j + s + k) / 4.0 for k in range(4)], axis=1)
+        out[f"s{s}"] = G.Head("independent", w, np.array([0.5, 0.2, -0.1, -0.4]), np.zeros(width), np.ones(width))
+    return out
+
+
+def _score_sql(source: str, width: int) -> str:
+    seeds = ", ".join(
+        " + ".join(
+            f"1 / (1 + exp(-(list_dot_product(v, [sin(j + {s} + {k}) / 4.0 FOR j IN range({width})]) + {b})))"
+            for k, b in enumerate((0.5, 0.2, -0.1, -0.4))
+        )
+        + f" AS score_s{s}"
+        for s in range(3)
+    )
+    return f"SELECT *, (score_s0 + score_s1 + score_s2) / 3 AS score FROM (SELECT vec_id, {seeds} FROM ({source}))"
+
+
+_SF = "score score_s0 score_s1 score_s2"
+
+
+@query("g5_scored_tokens", _score_sql("SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings", 64), _SF)
+def _(d: Data):
+    t = d.table("embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return G.score_tokens(t, _fixed_heads()).drop("vec")
+
+
+@query(
+    "g5_scored_with_context",
+    cte(
+        "vectors",
+        ctx=_VCTX,
+        cx="SELECT vec_id, list(m ORDER BY k) AS c FROM ctx GROUP BY 1",
+    )
+    + _score_sql(
+        "SELECT v.vec_id, list_concat([x::DOUBLE FOR x IN v.vec], coalesce(cx.c, [x::DOUBLE FOR x IN v.vec])) AS v FROM vectors v LEFT JOIN cx USING (vec_id)",
+        128,
+    ),
+    _SF,
+)
+def _(d: Data):
+    wide = T.neighbour_mean(d.vectors(), ["bag"]).select(
+        "vec_id", F.concat(F.col("vec").cast("array<double>"), "context").alias("vec")
+    )
+    return G.score_tokens(wide, _fixed_heads(128)).drop("vec")
+
+
+@query("g7_supervised_ceiling")
+def _(d: Data):
+    inst, _labels = _bagged(d)
+    return G.map_quality(G.supervised_ceiling(inst, inst, 15))
+
+
+@query("g8_supply_curve")
+def _(d: Data):
+    inst, labels = _bagged(d)
+    order = S.nested_sample(
+        labels.select(F.col("bag").alias("municipality"), F.bround(F.col("shares")[1] * 4).cast("int").alias("ordinal"))
+    ).select(F.col("municipality").alias("bag"), "place")
+
+    def train(config):
+        bags = order.where(F.col("place") <= config["bags"]).select("bag")
+        return inst.join(bags, "bag", "left_semi"), labels.join(bags, "bag", "left_semi")
+
+    return G.sweep([{"bags": n, "rounds": 3} for n in (6, 12)], train, inst)
+
+
+@query("g8_granularity_curve")
+def _(d: Data):
+    inst, labels = _bagged(d)
+    national = inst.agg(
+        F.array(*[F.avg((F.col("ordinal") >= k).cast("double")) for k in (1, 2, 3, 4)]).alias("s")
+    )
+    coarse = labels.select("bag", national.scalar().alias("shares"))
+    by_level = {"municipality": labels, "national": coarse}
+    return G.sweep(
+        [{"level": n, "rounds": 2} for n in by_level], lambda c: (inst, by_level[c["level"]]), inst
+    )
+
+
+@query("g9_cross_validated_scores")
+def _(d: Data):
+    inst, labels = _bagged(d)
+    folds = S.plain_folds(labels, "bag", 2).withColumn("place", F.monotonically_increasing_id())
+    scored = G.cross_validated_scores(inst, labels, folds, 2, rounds=2)
+    return scored.select("bag", "vec_id", "ordinal", "score", "fold")
+
+
+@query("g9_spatial_cell_folds")
+def _(d: Data):
+    cell = S.spatial_cell(F.lit("k"), F.expr("vec_id div 32 * 16"), F.expr("vec_id % 32 * 16"), 160)
+    inst, labels = _bagged(d)
+    inst = inst.withColumn("bag", cell)
+    labels = inst.groupBy("bag").agg(
+        F.array(*[F.avg((F.col("ordinal") >= k).cast("double")) for k in (1, 2, 3, 4)]).alias("shares")
+    )
+    folds = S.plain_folds(labels, "bag", 2).withColumn("place", F.monotonically_increasing_id())
+    scored = G.cross_validated_scores(inst, labels, folds, 2, rounds=2)
+    return G.map_quality(scored)
+
+
+def _feature_table(d: Data):
+    return d.tract_scores().select(
+        "cvegeo",
+        "city",
+        "ordinal",
+        (F.col("score") / 125000.0).alias("s2red_mean"),
+        (F.col("population") / 5000.0).alias("s2red_std"),
+        (F.col("population") % 7 / 7.0).alias("wc_built"),
+        (F.col("score") % 11 / 11.0).alias("s2red_contrast_d1"),
+    )
+
+
+@query("g1_leave_one_city_out")
+def _(d: Data):
+    detail = G.leave_one_city_out(
+        _feature_table(d), ["r0", "r3"], ["cover", "all"], ["random", "majority", "regressor"], rounds=3
+    )
+    return G.fold_summary(detail)
+
+
+@query("g2_partition_evaluation")
+def _(d: Data):
+    table = _feature_table(d)
+    partition = table.select("city").distinct().withColumn(
+        "split", F.when(F.col("city").isin("r0", "r1"), "test").otherwise("train")
+    )
+    return G.evaluate_partition(table, partition, "all", "classifier", resamples=40, rounds=3)
+
+
+@query(
+    "g10_encoded_windows",
+    cte(
+        px=_PX,
+        boxes=_B4,
+        win=windows_sql(32, 32, False),
+        tk=tokens_sql("SELECT * FROM win"),
+        cells="SELECT box, band, r // 16 * 16 AS y0, c // 16 * 16 AS x0, avg(value / 9973.0) AS m, stddev_pop(value / 9973.0) AS s FROM px GROUP BY 1, 2, 3, 4",
+    )
+    + """SELECT box, win, j, y0, x0, max(CASE WHEN band = 'A' THEN m END) AS mean_a, max(CASE WHEN band = 'R' THEN m END) AS mean_r,
+ max(CASE WHEN band = 'A' THEN s END) AS std_a, max(CASE WHEN band = 'R' THEN s END) AS std_r FROM tk JOIN cells USING (box, y0, x0) GROUP BY ALL""",
+    "mean_a mean_r std_a std_r",
+)
+def _(d: Data):
+    px = _px(d).withColumn("value", F.col("value") / 9973.0)
+    out = G.encode_windows(px, T.window_lattice(_b4(px), 32, 32), ["A", "N", "R"])
+    v = F.col("vec")
+    return out.select(
+        "box", "win", "j", "y0", "x0", v[0].alias("mean_a"), v[2].alias("mean_r"), v[3].alias("std_a"), v[5].alias("std_r")
+    )
