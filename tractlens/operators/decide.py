@@ -417,7 +417,7 @@ def pooled_gap(cells: DataFrame) -> DataFrame:
     """People are summed before the ratio is taken."""
     pooled = cells.groupBy("budget").agg(*[F.sum(c).alias(c) for c in ("aggregate", "map", "oracle")])
     return pooled.withColumn(
-        "gap_closed", (F.col("map") - F.col("aggregate")) / (F.col("oracle") - F.col("aggregate"))
+        "gap_closed", F.try_divide(F.col("map") - F.col("aggregate"), F.col("oracle") - F.col("aggregate"))
     )
 
 
@@ -469,8 +469,8 @@ def targeting_national(
     gap = F.col("census") - F.col("aggregate")
     return joined.select(
         "*",
-        ((F.col("aggregate_then_map") - F.col("aggregate")) / gap).alias("gap_closed_aggregate_then_map"),
-        ((F.col("map") - F.col("aggregate")) / gap).alias("gap_closed_map"),
+        F.try_divide(F.col("aggregate_then_map") - F.col("aggregate"), gap).alias("gap_closed_aggregate_then_map"),
+        F.try_divide(F.col("map") - F.col("aggregate"), gap).alias("gap_closed_map"),
     )
 
 

@@ -92,9 +92,9 @@ def shares_by_level(tracts: DataFrame) -> DataFrame:
         .agg(
             F.grouping_id().alias("gid"),
             *[
-                (
-                    F.sum(F.when(F.col("ordinal") >= k, F.col("population")).otherwise(0.0))
-                    / F.sum("population")
+                F.try_divide(
+                    F.sum(F.when(F.col("ordinal") >= k, F.col("population")).otherwise(0.0)),
+                    F.sum("population"),
                 ).alias(f"p{k}")
                 for k in THRESHOLDS
             ],

@@ -71,9 +71,9 @@ def _rank_correlation(ranked: DataFrame, group: list[str], min_rows: int, min_x_
     )
     n = F.col("n").cast("double")
     mean2 = n * ((n + 1) / 2.0) * ((n + 1) / 2.0)
-    spread = F.sqrt((F.col("_xx") - mean2) * (F.col("_yy") - mean2))
+    spread = F.sqrt(F.greatest((F.col("_xx") - mean2) * (F.col("_yy") - mean2), F.lit(0.0)))
     rho = F.when(
-        (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1")), (F.col("_xy") - mean2) / spread
+        (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1")), F.try_divide(F.col("_xy") - mean2, spread)
     )
     kept = (F.col("n") >= min_rows) & (F.col("_y0") < F.col("_y1"))
     if min_x_levels > 1:
@@ -163,7 +163,7 @@ def auroc_per_class(df: DataFrame, probabilities: str, truth: str, *, cumulative
 
 
 def auroc_top_quartile(df: DataFrame, score: str, truth: str, group: Sequence[str] = ()) -> DataFrame:
-    """Is the row among the top quarter of the truth, strictly above its third quartile."""
+    """Area under the curve for rows at or above the third quartile of the truth."""
     from tractlens.operators.scale import exact_percentiles
 
     if group:
@@ -199,7 +199,7 @@ def ordinal_sums(truth: str, prediction: str, classes: int = 5, weight: Column |
 def kappa_of_sums() -> Column:
     n = F.col("_n")
     chance = F.col("_tt") + F.col("_pp") - 2.0 * F.col("_t") * F.col("_p") / n
-    return 1.0 - F.col("_dd") / chance
+    return 1.0 - F.try_divide(F.col("_dd"), chance)
 
 
 def metrics_of_sums(group: Sequence[str], classes: int = 5) -> list[Column]:
@@ -212,7 +212,7 @@ def metrics_of_sums(group: Sequence[str], classes: int = 5) -> list[Column]:
         n.cast("long").alias("n"),
         kappa_of_sums().alias("kappa"),
         (F.col("_hit") / n).alias("accuracy"),
-        (total / present).alias("f1_macro"),
+        F.try_divide(total, present).alias("f1_macro"),
         (F.col("_ad") / n).alias("mae_ordinal"),
     ]
 

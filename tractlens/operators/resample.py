@@ -89,10 +89,10 @@ def clustered_ratio(
     ratios = (
         drawn.join(broadcast_if_small(sums), cluster)
         .groupBy("replicate")
-        .agg((F.sum(F.col("_a") * F.col("times")) / F.sum(F.col("_b") * F.col("times"))).alias("ratio"))
+        .agg(F.try_divide(F.sum(F.col("_a") * F.col("times")), F.sum(F.col("_b") * F.col("times"))).alias("ratio"))
     )
     ends = _ends(ratios, [], "ratio")
-    return both.agg((F.avg(top) / F.avg(bottom)).alias("fraction"), F.count("*").alias("members")).select(
+    return both.agg(F.try_divide(F.avg(top), F.avg(bottom)).alias("fraction"), F.count("*").alias("members")).select(
         "fraction",
         ends.select("ci_low").scalar().alias("ci_low"),
         ends.select("ci_high").scalar().alias("ci_high"),

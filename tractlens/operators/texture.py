@@ -213,7 +213,8 @@ def correlation(pairs: DataFrame, group: Sequence[str], a: str, b: str, name: st
     return both.groupBy(*group).agg(
         F.count("*").alias("n"),
         F.when(
-            (F.count("*") >= 3) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b)
+            (F.count("*") >= 3) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)),
+            F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)),
         ).alias(name),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tractlens.functions.hashing import hash_number
 from tractlens.operators import learn as G
 from tractlens.operators import splits as S
 from tractlens.operators import tokens as T
@@ -138,7 +139,7 @@ def _(d: Data):
 @query("g9_cross_validated_scores")
 def _(d: Data):
     inst, labels = _bagged(d)
-    folds = S.plain_folds(labels, "bag", 2).withColumn("place", F.monotonically_increasing_id())
+    folds = S.plain_folds(labels, "bag", 2).withColumn("place", hash_number(0, F.col("bag")))
     scored = G.cross_validated_scores(inst, labels, folds, 2, rounds=2)
     return scored.select("bag", "vec_id", "ordinal", "score", "fold")
 
@@ -151,7 +152,7 @@ def _(d: Data):
     labels = inst.groupBy("bag").agg(
         F.array(*[F.avg((F.col("ordinal") >= k).cast("double")) for k in (1, 2, 3, 4)]).alias("shares")
     )
-    folds = S.plain_folds(labels, "bag", 2).withColumn("place", F.monotonically_increasing_id())
+    folds = S.plain_folds(labels, "bag", 2).withColumn("place", hash_number(0, F.col("bag")))
     scored = G.cross_validated_scores(inst, labels, folds, 2, rounds=2)
     return G.map_quality(scored)
 

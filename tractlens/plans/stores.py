@@ -216,7 +216,7 @@ def _(d: Data):
 @query(
     "a10_split_listing",
     cte("cities", strat=_STRATA, bef=_BEFORE, part=_ASSIGN)
-    + "SELECT split, count(*) AS cities, string_agg(city, ' ' ORDER BY city) AS listing FROM part GROUP BY 1",
+    + "SELECT split, city, row_number() OVER (PARTITION BY split ORDER BY city) AS place FROM part",
 )
 def _(d: Data):
     return R.split_listing(S.assign(d.cities()))

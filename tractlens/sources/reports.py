@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tractlens.operators.scale import numbered
+
 DASH = "--"
 
 
@@ -58,10 +60,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_listing(partition: DataFrame) -> DataFrame:
-    """Sorted city list of each split; a split lists catalogue cities only."""
-    return partition.groupBy("split").agg(
-        F.count("*").alias("cities"), F.concat_ws(" ", F.array_sort(F.collect_list("city"))).alias("listing")
-    )
+    """Cities of each split in order, one row per city."""
+    return numbered(partition.select("split", "city"), ["split"], [F.col("city").asc()], "place")
 
 
 # ---- report tables ------------------------------------------------------------------------
