@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tractlens.operators.labels import HIGH
 from tractlens.operators.ranks import auroc, spearman
 from tractlens.operators.resample import RESAMPLES, clustered_mean, draws
+from tractlens.operators.scale import settled
 
 # fixed values: sign that turns a product into a deprivation score
 DEPRIVATION_SIGN = {"built_surface": -1, "built_height": -1, "population": -1, "nightlights": -1}
@@ -36,7 +37,7 @@ def paired_comparison(base: DataFrame, other: DataFrame, resamples: int = RESAMP
             )
         ).alias("p"),
     ).select(*keys, "p.*").where("base IS NOT NULL AND other IS NOT NULL")
-    pairs = pairs.withColumn("delta", F.col("other") - F.col("base"))
+    pairs = settled(pairs.withColumn("delta", F.col("other") - F.col("base")))
     # the draws are shared by both units, over all cities of the merged table
     ends = clustered_mean(pairs, "city", "delta", ["unit"], drawn=draws(pairs, "city", resamples))
     facts = pairs.groupBy("unit").agg(
@@ -70,8 +71,8 @@ def product_comparison(
     keys = ["city", "municipality"]
     theirs = spearman(frame, "_proxy", "ordinal", keys, min_rows=min_tracts, min_x_levels=2)
     ours = spearman(frame, "score", "ordinal", keys, min_rows=min_tracts)
-    both = theirs.select(*keys, F.col("rho").alias("theirs")).join(
-        ours.select(*keys, F.col("rho").alias("ours")), keys
+    both = settled(
+        theirs.select(*keys, F.col("rho").alias("theirs")).join(ours.select(*keys, F.col("rho").alias("ours")), keys)
     )
     long = both.select(
         *keys,

@@ -19,6 +19,7 @@ from tractlens.operators.scale import (
     exact_percentiles,
     numbered_of,
     running_totals,
+    settled,
     with_stats,
 )
 
@@ -111,7 +112,7 @@ def selective_curve(
         .where(F.col("held") == len(steps))
     )
     panel = kept.join(steady, "municipality", "left_semi")
-    rhos = spearman(panel, "score", "ordinal", ["discarded", "city", "municipality"])
+    rhos = settled(spearman(panel, "score", "ordinal", ["discarded", "city", "municipality"]))
     drawn = draws(rhos, "city", resamples)
     return clustered_mean(rhos, "city", "rho", ["discarded"], drawn=drawn).select(
         "discarded",
@@ -131,8 +132,10 @@ def conformal_widths(calibration: DataFrame, coverage: float = COVERAGE) -> Data
     marginal = exact_percentiles(calibration, [], "residual", {"half_width": level})
     cities = exact_percentiles(calibration, ["city"], "residual", {"q": coverage})
     clustered = exact_percentiles(cities, [], "q", {"half_width": coverage})
-    return marginal.select(F.lit("marginal").alias("rule"), "half_width").unionByName(
-        clustered.select(F.lit("clustered").alias("rule"), "half_width")
+    return settled(
+        marginal.select(F.lit("marginal").alias("rule"), "half_width").unionByName(
+            clustered.select(F.lit("clustered").alias("rule"), "half_width")
+        )
     )
 
 
@@ -280,6 +283,7 @@ def border_excess(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -
         *[F.sum(F.when(c, F.col("jump"))).alias(f"{n}_s") for n, c in rules.items()],
         *[F.count(F.when(c, 1)).alias(f"{n}_n") for n, c in rules.items()],
     )
+    sums = settled(sums)
     for name in rules:
         crossed = sums.where(F.col(name).isNotNull())
         drawn = draws(crossed, "city", resamples, seed)

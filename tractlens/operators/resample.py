@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tractlens.functions.hashing import hash_index
 from tractlens.operators.ranks import auroc_cumulative, auroc_one_vs_rest, kappa_of_sums, spearman
-from tractlens.operators.scale import broadcast_if_small, numbered_of
+from tractlens.operators.scale import broadcast_if_small, numbered_of, settled
 
 RESAMPLES = 2000
 LOW, HIGH_END = 0.025, 0.975
@@ -40,15 +40,17 @@ def _ends(replicates: DataFrame, group: Sequence[str], value: str, prefix: str =
     ).select(*group, F.col("_e")[0].alias(f"{prefix}_low"), F.col("_e")[1].alias(f"{prefix}_high"))
 
 
-def replicate_means(
-    values: DataFrame, cluster: str, value: str, drawn: DataFrame, group: Sequence[str] = ()
-) -> DataFrame:
-    """Mean of the pooled members of the drawn clusters, per replicate."""
-    sums = (
+def cluster_sums(values: DataFrame, cluster: str, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """All that a resample of means needs: sum and count per cluster."""
+    return (
         values.where(F.col(value).isNotNull())
         .groupBy(*group, cluster)
         .agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
     )
+
+
+def replicate_means(sums: DataFrame, cluster: str, drawn: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Mean of the pooled members of the drawn clusters, per replicate."""
     t = F.col("times")
     return (
         drawn.join(broadcast_if_small(sums), cluster)
@@ -68,10 +70,12 @@ def clustered_mean(
     drawn: DataFrame | None = None,
 ) -> DataFrame:
     """Mean with the percentile interval of a cluster bootstrap, per group on shared draws."""
-    present = values.where(F.col(value).isNotNull())
-    drawn = draws(present, cluster, resamples, seed) if drawn is None else drawn
-    ends = _ends(replicate_means(present, cluster, value, drawn, group), group, "mean")
-    point = present.groupBy(*group).agg(F.avg(value).alias("mean"), F.count("*").alias("members"))
+    sums = settled(cluster_sums(values, cluster, value, group))
+    drawn = draws(sums, cluster, resamples, seed) if drawn is None else drawn
+    ends = _ends(replicate_means(sums, cluster, drawn, group), group, "mean")
+    point = sums.groupBy(*group).agg(
+        (F.sum("_s") / F.sum("_n")).alias("mean"), F.sum("_n").alias("members")
+    )
     if group:
         joined = point.join(ends, list(group))
     else:
@@ -84,15 +88,17 @@ def clustered_ratio(
 ) -> DataFrame:
     """Ratio of two means with a cluster bootstrap."""
     both = values.where(F.col(top).isNotNull() & F.col(bottom).isNotNull())
-    sums = both.groupBy(cluster).agg(F.sum(top).alias("_a"), F.sum(bottom).alias("_b"))
-    drawn = draws(both, cluster, resamples, seed)
+    sums = settled(
+        both.groupBy(cluster).agg(F.sum(top).alias("_a"), F.sum(bottom).alias("_b"), F.count("*").alias("_n"))
+    )
+    drawn = draws(sums, cluster, resamples, seed)
     ratios = (
         drawn.join(broadcast_if_small(sums), cluster)
         .groupBy("replicate")
         .agg(F.try_divide(F.sum(F.col("_a") * F.col("times")), F.sum(F.col("_b") * F.col("times"))).alias("ratio"))
     )
     ends = _ends(ratios, [], "ratio")
-    return both.agg(F.try_divide(F.avg(top), F.avg(bottom)).alias("fraction"), F.count("*").alias("members")).select(
+    return sums.agg(F.try_divide(F.sum("_a"), F.sum("_b")).alias("fraction"), F.sum("_n").alias("members")).select(
         "fraction",
         ends.select("ci_low").scalar().alias("ci_low"),
         ends.select("ci_high").scalar().alias("ci_high"),
@@ -102,13 +108,14 @@ def clustered_ratio(
 
 def row_bootstrap(values: DataFrame, key: str, value: str, *, resamples: int = 10000, seed: int = 0) -> DataFrame:
     """Each row is its own cluster; also the share of replicates above zero."""
-    drawn = draws(values, key, resamples, seed)
-    means = replicate_means(values, key, value, drawn)
+    sums = settled(cluster_sums(values, key, value))
+    drawn = draws(sums, key, resamples, seed)
+    means = replicate_means(sums, key, drawn)
     spread = means.agg(
         F.percentile("mean", F.array(F.lit(LOW), F.lit(HIGH_END))).alias("_e"),
         F.avg((F.col("mean") > 0).cast("double")).alias("_f"),
     )
-    return values.agg(F.avg(value).alias("mean")).select(
+    return sums.agg((F.sum("_s") / F.sum("_n")).alias("mean")).select(
         "mean",
         spread.select(F.col("_e")[0]).scalar().alias("ci_low"),
         spread.select(F.col("_e")[1]).scalar().alias("ci_high"),

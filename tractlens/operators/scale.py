@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tractlens.session import ensure_checkpoint_dir
+from tractlens.session import ensure_checkpoint_dir, scratch_folder
 
 ONE_TASK_BYTES = 256 * 1024**2
 """Input size up to which any group of it may be ordered inside one task."""
@@ -43,6 +43,17 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES else df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A reduced result that several later steps read, written down once in the shared folder.
+
+    Later steps then cost no second pass over the facts, survive lost executors, and see the
+    true size of the table when they decide how to join it.
+    """
+    folder = scratch_folder(df.sparkSession, "settled")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def running_totals(
     df: DataFrame,
     group: Sequence[str],

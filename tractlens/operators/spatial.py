@@ -8,11 +8,13 @@ crowded cell. The exact test is an expression over the edge array.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -114,55 +116,70 @@ def nearest_polygon(
     )
 
 
-def nearest_site(
-    points: DataFrame, sites: DataFrame, key: str, cell: float, extent: float
-) -> DataFrame:
-    """Nearest site to every point with no bound on the distance: exact ring search.
+def nearest_site(points: DataFrame, sites: DataFrame, key: str, cell: float, extent: float) -> DataFrame:
+    """Nearest site to every point with no bound on the distance, exactly.
 
-    At each level a point looks into its own and the eight cells around it. A candidate no
-    farther than one cell side is certainly the nearest; the other points go on with cells
-    twice as wide, until the lattice spans `extent`. Only the few remote points ever see
-    coarse cells, and no level pairs everything with everything.
+    Occupied cells form a pyramid, each with the box of its sites. Every point walks down from
+    the top: a cell whose box is farther than the farthest corner of another one cannot hold
+    the nearest site and is dropped, the others are replaced by their quarters. Few cells are
+    left at each level, and the sites themselves are met by cell at the bottom.
     """
-    spark = points.sparkSession
-    ensure_checkpoint_dir(spark)
-    left = points.select(key, "x", "y")
-    done = None
-    while True:
-        last = cell >= extent
-        around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        asked = left.withColumn("_o", F.explode(around)).select(
-            key, "x", "y", (_cell(F.col("x"), cell) + F.col("_o.a")).alias("_cx"), (_cell(F.col("y"), cell) + F.col("_o.b")).alias("_cy")
-        )
-        there = sites.select(
-            F.col("site_id"),
-            F.col("value"),
-            F.col("x").alias("sx"),
-            F.col("y").alias("sy"),
-            _cell(F.col("x"), cell).alias("_cx"),
-            _cell(F.col("y"), cell).alias("_cy"),
-        )
-        d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-        best = (
-            asked.join(broadcast_if_small(there), ["_cx", "_cy"])
-            .groupBy(key)
-            .agg(F.min(F.struct(d2.alias("d2"), F.col("site_id"), F.col("value"))).alias("_m"))
-            .select(key, "_m.site_id", "_m.value", F.sqrt("_m.d2").alias("distance"))
+    levels = max(1, math.ceil(math.log2(max(extent / cell, 2.0))))
+    box = [F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax")]
+    base = sites.select(
+        _cell(F.col("x"), cell).alias("cx"),
+        _cell(F.col("y"), cell).alias("cy"),
+        *[F.col(a).alias(f"{a}{e}") for e in ("min", "max") for a in ("x", "y")],
+    ).groupBy("cx", "cy").agg(*box)
+
+    def occupied(k: int) -> DataFrame:
+        up = 2**k
+        return base.groupBy(F.floor(F.col("cx") / up).alias("cx"), F.floor(F.col("cy") / up).alias("cy")).agg(*box)
+
+    # cells as wide as the extent: four at most
+    top = occupied(levels).agg(F.collect_list(F.struct("cx", "cy")).alias("t"))
+    x, y = F.col("x"), F.col("y")
+    walk = points.select(key, "x", "y", F.explode(top.scalar()).alias("t")).select(
+        key, "x", "y", F.col("t.cx").alias("px"), F.col("t.cy").alias("py")
+    )
+    out = lambda v, low, high: F.greatest(F.col(low) - v, v - F.col(high), F.lit(0.0))
+    far = lambda v, low, high: F.greatest(F.abs(v - F.col(low)), F.abs(v - F.col(high)))
+    nearest2 = out(x, "xmin", "xmax") * out(x, "xmin", "xmax") + out(y, "ymin", "ymax") * out(y, "ymin", "ymax")
+    farthest2 = far(x, "xmin", "xmax") * far(x, "xmin", "xmax") + far(y, "ymin", "ymax") * far(y, "ymin", "ymax")
+    mine = W.partitionBy(key)
+    for k in range(levels - 1, -1, -1):
+        quarters = occupied(k).withColumn("px", F.floor(F.col("cx") / 2)).withColumn("py", F.floor(F.col("cy") / 2))
+        # a level holds no more cells than fit into the extent
+        small = (2 ** (levels - k) + 1) ** 2 <= 100_000
+        walk = (
+            walk.join(F.broadcast(quarters) if small else quarters, ["px", "py"])
+            .withColumn("_near", nearest2)
+            .withColumn("_bound", F.min(farthest2).over(mine))
+            .where(F.col("_near") <= F.col("_bound") * (1 + 1e-9))
+            .select(key, "x", "y", F.col("cx").alias("px"), F.col("cy").alias("py"))
         )
-        found = best if last else best.where(F.col("distance") <= cell)
-        found = found.checkpoint()
-        done = found if done is None else done.unionByName(found)
-        left = left.join(found.select(key), key, "left_anti").checkpoint()
-        if last or left.isEmpty():
-            return done
-        cell *= 2.0
+    there = sites.select(
+        "site_id",
+        "value",
+        F.col("x").alias("sx"),
+        F.col("y").alias("sy"),
+        _cell(F.col("x"), cell).alias("px"),
+        _cell(F.col("y"), cell).alias("py"),
+    )
+    dx, dy = x - F.col("sx"), y - F.col("sy")
+    return (
+        walk.join(broadcast_if_small(there), ["px", "py"])
+        .groupBy(key)
+        .agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("site_id"), F.col("value"))).alias("_m"))
+        .select(key, "_m.site_id", "_m.value", F.sqrt("_m.d2").alias("distance"))
+    )
 
 
 def pixels_in_polygons(pixels: DataFrame, grids: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """Polygon holding each pixel centre; the table every polygon statistic starts from."""
     gt = lambda i: F.col("gt")[i]
     col, row = F.col("c") + 0.5, F.col("r") + 0.5
-    placed = pixels.join(F.broadcast(grids.select("box", "gt")), "box").select(
+    placed = pixels.join(broadcast_if_small(grids.select("box", "gt")), "box").select(
         *pixels.columns,
         (gt(0) * col + gt(1) * row + gt(2)).alias("x"),
         (gt(3) * col + gt(4) * row + gt(5)).alias("y"),

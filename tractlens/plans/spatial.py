@@ -79,7 +79,7 @@ def sites(d: Data):
     "distance value",
 )
 def _(d: Data):
-    return P.nearest_site(d.points(), sites(d), "point_id", 0.5, 32.0)
+    return P.nearest_site(d.points(), sites(d), "point_id", 0.25, 32.0)
 
 
 # pixels of the dense layer on the board of polygons, 0.4 ground units per pixel

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractlens.session import ensure_checkpoint_dir
-
-
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables inside the cluster's shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+from tractlens.session import scratch_folder  # noqa: F401  (callers write beside the stores)
 
 
 # ---- composites and vectors ---------------------------------------------------------------
