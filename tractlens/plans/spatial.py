@@ -316,7 +316,7 @@ def _(d: Data):
         inc=_INC,
         loc="SELECT point_id, min(poly_id) AS municipality FROM hit GROUP BY 1",
         lab="SELECT municipality, avg(n_regionkey) AS label FROM places JOIN nation ON nationkey = n_nationkey WHERE n_regionkey > 0 GROUP BY 1",
-        tr="SELECT point_id, -ln(income) AS truth, municipality AS unit FROM loc JOIN inc ON municipality = poly_id WHERE point_id % 3 > 0",
+        tr="SELECT point_id, -ln(income) AS truth, municipality AS unit FROM loc JOIN inc ON municipality = poly_id JOIN points USING (point_id) WHERE x > 8.0",
     )
     + """SELECT point_id, municipality, label, truth, unit FROM points JOIN loc USING (point_id) LEFT JOIN lab USING (municipality) LEFT JOIN tr USING (point_id)
  WHERE greatest(value, 0) / 10000.0 >= 0.1""",
@@ -330,7 +330,7 @@ def _(d: Data):
         .groupBy("municipality")
         .agg(F.avg("n_regionkey").alias("label"))
     )
-    truth = P.income_truth(d.points(), _income(d), ["point_id"], CELL).where("point_id % 3 > 0")
+    truth = P.income_truth(d.points().where("x > 8.0"), _income(d), ["point_id"], CELL)
     return P.transfer_bags(tokens, rings(d), labels, truth, ["point_id"], CELL).select(
         "point_id", "municipality", "label", "truth", "unit"
     )
@@ -339,7 +339,7 @@ def _(d: Data):
 @query(
     "b17_seat_zones",
     """SELECT municipality, zone_id, area FROM (SELECT p_brand AS municipality, p_partkey AS zone_id, p_retailprice AS area,
- row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part WHERE p_size % 3 = 1) WHERE rn = 1 AND area >= 1080""",
+ row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part WHERE p_size % 3 = 1) WHERE rn = 1 AND area >= 950""",
 )
 def _(d: Data):
     zones = d.table("part").select(
@@ -348,7 +348,7 @@ def _(d: Data):
         F.col("p_retailprice").alias("area"),
         (F.col("p_size") % 3).cast("string").alias("zone_class"),
     )
-    return P.seat_zones(zones, 1080.0).select("municipality", "zone_id", "area")
+    return P.seat_zones(zones, 950.0).select("municipality", "zone_id", "area")
 
 
 @query(
