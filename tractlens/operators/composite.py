@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractlens.functions.expr import masked
-from tractlens.operators.scale import exact_percentiles, nth_value, top_k
+from tractlens.operators.scale import exact_percentiles, nth_value, settled, top_k
 
 MIN_SCENE_COVERAGE = 0.05
 TILE_COVERAGE = 0.02
@@ -87,7 +87,7 @@ def useful_tiles(
 def selected_scenes(
     scenes: DataFrame, pixels: DataFrame, grids: DataFrame, max_scenes: int = 36, samples: int = 2
 ) -> DataFrame:
-    return clearest(useful_tiles(scenes, pixels, grids, samples), ["box", "tile"], max_scenes).drop("place")
+    return settled(clearest(useful_tiles(scenes, pixels, grids, samples), ["box", "tile"], max_scenes).drop("place"))
 
 
 def used_scenes(selected: DataFrame, pixels: DataFrame, grids: DataFrame, minimum: float = MIN_SCENE_COVERAGE) -> DataFrame:
@@ -111,7 +111,7 @@ def optical_composite(
     scenes: DataFrame, pixels: DataFrame, grids: DataFrame, max_scenes: int = 36, samples: int = 2
 ) -> DataFrame:
     selected = selected_scenes(scenes, pixels, grids, max_scenes, samples)
-    used = used_scenes(selected, pixels, grids)
+    used = settled(used_scenes(selected, pixels, grids))
     return median_composite(pixels, used, masked(F.col("value"), F.col("scl")))
 
 
@@ -127,7 +127,7 @@ def composite_meta(
     scenes: DataFrame, pixels: DataFrame, grids: DataFrame, band: str, max_scenes: int = 36, samples: int = 2
 ) -> DataFrame:
     selected = selected_scenes(scenes, pixels, grids, max_scenes, samples)
-    used = used_scenes(selected, pixels, grids)
+    used = settled(used_scenes(selected, pixels, grids))
     composite = median_composite(pixels, used, masked(F.col("value"), F.col("scl")))
     return (
         selected.groupBy("box")
@@ -208,7 +208,7 @@ def radar_composite(
     chosen = top_k(mine, ["box"], [F.col("scene_id").asc()], max_scenes).select("box", "scene_id")
     both = pixels.where(F.col("band").isin(*bands)).join(chosen, ["box", "scene_id"], "left_semi")
     whole = both.groupBy("box", "scene_id").agg(F.countDistinct("band").alias("b")).where(F.col("b") == len(bands))
-    return median_composite(both, whole.select("box", "scene_id"), F.col("value"))
+    return median_composite(both, settled(whole.select("box", "scene_id")), F.col("value"))
 
 
 # ---- guards -------------------------------------------------------------------------------

@@ -202,6 +202,7 @@ def city_audit(frame: DataFrame, min_rows: int = MIN_TRACTS) -> DataFrame:
 
 def best_and_median_city(audit: DataFrame) -> DataFrame:
     """The best city and the middle one of the ordered list."""
+    audit = settled(audit)
     size = audit.agg(F.count("*")).scalar()
     role = F.when(F.col("place") == size, "best").when(F.col("place") == F.floor(size / 2) + 1, "median")
     return audit.withColumn("role", role).where(F.col("role").isNotNull()).select("role", "city", "rho_within")
@@ -410,7 +411,7 @@ def targeting(
 ) -> DataFrame:
     """Census, map and aggregate allocators per group and budget, with the gap closed."""
     keys = [*group, "budget"]
-    table = with_stats(tracts, ["municipality"], F.avg("ordinal").alias("aggregate_score"))
+    table = settled(with_stats(tracts, ["municipality"], F.avg("ordinal").alias("aggregate_score")))
     oracle = reached(table, group, [F.col("ordinal").desc(), F.col("cvegeo").asc()], "oracle", budgets)
     by_map = reached(table, group, [F.col("score").desc(), F.col("cvegeo").asc()], "map", budgets)
     aggregate = reached_with_random_ties(table, group, "aggregate_score", "aggregate", budgets, tie_draws)
@@ -427,6 +428,7 @@ def pooled_gap(cells: DataFrame) -> DataFrame:
 
 def gap_summary(cells: DataFrame) -> DataFrame:
     """Median of the per-group ratios and the cells where the map loses."""
+    cells = settled(cells)
     losing = cells.groupBy("budget").agg(
         F.sum((F.col("map") < F.col("aggregate")).cast("long")).alias("losing"), F.count("*").alias("cells")
     )
@@ -449,19 +451,19 @@ def targeting_by_municipality(
     good = tracts.groupBy(*keys).agg(
         F.countDistinct("cvegeo").alias("tracts"), F.min("ordinal").alias("a"), F.max("ordinal").alias("b")
     ).where((F.col("tracts") >= min_tracts) & (F.col("a") < F.col("b")))
-    table = tracts.join(good.select(*keys), keys, "left_semi").withColumn("_flat", F.lit(0))
+    table = settled(tracts.join(good.select(*keys, "tracts"), keys).withColumn("_flat", F.lit(0)))
     oracle = reached(table, keys, [F.col("ordinal").desc(), F.col("cvegeo").asc()], "oracle", budgets)
     by_map = reached(table, keys, [F.col("score").desc(), F.col("cvegeo").asc()], "map", budgets)
     aggregate = reached_with_random_ties(table, keys, "_flat", "aggregate", budgets, tie_draws)
     joined = oracle.join(by_map, [*keys, "budget"]).join(aggregate, [*keys, "budget"])
-    return _gap(joined.join(good.select(*keys, "tracts"), keys))
+    return _gap(joined.join(table.groupBy(*keys).agg(F.max("tracts").alias("tracts")), keys))
 
 
 def targeting_national(
     tracts: DataFrame, budgets: Sequence[float] = BUDGETS, tie_draws: int = TIE_DRAWS
 ) -> DataFrame:
     """One national budget spent by four orderings."""
-    table = with_stats(tracts, ["municipality"], F.avg("ordinal").alias("aggregate_score"))
+    table = settled(with_stats(tracts, ["municipality"], F.avg("ordinal").alias("aggregate_score")))
     last = F.col("cvegeo").asc()
     census = reached(table, [], [F.col("ordinal").desc(), last], "census", budgets)
     by_map = reached(table, [], [F.col("score").desc(), last], "map", budgets)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tractlens.operators.scale import exact_percentiles, with_stats
+from tractlens.operators.scale import exact_percentiles, settled, with_stats
 from tractlens.operators.zonal import first_order
 
 DISTANCES = (1, 2, 4)
@@ -227,6 +227,7 @@ def reliability_summary(per_city: DataFrame) -> DataFrame:
 
 def size_correlation(features: DataFrame, group: Sequence[str], *, log: bool = False) -> DataFrame:
     """Correlation of each feature with the polygon's pixel count."""
+    features = settled(features)
     size = features.where("feature = 'n_px'").select(*group, F.col("value").alias("_px"))
     px = F.log10(F.greatest("_px", F.lit(1.0))) if log else F.col("_px")
     rows = features.where("feature <> 'n_px'").join(size, list(group)).withColumn("_s", px)

@@ -158,10 +158,10 @@ def _(d: Data):
         d.points()
         .groupBy(F.floor(F.col("y") / 3.7).alias("r"), F.floor(F.col("x") / 3.7).alias("c"))
         .agg(F.avg("value").alias("value"))
-        .withColumn("box", F.lit(0))
+        .withColumn("box", F.floor(F.col("c") / 1_000_000))
     )
     gt = F.array(*[F.lit(v) for v in (3.7, 0.0, 0.0, 0.0, 3.7, 0.0)])
-    grid = d.spark.range(1).select(F.lit(0).alias("box"), gt.alias("gt"))
+    grid = d.spark.range(1).select(F.col("id").alias("box"), gt.alias("gt"))
     sq = squares(d)
     hit = P.pixels_in_polygons(coarse, grid, P.polygon_rings(square_edges(sq)), 3.7)
     inner = sq.select(
