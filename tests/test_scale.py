@@ -23,10 +23,10 @@ def rows():
     ).assign(municipality=lambda d: d.city + (d.index % 2).astype(str))
 
 
-@pytest.fixture(params=["one task", "sliced"])
+@pytest.fixture(params=["one slice", "many slices"])
 def path(request, monkeypatch):
-    if request.param == "sliced":
-        monkeypatch.setattr(scale, "ONE_TASK_BYTES", -1)
+    if request.param == "many slices":
+        monkeypatch.setattr(scale, "SLICE_ROWS", 40)
     return request.param
 
 
@@ -83,7 +83,7 @@ def test_both_paths_agree_on_targeting(spark, rows, monkeypatch):
     df = spark.createDataFrame(rows)
     keys = ["city", "budget"]
     plain = decide.targeting(df, ["city"], tie_draws=5).toPandas().set_index(keys).sort_index()
-    monkeypatch.setattr(scale, "ONE_TASK_BYTES", -1)
+    monkeypatch.setattr(scale, "SLICE_ROWS", 40)
     split = decide.targeting(df, ["city"], tie_draws=5).toPandas().set_index(keys).sort_index()
     for column in ("oracle", "map", "aggregate"):
         assert np.allclose(plain[column], split[column])

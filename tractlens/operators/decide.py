@@ -15,7 +15,6 @@ from tractlens.operators.labels import HIGH
 from tractlens.operators.ranks import auroc_cumulative, ordinal_metrics, spearman
 from tractlens.operators.resample import RESAMPLES, clustered_mean, draws
 from tractlens.operators.scale import (
-    broadcast_if_small,
     exact_percentiles,
     numbered_of,
     running_totals,
@@ -291,7 +290,7 @@ def border_excess(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -
         t = F.col("times")
         weighted = lambda c: F.sum(F.col(c) * t) / F.sum(F.when(F.col(c).isNotNull(), t))
         deltas = (
-            drawn.join(broadcast_if_small(crossed), "city")
+            drawn.join(crossed, "city")
             .groupBy("replicate")
             .agg((weighted(name) - weighted("ref")).alias("delta"))
         )

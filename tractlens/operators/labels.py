@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractlens.operators.scale import (
-    broadcast_if_small,
     exact_percentiles,
     numbered,
     with_stats,
@@ -123,7 +122,7 @@ def relabel(bags: DataFrame, tracts: DataFrame, level: str) -> DataFrame:
     return (
         bags.drop(*shares)
         .withColumn("unit", unit)
-        .join(broadcast_if_small(coarse), "unit")
+        .join(coarse, "unit")
         .drop("unit")
     )
 

@@ -26,7 +26,6 @@ from tractlens.functions.hashing import hash_number
 from tractlens.operators.labels import HIGH, inverse_frequency
 from tractlens.operators.ranks import auroc, ordinal_metrics, spearman
 from tractlens.operators.resample import metric_bootstrap
-from tractlens.operators.scale import broadcast_if_small
 from tractlens.operators.splits import cities_of, standardise_by_group
 from tractlens.operators.tokens import window_tokens
 from tractlens.operators.zonal import CLASSES
@@ -154,7 +153,7 @@ def gradient(instances: DataFrame, errors: DataFrame, head: Head, weight: str |
 
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = instances.select("bag", F.col("vec").cast("array<double>").alias("vec"), w.alias("w")).join(
-        broadcast_if_small(errors), "bag"
+        errors, "bag"
     )
     part = rows.select("vec", "w", "errors").mapInPandas(sums, "g array<double>")
     total = part.agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")).first()["g"]

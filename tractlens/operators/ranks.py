@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tractlens.operators.labels import HIGH
-from tractlens.operators.scale import fits_one_task, mid_ranks, running_totals
+from tractlens.operators.scale import mid_ranks, running_totals, settled
 
 MIN_TOKENS = 20
 MIN_TRACTS = 5
@@ -40,20 +40,11 @@ def spearman(
         .groupBy(*group, F.col(x).alias("_x"), F.col(y).alias("_y"))
         .agg(F.sum(size).cast("long").alias("_c"))
     )
-    if fits_one_task(df):
-        ranked = cells
-        part = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-        for v in ("_x", "_y"):
-            # the default frame reaches the last peer, so the sum is the rank of the tie's end
-            upto = F.sum("_c").over(part.orderBy(v))
-            peers = F.sum("_c").over(W.partitionBy(*group, v))
-            ranked = ranked.withColumn(f"_r{v}", upto - (peers - 1) / 2.0)
-    else:
-        ranked = cells
-        for v in ("_x", "_y"):
-            counts = cells.groupBy(*group, v).agg(F.sum("_c").alias("_k"))
-            ranks = mid_ranks(counts, group, v, "_k", f"_r{v}").drop("_k")
-            ranked = ranked.join(ranks, [*group, v])
+    cells = ranked = settled(cells)
+    for v in ("_x", "_y"):
+        counts = cells.groupBy(*group, v).agg(F.sum("_c").alias("_k"))
+        ranks = mid_ranks(counts, group, v, "_k", f"_r{v}").drop("_k")
+        ranked = ranked.join(ranks, [*group, v])
     return _rank_correlation(ranked, group, min_rows, min_x_levels)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tractlens.functions.hashing import hash_index
 from tractlens.operators.ranks import auroc_cumulative, auroc_one_vs_rest, kappa_of_sums, spearman
-from tractlens.operators.scale import broadcast_if_small, numbered_of, settled
+from tractlens.operators.scale import numbered_of, settled
 
 RESAMPLES = 2000
 LOW, HIGH_END = 0.025, 0.975
@@ -30,7 +30,7 @@ def draws(clusters: DataFrame, cluster: str, resamples: int = RESAMPLES, seed: i
         F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate"), "_i", "_k"
     ).select("replicate", hash_index(F.col("_k"), seed, F.col("replicate"), F.col("_i")).alias("_i"))
     counted = rolled.groupBy("replicate", "_i").agg(F.count("*").alias("times"))
-    return counted.join(broadcast_if_small(listed.drop("_k")), "_i").select("replicate", cluster, "times")
+    return counted.join(listed.drop("_k"), "_i").select("replicate", cluster, "times")
 
 
 def _ends(replicates: DataFrame, group: Sequence[str], value: str, prefix: str = "ci") -> DataFrame:
@@ -53,7 +53,7 @@ def replicate_means(sums: DataFrame, cluster: str, drawn: DataFrame, group: Sequ
     """Mean of the pooled members of the drawn clusters, per replicate."""
     t = F.col("times")
     return (
-        drawn.join(broadcast_if_small(sums), cluster)
+        drawn.join(sums, cluster)
         .groupBy(*group, "replicate")
         .agg((F.sum(F.col("_s") * t) / F.sum(F.col("_n") * t)).alias("mean"))
     )
@@ -93,7 +93,7 @@ def clustered_ratio(
     )
     drawn = draws(sums, cluster, resamples, seed)
     ratios = (
-        drawn.join(broadcast_if_small(sums), cluster)
+        drawn.join(sums, cluster)
         .groupBy("replicate")
         .agg(F.try_divide(F.sum(F.col("_a") * F.col("times")), F.sum(F.col("_b") * F.col("times"))).alias("ratio"))
     )
@@ -152,7 +152,7 @@ def metric_bootstrap(
         F.max(truth).alias("_hi"),
     )
     per_replicate = (
-        drawn.join(broadcast_if_small(moments), cluster)
+        drawn.join(moments, cluster)
         .groupBy("replicate")
         .agg(
             *[F.sum(F.col(c) * times).alias(c) for c in ("_n", "_t", "_p", "_tt", "_pp", "_dd")],

@@ -2,10 +2,10 @@
 
 Ranks, running sums and exact percentiles inside a group are usually written as one window
 per group. A group may hold a third of all rows, so every such statistic of this package goes
-through `running_totals`: it uses the plain window while the *whole input* is proven small,
-and otherwise splits each group over range partitions and adds the offsets of the earlier
-slices. Ranks and percentiles work on value counts, so ties are already merged before the
-first shuffle.
+through `running_totals`, which always takes the same way: rows are range-partitioned by (group,
+order) into slices of about `SLICE_ROWS` rows, each slice is summed on its own and the offsets of
+earlier slices are added. Ranks and percentiles work on value counts, so ties are already merged
+before the first shuffle.
 """
 
 from __future__ import annotations
@@ -16,31 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tractlens.session import ensure_checkpoint_dir, scratch_folder
+from tractlens.session import scratch_folder
 
-ONE_TASK_BYTES = 256 * 1024**2
-"""Input size up to which any group of it may be ordered inside one task."""
-
-BROADCAST_BYTES = 32 * 1024**2
-"""Input size up to which a table may be broadcast."""
-
-
-def input_bytes(df: DataFrame) -> float:
-    """Bytes of all tables read by `df`; infinite where the planner cannot tell."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return float(sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
-    except Exception:
-        return float("inf")
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    return input_bytes(df) <= ONE_TASK_BYTES
-
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Marks a side for broadcast only if everything it is made from is small."""
-    return F.broadcast(df) if input_bytes(df) <= BROADCAST_BYTES else df
+SLICE_ROWS = 500_000
+"""Rows of one slice of an ordered table; the number of slices follows from the counted rows."""
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -65,30 +44,19 @@ def running_totals(
 
     `order` must be free of ties inside a group and the group columns free of nulls.
     """
-    whole = whole or {}
-    if fits_one_task(df):
-        part = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-        rows = part.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.select(
-            "*",
-            *[F.sum(c).over(rows).alias(n) for n, c in running.items()],
-            *[F.sum(c).over(part).alias(n) for n, c in whole.items()],
-        )
-    return _sliced_totals(df, list(group), list(order), running, whole)
-
-
-def _sliced_totals(df, group, order, running, whole) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group, whole = list(group), whole or {}
     parts = {f"_r_{n}": c for n, c in running.items()} | {f"_w_{n}": c for n, c in whole.items()}
-    # the slice a row falls in is chosen by sampling, so it is written down before it is used twice
-    staged = (
-        df.select("*", *[c.alias(n) for n, c in parts.items()])
-        .repartitionByRange(slices, *[F.col(g) for g in group], *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
-    )
+    staged = settled(df.select("*", *[c.alias(n) for n, c in parts.items()]))
+    slices = max(1, -(-staged.count() // SLICE_ROWS))
+    if slices == 1:
+        staged = staged.withColumn("_slice", F.lit(0))
+    else:
+        # range bounds come from a sample, so slices are written down before they are read twice
+        staged = settled(
+            staged.repartitionByRange(slices, *[F.col(g) for g in group], *order).withColumn(
+                "_slice", F.spark_partition_id()
+            )
+        )
     inside = (
         W.partitionBy(*group, "_slice")
         .orderBy(*order)
@@ -98,7 +66,7 @@ def _sliced_totals(df, group, order, running, whole) -> DataFrame:
         *df.columns, "_slice", *[F.sum(f"_r_{n}").over(inside).alias(f"_l_{n}") for n in running]
     )
     per_slice = staged.groupBy(*group, "_slice").agg(*[F.sum(n).alias(n) for n in parts])
-    # one row per group and slice: at most as many rows per group as there are partitions
+    # one row per group and slice
     group_part = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     before = group_part.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_slice.select(

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tractlens.operators.scale import broadcast_if_small, top_k
+from tractlens.operators.scale import top_k
 from tractlens.session import ensure_checkpoint_dir
 
 BOX_SHARE_FLOOR = 0.05
@@ -74,7 +74,7 @@ def _laid(polygons: DataFrame, cell: float, reach: float = 0.0) -> DataFrame:
 
 def _meet(points: DataFrame, polygons: DataFrame, cell: float, on: Sequence[str], reach: float = 0.0) -> DataFrame:
     placed = points.withColumn("_cx", _cell(F.col("x"), cell)).withColumn("_cy", _cell(F.col("y"), cell))
-    sides = broadcast_if_small(_laid(polygons, cell, reach))
+    sides = _laid(polygons, cell, reach)
     return placed.join(sides, [*on, "_cx", "_cy"]).where(
         F.col("x").between(F.col("xmin") - reach, F.col("xmax") + reach)
         & F.col("y").between(F.col("ymin") - reach, F.col("ymax") + reach)
@@ -168,7 +168,7 @@ def nearest_site(points: DataFrame, sites: DataFrame, key: str, cell: float, ext
     )
     dx, dy = x - F.col("sx"), y - F.col("sy")
     return (
-        walk.join(broadcast_if_small(there), ["px", "py"])
+        walk.join(there, ["px", "py"])
         .groupBy(key)
         .agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("site_id"), F.col("value"))).alias("_m"))
         .select(key, "_m.site_id", "_m.value", F.sqrt("_m.d2").alias("distance"))
@@ -179,7 +179,7 @@ def pixels_in_polygons(pixels: DataFrame, grids: DataFrame, polygons: DataFrame,
     """Polygon holding each pixel centre; the table every polygon statistic starts from."""
     gt = lambda i: F.col("gt")[i]
     col, row = F.col("c") + 0.5, F.col("r") + 0.5
-    placed = pixels.join(broadcast_if_small(grids.select("box", "gt")), "box").select(
+    placed = pixels.join(grids.select("box", "gt"), "box").select(
         *pixels.columns,
         (gt(0) * col + gt(1) * row + gt(2)).alias("x"),
         (gt(3) * col + gt(4) * row + gt(5)).alias("y"),

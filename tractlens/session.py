@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,10 +30,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "tractl
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names; falls back to a local one only where none is set."""
+    """Uses the folder the cluster names; only a session on one machine may do without.
+
+    Executors of a cluster do not see each other's disks, so a temporary folder there would lose
+    rows on the way back: without the setting this raises.
+    """
     if spark.sparkContext.getCheckpointDir():
         return
     named = spark.conf.get(CHECKPOINT_KEY, None)
+    master = spark.sparkContext.master
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a shared folder on {master}")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
