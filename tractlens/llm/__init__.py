@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tractlens.llm import gam, packing, resharding
+from tractlens.llm import gam, minhash, packing, resharding
 
-_MODULES = (packing, gam, resharding)
+_MODULES = (packing, gam, resharding, minhash)
 
 
 def queries() -> dict:
