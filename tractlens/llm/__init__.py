@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tractlens.llm import gam, minhash, packing, resharding
+from tractlens.llm import gam, linededup, minhash, packing, resharding
 
-_MODULES = (packing, gam, resharding, minhash)
+_MODULES = (packing, gam, resharding, minhash, linededup)
 
 
 def queries() -> dict:

@@ -45,6 +45,7 @@ MARGIN = 5.0
 _RANDOM = np.random.default_rng(20240)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x5851F42D4C957F2D)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _FACTORS = _RANDOM.integers(1, 1 << 63, HASHES, np.uint64) | np.uint64(1)
 _OFFSETS = _RANDOM.integers(1, 1 << 63, HASHES, np.uint64)
 
@@ -55,6 +56,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: np.uint64, count: int) -> np.ndarray:
+    powers = np.full(count, base)
+    powers[0] = 1
+    return np.multiply.accumulate(powers, out=powers)
+
+
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; A-Z count as lower case.
 
@@ -70,15 +77,12 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
     ends = starts + lengths
-    powers = np.full(len(joined) + 1, _BASE)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
     sums = np.zeros(len(joined) + 1, np.uint64)
-    # highest power first, so a span is freed of its place by one multiplication
-    np.cumsum(_BYTE[joined] * powers[:-1][::-1], out=sums[1:])
+    np.cumsum(_BYTE[joined] * _powers(_BASE, len(joined)), out=sums[1:])
     count = len(parts) - words + 1
     first, last = starts[:count], ends[words - 1 :]
-    spans = (sums[last] - sums[first]) * powers[first]
+    # the inverse power frees a span of its place in the text
+    spans = (sums[last] - sums[first]) * _powers(_INVERSE, len(joined))[first]
     return np.unique(_mixed(spans ^ (np.uint64(0x9E3779B97F4A7C15) * (last - first).astype(np.uint64))))
 
 
