@@ -10,9 +10,10 @@ Nothing emits all pairs of a group:
 
 * documents with the same set are one class, which its smallest id stands for;
 * in a first round every class of a bucket is compared with the smallest class of the bucket only;
-* in a second round only buckets that still hold several components are looked at again, and only
-  pairs from different components are compared, block against block, by counting signature bits
-  inside the task. Candidates left over from there go to the exact test. No bucket is capped.
+* later rounds look only at buckets that still hold several components and compare only pairs from
+  different components, block against block, by counting signature bits inside the task. The second
+  round sends the most alike pairs that would join a block's components to the exact test, the third
+  round every pair that is left. No bucket is capped.
 
 A pair at the threshold of 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6; the
 estimate drops such a pair with a probability of about 1e-6 (its margin is five deviations).
@@ -155,30 +156,34 @@ def signed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and full set of the wanted ids; an id that is repeated with other texts has several."""
+    # the merge hint keeps the plan the same at every size
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi")
+    texts = texts.dropDuplicates(["doc_id", "text"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"]
-            )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [shingle_set(t).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"]
+                )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    # a class is named by the smallest id that has its set; an id that is repeated with another
-    # text gives several sets, and a link needs one of them
-    known = texts.mapInArrow(sets, f"doc_id {id_type}, shingles array<long>")
-    known = settled(known.dropDuplicates())
-    left = known.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_sa"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb"))
+    return texts.mapInArrow(sets, f"doc_id {id_type}, shingles array<long>")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of class ids whose full sets reach the threshold."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_sa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_sb"))
     shared = F.size(F.array_intersect("_sa", "_sb"))
     both = F.size("_sa") + F.size("_sb") - shared
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
+        pairs.join(left.hint("merge"), "a")
+        .join(right.hint("merge"), "b")
         .where((100 * shared >= threshold * both) & (both > 0))
         .select("a", "b")
         .distinct()
@@ -214,11 +219,31 @@ def _promising(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _cross_pairs(mixed: DataFrame, parts: int) -> DataFrame:
+def _forest(a: np.ndarray, b: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Places of the strongest pairs that join different components: at most one fewer than these."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    chosen = []
+    for k in np.argsort(-strength, kind="stable").tolist():
+        x, y = find(int(a[k])), find(int(b[k]))
+        if x != y:
+            root[x] = y
+            chosen.append(k)
+    return np.array(chosen, np.int64)
+
+
+def _cross_pairs(mixed: DataFrame, parts: int, forest: bool) -> DataFrame:
     """Promising pairs of different components inside a bucket, block against block.
 
     A bucket of m members has ceil(m / BLOCK) blocks; a member travels once per block, and a task
-    sees two blocks at a time.
+    sees two blocks at a time. With `forest` a block gives only the most alike pairs that would
+    join all its components.
     """
     floor = lowest_estimate()
     sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -245,16 +270,22 @@ def _cross_pairs(mixed: DataFrame, parts: int) -> DataFrame:
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found_a, found_b = [], []
-        for i in left:
+        places, strengths = [], []
+        for i in left.tolist():
             others = right if low != high else right[ids[right] > ids[i]]
             others = others[component[others] != component[i]]
             if len(others):
-                good = others[estimated(marks[others], marks[i]) >= floor]
-                found_a += np.minimum(ids[good], ids[i]).tolist()
-                found_b += np.maximum(ids[good], ids[i]).tolist()
+                alike = estimated(marks[others], marks[i])
+                good = alike >= floor
+                places.append(np.stack([np.full(int(good.sum()), i), others[good]]))
+                strengths.append(alike[good])
+        a, b = np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.int64)
+        if forest and len(a):
+            kept = _forest(component[a], component[b], np.concatenate(strengths))
+            a, b = a[kept], b[kept]
         kind = group.schema.field("id").type
-        return pa.table({"a": pa.array(found_a, kind), "b": pa.array(found_b, kind)})
+        ends = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        return pa.table({"a": pa.array(ends[0], kind), "b": pa.array(ends[1], kind)})
 
     kind = mixed.schema["id"].dataType.simpleString()
     found = dealt.repartition(parts, "bucket", "low", "high").groupBy("bucket", "low", "high")
@@ -272,17 +303,17 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spread = classes.select("id", "signature", F.explode("bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     buckets = settled(spread.join(crowded, "bucket").select("bucket", "id", "signature"))
-    # an id that is repeated with several texts names several classes and links them
-    stars = settled(_confirmed(settled(_star_pairs(buckets)), docs, threshold))
-    first = settled(components(stars))
-    labelled = buckets.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
-    )
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    mixed = labelled.join(several.where("_lo < _hi").select("bucket"), "bucket")
-    crossing = settled(_cross_pairs(mixed.select("bucket", "id", "component", "signature"), partitions(docs.sparkSession)))
-    late = _confirmed(crossing, docs, threshold)
-    final = components(stars.union(late))
+    sets = settled(_sets(docs, buckets.select(F.col("id").alias("doc_id")).distinct()))
+    links = settled(_confirmed(settled(_star_pairs(buckets)), sets, threshold))
+    parts = partitions(docs.sparkSession)
+    for forest in (True, False):
+        groups = components(links).withColumnRenamed("node", "id")
+        labelled = settled(buckets.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        several = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+        mixed = labelled.join(several.where("_lo < _hi").select("bucket"), "bucket")
+        crossing = settled(_cross_pairs(mixed.select("bucket", "id", "component", "signature"), parts, forest))
+        links = settled(links.union(_confirmed(crossing, sets, threshold)))
+    final = components(links)
     of_class = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("_component")
     )
