@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tractlens.llm import gam, linededup, minhash, packing, resharding
+from tractlens.llm import fertility, gam, htmltext, linededup, minhash, packing, resharding
 
-_MODULES = (packing, gam, resharding, minhash, linededup)
+_MODULES = (packing, fertility, gam, resharding, minhash, htmltext, linededup)
 
 
 def queries() -> dict:
