@@ -39,6 +39,8 @@ def process_cache() -> dict:
 
 # every white-space character other than a space or a line feed
 _RARE_SPACE = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]")
+# white space for str.split that is none for bytes.split
+OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _UNIT_START = re.compile(r"(?<=\S)(?= \S)")
 
 

@@ -3,8 +3,8 @@
 Public vocabularies measure every whole text: characters per token of a byte-level BPE for many
 languages, the share of pieces that a sentence-piece BPE can only spell as bytes, and the entropy of
 the byte-level ids as a share of what their number allows. Each language (the dominant script where
-no language is given) has a band per measure: the median of its documents, plus and minus a number
-of robust deviations that grows for short texts. Medians and quartiles are exact, over all
+no language is given), for each power of two of the text's tokens, has a band per measure: the median
+of its documents, plus and minus a number of robust deviations that grows for short texts. Medians and quartiles are exact, over all
 documents that pass the base rules, from counts of rounded values. A document is kept if it passes
 the base rules and lies inside every band.
 
@@ -24,16 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tractlens.llm.common import UnitTable, process_cache, settled, table
+from tractlens.llm.common import OTHER_SPACE, UnitTable, gathered, process_cache, settled, table
 
 MIN_WORDS = 50
 REPEAT_SHARE = 50
-WIDTH = 7.0
+WIDTH = 6.0
 SHORT = 100
 """Tokens at which a band is wider than for a very long text by the square root of two."""
 
 # least deviation of each measure, so that a uniform language does not reject its own
-MEASURES = {"chars_per_token": 0.10, "byte_share": 0.01, "entropy": 0.02}
+MEASURES = {"chars_per_token": 0.04, "byte_share": 0.01, "entropy": 0.01}
 _SYMBOLS = b"#*$%&|<>"
 _GROUP_WORDS = 100_000
 
@@ -91,20 +91,34 @@ def _word_encoder(ranks: str, pieces: str):
 
 
 def repeated_words(numbers: np.ndarray) -> int:
-    """Words that lie in a three-word window found twice or more in the text."""
+    """Words that lie in a three-word window found twice or more in the text.
+
+    Equal words have equal numbers.
+    """
     if len(numbers) < 3:
         return 0
-    _, dense = np.unique(numbers, return_inverse=True)
-    base = int(dense.max()) + 1
-    pair = np.unique(dense[:-1].astype(np.int64) * base + dense[1:], return_inverse=True)[1]
-    _, which, counts = np.unique(pair[:-1].astype(np.int64) * base + dense[2:], return_inverse=True, return_counts=True)
-    often = counts[which] >= 2
+    if numbers.max() < 1 << 21:
+        windows = (numbers[:-2] << 42) | (numbers[1:-1] << 21) | numbers[2:]
+    else:
+        pairs = np.unique((numbers[:-1] << 32) | numbers[1:], return_inverse=True)[1].astype(np.int64)
+        windows = (pairs[:-1] << 32) | numbers[2:]
+    order = np.argsort(windows, kind="stable")
+    ordered = windows[order]
+    same = ordered[1:] == ordered[:-1]
+    often = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
     hit = np.zeros(len(numbers), bool)
     for k in range(3):
-        hit[k : len(numbers) - 2 + k] |= often
+        hit[often + k] = True
     return int(hit.sum())
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of characters other than space and \\t to \\r."""
+    if OTHER_SPACE.search(text):
+        return [w.decode("utf-8") for w in text.encode("utf-8", "replace").split()]
+    return text.split()
+
+
 def repeated_lines(text: str) -> int:
     """Lines with a word that equal an earlier line."""
     lines = [line for line in text.split("\n") if line.strip(" \t\n\v\f\r")]
@@ -144,21 +158,18 @@ def measured(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
     def rows_of(texts: list[str], langs: list, known: UnitTable) -> list[tuple]:
         out = []
         for text, lang in zip(texts, langs):
-            # bytes.split cuts exactly at space and \t..\r; texts that str cuts alike take the short way
-            words = text.encode("utf-8", "replace").split()
-            strings = [w.decode("utf-8") for w in words]
-            codes = np.zeros(0, np.int64)
-            lengths = starts = np.zeros(0, np.int64)
-            parts = []
+            strings = words_of(text)
+            parts, codes = [], np.zeros(0, np.int64)
             for at in range(0, len(strings), _GROUP_WORDS):
-                code = known.look_up(strings[at : at + _GROUP_WORDS])
-                begin, size = known.starts[code], known.lengths[code]
-                parts.append((known.flat[begin], known.flat[begin + 1], known.flat[begin + 2], _ids(known, begin, size)))
+                codes = known.look_up(strings[at : at + _GROUP_WORDS])
+                begin, size = known.starts[codes], known.lengths[codes]
+                parts.append((known.flat[begin], known.flat[begin + 1], known.flat[begin + 2], gathered(known.flat, begin + 3, size - 3)))
+            if len(parts) > 1:
+                # the table may have been emptied in between, so a long text numbers its own words
+                own: dict[str, int] = {}
+                codes = np.fromiter((own.setdefault(w, len(own)) for w in strings), np.int64, len(strings))
             if parts:
-                piece, spelled, chars = (np.concatenate([p[k] for p in parts]) for k in range(3))
-                ids = np.concatenate([p[3] for p in parts])
-                number: dict[str, int] = {}
-                codes = np.fromiter((number.setdefault(w, len(number)) for w in strings), np.int64, len(strings))
+                piece, spelled, chars, ids = (np.concatenate([p[k] for p in parts]) for k in range(4))
             else:
                 piece = spelled = chars = ids = np.zeros(0, np.int64)
             n, word_chars = len(strings), int(chars.sum())
@@ -174,7 +185,7 @@ def measured(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
                     repeated_lines(text),
                     again,
                     failed,
-                    lang or _script(text),
+                    f"{lang or _script(text)}:{len(ids).bit_length()}",
                     len(ids),
                     word_chars / len(ids) if len(ids) else 0.0,
                     float(spelled.sum() / piece.sum()) if len(piece) else 0.0,
@@ -184,7 +195,7 @@ def measured(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = UnitTable(_word_encoder(ranks, pieces), capacity=200_000)
+        known = UnitTable(_word_encoder(ranks, pieces), capacity=400_000)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -205,12 +216,6 @@ def _arrow_fields() -> list[pa.Field]:
     return [pa.field(*(lambda a, b: (a, kinds[b]))(*f.split())) for f in _FIELDS.split(", ")]
 
 
-def _ids(known: UnitTable, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    from tractlens.llm.common import gathered
-
-    return gathered(known.flat, begin + 3, size - 3)
-
-
 def bands(rows: DataFrame) -> DataFrame:
     """band, and middle and deviation of every measure, from documents that pass the base rules."""
     good = rows.where(~F.col("base_failed"))
