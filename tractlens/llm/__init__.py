@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tractlens.llm import bpe, caps, fertility, gam, htmltext, linededup, minhash, packing, resharding
+from tractlens.llm import bpe, caps, fertility, gam, htmltext, linededup, minhash, mixing, packing, resharding
 
-_MODULES = (packing, fertility, bpe, gam, resharding, minhash, caps, htmltext, linededup)
+_MODULES = (packing, fertility, bpe, gam, resharding, minhash, caps, htmltext, linededup, mixing)
 
 
 def queries() -> dict:

@@ -22,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import gathered, partitions, settled, table, units
+from tractlens.llm.common import gathered, partitions, table, units
 from tractlens.llm.fertility import rank_encoding, rank_path
 from tractlens.llm.wordblocks import TEXTS, blocks, pack_numbers, unpack_numbers, unpack_strings
 
-_MISSING = np.int64(-1)
-
 
 def _words(text: str) -> list[bytes]:
     return [u.encode("utf-8", "replace") for u in units(text)] if text else []
@@ -72,13 +70,14 @@ def encoded_words(packed: DataFrame, path: str, parts: int) -> DataFrame:
 def encoded(docs: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
     """doc_id and ids (32-bit little-endian) of every whole text.
 
-    Documents come back block by block; a block holds about 8 million characters, or one longer
-    text.
+    Documents come back block by block; a block holds some million characters, or one longer text.
+    The stored table is cut into blocks twice, once for the words and once for the positions, which
+    costs less than keeping both on disk.
     """
     parts = partitions(docs.sparkSession)
-    packed = settled(blocks(docs, _words, buckets or 4 * parts))
-    answers = encoded_words(packed, path, parts)
-    texts = packed.where(F.col("bucket") == TEXTS).select("partition", "block", "ids", "sizes", "places")
+    buckets = buckets or 4 * parts
+    answers = encoded_words(blocks(docs, _words, buckets, only="words"), path, parts)
+    texts = blocks(docs, _words, buckets, only="texts").select("partition", "block", "ids", "sizes", "places")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         id_type = left.schema.field("ids").type.value_type

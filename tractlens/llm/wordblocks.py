@@ -18,10 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 6 << 20
 TEXTS = -1
 """The bucket number of the rows that hold a block's texts."""
 
@@ -63,14 +64,16 @@ def blocks(
     buckets: int,
     deal: Callable[[list[bytes], int], np.ndarray] = hash_buckets,
     extra: str | None = None,
+    only: str | None = None,
 ) -> DataFrame:
     """The packed rows of all documents: partition, block, bucket, words, and for texts ids and places.
 
     `split` gives the words of a text as bytes. Rows of words hold the words of one bucket, sorted
     as in the block's list, which is ordered by (bucket, word). The row of texts holds the
     document ids, the numbers of words and, one after the other, the words' places in that list.
-    `extra` names an integer column whose value is kept per document; words get the number of their
-    occurrences in documents where it is not zero.
+    `extra` names an integer column of the documents; words get the number of their
+    occurrences in documents where it is not zero. `only` asks for the rows of "words" or of "texts"
+    alone; two such calls over one stored table cut the same blocks.
     """
     columns = ["doc_id", "text", *([extra] if extra else [])]
 
@@ -97,33 +100,36 @@ def blocks(
             place[order] = np.arange(len(words), dtype=np.int32)
             flat = place[np.concatenate(sequences)] if sequences else np.zeros(0, np.int32)
             sizes = np.array(sizes, np.int64)
+            if only != "words":
+                texts = _row(partition, number, TEXTS)
+                texts |= {"ids": ids, "sizes": pack_numbers(sizes), "places": pack_numbers(flat)}
+                yield _batch([texts], ids.type)
+            number += 1
+            if only == "texts":
+                continue
             counted = flat[np.repeat(flags != 0, sizes)]
             counts = np.bincount(counted, minlength=len(words)).astype(np.int64)
-            texts = _row(partition, number, TEXTS)
-            texts |= {"ids": ids, "flags": pack_numbers(flags.astype(np.int64)), "sizes": pack_numbers(sizes), "places": pack_numbers(flat)}
-            yield _batch([texts], ids.type)
             rows = []
             ordered, at = which[order], 0
             while at < len(order):
                 end = int(np.searchsorted(ordered, ordered[at], side="right"))
                 rows.append(
-                    _row(partition, number, int(ordered[at]))
+                    _row(partition, number - 1, int(ordered[at]))
                     | {"words": pack_strings([words[k] for k in order[at:end]]), "sizes": pack_numbers(counts[at:end])}
                 )
                 at = end
             if rows:
                 yield _batch(rows, ids.type)
-            number += 1
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(*columns).mapInArrow(
         run,
-        f"partition int, block int, bucket int, words binary, ids array<{id_type}>, flags binary, sizes binary, places binary",
+        f"partition int, block int, bucket int, words binary, ids array<{id_type}>, sizes binary, places binary",
     )
 
 
 def _row(partition: int, block: int, bucket: int) -> dict:
-    return dict.fromkeys(("words", "ids", "flags", "places", "sizes")) | {"partition": partition, "block": block, "bucket": bucket}
+    return dict.fromkeys(("words", "ids", "places", "sizes")) | {"partition": partition, "block": block, "bucket": bucket}
 
 
 def _batch(rows: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
@@ -133,8 +139,8 @@ def _batch(rows: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(whole))
 
     number = {c: pa.array([r[c] for r in rows], pa.int32()) for c in ("partition", "block", "bucket")}
-    blob = {c: pa.array([r[c] for r in rows], pa.binary()) for c in ("words", "flags", "sizes", "places")}
-    names = ["partition", "block", "bucket", "words", "ids", "flags", "sizes", "places"]
+    blob = {c: pa.array([r[c] for r in rows], pa.binary()) for c in ("words", "sizes", "places")}
+    names = ["partition", "block", "bucket", "words", "ids", "sizes", "places"]
     arrays = number | blob | {"ids": lists([r["ids"] for r in rows])}
     return pa.RecordBatch.from_arrays([arrays[n] for n in names], names)
 
@@ -144,7 +150,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch
     held, total = [], 0
     for batch in batches:
         start = 0
-        sizes = [len(t) if t else 0 for t in batch.column("text").to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
         for i, size in enumerate(sizes):
             if total and total + size > BLOCK_CHARS:
                 if i > start:
