@@ -112,20 +112,21 @@ def token_bytes(path: str) -> list[bytes]:
     return [encoding.decode_single_token_bytes(i) for i in range(encoding.n_vocab)]
 
 
+def decode_ids(blob: bytes, known: list[bytes]) -> bytes:
+    """Bytes of 32-bit little-endian ids."""
+    return b"".join(map(known.__getitem__, np.frombuffer(blob, "<i4").tolist()))
+
+
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """Adds `bytes`, the text's bytes, to rows with 32-bit little-endian `ids`."""
     shared = rows.sparkSession.sparkContext.broadcast(token_bytes(path))
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [
-                    b"".join(map(known.__getitem__, np.frombuffer(b, "<i4").tolist()))
-                    for b in part.column("ids").to_pylist()
-                ]
+                texts = [decode_ids(b, shared.value) for b in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(n) for n in names], pa.array(texts, pa.binary())], [*names, "bytes"]
                 )
@@ -135,20 +136,24 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
 
 def op3_word_shuffle_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), rank_path()), rank_path())
+    rows = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), rank_path())
+    shared = spark.sparkContext.broadcast(token_bytes(rank_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # ids are decoded and digested in one step, so that texts do not travel between two workers
         for batch in batches:
-            counts, digests, texts = [], [], []
-            for ids, raw in zip(batch.column("ids").to_pylist(), batch.column("bytes").to_pylist()):
-                numbers = np.frombuffer(ids, "<i4").tolist()
-                counts.append(len(numbers))
-                digests.append(hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest())
-                texts.append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                counts, digests, texts = [], [], []
+                for ids in part.column("ids").to_pylist():
+                    numbers = np.frombuffer(ids, "<i4").tolist()
+                    counts.append(len(numbers))
+                    digests.append(hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest())
+                    texts.append(hashlib.sha256(decode_ids(ids, shared.value)).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

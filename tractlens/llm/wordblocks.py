@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-BLOCK_CHARS = 6 << 20
+BLOCK_CHARS = 4 << 20
 TEXTS = -1
 """The bucket number of the rows that hold a block's texts."""
 
