@@ -47,7 +47,7 @@ def test_classifier_without_labels_or_texts(spark, stored, empty):
     docs = stored([row(1, None), row(2, ""), row(None, "a text"), row(2, "x " * 50_000)], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = gam.fitted(docs, labels)
-    assert {r.score for r in gam.scored(docs, model).collect()} == {pytest.approx(1.0, abs=1e-5)}
+    assert all(r.score > 0.9999 for r in gam.scored(docs, model).collect())
     assert gam.scored(empty, model).count() == 0
     labels = spark.createDataFrame([(2, 1, 0), (2, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert gam.scored(docs, gam.fitted(docs, labels)).count() == 4
@@ -233,7 +233,7 @@ def test_list_decoding_finds_the_best_directions():
 
 PAGES = {
     "<p>One<p>Two <b>bold</b><br>line": "One\n\nTwo bold\nline",
-    "<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul>": "- a\n- b\n3. x\n4. y",
+    "<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul>": "- a\n- b\n  3. x\n  4. y",
     "<table><tr><th>Name<th>N<tr><td>long name<td>1</table>": "Name      | N\nlong name | 1",
     "<div>a</div><div style='color:red; display: none'>b</div><span hidden>c</span>d": "a\nd",
     "<script>var t='</p>';</script><style>x</style><title>t</title>seen<!-- no -->": "seen",

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tractlens.llm import bpe, common, fertility, hilbert, mixing, packing
 
@@ -108,10 +109,9 @@ def test_bands_reject_an_outlier_and_keep_the_rest(spark, stored, empty):
     random = np.random.default_rng(3)
     words = ["the", "of", "river", "station", "morning", "paper", "because", "under", "market", "window"]
     texts = [" ".join(random.choice(words, 120)) + f" {k} end" for k in range(60)]
-    texts = [t for t in texts]
     strange = " ".join("ЖЩ" + "".join(map(chr, random.integers(0x4E00, 0x9000, 6))) for _ in range(120))
     docs = stored([(i, t, "en", "s", 0) for i, t in enumerate([*texts, strange])], SCHEMA)
-    rows = fertility.measured(docs, fertility.rank_path(), fertility.piece_path()).withColumn("band", docs.lang)
+    rows = fertility.measured(docs, fertility.rank_path(), fertility.piece_path()).withColumn("band", F.col("lang"))
     kept = {r.doc_id: r.kept for r in fertility.judged(rows, fertility.bands(rows)).collect()}
     passed = {r.doc_id for r in rows.collect() if not r.base_failed}
     assert not kept[60]
