@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tractlens.session import scratch_folder
 
-SLICE_ROWS = 500_000
+SLICE_ROWS = 200_000
 """Rows of one slice of an ordered table; the number of slices follows from the counted rows."""
 
 
