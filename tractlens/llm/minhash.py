@@ -260,6 +260,7 @@ def _cross_pairs(mixed: DataFrame, parts: int, forest: bool) -> DataFrame:
             "id",
             "component",
             "signature",
+            "bands",
         )
     )
 
@@ -270,11 +271,15 @@ def _cross_pairs(mixed: DataFrame, parts: int, forest: bool) -> DataFrame:
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        keys = group.column("bands").combine_chunks().values.to_numpy().reshape(len(ids), -1)
+        band = int(np.flatnonzero(keys[0] == group.column("bucket")[0].as_py())[0])
         places, strengths = [], []
         for i in left.tolist():
             others = right if low != high else right[ids[right] > ids[i]]
             others = others[component[others] != component[i]]
             if len(others):
+                # a pair counts in the first band that it shares, so it leaves once, not once a bucket
+                others = others[(keys[others] == keys[i]).argmax(axis=1) == band]
                 alike = estimated(marks[others], marks[i])
                 good = alike >= floor
                 places.append(np.stack([np.full(int(good.sum()), i), others[good]]))
@@ -311,7 +316,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         labelled = settled(buckets.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
         several = labelled.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
         mixed = labelled.join(several.where("_lo < _hi").select("bucket"), "bucket")
-        crossing = settled(_cross_pairs(mixed.select("bucket", "id", "component", "signature"), parts, forest))
+        # an id alone may name several sets; with the signature it names their bands
+        mixed = mixed.select("bucket", "id", "component", "signature").join(
+            classes.select("id", "signature", "bands").dropDuplicates(["id", "signature"]), ["id", "signature"]
+        )
+        crossing = settled(_cross_pairs(mixed, parts, forest))
         links = settled(links.union(_confirmed(crossing, sets, threshold)))
     final = components(links)
     of_class = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select(
