@@ -88,9 +88,19 @@ class UnitTable:
 
     def _reset(self) -> None:
         self.codes: dict[str, int] = {}
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, self.dtype)
+        self.lengths = np.zeros(1 << 10, np.int64)
+        self.starts = np.zeros(1 << 10, np.int64)
+        self.flat = np.zeros(1 << 12, self.dtype)
+        self._used = 0
+
+    @staticmethod
+    def _grown(array: np.ndarray, size: int) -> np.ndarray:
+        """The array, or a copy of at least twice its size."""
+        if size <= len(array):
+            return array
+        larger = np.zeros(max(size, 2 * len(array)), array.dtype)
+        larger[: len(array)] = array
+        return larger
 
     def look_up(self, strings: list[str]) -> np.ndarray:
         """Row numbers of the strings in `lengths` and `starts`, valid until the next call."""
@@ -101,14 +111,16 @@ class UnitTable:
         if missing:
             new = list(missing)
             found = self.encode(new)
-            first = len(self.codes)
-            self.codes.update(zip(new, range(first, first + len(new))))
+            first, last = len(self.codes), len(self.codes) + len(new)
+            self.codes.update(zip(new, range(first, last)))
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            begin = len(self.flat) + np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            flat = np.fromiter((i for ids in found for i in ids), self.dtype, int(lengths.sum()))
-            self.lengths = np.concatenate((self.lengths, lengths))
-            self.starts = np.concatenate((self.starts, begin))
-            self.flat = np.concatenate((self.flat, flat))
+            ends = self._used + np.cumsum(lengths)
+            self.lengths, self.starts = self._grown(self.lengths, last), self._grown(self.starts, last)
+            self.flat = self._grown(self.flat, int(ends[-1]))
+            self.lengths[first:last] = lengths
+            self.starts[first:last] = ends - lengths
+            self.flat[self._used : ends[-1]] = [i for ids in found for i in ids]
+            self._used = int(ends[-1])
         return np.fromiter(map(self.codes.__getitem__, strings), np.int64, len(strings))
 
     def gather(self, codes: np.ndarray) -> np.ndarray:
