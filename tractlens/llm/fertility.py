@@ -71,7 +71,7 @@ def _pieces(path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        spelled = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+        spelled = [int(model.is_byte(i)) for i in range(model.get_piece_size())]
         cache["pieces", path] = (model, spelled)
     return cache["pieces", path]
 
@@ -84,7 +84,7 @@ def _word_encoder(ranks: str, pieces: str):
     def encode(words: list[str]) -> list[list[int]]:
         found = []
         for word, ids in zip(words, model.encode(words, num_threads=1)):
-            found.append([len(ids), int(spelled[ids].sum()), len(word), *encoding.encode_ordinary(" " + word)])
+            found.append([len(ids), sum(map(spelled.__getitem__, ids)), len(word), *encoding.encode_ordinary(" " + word)])
         return found
 
     return encode
