@@ -104,3 +104,22 @@ def test_random_ties_match_the_full_simulation(spark, rows):
         share = ((order.population.sum() * 0.2 - before) / order.population).clip(0, 1)
         total += (order.population * share * (order.ordinal >= 3)).sum()
     assert got.reached[0] == pytest.approx(total / 4)
+
+
+def test_one_large_group_is_split(spark, monkeypatch):
+    monkeypatch.setattr(scale, "SLICE_ROWS", 50_000)
+    rows = spark.range(200_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 200_003).alias("v"))
+    out = scale.running_totals(rows, ["g"], [F.col("v").asc()], {"place": F.lit(1)})
+    placed = out.select(F.col("place"), F.col("v")).toPandas().sort_values("v")
+    assert (placed.place == np.arange(1, len(placed) + 1)).all()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tractlens.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    cluster = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(cluster)

@@ -27,7 +27,7 @@ DISCARD_STEPS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5)
 COVERAGE = 0.90
 BUDGETS = (0.05, 0.10, 0.20, 0.30)
 TIE_DRAWS = 200
-MAUP_BINS = ((1, 3), (4, 9), (10, 19), (20, 49), (50, 10_000))
+MAUP_BINS = ((1, 3), (4, 9), (10, 19), (20, 49), (50, None))
 
 
 # ---- isotonic grade map -------------------------------------------------------------------
@@ -239,11 +239,12 @@ def maup_curve(scores: DataFrame, truth: DataFrame, bins=MAUP_BINS, min_tracts:
     )
     bin_of = F.lit(None).cast("int")
     for i, (low, high) in enumerate(bins):
-        bin_of = F.when(F.col("tokens").between(low, high), F.lit(i)).otherwise(bin_of)
+        inside = F.col("tokens") >= low if high is None else F.col("tokens").between(low, high)
+        bin_of = F.when(inside, F.lit(i)).otherwise(bin_of)
     binned = table.withColumn("bin", bin_of).where(F.col("bin").isNotNull())
     rhos = spearman(binned, "score", "ordinal", ["bin", "municipality"], min_rows=min_tracts)
     lows = F.array(*[F.lit(b[0]) for b in bins])
-    highs = F.array(*[F.lit(b[1]) for b in bins])
+    highs = F.array(*[F.lit(b[1]).cast("int") for b in bins])  # the last bin is open
     every = scores.sparkSession.range(len(bins)).select(F.col("id").cast("int").alias("bin"))
     return (
         every.join(binned.groupBy("bin").agg(F.count("*").alias("tracts")), "bin", "left")

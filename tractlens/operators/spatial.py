@@ -193,7 +193,10 @@ def pixels_in_polygons(pixels: DataFrame, grids: DataFrame, polygons: DataFrame,
 
 
 def area_and_centroid(edges: DataFrame, keys: Sequence[str] = ("poly_id",)) -> DataFrame:
-    """Shoelace area and area centroid; several polygons of a key add up."""
+    """Shoelace area and area centroid; several polygons of a key add up.
+
+    The rings of a key must all run the same way round; rings of opposite orientation are holes.
+    """
     cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
     sums = edges.groupBy(*keys).agg(
         F.sum(cross).alias("a2"),

@@ -93,18 +93,21 @@ def zonal_mean(assigned: DataFrame, polygons: DataFrame, pixels: DataFrame, colu
     """Mean and pixel count per polygon; a polygon without a pixel centre reads its interior point.
 
     `assigned(poly_id, r, c, value)`; `polygons(poly_id, pr, pc)` carries the cell of an
-    interior point; `pixels(r, c, value)` is the layer itself.
+    interior point; `pixels(r, c, value)` is the layer itself. Where polygons and pixels both have
+    a `box`, the point is looked up in its own tile; the smallest value decides where tiles overlap.
     """
+    tile = ["box"] if "box" in polygons.columns and "box" in pixels.columns else []
     sums = (
         assigned.where(F.col("value").isNotNull())
         .groupBy("poly_id")
         .agg(F.sum("value").alias("_s"), F.count("*").alias("_k"))
     )
     base = polygons.join(sums, "poly_id", "left")
-    missing = base.where(F.col("_k").isNull()).select("poly_id", "pr", "pc")
+    missing = base.where(F.col("_k").isNull()).select(*tile, "poly_id", "pr", "pc")
     fallback = missing.join(
-        pixels.select(F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("value").alias("_point")), ["pr", "pc"]
-    ).groupBy("poly_id").agg(F.first("_point", ignorenulls=True).alias("_point"))
+        pixels.select(*tile, F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("value").alias("_point")),
+        [*tile, "pr", "pc"],
+    ).groupBy("poly_id").agg(F.min("_point").alias("_point"))
     return base.join(fallback, "poly_id", "left").select(
         "poly_id",
         F.coalesce(F.col("_s") / F.col("_k"), F.col("_point")).alias(column),

@@ -12,7 +12,7 @@ from tractlens.plans.data import Data, cte
 from tractlens.plans.ranks import _SEEDS, auc_sql, draws_sql, rho_sql
 from tractlens.plans.registry import query
 
-TIES = 21
+TIES = 200
 _BUD = "(SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]) AS budget)"
 
 
@@ -132,7 +132,7 @@ def _(d: Data):
     + """SELECT budget, aggregate, aggregate_then_map, map, census, (aggregate_then_map - aggregate) / (census - aggregate) AS gap_closed_aggregate_then_map,
  (map - aggregate) / (census - aggregate) AS gap_closed_map FROM c JOIN m USING (budget) JOIN b USING (budget) JOIN g USING (budget)""",
     "aggregate aggregate_then_map map census gap_closed_aggregate_then_map gap_closed_map",
-    5,
+    4,
 )
 def _(d: Data):
     return D.targeting_national(d.tract_scores(), tie_draws=TIES)
@@ -161,7 +161,7 @@ def _(d: Data):
 @query("e13_spread_knows_error")
 def _(d: Data):
     frame = _frame(d)
-    return D.spread_knows_error(D.predict_isotonic(D.fit_isotonic(frame), frame), 500)
+    return D.spread_knows_error(D.predict_isotonic(D.fit_isotonic(frame), frame), 2000)
 
 
 @query(
@@ -187,7 +187,7 @@ _SEL = dict(
     steady="""SELECT municipality FROM (SELECT municipality, discarded FROM kept GROUP BY 1, 2 HAVING count(*) >= 20 AND count(DISTINCT ordinal) > 1)
               GROUP BY 1 HAVING count(*) = 6""",
     rh=rho_sql("SELECT * FROM kept WHERE municipality IN (SELECT municipality FROM steady)", "score", "ordinal", "discarded, city, municipality"),
-    dr=draws_sql("SELECT city FROM rh", "city", 500),
+    dr=draws_sql("SELECT city FROM rh", "city", 2000),
     mm="""SELECT discarded, replicate, sum(s * times) / sum(c * times) AS mean FROM dr JOIN
           (SELECT discarded, city, sum(rho) AS s, count(*) AS c FROM rh GROUP BY 1, 2) USING (city) GROUP BY 1, 2""",
 )
@@ -202,7 +202,7 @@ _SEL = dict(
     "discarded rho_within ci_low ci_high",
 )
 def _(d: Data):
-    return D.selective_curve(_frame(d), resamples=500)
+    return D.selective_curve(_frame(d), resamples=2000)
 
 
 _CONF = dict(
@@ -275,8 +275,8 @@ def _(d: Data):
         pt="""SELECT city, municipality, cvegeo, avg(score) AS score, count(*) // (SELECT count(DISTINCT seed) FROM token_scores) AS tokens
               FROM token_scores GROUP BY 1, 2, 3""",
         tb="SELECT pt.*, ordinal, population FROM pt JOIN (SELECT cvegeo, ordinal, population FROM tracts) USING (cvegeo)",
-        bins="SELECT * FROM (VALUES (0, 1, 3), (1, 4, 9), (2, 10, 19), (3, 20, 49), (4, 50, 10000)) AS v(bin, tokens_low, tokens_high)",
-        ch="SELECT * FROM tb JOIN bins ON tokens BETWEEN tokens_low AND tokens_high",
+        bins="SELECT * FROM (VALUES (0, 1, 3), (1, 4, 9), (2, 10, 19), (3, 20, 49), (4, 50, NULL)) AS v(bin, tokens_low, tokens_high)",
+        ch="SELECT * FROM tb JOIN bins ON tokens >= tokens_low AND (tokens_high IS NULL OR tokens <= tokens_high)",
         rh=rho_sql("SELECT * FROM ch", "score", "ordinal", "bin, municipality", 10),
     )
     + """SELECT tokens_low, tokens_high, coalesce(k, 0) AS tracts, mp AS median_population, coalesce(m, 0) AS municipalities, sw AS spearman_within
@@ -302,7 +302,7 @@ def _excess(name: str, rule: str) -> str:
     return f"""SELECT '{name}' AS crossing, (SELECT avg(jump) FROM p WHERE {rule}) - (SELECT avg(jump) FROM p WHERE same_tract) AS excess,
  quantile_cont(delta, 0.025) AS ci_low, quantile_cont(delta, 0.975) AS ci_high FROM
  (SELECT replicate, sum(c * times) / sum(times) - sum(r * times) / sum(CASE WHEN r IS NOT NULL THEN times END) AS delta
-  FROM (SELECT city, avg(jump) AS c FROM p WHERE {rule} GROUP BY 1) JOIN ({draws_sql(f"SELECT city FROM p WHERE {rule}", "city", 500)}) USING (city)
+  FROM (SELECT city, avg(jump) AS c FROM p WHERE {rule} GROUP BY 1) JOIN ({draws_sql(f"SELECT city FROM p WHERE {rule}", "city", 2000)}) USING (city)
   LEFT JOIN (SELECT city, avg(jump) AS r FROM p WHERE same_tract GROUP BY 1) USING (city) GROUP BY 1)"""
 
 
@@ -316,7 +316,7 @@ def _excess(name: str, rule: str) -> str:
     4,
 )
 def _(d: Data):
-    return D.border_excess(rook_pairs(d.tokens(), ["city"]), 500)
+    return D.border_excess(rook_pairs(d.tokens(), ["city"]), 2000)
 
 
 # ---- comparisons --------------------------------------------------------------------------
@@ -353,7 +353,7 @@ def _(d: Data):
         **_within_sql("o", _TM),
         pr="""SELECT city, municipality, 'token' AS unit, b.token AS base, o.token AS other FROM bw b JOIN ow o USING (city, municipality)
               UNION ALL SELECT city, municipality, 'tract', b.tract, o.tract FROM bw b JOIN ow o USING (city, municipality)""",
-        dr=draws_sql("SELECT city FROM pr", "city", 1000),
+        dr=draws_sql("SELECT city FROM pr", "city", 2000),
         mm="""SELECT unit, replicate, sum(s * times) / sum(c * times) AS mean FROM dr JOIN
               (SELECT unit, city, sum(other - base) AS s, count(*) AS c FROM pr GROUP BY 1, 2) USING (city) GROUP BY 1, 2""",
     )
@@ -367,7 +367,7 @@ def _(d: Data):
     return C.paired_comparison(
         R.within(d.tokens().drop("ordinal"), d.tracts()),
         R.within(d.token_scores().drop("ordinal"), d.tracts()),
-        1000,
+        2000,
     )
 
 
@@ -378,7 +378,7 @@ _PROD = dict(
     lg="""SELECT city, 'ours' AS what, u.rho AS v FROM us u JOIN th USING (city, municipality) UNION ALL
           SELECT city, 'proxy', t.rho FROM us JOIN th t USING (city, municipality) UNION ALL
           SELECT city, 'difference', u.rho - t.rho FROM us u JOIN th t USING (city, municipality)""",
-    dr=draws_sql("SELECT city FROM lg", "city", 1000),
+    dr=draws_sql("SELECT city FROM lg", "city", 2000),
     mm="""SELECT what, replicate, sum(s * times) / sum(c * times) AS mean FROM dr JOIN
           (SELECT what, city, sum(v) AS s, count(*) AS c FROM lg GROUP BY 1, 2) USING (city) GROUP BY 1, 2""",
     en="SELECT what, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM mm GROUP BY 1",
@@ -401,7 +401,7 @@ _W = ", ".join(
 )
 def _(d: Data):
     t = d.tract_scores().where("population > 1").withColumn("proxy", -F.col("population"))
-    return C.product_comparison(t, "proxy", resamples=1000)
+    return C.product_comparison(t, "proxy", resamples=2000)
 
 
 @query(
@@ -410,7 +410,7 @@ def _(d: Data):
         "tract_scores",
         f="SELECT *, -population AS i FROM tract_scores",
         pb=rho_sql("SELECT * FROM f", "score", "i", "city, municipality", 20),
-        dr=draws_sql("SELECT city FROM pb", "city", 1000),
+        dr=draws_sql("SELECT city FROM pb", "city", 2000),
         mm="""SELECT replicate, sum(s * times) / sum(c * times) AS mean FROM dr JOIN
               (SELECT city, sum(rho) AS s, count(*) AS c FROM pb GROUP BY 1) USING (city) GROUP BY 1""",
         po=rho_sql("SELECT * FROM f", "score", "i"),
@@ -421,7 +421,7 @@ def _(d: Data):
     "spearman_within half_width spearman_pooled auroc_high",
 )
 def _(d: Data):
-    return C.index_replication(d.tract_scores(), "population", resamples=1000)
+    return C.index_replication(d.tract_scores(), "population", resamples=2000)
 
 
 _RUNS = """SELECT 'c' || CAST(l_partkey % 40 AS VARCHAR) AS config, l_tax + l_discount AS bag_mae, l_quantity / 50.0 AS within, l_extendedprice / 9973.0 AS auroc FROM lineitem"""

@@ -324,7 +324,7 @@ _SYS = """SELECT 'price' AS system, city, municipality, rho FROM (%s) UNION ALL
     cte(
         "tokens",
         s=_SYS,
-        dr=draws_sql("SELECT city FROM s", "city", 1000, 1),
+        dr=draws_sql("SELECT city FROM s", "city", 2000, 1),
         m="""SELECT system, replicate, sum(s * times) / sum(k * times) AS mean FROM dr JOIN
              (SELECT system, city, sum(rho) AS s, count(*) AS k FROM s GROUP BY 1, 2) USING (city) GROUP BY 1, 2""",
         e="SELECT system, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM m GROUP BY 1",
@@ -338,7 +338,7 @@ def _(d: Data):
     both = _city_rho(d).withColumn("system", F.lit("price")).unionByName(
         wealth.withColumn("system", F.lit("wealth"))
     )
-    return B.clustered_mean(both, "city", "rho", ["system"], resamples=1000, seed=1)
+    return B.clustered_mean(both, "city", "rho", ["system"], resamples=2000, seed=1)
 
 
 _RATIO = """SELECT city, municipality, avg(score) AS a, max(score) AS b FROM tokens GROUP BY 1, 2"""
@@ -349,7 +349,7 @@ _RATIO = """SELECT city, municipality, avg(score) AS a, max(score) AS b FROM tok
     cte(
         "tokens",
         v=_RATIO,
-        dr=draws_sql("SELECT city FROM v", "city", 1000),
+        dr=draws_sql("SELECT city FROM v", "city", 2000),
         m="""SELECT replicate, sum(a * times) / sum(b * times) AS r FROM dr JOIN
              (SELECT city, sum(a) AS a, sum(b) AS b FROM v GROUP BY 1) USING (city) GROUP BY 1""",
     )
@@ -359,7 +359,7 @@ _RATIO = """SELECT city, municipality, avg(score) AS a, max(score) AS b FROM tok
 )
 def _(d: Data):
     v = d.tokens().groupBy("city", "municipality").agg(F.avg("score").alias("a"), F.max("score").alias("b"))
-    return B.clustered_ratio(v, "city", "a", "b", resamples=1000)
+    return B.clustered_ratio(v, "city", "a", "b", resamples=2000)
 
 
 _E8 = dict(

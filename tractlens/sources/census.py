@@ -42,7 +42,8 @@ COLUMNS = (
     *INDICATORS,
     "grade",
 )
-KEY_PATTERN = "^[0-9A-Z]{13}$"
+# any key with a digit; the header row names its columns in words
+KEY_PATTERN = "[0-9]"
 
 
 def number(text: Column) -> Column:

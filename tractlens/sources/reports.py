@@ -87,6 +87,7 @@ def report_table(results: DataFrame, names: DataFrame, systems: Sequence[str]) -
     wide = (
         results.withColumn("_cell", cell).groupBy("split", "metric").pivot("system", list(systems)).agg(F.first("_cell"))
     )
-    return wide.join(F.broadcast(names), "metric").select(
-        "split", "label", *[F.coalesce(s, F.lit(DASH)).alias(s) for s in systems]
+    # a metric without a name is shown under its own
+    return wide.join(names, "metric", "left").select(
+        "split", F.coalesce("label", "metric").alias("label"), *[F.coalesce(s, F.lit(DASH)).alias(s) for s in systems]
     )

@@ -104,12 +104,15 @@ def staleness(stored: DataFrame, current: DataFrame, tolerance: float = 1e-6) ->
     moved = F.lit(False)
     for c in ("xmin", "ymin", "xmax", "ymax"):
         moved = moved | (F.abs(F.col(c) - F.col(f"_{c}")) > tolerance)
+    # a comparison with a null is neither true nor false, so what is missing is named, not called fresh
     reason = (
         F.when(F.col("_xmin").isNull(), "absent")
-        .when(moved, "covers another box")
-        .when(F.array_sort("bands") != F.array_sort("_bands"), "other bands")
+        .when(F.coalesce(moved, F.lit(True)), "covers another box")
+        .when(~F.array_sort("bands").eqNullSafe(F.array_sort("_bands")), "other bands")
+        .when(F.col("_token_y").isNull() | F.col("_token_x").isNull(), "no tokens")
         .when((F.col("_token_y") + 16 > F.col("h")) | (F.col("_token_x") + 16 > F.col("w")), "tokens beyond raster")
-        .when(F.col("_vector_rows") != F.col("_instance_rows"), "rows differ")
+        .when(F.col("_vector_rows").isNull(), "no vectors")
+        .when(~F.col("_vector_rows").eqNullSafe(F.col("_instance_rows")), "rows differ")
         .otherwise("fresh")
     )
     return joined.select("box", reason.alias("state"))
