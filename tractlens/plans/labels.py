@@ -509,3 +509,12 @@ def _(d: Data):
         row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query(
+    "f11_shards",
+    cte("cities")
+    + "SELECT city, CAST((row_number() OVER (ORDER BY city) - 1) % 3 AS INTEGER) AS shard FROM cities",
+)
+def _(d: Data):
+    return S.shards(d.cities(), "city", 3)
