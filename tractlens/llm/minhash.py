@@ -41,6 +41,8 @@ HASHES = 128
 BAND_ROWS = 4
 BITS = 4
 BLOCK = 512
+PAIRS = 100_000
+"""Pairs that a task compares in one step."""
 MARGIN = 5.0
 
 _RANDOM = np.random.default_rng(20240)
@@ -245,56 +247,86 @@ def _cross_pairs(mixed: DataFrame, parts: int, forest: bool) -> DataFrame:
     sees two blocks at a time. With `forest` a block gives only the most alike pairs that would
     join all its components.
     """
-    floor = lowest_estimate()
+    order = ["bucket", "low", "high", "own", "id"]
     sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = (
         mixed.join(sizes, "bucket")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "bucket",
-            F.least("own", "other").alias("low"),
-            F.greatest("own", "other").alias("high"),
-            "own",
-            "id",
-            "component",
-            "signature",
-            "bands",
-        )
+        .withColumn("low", F.least("own", "other"))
+        .withColumn("high", F.greatest("own", "other"))
+        .select(*order, "component", "signature", "bands")
     )
 
-    def run(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        component = group.column("component").to_numpy()
-        own = group.column("own").to_numpy()
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        keys = group.column("bands").combine_chunks().values.to_numpy().reshape(len(ids), -1)
-        band = int(np.flatnonzero(keys[0] == group.column("bucket")[0].as_py())[0])
-        places, strengths = [], []
-        for i in left.tolist():
-            others = right if low != high else right[ids[right] > ids[i]]
-            others = others[component[others] != component[i]]
-            if len(others):
-                # a pair counts in the first band that it shares, so it leaves once, not once a bucket
-                others = others[(keys[others] == keys[i]).argmax(axis=1) == band]
-                alike = estimated(marks[others], marks[i])
-                good = alike >= floor
-                places.append(np.stack([np.full(int(good.sum()), i), others[good]]))
-                strengths.append(alike[good])
-        a, b = np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.int64)
-        if forest and len(a):
-            kept = _forest(component[a], component[b], np.concatenate(strengths))
-            a, b = a[kept], b[kept]
-        kind = group.schema.field("id").type
-        ends = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-        return pa.table({"a": pa.array(ends[0], kind), "b": pa.array(ends[1], kind)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            starts = _starts(rows, order[:3])
+            # the last block pair may go on in the next batch
+            if len(starts) > 1:
+                yield _block_pairs(rows.slice(0, starts[-1]), starts[:-1], forest)
+            rest = rows.slice(starts[-1])
+        if rest is not None:
+            yield _block_pairs(rest, np.zeros(1, np.int64), forest)
 
     kind = mixed.schema["id"].dataType.simpleString()
-    found = dealt.repartition(parts, "bucket", "low", "high").groupBy("bucket", "low", "high")
-    return found.applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    sorted_blocks = dealt.repartition(parts, *order[:3]).sortWithinPartitions(*order)
+    return sorted_blocks.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Places at which a new key begins in sorted rows."""
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for key in keys:
+        values = rows.column(key).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _block_pairs(rows: pa.Table, starts: np.ndarray, forest: bool) -> pa.RecordBatch:
+    """Promising pairs (a, b) of the block pairs that begin at `starts`; rows are sorted by block."""
+    count = rows.num_rows
+    ids, component, own, low, high, bucket = (
+        rows.column(c).to_numpy() for c in ("id", "component", "own", "low", "high", "bucket")
+    )
+    marks = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(count, -1)
+    keys = np.concatenate([c.flatten().to_numpy() for c in rows.column("bands").chunks]).reshape(count, -1)
+    band = (keys[starts] == bucket[starts, None]).argmax(axis=1)
+    ends = np.append(starts[1:], count)
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    # a row meets the rows behind it in its block, or those of the other block
+    other = starts + np.add.reduceat((own == low).astype(np.int64), starts)
+    first = np.where(low == high, np.arange(count) + 1, other[group])
+    partners = np.where(own == low, ends[group] - first, 0)
+    total = np.concatenate(([0], np.cumsum(partners)))
+    floor, found, at = lowest_estimate(), [], 0
+    while at < count:
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+        left = np.repeat(np.arange(at, stop), partners[at:stop])
+        right = np.repeat(first[at:stop] - total[at:stop], partners[at:stop]) + np.arange(total[at], total[stop])
+        apart = component[left] != component[right]
+        left, right = left[apart], right[apart]
+        # a pair counts in the first band that it shares, so it leaves once, not once a bucket
+        leads = (keys[left] == keys[right]).argmax(axis=1) == band[group[left]]
+        left, right = left[leads], right[leads]
+        alike = estimated(marks[left], marks[right])
+        good = alike >= floor
+        found.append((left[good], right[good], alike[good]))
+        at = stop
+    a, b, strength = (np.concatenate(x) for x in zip(*found))
+    if forest and len(a):
+        names, number = np.unique(component, return_inverse=True)
+        node = group * len(names) + number
+        kept = _forest(node[a], node[b], strength)
+        a, b = a[kept], b[kept]
+    kind = rows.schema.field("id").type
+    ends = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+    return pa.RecordBatch.from_arrays([pa.array(e, kind) for e in ends], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
