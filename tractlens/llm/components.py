@@ -13,26 +13,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each hangs neighbours on the smallest node of a
     neighbourhood, so path lengths shrink geometrically. A step writes its edges to the shared
-    folder, which cuts the lineage; the loop ends when a step changes nothing. Minima are
-    aggregated before they are joined, so a node with many neighbours is no single task's work.
+    folder, which cuts the lineage; the loop ends when every node hangs on one root, which is then the
+    smallest of its component. Minima are aggregated before they are joined, so a node with many
+    neighbours is no single task's work.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     current = settled(pairs)
-    before = None
-    while True:
-        starred = _large_star(current)
-        current = settled(_small_star(starred))
-        mark = current.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        if mark == before:
-            break
-        before = mark
+    while not _is_star_forest(current):
+        current = settled(_small_star(_large_star(current)))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def _is_star_forest(pairs: DataFrame) -> bool:
+    """Whether every node hangs on one node only, and on none that hangs itself."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(
+        pairs.select("v", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.agg(F.count_if((F.col("hangs") > 1) | (F.col("hangs") + F.col("holds") > 1))).first()[0] == 0
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Hangs every larger neighbour of a node on the smallest of its neighbourhood."""
     both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
