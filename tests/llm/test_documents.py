@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -154,6 +155,36 @@ def test_minhash_equals_brute_force(stored, monkeypatch, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_block_pairs_equal_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS", 3)
+    random = np.random.default_rng(3)
+    rows = []
+    for bucket, low, high in ((1, 0, 0), (1, 0, 1), (2, 0, 0), (2, 1, 1), (3, 0, 2)):
+        for _ in range(9):
+            bands = [bucket, *random.integers(5, 8, 3).tolist()]
+            random.shuffle(bands)
+            bands = bands if bands[0] == bucket else [bands[bands.index(bucket)], *[b for b in bands if b != bucket]]
+            bands = (bands + [9, 9, 9])[:4]
+            mark = bytes(random.integers(0, 2, 64, np.uint8))
+            rows.append((bucket, low, high, int(random.choice([low, high])), int(random.integers(1 << 40)), int(random.integers(4)), mark, bands))
+    rows.sort(key=lambda r: r[:5])
+    names = ["bucket", "low", "high", "own", "id", "component", "signature", "bands"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows)))))
+    starts = minhash._starts(table, names[:3])
+    assert len(starts) == 5
+    got = minhash._block_pairs(table, starts, False).to_pylist()
+    want = Counter()
+    for x in rows:
+        for y in rows:
+            meet = x[:3] == y[:3] and (x[4] < y[4] if x[1] == x[2] else x[3] < y[3])
+            marks = [np.frombuffer(r[6], np.uint8) for r in (x, y)]
+            shared = [k for k in range(4) if x[7][k] == y[7][k]] or [0]
+            leads = shared[0] == x[7].index(x[0])
+            if meet and x[5] != y[5] and leads and minhash.estimated(*marks) >= minhash.lowest_estimate():
+                want[min(x[4], y[4]), max(x[4], y[4])] += 1
+    assert Counter((r["a"], r["b"]) for r in got) == want and want
+
+
 def test_estimates_are_close_and_corrected():
     random = np.random.default_rng(2)
     shared = random.integers(0, 1 << 62, 3000).astype(np.uint64)
