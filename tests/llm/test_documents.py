@@ -170,9 +170,10 @@ def test_block_pairs_equal_a_plain_loop(monkeypatch):
     rows.sort(key=lambda r: r[:5])
     names = ["bucket", "low", "high", "own", "id", "component", "signature", "bands"]
     table = pa.table(dict(zip(names, map(list, zip(*rows)))))
+    table = table.append_column("small", pa.nulls(len(rows), pa.binary()))
     starts = minhash._starts(table, names[:3])
     assert len(starts) == 5
-    got = minhash._block_pairs(table, starts, False).to_pylist()
+    got = minhash._block_pairs(table, starts, False, 75).to_pylist()
     want = Counter()
     for x in rows:
         for y in rows:
@@ -180,11 +181,34 @@ def test_block_pairs_equal_a_plain_loop(monkeypatch):
             marks = [np.frombuffer(r[6], np.uint8) for r in (x, y)]
             shared = [k for k in range(4) if x[7][k] == y[7][k]] or [0]
             leads = shared[0] == x[7].index(x[0])
-            if meet and x[5] != y[5] and leads and minhash.estimated(*marks) >= minhash.lowest_estimate():
+            if meet and x[5] != y[5] and leads and minhash.estimated(*marks) >= minhash.lowest_estimate(0.75):
                 want[min(x[4], y[4]), max(x[4], y[4])] += 1
     assert Counter((r["a"], r["b"]) for r in got) == want and want
 
 
+def test_small_sets_turn_down_no_pair_at_the_threshold(monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 60)
+    random = np.random.default_rng(5)
+    base = random.integers(0, 1 << 62, 50).astype(np.uint64)
+    # the first ten agree in their low bits, so several members look alike
+    base[:10] = (base[:10] & ~np.uint64(0xFFFF)) | np.uint64(7)
+    sets = []
+    for _ in range(60):
+        own = base[random.random(50) < random.choice([0.6, 0.9, 1.0])]
+        new = random.integers(0, 1 << 62, int(random.integers(0, 16))).astype(np.uint64)
+        sets.append(np.unique(np.concatenate((own, new))))
+    small = [minhash.small_set(s) for s in sets]
+    assert any(x is None for x in small) and any(small)
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    got = minhash.may_reach(small, left, right, 75)
+    exact = np.array([100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b])) for a, b in zip(left, right)])
+    known = np.array([small[a] is not None and small[b] is not None for a, b in zip(left, right)])
+    assert got[exact].all() and got[~known].all()
+    # nearly nothing else passes
+    assert (got & known & ~exact).sum() < 0.1 * (known & ~exact).sum()
+    assert minhash.may_reach(small, left[:0], right[:0], 75).size == 0
+
+
 def test_estimates_are_close_and_corrected():
     random = np.random.default_rng(2)
     shared = random.integers(0, 1 << 62, 3000).astype(np.uint64)

@@ -11,7 +11,9 @@ Nothing emits all pairs of a group:
 * documents with the same set are one class, which its smallest id stands for;
 * in a first round every class of a bucket is compared with the smallest class of the bucket only;
 * later rounds look only at buckets that still hold several components and compare only pairs from
-  different components, block against block, by counting signature bits inside the task. The second
+  different components, block against block, by counting signature bits inside the task; sets of
+  at most 256 shingles travel along in 16 bits each and are counted there too, so documents that
+  only share a frequent passage leave no pair. The second
   round sends the most alike pairs that would join a block's components to the exact test, the third
   round every pair that is left. No bucket is capped.
 
@@ -44,6 +46,8 @@ BLOCK = 512
 PAIRS = 100_000
 """Pairs that a task compares in one step."""
 MARGIN = 5.0
+SMALL = 256
+"""Shingles of a set that travels whole to the block comparison, in 16 bits each."""
 
 _RANDOM = np.random.default_rng(20240)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -107,6 +111,45 @@ def signature(lowest: np.ndarray) -> bytes:
     return (low[0::2] << 4 | low[1::2]).tobytes()
 
 
+def small_set(shingles: np.ndarray) -> bytes | None:
+    """The low 16 bits of every shingle, sorted, of a set of at most SMALL; None for a larger one."""
+    if len(shingles) > SMALL:
+        return None
+    return np.sort((shingles & np.uint64(0xFFFF)).astype("<u2")).tobytes()
+
+
+def may_reach(small: list[bytes | None], left: np.ndarray, right: np.ndarray, threshold: int) -> np.ndarray:
+    """Which pairs of rows can have sets of the threshold; true wherever a set is not small.
+
+    Sets are compared as multisets of short values, which never have fewer members in common than
+    the sets themselves, so no pair at the threshold is turned down.
+    """
+    reach = np.ones(len(left), bool)
+    sizes = np.array([-1 if x is None else len(x) // 2 for x in small], np.int64)
+    both = np.flatnonzero((sizes[left] >= 0) & (sizes[right] >= 0))
+    if not len(both):
+        return reach
+    used, place = np.unique(np.concatenate([left[both], right[both]]), return_inverse=True)
+    width = int(sizes[used].max())
+    # what pads a row on the left differs from what pads one on the right
+    rows = np.tile(np.arange(1 << 28, (1 << 28) + width, dtype=np.int32), (len(used), 1))
+    for k, row in enumerate(used):
+        values = np.frombuffer(small[row], "<u2").astype(np.int32)
+        # the second of equal values counts as another value
+        again = np.arange(len(values)) - np.searchsorted(values, values)
+        rows[k, : len(values)] = values | (again.astype(np.int32) << 16)
+    a, b = place[: len(both)], place[len(both) :]
+    for at in range(0, len(both), 1000):
+        part = slice(at, at + 1000)
+        other = rows[b[part]]
+        met = np.concatenate([rows[a[part]], other + (other >= 1 << 28) * np.int32(1 << 28)], axis=1)
+        met.sort(axis=1)
+        shared = (met[:, 1:] == met[:, :-1]).sum(axis=1)
+        union = sizes[left[both[part]]] + sizes[right[both[part]]] - shared
+        reach[both[part]] = 100 * shared >= threshold * union
+    return reach
+
+
 def band_keys(lowest: np.ndarray) -> np.ndarray:
     rows = lowest.reshape(-1, BAND_ROWS)
     key = np.arange(len(rows), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -123,7 +166,7 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal / HASHES - chance) / (1 - chance)
 
 
-def lowest_estimate(threshold: float = THRESHOLD / 100) -> float:
+def lowest_estimate(threshold: float) -> float:
     """What an estimate at the threshold undercuts by MARGIN deviations."""
     chance = 2.0**-BITS
     agree = chance + (1 - chance) * threshold
@@ -131,7 +174,7 @@ def lowest_estimate(threshold: float = THRESHOLD / 100) -> float:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_key (a digest of the whole set), signature and band keys of every row."""
+    """doc_id, n, set_key (a digest of the whole set), signature, band keys and small set of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -148,13 +191,14 @@ def signed(docs: DataFrame) -> DataFrame:
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([None if m is None else signature(m) for m in lowest], pa.binary()),
                         pa.array([[] if m is None else band_keys(m) for m in lowest], pa.list_(pa.int64())),
+                        pa.array([small_set(s) for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n", "set_key", "signature", "bands"],
+                    ["doc_id", "n", "set_key", "signature", "bands", "small"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n long, set_key binary, signature binary, bands array<long>"
+        run, f"doc_id {id_type}, n long, set_key binary, signature binary, bands array<long>, small binary"
     )
 
 
@@ -192,17 +236,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def _star_pairs(buckets: DataFrame) -> DataFrame:
+def _star_pairs(buckets: DataFrame, threshold: int) -> DataFrame:
     """Every member of a bucket beside the smallest one, where the estimate allows a link."""
     first = buckets.groupBy("bucket").agg(F.min(F.struct("id", "signature")).alias("first"), F.count("*").alias("_n"))
     first = first.where("_n > 1").select("bucket", "first")
     met = buckets.join(first, "bucket").where(F.col("id") > F.col("first.id"))
     pairs = met.select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.col("first.signature").alias("sa"), F.col("signature").alias("sb"))
-    return _promising(pairs.dropDuplicates(["a", "b"]))
+    return _promising(pairs.dropDuplicates(["a", "b"]), threshold)
 
 
-def _promising(pairs: DataFrame) -> DataFrame:
-    floor = lowest_estimate()
+def _promising(pairs: DataFrame, threshold: int) -> DataFrame:
+    floor = lowest_estimate(threshold / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +284,7 @@ def _forest(a: np.ndarray, b: np.ndarray, strength: np.ndarray) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
-def _cross_pairs(mixed: DataFrame, parts: int, forest: bool) -> DataFrame:
+def _cross_pairs(mixed: DataFrame, parts: int, forest: bool, threshold: int) -> DataFrame:
     """Promising pairs of different components inside a bucket, block against block.
 
     A bucket of m members has ceil(m / BLOCK) blocks; a member travels once per block, and a task
@@ -256,7 +300,7 @@ def _cross_pairs(mixed: DataFrame, parts: int, forest: bool) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("own", "other"))
         .withColumn("high", F.greatest("own", "other"))
-        .select(*order, "component", "signature", "bands")
+        .select(*order, "component", "signature", "bands", "small")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +312,10 @@ def _cross_pairs(mixed: DataFrame, parts: int, forest: bool) -> DataFrame:
             starts = _starts(rows, order[:3])
             # the last block pair may go on in the next batch
             if len(starts) > 1:
-                yield _block_pairs(rows.slice(0, starts[-1]), starts[:-1], forest)
+                yield _block_pairs(rows.slice(0, starts[-1]), starts[:-1], forest, threshold)
             rest = rows.slice(starts[-1])
         if rest is not None:
-            yield _block_pairs(rest, np.zeros(1, np.int64), forest)
+            yield _block_pairs(rest, np.zeros(1, np.int64), forest, threshold)
 
     kind = mixed.schema["id"].dataType.simpleString()
     sorted_blocks = dealt.repartition(parts, *order[:3]).sortWithinPartitions(*order)
@@ -288,7 +332,7 @@ def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _block_pairs(rows: pa.Table, starts: np.ndarray, forest: bool) -> pa.RecordBatch:
+def _block_pairs(rows: pa.Table, starts: np.ndarray, forest: bool, threshold: int) -> pa.RecordBatch:
     """Promising pairs (a, b) of the block pairs that begin at `starts`; rows are sorted by block."""
     count = rows.num_rows
     ids, component, own, low, high, bucket = (
@@ -304,7 +348,8 @@ def _block_pairs(rows: pa.Table, starts: np.ndarray, forest: bool) -> pa.RecordB
     first = np.where(low == high, np.arange(count) + 1, other[group])
     partners = np.where(own == low, ends[group] - first, 0)
     total = np.concatenate(([0], np.cumsum(partners)))
-    floor, found, at = lowest_estimate(), [], 0
+    small = rows.column("small").to_pylist()
+    floor, found, at = lowest_estimate(threshold / 100), [], 0
     while at < count:
         stop = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
         left = np.repeat(np.arange(at, stop), partners[at:stop])
@@ -315,7 +360,8 @@ def _block_pairs(rows: pa.Table, starts: np.ndarray, forest: bool) -> pa.RecordB
         leads = (keys[left] == keys[right]).argmax(axis=1) == band[group[left]]
         left, right = left[leads], right[leads]
         alike = estimated(marks[left], marks[right])
-        good = alike >= floor
+        good = np.flatnonzero(alike >= floor)
+        good = good[may_reach(small, left[good], right[good], threshold)]
         found.append((left[good], right[good], alike[good]))
         at = stop
     a, b, strength = (np.concatenate(x) for x in zip(*found))
@@ -335,13 +381,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     named = rows.where("doc_id IS NOT NULL AND n > 0")
     # documents with equal sets have equal signatures, so any of them serves
     classes = settled(
-        named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+        named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("small").alias("small"))
     )
     spread = classes.select("id", "signature", F.explode("bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     buckets = settled(spread.join(crowded, "bucket").select("bucket", "id", "signature"))
     sets = settled(_sets(docs, buckets.select(F.col("id").alias("doc_id")).distinct()))
-    links = settled(_confirmed(settled(_star_pairs(buckets)), sets, threshold))
+    links = settled(_confirmed(settled(_star_pairs(buckets, threshold)), sets, threshold))
     parts = partitions(docs.sparkSession)
     for forest in (True, False):
         groups = components(links).withColumnRenamed("node", "id")
@@ -350,9 +396,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         mixed = labelled.join(several.where("_lo < _hi").select("bucket"), "bucket")
         # an id alone may name several sets; with the signature it names their bands
         mixed = mixed.select("bucket", "id", "component", "signature").join(
-            classes.select("id", "signature", "bands").dropDuplicates(["id", "signature"]), ["id", "signature"]
+            classes.select("id", "signature", "bands", "small").dropDuplicates(["id", "signature"]), ["id", "signature"]
         )
-        crossing = settled(_cross_pairs(mixed, parts, forest))
+        crossing = settled(_cross_pairs(mixed, parts, forest, threshold))
         links = settled(links.union(_confirmed(crossing, sets, threshold)))
     final = components(links)
     of_class = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select(
