@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tractlens.functions.hashing import hash_number
 from tractlens.operators.labels import HIGH, inverse_frequency
-from tractlens.operators.ranks import auroc, ordinal_metrics, spearman
+from tractlens.operators.ranks import MIN_TOKENS, auroc, ordinal_metrics, spearman
 from tractlens.operators.resample import metric_bootstrap
 from tractlens.operators.splits import cities_of, standardise_by_group
 from tractlens.operators.tokens import window_tokens
@@ -235,7 +235,7 @@ def score_tokens(tokens: DataFrame, heads: dict[str, Head], vec: str = "vec") ->
 
 def map_quality(scored: DataFrame, group: str = "bag") -> DataFrame:
     """Pooled and within-bag quality of scored instances with known ordinal."""
-    inside = spearman(scored, "score", "ordinal", [group], min_rows=5)
+    inside = spearman(scored, "score", "ordinal", [group], min_rows=MIN_TOKENS)
     return scored.agg(F.count("*").alias("instances")).select(
         auroc(scored, "score", F.col("ordinal") >= HIGH).scalar().alias("auroc_high"),
         spearman(scored, "score", "ordinal").select("rho").scalar().alias("pooled"),
