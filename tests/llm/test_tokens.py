@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from tractlens.llm import bpe, common, fertility, hilbert, mixing, packing
+from tractlens.llm import bpe, common, fertility, hilbert, mixing, packing, wordblocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -130,8 +131,6 @@ def test_encoding_equals_the_library_and_decodes(docs, empty):
 
 
 def test_encoding_of_many_blocks(stored, monkeypatch):
-    from tractlens.llm import wordblocks
-
     monkeypatch.setattr(wordblocks, "BLOCK_CHARS", 50)
     docs = stored([(i, f"text number {i} with  words " * (i % 5), "en", "s", 0) for i in range(40)], SCHEMA)
     encoding = fertility.rank_encoding(fertility.rank_path())
@@ -206,3 +205,38 @@ def test_a_learned_text_is_likelier_than_a_strange_one(stored):
     docs = stored(rows, SCHEMA).withColumn("train", (~common.held_out(2, 7)).cast("long"))
     score = {r.doc_id: r.score for r in mixing.scored(docs).collect()}
     assert score[odd] > score[more]
+
+
+def test_scores_follow_the_order_of_words_and_bits_per_byte(stored):
+    words = "river runs under old bridge town where boats wait until morning comes".split()
+    odd = [i for i in range(100, 300) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(i, " ".join(words * 5), "en", "s", 0) for i in range(40)]
+    rows += [(odd[0], " ".join(words), "en", "s", 0), (odd[1], " ".join(words[::-1]), "en", "s", 0)]
+    docs = stored(rows, SCHEMA).withColumn("train", (~common.held_out(2, 7)).cast("long"))
+    got = {r.doc_id: r for r in mixing.scored(docs).collect()}
+    right, wrong = (got[i] for i in odd)
+    assert right.n_tokens == wrong.n_tokens and abs(right.base_score - wrong.base_score) < 1e-9
+    assert right.score > wrong.score + 5
+    for r in (right, wrong):
+        assert r.n_bytes == len(" ".join(words)) + 2
+        assert abs(r.bits_per_byte + r.score * np.log2(10) / r.n_bytes) < 1e-9
+
+
+def test_sequence_counts_match_a_plain_version(stored, monkeypatch):
+    monkeypatch.setattr(wordblocks, "BLOCK_CHARS", 40)
+    texts = ["a b a b c", "a b", "", "c c c a b a", "b a b c c a"]
+    docs = stored([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).withColumn("train", (F.col("doc_id") != 3).cast("long"))
+    want = Counter()
+    for i, t in enumerate(texts):
+        words = mixing.tokens_of(t)
+        two, three = mixing.sequence_keys(mixing.word_hashes(words), np.array([len(words)]))
+        for key in [*two, *three[1:]]:
+            want[int(key)] += i != 3
+    rows = mixing.sequences(docs, 3, "train").toArrow()
+    got = {}
+    for bucket in set(rows.column("bucket").to_pylist()):
+        group = rows.filter(pc.equal(rows.column("bucket"), bucket))
+        for keys, counts in zip(group.column("keys").to_pylist(), mixing.summed_sequences(group).column("counts").to_pylist()):
+            for key, count in zip(np.cumsum(mixing.unpack_numbers(keys), dtype=np.uint64).tolist(), mixing.unpack_numbers(counts).tolist()):
+                assert got.setdefault(key, count) == count
+    assert got == dict(want)

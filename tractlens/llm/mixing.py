@@ -5,11 +5,15 @@ closed by a space (the end token is the bare space), and every bit of every byte
 predictors hold bit counts of the training tokens: the bytes so far of the current symbol after the
 last 0 to 4 bytes of the token (hashed contexts), and after the whole beginning of the token. Their
 log-odds are mixed by weights that a gate picks from the bit's place and the evidence of the longest
-context, trained online, batch after batch; an adaptive probability map refines the result. The sum
-of log10 probabilities of all bits is the score of a text; minus that times log2(10), over its bytes,
-is its bits per byte.
+context, trained online, batch after batch; an adaptive probability map refines the result. The
+product over a token's bits is its spelling probability.
 
-Contexts stay inside a token, so equal tokens cost the same and every distinct token is computed once:
+Two word contexts stand above the spelling: the previous token, and the previous two. After a
+context h seen c(h) times, of which c(h, w) times with w next, a token has probability
+(c(h, w) + a p(w)) / (c(h) + a), where p is that of the next shorter context and at last the
+spelling; so the probabilities of all tokens after any context still add up to one. A text begins
+after an end token. The sum of log10 probabilities of the tokens is the score of a text; minus that
+times log2(10), over the bytes spelled (tokens with their closing spaces), is its bits per byte.
 
 1. Blocks of documents send their distinct tokens with training counts (`wordblocks`), dealt by the
    first four bytes, so all tokens with a common beginning of four bytes or more meet.
@@ -18,7 +22,13 @@ Contexts stay inside a token, so equal tokens cost the same and every distinct t
 3. Each task trains the mixer over its tokens from the same start; weights are averaged by evidence.
    While training, a token's own occurrence is taken out of all counts it meets, so a context seen
    once teaches nothing about itself.
-4. Tokens are scored and travel back to their blocks, which add them up by document.
+4. Tokens are spelled once each and the answers travel back to their blocks.
+5. Blocks send their distinct pairs and triples of neighbouring tokens, as 48 bits of a hash with the
+   block's training count, dealt by that hash: a frequent pair is one entry per block and a frequent
+   context is spread over all buckets. c(h) needs no rows of its own: it is the count of the shorter
+   sequence. The sums travel back and every text is put together in its block.
+6. A text is scored for every pair of `CONCENTRATIONS`; the pair under which the training tokens, each
+   taken out of its own counts, are likeliest is used for all texts.
 
 Beginnings longer than 32 bytes predict by the other five predictors only. Null texts count as empty
 (one end token). Rows with a null id train and are scored; repeated rows count as often as they stand
@@ -27,16 +37,18 @@ there. Without training tokens every bit has probability one half. An empty tabl
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractlens.llm.common import held_out, partitions, settled, table
-from tractlens.llm.wordblocks import TEXTS, blocks, pack_numbers, pack_strings, unpack_numbers, unpack_strings
+from tractlens.llm.wordblocks import TEXTS, blocks, gathered_rows, pack_numbers, pack_strings, unpack_numbers, unpack_strings
 
 HEAD = 4
 DEEPEST = 32
@@ -50,6 +62,8 @@ REACH = 8.0
 PRIOR = 0.4
 RATE = 0.15
 SLICES = 64
+CONCENTRATIONS = (1.0, 8.0, 64.0, 512.0)
+KEY_BITS = 48
 _CHUNK_BYTES = 16_000
 _INPUTS = ORDERS + 2
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -314,22 +328,140 @@ def trained(merged: DataFrame, tables: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return weights.astype(np.float32), np.log(share / (1 - share)).astype(np.float32)
 
 
-def spelled_log10(spelled: Spelled, tables: np.ndarray, weights: np.ndarray, refinement: np.ndarray) -> np.ndarray:
+def spelled_log10(
+    spelled: Spelled, tables: np.ndarray, weights: np.ndarray, refinement: np.ndarray, without_own: bool = False
+) -> np.ndarray:
     """log10 probability of every token, in the order the tokens were given in."""
-    result = np.zeros(len(spelled.words))
+    return _spelled_log10s(spelled, tables, weights, refinement, [without_own])[0]
+
+
+def _spelled_log10s(spelled: Spelled, tables: np.ndarray, weights: np.ndarray, refinement: np.ndarray, own: list[bool]) -> np.ndarray:
+    """One row for each of `own`: whether a token's own occurrence is taken out."""
+    result = np.zeros((len(own), len(spelled.words)))
     for chosen in spelled.chunks():
         events = spelled.bits(chosen)
-        x, gate = _inputs(events, tables, without_own=False)
-        logit = refined(_mixed(x, gate, weights), gate, refinement)
-        # log of the probability of the bit that is there
-        cost = np.logaddexp(0, np.where(events["bit"] > 0, -logit, logit)).sum(axis=1, dtype=np.float64)
         stops = np.cumsum(events["lengths"])
-        result[spelled.order[chosen]] = -np.add.reduceat(cost, stops - events["lengths"]) / np.log(10)
+        for k, without in enumerate(own):
+            x, gate = _inputs(events, tables, without_own=without)
+            logit = refined(_mixed(x, gate, weights), gate, refinement)
+            # log of the probability of the bit that is there
+            cost = np.logaddexp(0, np.where(events["bit"] > 0, -logit, logit)).sum(axis=1, dtype=np.float64)
+            result[k, spelled.order[chosen]] = -np.add.reduceat(cost, stops - events["lengths"]) / np.log(10)
     return result
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), "<u8")
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def sequence_keys(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (previous, token) and of (the two previous, token) at every place of the texts.
+
+    The first token of a text has no triple; its place repeats the key of its pair.
+    """
+    first = np.zeros(len(hashes), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    before = np.where(first, word_hashes([b""])[0], np.roll(hashes, 1))
+    two = _stirred(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
+    three = _stirred(np.roll(two, 1) * np.uint64(0xD6E8FEB86659FD93) + hashes)
+    shift = np.uint64(64 - KEY_BITS)
+    return two >> shift, np.where(first, two, three) >> shift
+
+
+def sequences(docs: DataFrame, buckets: int, train: str) -> DataFrame:
+    """Distinct pairs and triples of every block of `blocks`, sorted, with their training counts.
+
+    Buckets are ranges of keys and are numbered -2, -3 and so on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition = TaskContext.get().partitionId()
+        for number, held in enumerate(gathered_rows(batches)):
+            known: dict[bytes, int] = {}
+            places, sizes = [], []
+            for b in held:
+                for text in b.column("text").to_pylist():
+                    words = tokens_of(text or "")
+                    for w in set(words).difference(known):
+                        known[w] = len(known)
+                    places.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                    sizes.append(len(words))
+            sizes = np.array(sizes, np.int64)
+            flags = np.concatenate([b.column(train).to_numpy() for b in held]) != 0
+            two, three = sequence_keys(word_hashes(list(known))[np.concatenate(places)], sizes)
+            longer = np.ones(len(two), bool)
+            longer[np.cumsum(sizes) - sizes] = False
+            weight = np.repeat(flags, sizes)
+            keys, at = np.unique(np.concatenate((two, three)), return_inverse=True)
+            counts = np.bincount(at, np.concatenate((weight, weight & longer)), len(keys)).astype(np.int64)
+            which = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+            begins = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+            ends = np.append(begins[1:], len(keys))
+            rows = range(len(begins))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([partition] * len(rows), pa.int32()),
+                    pa.array([number] * len(rows), pa.int32()),
+                    pa.array(-2 - which[begins].astype(np.int64), pa.int32()),
+                    pa.array([pack_numbers(_steps(keys[begins[k] : ends[k]])) for k in rows], pa.binary()),
+                    pa.array([pack_numbers(counts[begins[k] : ends[k]]) for k in rows], pa.binary()),
+                ],
+                ["partition", "block", "bucket", "keys", "sizes"],
+            )
+
+    return docs.select("doc_id", "text", train).mapInArrow(run, "partition int, block int, bucket int, keys binary, sizes binary")
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences, in four bytes where they fit."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return steps if len(steps) and steps.max() >> np.uint64(32) else steps.astype(np.uint32)
+
+
+def summed_sequences(group: pa.Table) -> pa.Table:
+    """Corpus counts of the keys of one bucket, for every block that asked."""
+    asked = [np.cumsum(unpack_numbers(k), dtype=np.uint64) for k in group.column("keys").to_pylist()]
+    counts = np.concatenate([unpack_numbers(c) for c in group.column("sizes").to_pylist()])
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    totals = np.bincount(at, counts, len(keys)).astype(np.int64)[at]
+    nothing = pa.array([None] * group.num_rows, pa.binary())
+    return pa.table(
+        {
+            "partition": group.column("partition"),
+            "block": group.column("block"),
+            "bucket": group.column("bucket"),
+            "counts": pa.array([pack_numbers(t) for t in np.split(totals, np.cumsum([len(a) for a in asked])[:-1])], pa.binary()),
+            **dict.fromkeys(("logs", "own_logs", "hashes", "lengths"), nothing),
+        }
+    )
+
+
+def in_context(logs: np.ndarray, pair: np.ndarray, one: np.ndarray, triple: np.ndarray, two: np.ndarray) -> Iterator[np.ndarray]:
+    """log10 probabilities in context, for every pair of concentrations.
+
+    `logs` are the spellings'; `pair` and `triple` count the sequences that end in the token, `one`
+    and `two` their contexts.
+    """
+    p0, met = 10.0**logs, pair > 0
+    for a in CONCENTRATIONS:
+        p1, out1 = (pair + a * p0) / (one + a), np.log10(a / (one + a))
+        for b in CONCENTRATIONS:
+            # a long new word's spelling may be too small for a float
+            new = logs + out1 + np.log10(b / (two + b))
+            yield np.where(met, np.log10((triple + b * p1) / (two + b), where=met, out=np.zeros(len(p1))), new)
+
+
 def scored(docs: DataFrame, train: str = "train") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every text; `train` is 0 or 1."""
+    """doc_id, n_tokens, n_known, train_tokens, n_bytes, base_score, score, bits_per_byte of every text.
+
+    `train` is 0 or 1.
+    """
     spark = docs.sparkSession
     parts = partitions(spark)
     packed = settled(blocks(docs, tokens_of, 4 * parts, head_buckets, train))
@@ -351,7 +483,9 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
         words = list(totals)
         counts = np.fromiter(totals.values(), np.int64, len(words))
         number = dict(zip(words, range(len(words))))
-        logs = spelled_log10(Spelled(words, counts), *shared.value)
+        logs, own = _spelled_log10s(Spelled(words, counts), *shared.value, [False, True]).astype(np.float32)
+        hashes = word_hashes(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         at = [np.fromiter(map(number.__getitem__, one), np.int64, len(one)) for one in lists]
         return pa.table(
             {
@@ -360,50 +494,79 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
                 "bucket": group.column("bucket"),
                 "counts": pa.array([pack_numbers(counts[k]) for k in at], pa.binary()),
                 "logs": pa.array([pack_numbers(logs[k]) for k in at], pa.binary()),
+                "own_logs": pa.array([pack_numbers(own[k]) for k in at], pa.binary()),
+                "hashes": pa.array([pack_numbers(hashes[k]) for k in at], pa.binary()),
+                "lengths": pa.array([pack_numbers(lengths[k]) for k in at], pa.binary()),
             }
         )
 
     words = packed.where(F.col("bucket") != TEXTS).select("partition", "block", "bucket", "words", "sizes")
-    answers = (
-        words.repartition(parts, "bucket")
-        .groupBy("bucket")
-        .applyInArrow(score_bucket, "partition int, block int, bucket int, counts binary, logs binary")
-    )
-    texts = packed.where(F.col("bucket") == TEXTS).select("partition", "block", "ids", "sizes", "places")
+    answer = "partition int, block int, bucket int, counts binary, logs binary, own_logs binary, hashes binary, lengths binary"
+    answers = words.repartition(parts, "bucket").groupBy("bucket").applyInArrow(score_bucket, answer)
+    found = sequences(docs, parts, train).repartition(parts, "bucket").groupBy("bucket").applyInArrow(summed_sequences, answer)
+    texts = packed.where(F.col("bucket") == TEXTS).select("partition", "block", F.col("words").alias("flags"), "ids", "sizes", "places")
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("bucket").to_numpy(), kind="stable").tolist()
-        counts = np.concatenate([unpack_numbers(right.column("counts")[k].as_py()) for k in order])
-        logs = np.concatenate([unpack_numbers(right.column("logs")[k].as_py()) for k in order])
+        bucket = right.column("bucket").to_numpy()
+
+        def joined(name: str, rows: np.ndarray) -> np.ndarray:
+            return np.concatenate([unpack_numbers(right.column(name)[k].as_py()) for k in rows.tolist()])
+
+        order = np.argsort(bucket, kind="stable")
+        order = order[bucket[order] >= 0]
+        counts, logs, own_logs, hashes, lengths = (joined(c, order) for c in ("counts", "logs", "own_logs", "hashes", "lengths"))
         base = np.log10((counts + 1) / (seen + types + 1))
-        ids, out = [], []
-        for k in range(left.num_rows):
-            sizes = unpack_numbers(left.column("sizes")[k].as_py())
-            places = unpack_numbers(left.column("places")[k].as_py())
-            begins = np.cumsum(sizes) - sizes
-            # every text has its end token, so no run is empty
-            sums = [np.add.reduceat(v[places], begins) for v in ((counts > 0).astype(np.int64), base, logs)]
-            out.append((sizes, *sums))
-            ids.append(left.column("ids")[k].values)
-        columns = [np.concatenate(c) for c in zip(*out)]
+        # ranges of keys are numbered downwards
+        order = np.argsort(-bucket, kind="stable")
+        answered = joined("counts", order[bucket[order] < 0])
+        sizes, places, flags = (unpack_numbers(left.column(c)[0].as_py()) for c in ("sizes", "places", "flags"))
+        # every text has its end token, so no run is empty
+        begins = np.cumsum(sizes) - sizes
+        pairs, triples = sequence_keys(hashes[places], sizes)
+        at = np.unique(np.concatenate((pairs, triples)), return_inverse=True)[1]
+        pair, triple = answered[at[: len(pairs)]].astype(np.float64), answered[at[len(pairs) :]].astype(np.float64)
+        one, two = np.roll(counts[places], 1).astype(np.float64), np.roll(pair, 1)
+        # a text begins after an end token, and its first token has no context of two
+        one[0] = counts[places[-1]]
+        triple[begins], two[begins] = 0, 0
+        scores = np.array([np.add.reduceat(v, begins) for v in in_context(logs[places].astype(np.float64), pair, one, triple, two)])
+        fits = np.zeros_like(scores)
+        learnt = np.repeat(flags != 0, sizes)
+        if learnt.any():
+            ones = (pair - 1, one - 1, np.maximum(triple - 1, 0), np.maximum(two - 1, 0))
+            left_out = in_context(own_logs[places].astype(np.float64)[learnt], *(v[learnt] for v in ones))
+            inner = sizes[flags != 0]
+            fits[:, flags != 0] = [np.add.reduceat(v, np.cumsum(inner) - inner) for v in left_out]
+        sums = [np.add.reduceat(v[places], begins) for v in ((counts > 0).astype(np.int64), lengths, base)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.T.ravel()), len(scores)).cast(pa.list_(pa.float64())) for v in (scores, fits)]
         return pa.table(
             {
-                "doc_id": pa.concat_arrays(ids),
-                "n_tokens": pa.array(columns[0], pa.int64()),
-                "n_known": pa.array(columns[1], pa.int64()),
-                "base_score": pa.array(columns[2], pa.float64()),
-                "score": pa.array(columns[3], pa.float64()),
+                "doc_id": left.column("ids").chunk(0).flatten(),
+                "n_tokens": pa.array(sizes, pa.int64()),
+                "n_known": pa.array(sums[0], pa.int64()),
+                "n_bytes": pa.array(sums[1], pa.int64()),
+                "base_score": pa.array(sums[2], pa.float64()),
+                "scores": lists[0],
+                "fits": lists[1],
             }
         )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keys = ("partition", "block")
-    result = (
-        texts.groupBy(*keys)
-        .cogroup(answers.groupBy(*keys))
-        .applyInArrow(add_up, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
+    fields = f"doc_id {id_type}, n_tokens long, n_known long, n_bytes long, base_score double, scores array<double>, fits array<double>"
+    result = settled(texts.groupBy(*keys).cogroup(answers.unionByName(found).groupBy(*keys)).applyInArrow(add_up, fields))
+    total = result.agg(*[F.sum(F.col("fits")[k]) for k in range(len(CONCENTRATIONS) ** 2)]).first()
+    best = int(np.argmax([t or 0 for t in total]))
+    return result.select(
+        "doc_id",
+        "n_tokens",
+        "n_known",
+        F.lit(seen).cast("long").alias("train_tokens"),
+        "n_bytes",
+        "base_score",
+        F.col("scores")[best].alias("score"),
+        (F.col("scores")[best] * -float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
-    return result.withColumn("train_tokens", F.lit(seen).cast("long"))
 
 
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,6 +580,8 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "train_tokens",
         "base_score",
         "score",
+        "n_bytes",
+        "bits_per_byte",
     )
 
 

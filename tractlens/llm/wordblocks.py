@@ -72,7 +72,8 @@ def blocks(
     as in the block's list, which is ordered by (bucket, word). The row of texts holds the
     document ids, the numbers of words and, one after the other, the words' places in that list.
     `extra` names an integer column of the documents; words get the number of their
-    occurrences in documents where it is not zero. `only` asks for the rows of "words" or of "texts"
+    occurrences in documents where it is not zero, and the row of texts holds its values instead of
+    words. `only` asks for the rows of "words" or of "texts"
     alone; two such calls over one stored table cut the same blocks.
     """
     columns = ["doc_id", "text", *([extra] if extra else [])]
@@ -80,7 +81,7 @@ def blocks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
         number = 0
-        for held in _gathered(batches):
+        for held in gathered_rows(batches):
             ids = pa.concat_arrays([b.column("doc_id") for b in held])
             flags = np.concatenate([b.column(extra).to_numpy() for b in held]) if extra else np.ones(len(ids), np.int64)
             known: dict[bytes, int] = {}
@@ -103,6 +104,8 @@ def blocks(
             if only != "words":
                 texts = _row(partition, number, TEXTS)
                 texts |= {"ids": ids, "sizes": pack_numbers(sizes), "places": pack_numbers(flat)}
+                if extra:
+                    texts["words"] = pack_numbers(flags.astype(np.int64))
                 yield _batch([texts], ids.type)
             number += 1
             if only == "texts":
@@ -145,7 +148,7 @@ def _batch(rows: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([arrays[n] for n in names], names)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+def gathered_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
     """Neighbouring rows of about BLOCK_CHARS bytes; a longer text is a block of its own."""
     held, total = [], 0
     for batch in batches:
