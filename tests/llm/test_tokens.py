@@ -121,6 +121,31 @@ def test_bands_reject_an_outlier_and_keep_the_rest(spark, stored, empty):
     assert fertility.judged(none, fertility.bands(none)).count() == 0
 
 
+def measured_rows(spark, groups):
+    """Measured documents of (count, language, source, words, characters per token)."""
+    rows = [
+        (k, language, "latin", source, words, 2 * words, False, round(chars + 0.004 * (j % 9 - 4), 3), 0.0, 0.7)
+        for k, (j, language, source, words, chars) in enumerate((j, *g[1:]) for g in groups for j in range(g[0]))
+    ]
+    names = "doc_id long, language string, script string, source string, n_words long, n_tokens long, base_failed boolean"
+    return spark.createDataFrame(rows, names + ", chars_per_token double, byte_share double, entropy double")
+
+
+def test_a_document_alone_in_its_length_is_no_judge_of_itself(spark, stored):
+    random = np.random.default_rng(5)
+    words = ["the", "of", "river", "station", "morning", "paper", "because", "under", "market", "window"]
+    texts = [" ".join(random.choice(words, 120)) + f" {k} end" for k in range(60)]
+    han = " ".join("".join(map(chr, random.integers(0x4E00, 0x9000, 6))) for _ in range(3000))
+    docs = stored([(i, t, "en", "s", 0) for i, t in enumerate([*texts, han])], SCHEMA)
+    rows = fertility.measured(docs, fertility.rank_path(), fertility.piece_path())
+    kept = {r.doc_id: r.kept for r in fertility.judged(rows, fertility.bands(rows)).collect()}
+    assert not kept[60]
+    assert all(kept[r.doc_id] for r in rows.collect() if not r.base_failed and r.doc_id != 60)
+    # a rare language is held against its script, a rare length against its language
+    rows = measured_rows(spark, [(60, "en", "s", 100, 2.3), (1, "xx", "s", 100, 1.5), (1, "xx", "s", 100, 2.3), (1, "en", "s", 5000, 1.5), (1, "en", "s", 5000, 2.3)])
+    assert [r.kept for r in fertility.judged(rows, fertility.bands(rows)).orderBy("doc_id").collect()][60:] == [False, True, False, True]
+
+
 def test_encoding_equals_the_library_and_decodes(docs, empty):
     encoding = fertility.rank_encoding(fertility.rank_path())
     rows = bpe.decoded(bpe.encoded(docs, fertility.rank_path(), buckets=7), fertility.rank_path()).collect()

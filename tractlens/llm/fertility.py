@@ -3,19 +3,24 @@
 Public vocabularies measure every whole text: characters per token of a byte-level BPE for many
 languages, the share of pieces that a sentence-piece BPE can only spell as bytes, and the entropy of
 the byte-level ids as a share of what their number allows. Each language (the dominant script where
-no language is given), for each power of two of the text's tokens, has a band per measure: the median
-of its documents, plus and minus a number of robust deviations that grows for short texts. Medians and quartiles are exact, over all
-documents that pass the base rules, from counts of rounded values. A document is kept if it passes
-the base rules and lies inside every band.
+no language is given) has a band per measure: the median of its documents, plus and minus a number
+of robust deviations that grows for short texts. The entropy falls with the length of a text, so its
+bands are also told apart by powers of two of the words, which a bad text cannot raise as it raises
+its tokens. A band of fewer than `THIN` documents is not used: the entropy takes the language's
+nearest length, its deviation multiplied by one plus the distance, and a language without a band of
+its own takes its script's. Medians and deviations are exact, over all documents that pass the base
+rules, from counts of rounded values. A document is kept if it passes the base rules and lies inside
+every band.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Null texts have no words. Rows with a null id or repeated rows are
-measured like any other. A language with no document that passes has no band and rejects nothing.
+measured like any other. With fewer documents than `THIN` in a script, its thin bands are all there is.
 An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +39,22 @@ SHORT = 100
 
 # least deviation of each measure, so that a uniform language does not reject its own
 MEASURES = {"chars_per_token": 0.04, "byte_share": 0.01, "entropy": 0.01}
+THIN = 30
+BY_LENGTH = ("entropy",)
+_LANGUAGES = {
+    "latin": "af ca cs cy da de en eo es et eu fi fr ga gl hr hu id is it la lt lv ms nl no nb nn pl pt ro sk sl sq sv sw tl tr vi",
+    "cyrillic": "be bg kk ky mk mn ru tg uk",
+    "greek": "el",
+    "armenian": "hy",
+    "hebrew": "he yi",
+    "arabic": "ar fa ur ps",
+    "indic": "bn gu hi kn ml mr ne pa si ta te",
+    "thai": "th lo",
+    "han": "zh",
+    "kana": "ja",
+    "hangul": "ko",
+}
+_SCRIPTS = {language: script for script, names in _LANGUAGES.items() for language in names.split()}
 _SYMBOLS = b"#*$%&|<>"
 _GROUP_WORDS = 100_000
 
@@ -136,6 +157,13 @@ def _script(text: str) -> str:
     return names[int(np.bincount(np.searchsorted(starts, letters, side="right")).argmax())]
 
 
+def _language_and_script(lang: str | None, text: str) -> tuple[str, str]:
+    """A known language has its own script, whatever the text is written in."""
+    script = _SCRIPTS.get(re.split("[-_]", lang.lower())[0]) if lang else None
+    script = script or _script(text)
+    return lang or script, script
+
+
 def _entropy_share(ids: np.ndarray) -> float:
     if len(ids) < 2:
         return 1.0
@@ -146,7 +174,7 @@ def _entropy_share(ids: np.ndarray) -> float:
 
 _FIELDS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "band string, n_tokens long, chars_per_token double, byte_share double, entropy double"
+    "language string, script string, band string, n_tokens long, chars_per_token double, byte_share double, entropy double"
 )
 
 
@@ -176,6 +204,7 @@ def measured(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
             raw = text.encode("utf-8", "replace")
             symbols = sum(raw.count(bytes([b])) for b in _SYMBOLS)
             again = repeated_words(codes)
+            language, script = _language_and_script(lang, text)
             failed = n < MIN_WORDS or 100 * again > REPEAT_SHARE * n
             out.append(
                 (
@@ -185,7 +214,9 @@ def measured(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
                     repeated_lines(text),
                     again,
                     failed,
-                    f"{lang or _script(text)}:{len(ids).bit_length()}",
+                    language,
+                    script,
+                    f"{language}:{n.bit_length()}",
                     len(ids),
                     word_chars / len(ids) if len(ids) else 0.0,
                     float(spelled.sum() / piece.sum()) if len(piece) else 0.0,
@@ -216,21 +247,47 @@ def _arrow_fields() -> list[pa.Field]:
     return [pa.field(*(lambda a, b: (a, kinds[b]))(*f.split())) for f in _FIELDS.split(", ")]
 
 
+def _length():
+    """Binary digits of the number of words."""
+    return F.length(F.bin("n_words"))
+
+
+def _spreads(counts: DataFrame) -> DataFrame:
+    """key, length, measure, docs, middle and deviation of counted values."""
+    keys = ["key", "length", "measure"]
+    # a band's map of rounded values has a few thousand entries at most
+    quarters = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
+    found = counts.groupBy(*keys).agg(F.sum("n").alias("docs"), quarters.alias("_q"))
+    return found.select(*keys, "docs", F.col("_q")[1].alias("mid"), ((F.col("_q")[2] - F.col("_q")[0]) / 1.349).alias("dev"))
+
+
 def bands(rows: DataFrame) -> DataFrame:
-    """band, and middle and deviation of every measure, from documents that pass the base rules."""
-    good = rows.where(~F.col("base_failed"))
-    result = None
-    for name, least in MEASURES.items():
-        counts = good.groupBy("band", F.round(name, 3).alias("_v")).agg(F.count("*").alias("_n"))
-        # a band's map of rounded values has a few thousand entries at most
-        quarters = counts.groupBy("band").agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"))
-        one = quarters.select(
-            "band",
-            F.col("_q")[1].alias(f"{name}_mid"),
-            F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, F.lit(least)).alias(f"{name}_dev"),
-        )
-        result = one if result is None else result.join(one, "band")
-    return result
+    """language, script, length, and middle and deviation of every measure to judge such documents by."""
+    good = rows.where(~F.col("base_failed")).withColumn("length", _length())
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 3).alias("value"), F.lit(m in BY_LENGTH).alias("by")) for m in MEASURES])
+    levels = F.array(F.concat(F.lit("language "), "language"), F.concat(F.lit("script "), "script"))
+    source = F.coalesce("source", F.lit("")) if "source" in rows.columns else F.lit("")
+    good = good.select("language", "script", "length", source.alias("source"), *MEASURES)
+    counts = (
+        good.select("language", "script", "length", "source", F.inline(values))
+        .withColumn("length", F.when(F.col("by"), F.col("length")).otherwise(0))
+        .groupBy("language", "script", "length", "source", "measure", "value")
+        .agg(F.count("*").alias("n"))
+        .select("length", "source", "measure", "value", "n", F.explode(levels).alias("key"))
+        .groupBy("key", "length", "source", "measure", "value")
+        .agg(F.sum("n").alias("n"))
+    )
+    least = F.element_at(F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair]), F.col("measure"))
+    found = settled(_spreads(counts).withColumn("dev", F.greatest("dev", least))).withColumnRenamed("length", "of")
+    wanted = good.select("language", "script", "length").distinct().select("*", F.posexplode(levels).alias("rank", "key"))
+    thin = F.col("docs") < THIN
+    apart = F.when(F.col("of") > 0, F.abs(F.col("of") - F.col("length"))).otherwise(0)
+    # of thin bands the script's
+    order = F.struct(thin.alias("thin"), F.when(thin, -F.col("rank")).otherwise(F.col("rank")).alias("rank"), apart.alias("apart"), "mid", "dev")
+    chosen = wanted.join(found, "key").groupBy("language", "script", "length", "measure").agg(F.min(order).alias("b"))
+    chosen = chosen.select("*", F.col("b.mid").alias("mid"), (F.col("b.dev") * (1 + F.col("b.apart"))).alias("dev"))
+    columns = [F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{m}_{x}") for m in MEASURES for x in ("mid", "dev")]
+    return chosen.groupBy("language", "script", "length").agg(*columns)
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
@@ -240,12 +297,13 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     for name in MEASURES:
         off = F.abs(F.col(name) - F.col(f"{name}_mid"))
         inside = inside & F.coalesce(off <= WIDTH * wide * F.col(f"{name}_dev"), F.lit(True))
-    drop = [f"{n}_{x}" for n in MEASURES for x in ("mid", "dev")]
-    return rows.join(limits, "band", "left").withColumn("kept", ~F.col("base_failed") & inside).drop(*drop)
+    drop = ["length", *[f"{n}_{x}" for n in MEASURES for x in ("mid", "dev")]]
+    both = rows.withColumn("length", _length()).join(limits, ["language", "script", "length"], "left")
+    return both.withColumn("kept", ~F.col("base_failed") & inside).drop(*drop)
 
 
 def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     rows = settled(measured(docs, rank_path(), piece_path()).drop("text", "lang"))
     return judged(rows, bands(rows)).select(
         "doc_id",
@@ -266,7 +324,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts are measured once; the verdicts travel by a row number that is fixed in the written table.
     """
-    rows = settled(measured(docs.select("doc_id", "text", "lang"), rank_path(), piece_path()).drop("lang").withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).drop("text"))
+    rows = settled(measured(docs.select("doc_id", "text", "lang", "source"), rank_path(), piece_path()).drop("lang").withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).drop("text"))
     good = judged(rows, bands(rows)).where("kept").select("doc_id", F.col("_key")).distinct()
     left = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     match = left["doc_id"].eqNullSafe(good["doc_id"]) & (left["_key"] == good["_key"])
