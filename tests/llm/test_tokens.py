@@ -146,6 +146,20 @@ def test_a_document_alone_in_its_length_is_no_judge_of_itself(spark, stored):
     assert [r.kept for r in fertility.judged(rows, fertility.bands(rows)).orderBy("doc_id").collect()][60:] == [False, True, False, True]
 
 
+def test_a_third_of_bad_documents_sets_no_band(spark):
+    good = [(10, "en", f"s{k}", 100, 2.3) for k in range(8)]
+    rows = measured_rows(spark, [*good, (40, "en", "hot", 100, 1.6)])
+    kept = [r.kept for r in fertility.judged(rows, fertility.bands(rows)).orderBy("doc_id").collect()]
+    assert all(kept[:80]) and not any(kept[80:])
+    # a source with most of the documents
+    rows = measured_rows(spark, [*good, (120, "en", "hot", 100, 1.6)])
+    kept = [r.kept for r in fertility.judged(rows, fertility.bands(rows)).orderBy("doc_id").collect()]
+    assert all(kept[:80]) and not any(kept[80:])
+    # nothing else to compare with
+    rows = measured_rows(spark, [(40, "en", "hot", 100, 1.2)])
+    assert not any(r.kept for r in fertility.judged(rows, fertility.bands(rows)).collect())
+
+
 def test_encoding_equals_the_library_and_decodes(docs, empty):
     encoding = fertility.rank_encoding(fertility.rank_path())
     rows = bpe.decoded(bpe.encoded(docs, fertility.rank_path(), buckets=7), fertility.rank_path()).collect()

@@ -8,7 +8,11 @@ of robust deviations that grows for short texts. The entropy falls with the leng
 bands are also told apart by powers of two of the words, which a bad text cannot raise as it raises
 its tokens. A band of fewer than `THIN` documents is not used: the entropy takes the language's
 nearest length, its deviation multiplied by one plus the distance, and a language without a band of
-its own takes its script's. Medians and deviations are exact, over all documents that pass the base
+its own takes its script's. The deviation is the median distance from the median, and a source with
+more documents in a band than the mean source has the votes of a mean one, so that neither a third of
+bad documents nor one large source sets a band. Apart from the bands, a text of nearly single bytes
+for its language's script, half spelled as bytes or of hardly any entropy is dropped (`LEAST_CHARS`,
+`MOST_BYTES`, `LEAST_ENTROPY`). Medians and deviations are exact, over all documents that pass the base
 rules, from counts of rounded values. A document is kept if it passes the base rules and lies inside
 every band.
 
@@ -41,6 +45,14 @@ SHORT = 100
 MEASURES = {"chars_per_token": 0.04, "byte_share": 0.01, "entropy": 0.01}
 THIN = 30
 BY_LENGTH = ("entropy",)
+VOTES = 1000
+"""Votes of a document whose source is no larger than the mean; votes are whole numbers."""
+
+# characters per token that no text of these scripts stays under; a byte a token is 1, 1/2 and 1/3
+LEAST_CHARS = {"latin": 1.4, "cyrillic": 0.55, "greek": 0.55, "armenian": 0.55, "hebrew": 0.55, "arabic": 0.55}
+LEAST_CHARS_OTHER = 0.36
+MOST_BYTES = 0.5
+LEAST_ENTROPY = 0.2
 _LANGUAGES = {
     "latin": "af ca cs cy da de en eo es et eu fi fr ga gl hr hu id is it la lt lv ms nl no nb nn pl pt ro sk sl sq sv sw tl tr vi",
     "cyrillic": "be bg kk ky mk mn ru tg uk",
@@ -253,12 +265,18 @@ def _length():
 
 
 def _spreads(counts: DataFrame) -> DataFrame:
-    """key, length, measure, docs, middle and deviation of counted values."""
+    """key, length, measure, docs, middle and deviation of counted values, large sources held to the mean one."""
     keys = ["key", "length", "measure"]
+    sources = counts.groupBy(*keys, "source").agg(F.sum("n").alias("size"))
+    means = sources.groupBy(*keys).agg(F.avg("size").alias("mean"), F.sum("size").alias("docs"))
+    votes = F.greatest(F.lit(1), F.round(VOTES * F.least(F.lit(1.0), F.col("mean") / F.col("size")))).cast("long")
+    weighed = sources.join(means, keys).select(*keys, "source", votes.alias("votes"))
+    values = counts.join(weighed, [*keys, "source"]).groupBy(*keys, "value").agg(F.sum(F.col("n") * F.col("votes")).alias("n"))
     # a band's map of rounded values has a few thousand entries at most
-    quarters = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    found = counts.groupBy(*keys).agg(F.sum("n").alias("docs"), quarters.alias("_q"))
-    return found.select(*keys, "docs", F.col("_q")[1].alias("mid"), ((F.col("_q")[2] - F.col("_q")[0]) / 1.349).alias("dev"))
+    middles = values.groupBy(*keys).agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("mid"))
+    apart = F.percentile(F.round(F.abs(F.col("value") - F.col("mid")), 4), F.lit(0.5), F.col("n"))
+    found = values.join(middles, keys).groupBy(*keys).agg(F.first("mid").alias("mid"), (1.4826 * apart).alias("dev"))
+    return found.join(means.select(*keys, "docs"), keys)
 
 
 def bands(rows: DataFrame) -> DataFrame:
@@ -278,7 +296,7 @@ def bands(rows: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     least = F.element_at(F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair]), F.col("measure"))
-    found = settled(_spreads(counts).withColumn("dev", F.greatest("dev", least))).withColumnRenamed("length", "of")
+    found = settled(_spreads(settled(counts)).withColumn("dev", F.greatest("dev", least))).withColumnRenamed("length", "of")
     wanted = good.select("language", "script", "length").distinct().select("*", F.posexplode(levels).alias("rank", "key"))
     thin = F.col("docs") < THIN
     apart = F.when(F.col("of") > 0, F.abs(F.col("of") - F.col("length"))).otherwise(0)
@@ -293,12 +311,16 @@ def bands(rows: DataFrame) -> DataFrame:
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds `kept` to measured rows."""
     wide = F.sqrt(1 + SHORT / F.greatest("n_tokens", F.lit(1)))
-    inside = F.lit(True)
+    least = F.lit(LEAST_CHARS_OTHER)
+    for script, chars in LEAST_CHARS.items():
+        least = F.when(F.col("script") == script, chars).otherwise(least)
+    inside = (F.col("chars_per_token") >= least) & (F.col("byte_share") <= MOST_BYTES) & (F.col("entropy") >= LEAST_ENTROPY)
     for name in MEASURES:
         off = F.abs(F.col(name) - F.col(f"{name}_mid"))
         inside = inside & F.coalesce(off <= WIDTH * wide * F.col(f"{name}_dev"), F.lit(True))
     drop = ["length", *[f"{n}_{x}" for n in MEASURES for x in ("mid", "dev")]]
-    both = rows.withColumn("length", _length()).join(limits, ["language", "script", "length"], "left")
+    # a row for each language and power of two; a shuffle would send most documents to a few tasks
+    both = rows.withColumn("length", _length()).join(F.broadcast(limits), ["language", "script", "length"], "left")
     return both.withColumn("kept", ~F.col("base_failed") & inside).drop(*drop)
 
 
