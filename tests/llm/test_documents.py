@@ -307,6 +307,22 @@ def test_extraction_of_small_pages():
         assert htmltext.visible_text(page) == text, page
 
 
+def test_formulas_labels_and_row_spans():
+    pages = {
+        "let <math><mi>x</mi> <mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac><semantics><mi>y</mi><annotation>TeX</annotation></semantics></math> be": "let x=1 2y be",
+        "<p>a<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><g>stray<path d='M0'/><text>Oslo</text><text><tspan>Rome</tspan></text></g></svg>b": "a Oslo Rome b",
+        "<svg><foreignObject><p>inside</p></foreignObject></svg>after": "inside\n\nafter",
+        "<svg><g><p>left the image": "left the image",
+        "<pattern>shown</pattern>": "shown",
+        "<svg><text display=none>x</text></svg>y": "y",
+        "<table><tr><th rowspan=2>k<td>one<td>1<tr><td>two<td>2<tr><th>l<td>three<td>3</table>": "k | one   | 1\n  | two   | 2\nl | three | 3",
+        "<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>": "a | b |  | c\nd |   |  | e",
+        "<table><thead><tr><td rowspan=0>h<td>i<tr><td>j</thead><tbody><tr><td>k<td>l</table>": "h | i\n  | j\nk | l",
+    }
+    for page, text in pages.items():
+        assert htmltext.visible_text(page) == text, page
+
+
 def test_extraction_takes_anything(spark, stored):
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     rows = [(1, "u", deep), (2, "u", None), (None, "u", "<p>y"), (2, "u", "<a title=\"never closed>" * 50), (3, None, "<td>cell</table></ul>")]

@@ -4,7 +4,9 @@ A page is cut into tags and text, a tree is built with the tags that HTML lets a
 elements that are never shown or are hidden by attribute or inline style are left out, and the
 visible rest is laid out: blocks stand on lines of their own with blank lines where browsers leave a
 margin, list items carry their mark and depth, preformatted text keeps its white space, and the
-cells of a table are padded to common column widths.
+cells of a table are padded to common column widths, also below a cell that spans rows. Formulas give
+their symbols (the parts of fractions and scripts a space apart), images in SVG the labels they show;
+`use` references are not followed.
 
 A null page has the null text, an empty page the empty one. Broken markup never fails: unknown end
 tags are ignored and open elements end with the page. Repeated rows and null ids pass through.
@@ -29,9 +31,20 @@ from tractlens.llm.common import table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 NEVER_SHOWN = frozenset(
-    "head script style template noscript title meta link base iframe object embed audio video canvas svg math "
+    "head script style template noscript title meta link base iframe object embed audio video canvas "
     "datalist noembed noframes param rp area source track dialog".split()
 )
+# inside svg and math
+FOREIGN_HIDDEN = frozenset(
+    "desc defs metadata annotation annotation-xml mphantom symbol clippath mask pattern marker lineargradient "
+    "radialgradient filter".split()
+)
+HTML_INSIDE = frozenset("foreignobject mi mo mn ms mtext".split())
+LEAVES_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+APART = frozenset("mfrac msup msub msubsup munder mover munderover mroot mmultiscripts mtable mtr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre "
@@ -63,10 +76,20 @@ _SPACES = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    """`foreign` is "math", "svg", "text" for what lies in a text element of svg, and empty in HTML."""
+
+    __slots__ = ("tag", "attributes", "children", "foreign")
+
+    def __init__(self, tag: str, attributes: dict[str, str], foreign: str = ""):
+        self.tag, self.attributes, self.children, self.foreign = tag, attributes, [], foreign
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+
+def _foreign(tag: str, parent: Node) -> str:
+    if tag in ("svg", "math"):
+        return tag
+    if not parent.foreign or parent.tag in HTML_INSIDE:
+        return ""
+    return "text" if parent.foreign == "svg" and tag == "text" else parent.foreign
 
 
 def attributes_of(source: str) -> dict[str, str]:
@@ -132,6 +155,10 @@ def tree(page: str) -> Node:
                 for name, value in node.attributes.items():
                     target.attributes.setdefault(name, value)
                 continue
+        if tag in LEAVES_FOREIGN and stack[-1].tag not in HTML_INSIDE:
+            while stack[-1].foreign and stack[-1].tag not in HTML_INSIDE:
+                stack.pop()
+        node.foreign = _foreign(tag, stack[-1])
         if tag in CLOSES_P:
             end({"p"}, SCOPE)
             if stack[-1].tag == "head":
@@ -141,7 +168,7 @@ def tree(page: str) -> Node:
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", stack[-1].tag):
             stack.pop()
         stack[-1].children.append(node)
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK and tag not in RAW and tag in ("svg", "path", "math"):
+        if tag in VOID or node.foreign and m[3].rstrip().endswith("/"):
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|$)|$", re.I).search(page, position)
@@ -160,6 +187,8 @@ def hidden(node: Node) -> bool:
         and not (node.tag == "dialog" and "open" in a)
         or "hidden" in a
         or node.tag == "input"
+        or bool(node.foreign)
+        and (node.tag in FOREIGN_HIDDEN or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse"))
         or bool(a.get("style")) and bool(_HIDDEN_STYLE.search(a["style"]))
     )
 
@@ -237,11 +266,42 @@ class Page:
         return self.lines
 
 
+class Table:
+    """Rows of cells; a cell that spans rows keeps its columns in the rows below."""
+
+    def __init__(self):
+        self.rows: list[list[str]] = []
+        self.below: dict[int, int] = {}
+        self.taken: set[int] = set()
+
+    def row(self) -> None:
+        self.taken = set(self.below)
+        self.below = {column: n - 1 for column, n in self.below.items() if n > 1}
+        self.rows.append([])
+
+    def cell(self, text: str, across: int, down: int) -> None:
+        row = self.rows[-1]
+        while len(row) in self.taken:
+            row.append("")
+        if down > 1:
+            self.below |= dict.fromkeys(range(len(row), len(row) + across), down - 1)
+        row += [text] + [""] * (across - 1)
+
+    def group(self) -> None:
+        """No span leaves its row group."""
+        self.below = {}
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attributes.get(name, "1")
+    return min(int(value), most) if value.isdecimal() else 1
+
+
 def render(root: Node) -> str:
     """Text of the visible tree. Work items on a stack stand for the steps still to be done."""
     page = Page()
     pages = [page]
-    tables: list[list[list[str]]] = []
+    tables: list[Table] = []
     captions: list[list[str]] = []
     work: list[tuple] = [("node", root, False, 0)]
     counters: list[list] = []
@@ -257,13 +317,12 @@ def render(root: Node) -> str:
             step[1](page)
         elif kind == "cell":
             pages.pop()
-            tables[-1][-1].append("\n".join(page.done()))
-            tables[-1][-1] += [""] * (step[1] - 1)
+            tables[-1].cell("\n".join(page.done()), step[1], step[2])
         elif kind == "caption":
             pages.pop()
             captions[-1] += page.done()
         elif kind == "table":
-            rows, heads = tables.pop(), captions.pop()
+            rows, heads = tables.pop().rows, captions.pop()
             page.block(True)
             page.put(heads + aligned(rows))
             page.block(True)
@@ -291,20 +350,29 @@ def _open_node(node, kept, depth, work, pages, tables, captions, counters) -> No
     if tag == "textarea" or tag in ("pre", "listing", "xmp", "plaintext"):
         kept = True
     if tag == "table":
-        tables.append([])
+        tables.append(Table())
         captions.append([])
         closing.append(("table",))
     elif tag == "caption" and tables:
         pages.append(Page())
         closing.append(("caption",))
     elif tag == "tr" and tables:
-        tables[-1].append([])
+        tables[-1].row()
+    elif tag in ("thead", "tbody", "tfoot") and tables:
+        tables[-1].group()
+        closing.append(("close", lambda p, table=tables[-1]: table.group()))
     elif tag in ("td", "th") and tables:
-        if not tables[-1]:
-            tables[-1].append([])
+        if not tables[-1].rows:
+            tables[-1].row()
         pages.append(Page())
-        span = node.attributes.get("colspan", "1")
-        closing.append(("cell", min(int(span), 1000) if span.isdecimal() and int(span) else 1))
+        # no rows means all rows of the group
+        closing.append(("cell", _span(node, "colspan", 1000) or 1, _span(node, "rowspan", 65534) or 65534))
+    elif node.foreign == "math" and tag == "math" and node.attributes.get("display") == "block":
+        page.block(False)
+        closing.append(("close", lambda p: p.block(False)))
+    elif node.foreign == "text" and tag == "text":
+        page.text(" ")
+        closing.append(("close", lambda p: p.text(" ")))
     elif tag in BLOCK:
         margin = tag in MARGIN and not (tag in ("ul", "ol", "menu", "dir") and depth)
         page.block(margin)
@@ -347,6 +415,13 @@ def _open_node(node, kept, depth, work, pages, tables, captions, counters) -> No
 def _push(node, kept, depth, work, closing, after_first) -> None:
     work.extend(reversed(closing))
     steps = [("text", c, kept) if isinstance(c, str) else ("node", c, kept, depth) for c in node.children]
+    if node.foreign == "svg" and node.tag not in HTML_INSIDE:
+        # of an image only labels are text
+        steps = [s for s in steps if s[0] == "node"]
+    elif node.foreign == "math" and node.tag in APART:
+        steps = [x for s in steps for x in (s, ("text", " ", False))][:-1]
+    elif node.foreign == "math" and node.tag not in HTML_INSIDE:
+        steps = [s for s in steps if s[0] == "node" or s[1].strip()]
     if after_first is not None:
         # the mark is used up by the first text, so the indent may be set behind it
         at = next((i for i, s in enumerate(steps) if s[0] == "node" or s[1].strip()), len(steps))
