@@ -205,6 +205,21 @@ def test_counts_of_beginnings_match_a_plain_version():
         start += length
 
 
+def test_counts_of_long_beginnings_match_a_plain_version():
+    stem = "ภาษาไทยไม่มีช่องว่าง".encode()
+    words = [stem + b"a" * 40, stem + b"a" * 40 + b"b", stem + b"c", stem, b"x" * 300, b"alone" * 20]
+    counts = np.array([3, 1, 2, 5, 4, 7])
+    spelled = mixing.Spelled(words, counts)
+    total, ones = plain_beginnings(words, counts)
+    start = 0
+    for word, length in zip(spelled.words, spelled.lengths):
+        for j in range(mixing.HEAD, length):
+            for bit in range(8):
+                key = (word + b" ")[:j], bit, (word + b" ")[j] >> (8 - bit)
+                assert spelled.total[start + j, bit] == total[key] and spelled.ones[start + j, bit] == ones[key]
+        start += length
+
+
 def test_token_probabilities_add_up_to_at_most_one():
     words = [b"a", b"ab", b"abc", b"b", b""]
     counts = np.array([5, 3, 1, 2, 4])

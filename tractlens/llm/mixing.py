@@ -30,7 +30,7 @@ times log2(10), over the bytes spelled (tokens with their closing spaces), is it
 6. A text is scored for every pair of `CONCENTRATIONS`; the pair under which the training tokens, each
    taken out of its own counts, are likeliest is used for all texts.
 
-Beginnings longer than 32 bytes predict by the other five predictors only. Null texts count as empty
+Null texts count as empty
 (one end token). Rows with a null id train and are scored; repeated rows count as often as they stand
 there. Without training tokens every bit has probability one half. An empty table gives no rows.
 """
@@ -51,7 +51,6 @@ from tractlens.llm.common import held_out, partitions, settled, table
 from tractlens.llm.wordblocks import TEXTS, blocks, gathered_rows, pack_numbers, pack_strings, unpack_numbers, unpack_strings
 
 HEAD = 4
-DEEPEST = 32
 ORDERS = 5
 SLOT_BITS = 18
 CHUNK = 1 << 13
@@ -93,12 +92,14 @@ class Spelled:
 
     def _count_beginnings(self) -> None:
         """Per byte and bit: training tokens with the same beginning, and those with a one next."""
-        self.total = np.zeros((len(self.flat), 8), np.float32)
-        self.ones = np.zeros((len(self.flat), 8), np.float32)
         starts = self.ends - self.lengths
+        # a beginning that no other token has holds the token's own count
+        deep = np.arange(len(self.flat)) - np.repeat(starts, self.lengths) >= HEAD
+        self.total = np.repeat((np.repeat(self.counts, self.lengths) * deep).astype(np.float32)[:, None], 8, axis=1)
+        self.ones = self.total * (self.flat[:, None] >> np.arange(7, -1, -1, dtype=np.uint8) & 1)
         alive = np.arange(len(self.words))
         group = np.zeros(len(alive), np.int64)
-        for depth in range(min(int(self.lengths.max(initial=0)), DEEPEST)):
+        for depth in range(int(self.lengths.max(initial=0))):
             keep = self.lengths[alive] > depth
             alive, group = alive[keep], group[keep]
             if not len(alive):
@@ -115,6 +116,8 @@ class Spelled:
                     self.ones[at, bit] = np.repeat(np.add.reduceat(one, first), sizes)
             pair = (group << 8) | symbol
             group = np.cumsum(np.concatenate(([0], (pair[1:] != pair[:-1]).astype(np.int64))))
+            shared = np.bincount(group)[group] > 1
+            alive, group = alive[shared], group[shared]
 
     def chunks(self) -> Iterator[np.ndarray]:
         """Token numbers, dealt so that every chunk is a cross-section."""
