@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from tractlens.llm import bpe, caps, fertility, gam, htmltext, linededup, minhash, mixing, packing, resharding
+from tractlens.llm import (
+    bpe,
+    caps,
+    fertility,
+    gam,
+    htmltext,
+    infilling,
+    linededup,
+    minhash,
+    mixing,
+    packing,
+    resharding,
+)
 
-_MODULES = (packing, fertility, bpe, gam, resharding, minhash, caps, htmltext, linededup, mixing)
+_MODULES = (
+    packing, fertility, bpe, gam, resharding, minhash, caps, htmltext, linededup, mixing, infilling,
+)
 
 
 def queries() -> dict:
