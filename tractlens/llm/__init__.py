@@ -10,6 +10,7 @@ from tractlens.llm import (
     htmltext,
     infilling,
     linededup,
+    merkle,
     minhash,
     mixing,
     packing,
@@ -17,7 +18,7 @@ from tractlens.llm import (
 )
 
 _MODULES = (
-    packing, fertility, bpe, gam, resharding, minhash, caps, htmltext, linededup, mixing, infilling,
+    packing, fertility, bpe, gam, resharding, minhash, caps, htmltext, linededup, mixing, merkle, infilling,
 )
 
 
