@@ -15,10 +15,11 @@ from tractlens.llm import (
     mixing,
     packing,
     resharding,
+    toxicity,
 )
 
 _MODULES = (
-    packing, fertility, bpe, gam, resharding, minhash, caps, htmltext, linededup, mixing, merkle, infilling,
+    packing, fertility, bpe, gam, resharding, minhash, caps, htmltext, linededup, mixing, toxicity, merkle, infilling,
 )
 
 
