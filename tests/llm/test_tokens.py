@@ -59,16 +59,14 @@ def test_hilbert_keys_visit_neighbours():
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_packing_is_gapless_and_keeps_every_id(spark, docs, empty, monkeypatch):
+def test_packing_is_gapless_and_keeps_every_id(spark, docs, empty):
     from tokenizers import Tokenizer
 
-    from tractlens.operators import scale
-
-    monkeypatch.setattr(scale, "SLICE_ROWS", 5)
     tokenizer = Tokenizer.from_file(packing.byte_bpe_path())
     tokenizer.encode_special_tokens = True
-    pieces = packing.packed(docs, packing.byte_bpe_path(), length=64)
-    found = pieces.toPandas()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = packing.packed(docs, packing.byte_bpe_path(), length=64).toPandas()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = Counter()
     for row in docs.collect():
         want[row.doc_id, tuple([*tokenizer.encode(row.text or "", add_special_tokens=False).ids, 1])] += 1
