@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tractlens.operators import decide, learn, resample
+from tractlens.operators import decide, isotonic, learn, resample
 from tractlens.sources import census, reports, store
 
 
@@ -54,6 +54,42 @@ def test_softmax_shares_are_ordered(spark):
     assert s.shape == (20, 4) and (np.diff(s, axis=1) <= 1e-12).all()
 
 
+def plain_isotonic(points):
+    """Largest over starts of the least over ends of the mean between them."""
+    points = sorted(points)
+    y, w = (np.array([p[k] for p in points], float) for k in (1, 2))
+    n = len(points)
+    low = [[min(y[a : u + 1].sum() / w[a : u + 1].sum() for u in range(i, n)) for i in range(n)] for a in range(n)]
+    return [max(low[a][i] for a in range(i + 1)) for i in range(n)]
+
+
+@pytest.mark.parametrize("case", ["noise", "rising", "falling", "steps"])
+def test_isotonic_in_slices_and_segments_equals_max_min_of_means(spark, case):
+    rng = np.random.default_rng(1)
+    n = 60
+    trend = {"noise": np.zeros(n), "rising": np.arange(n), "falling": -np.arange(n), "steps": np.arange(n) // 15 * 3}[case]
+    rows = [(float(i % n), float(trend[i % n] + (case != "rising") * rng.integers(-3, 4))) for i in range(150)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    blocks = isotonic.fit(spark.createDataFrame(rows, "s double, y double").repartition(5), "s", "y", segments=7)
+    found = isotonic.predict(blocks, spark.createDataFrame([(float(i),) for i in range(n)], "s double"), "s", "p")
+    got = {r.s: r.p for r in found.collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    points = {}
+    for s, y in rows:
+        a, b = points.get(s, (0.0, 0))
+        points[s] = a + y, b + 1
+    want = plain_isotonic([(s, *v) for s, v in points.items()])
+    assert [got[s] for s in sorted(points)] == pytest.approx(want)
+
+
+def test_isotonic_of_gaps_ends_and_nothing(spark):
+    t = spark.createDataFrame([(1.0, 0.0), (3.0, 4.0), (None, 9.0), (5.0, None)], "s double, y double")
+    probe = spark.createDataFrame([(0.0,), (2.0,), (2.0,), (7.0,), (None,)], "s double")
+    rows = isotonic.predict(isotonic.fit(t, "s", "y"), probe, "s", "p").collect()
+    assert sorted((str(r.s), r.p) for r in rows) == [("0.0", 0.0), ("2.0", 2.0), ("2.0", 2.0), ("7.0", 4.0), ("None", None)]
+    assert isotonic.predict(isotonic.fit(t.limit(0), "s", "y"), probe, "s", "p").where("p is null").count() == 5
+
+
 def test_isotonic_is_monotone_and_clipped(spark):
     t = spark.createDataFrame([(1.0, 0), (2.0, 2), (3.0, 1), (4.0, 4)], "score double, ordinal int")
     model = decide.fit_isotonic(t)

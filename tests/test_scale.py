@@ -1,5 +1,7 @@
 """The split path must give what the plain window gives, with one group holding most rows."""
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -23,11 +25,24 @@ def rows():
     ).assign(municipality=lambda d: d.city + (d.index % 2).astype(str))
 
 
+@contextmanager
+def many_slices(spark, count=7):
+    """Small slices stay apart, so that most groups cross a border."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(count))
+    yield
+    for key, value in kept.items():
+        spark.conf.set(key, value)
+
+
 @pytest.fixture(params=["one slice", "many slices"])
-def path(request, monkeypatch):
-    if request.param == "many slices":
-        monkeypatch.setattr(scale, "SLICE_ROWS", 40)
-    return request.param
+def path(request, spark):
+    if request.param == "one slice":
+        yield
+    else:
+        with many_slices(spark):
+            yield
 
 
 def test_running_totals_follow_the_order(spark, rows, path):
@@ -79,12 +94,12 @@ def test_targeting_is_bounded_by_the_census_order(spark, rows, path):
     assert len(cells) == rows.city.nunique() * 4
 
 
-def test_both_paths_agree_on_targeting(spark, rows, monkeypatch):
+def test_slices_agree_on_targeting(spark, rows):
     df = spark.createDataFrame(rows)
     keys = ["city", "budget"]
     plain = decide.targeting(df, ["city"], tie_draws=5).toPandas().set_index(keys).sort_index()
-    monkeypatch.setattr(scale, "SLICE_ROWS", 40)
-    split = decide.targeting(df, ["city"], tie_draws=5).toPandas().set_index(keys).sort_index()
+    with many_slices(spark):
+        split = decide.targeting(df, ["city"], tie_draws=5).toPandas().set_index(keys).sort_index()
     for column in ("oracle", "map", "aggregate"):
         assert np.allclose(plain[column], split[column])
 
@@ -106,12 +121,22 @@ def test_random_ties_match_the_full_simulation(spark, rows):
     assert got.reached[0] == pytest.approx(total / 4)
 
 
-def test_one_large_group_is_split(spark, monkeypatch):
-    monkeypatch.setattr(scale, "SLICE_ROWS", 50_000)
-    rows = spark.range(200_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 200_003).alias("v"))
-    out = scale.running_totals(rows, ["g"], [F.col("v").asc()], {"place": F.lit(1)})
-    placed = out.select(F.col("place"), F.col("v")).toPandas().sort_values("v")
-    assert (placed.place == np.arange(1, len(placed) + 1)).all()
+def test_one_group_of_a_million_rows_is_split(spark, monkeypatch):
+    written = []
+
+    def seen(df):
+        written.append(settled(df))
+        return written[-1]
+
+    settled = scale.settled
+    monkeypatch.setattr(scale, "settled", seen)
+    rows = spark.range(1_000_000).select(F.lit("g").alias("g"), (F.col("id") * 7919 % 1_000_003).alias("v"))
+    with many_slices(spark, 16):
+        out = scale.running_totals(rows, ["g"], [F.col("v").asc()], {"place": F.lit(1)}, {"n": F.lit(1)})
+        placed = out.select("place", "v", "n").toPandas().sort_values("v")
+    assert (placed.place == np.arange(1, len(placed) + 1)).all() and (placed.n == 1_000_000).all()
+    sizes = written[0].groupBy("_slice").count().toPandas()["count"]
+    assert len(sizes) == 16 and sizes.max() < 200_000
 
 
 def test_a_cluster_needs_a_shared_folder():

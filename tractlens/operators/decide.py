@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array  # noqa: F401  (re-exported for callers)
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractlens.functions.hashing import hash_order
+from tractlens.operators import isotonic
 from tractlens.operators.labels import HIGH
 from tractlens.operators.ranks import auroc_cumulative, ordinal_metrics, spearman
 from tractlens.operators.resample import RESAMPLES, clustered_mean, draws
@@ -33,23 +31,14 @@ MAUP_BINS = ((1, 3), (4, 9), (10, 19), (20, 49), (50, None))
 # ---- isotonic grade map -------------------------------------------------------------------
 
 
-def fit_isotonic(calibration: DataFrame, score: str = "score", truth: str = "ordinal") -> IsotonicRegressionModel:
-    """Monotone map from score to grade, fitted on one weighted mean per distinct score."""
-    points = calibration.groupBy(F.col(score).alias("s")).agg(
-        F.avg(F.col(truth).cast("double")).alias("label"), F.count("*").cast("double").alias("weight")
-    )
-    ready = VectorAssembler(inputCols=["s"], outputCol="features").transform(points)
-    return IsotonicRegression(weightCol="weight").fit(ready)
+def fit_isotonic(calibration: DataFrame, score: str = "score", truth: str = "ordinal") -> DataFrame:
+    """Monotone map from score to grade: the blocks of an isotonic fit."""
+    return isotonic.fit(calibration, score, truth)
 
 
-def predict_isotonic(
-    model: IsotonicRegressionModel, table: DataFrame, score: str = "score", name: str = "predicted"
-) -> DataFrame:
-    """Interpolates between the fitted points and holds the ends outside them."""
-    ready = VectorAssembler(inputCols=[score], outputCol="_f").transform(table)
-    return (
-        model.setFeaturesCol("_f").setPredictionCol(name).transform(ready).drop("_f")
-    )
+def predict_isotonic(blocks: DataFrame, table: DataFrame, score: str = "score", name: str = "predicted") -> DataFrame:
+    """Interpolates between the fitted blocks and holds the ends outside them."""
+    return isotonic.predict(blocks, table, score, name)
 
 
 def usable(frame: DataFrame, min_rows: int = MIN_TRACTS) -> DataFrame:

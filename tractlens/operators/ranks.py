@@ -40,11 +40,19 @@ def spearman(
         .groupBy(*group, F.col(x).alias("_x"), F.col(y).alias("_y"))
         .agg(F.sum(size).cast("long").alias("_c"))
     )
-    cells = ranked = settled(cells)
+    cells = settled(cells)
+    # both sides are ranked in one walk
+    sides = F.explode(F.array(*[F.struct(F.lit(v).alias("_side"), F.col(v).cast("double").alias("_v")) for v in ("_x", "_y")]))
+    counts = (
+        cells.select(*group, "_c", sides.alias("_s"))
+        .groupBy(*group, F.col("_s._side").alias("_side"), F.col("_s._v").alias("_v"))
+        .agg(F.sum("_c").alias("_k"))
+    )
+    ranks = settled(mid_ranks(counts, [*group, "_side"], "_v", "_k", "_r").drop("_k"))
+    ranked = cells
     for v in ("_x", "_y"):
-        counts = cells.groupBy(*group, v).agg(F.sum("_c").alias("_k"))
-        ranks = mid_ranks(counts, group, v, "_k", f"_r{v}").drop("_k")
-        ranked = ranked.join(ranks, [*group, v])
+        side = ranks.where(F.col("_side") == v).select(*group, F.col("_v").alias(f"_v{v}"), F.col("_r").alias(f"_r{v}"))
+        ranked = ranked.withColumn(f"_v{v}", F.col(v).cast("double")).join(side, [*group, f"_v{v}"])
     return _rank_correlation(ranked, group, min_rows, min_x_levels)
 
 

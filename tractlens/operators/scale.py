@@ -2,9 +2,9 @@
 
 Ranks, running sums and exact percentiles inside a group are usually written as one window
 per group. A group may hold a third of all rows, so every such statistic of this package goes
-through `running_totals`, which always takes the same way: rows are range-partitioned by (group,
-order) into slices of about `SLICE_ROWS` rows, each slice is summed on its own and the offsets of
-earlier slices are added. Ranks and percentiles work on value counts, so ties are already merged
+through `running_totals`, which takes one way for every size: rows are range-partitioned by (group,
+order) into slices, each slice is summed on its own, and groups that cross a slice border add what
+their earlier slices hold. Ranks and percentiles work on value counts, so ties are already merged
 before the first shuffle.
 """
 
@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 
 from tractlens.session import scratch_folder
 
-SLICE_ROWS = 200_000
-"""Rows of one slice of an ordered table; the number of slices follows from the counted rows."""
-
-
 def settled(df: DataFrame) -> DataFrame:
     """A reduced result that several later steps read, written down once in the shared folder.
 
@@ -42,46 +38,44 @@ def running_totals(
 ) -> DataFrame:
     """Adds inclusive running sums along `order`, and whole-group sums, per group.
 
-    `order` must be free of ties inside a group and the group columns free of nulls.
+    `order` must be free of ties inside a group and the group columns free of nulls. The session's
+    shuffle partitions bound the number of slices; adaptive execution merges small ones.
     """
     group, whole = list(group), whole or {}
     parts = {f"_r_{n}": c for n, c in running.items()} | {f"_w_{n}": c for n, c in whole.items()}
-    staged = settled(df.select("*", *[c.alias(n) for n, c in parts.items()]))
-    slices = max(1, -(-staged.count() // SLICE_ROWS))
-    if slices == 1:
-        staged = staged.withColumn("_slice", F.lit(0))
-    else:
-        # range bounds come from a sample, so slices are written down before they are read twice
-        staged = settled(
-            staged.repartitionByRange(slices, *[F.col(g) for g in group], *order).withColumn(
-                "_slice", F.spark_partition_id()
-            )
-        )
-    inside = (
-        W.partitionBy(*group, "_slice")
-        .orderBy(*order)
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    # range bounds come from a sample, so slices are written down before they are read twice
+    staged = settled(
+        df.select("*", *[c.alias(n) for n, c in parts.items()])
+        .repartitionByRange(*[F.col(g) for g in group], *order)
+        .withColumn("_slice", F.spark_partition_id())
     )
+    slice_part = W.partitionBy(*group, "_slice")
+    inside = slice_part.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = staged.select(
-        *df.columns, "_slice", *[F.sum(f"_r_{n}").over(inside).alias(f"_l_{n}") for n in running]
+        *df.columns,
+        "_slice",
+        *[F.sum(f"_r_{n}").over(inside).alias(f"_l_{n}") for n in running],
+        *[F.sum(f"_w_{n}").over(slice_part).alias(f"_s_{n}") for n in whole],
     )
     per_slice = staged.groupBy(*group, "_slice").agg(*[F.sum(n).alias(n) for n in parts])
     # one row per group and slice
     group_part = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     before = group_part.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_slice.select(
+    crossing = per_slice.select(
         *group,
         "_slice",
+        F.count("*").over(group_part).alias("_held"),
         *[F.sum(f"_r_{n}").over(before).alias(f"_o_{n}") for n in running],
-        *[F.sum(f"_w_{n}").over(group_part).alias(n) for n in whole],
-    )
-    return local.join(offsets, [*group, "_slice"]).select(
+        *[F.sum(f"_w_{n}").over(group_part).alias(f"_t_{n}") for n in whole],
+    ).where(F.col("_held") > 1)
+    # a crossing group holds a slice border, so there are at most two rows a slice
+    return local.join(F.broadcast(crossing), [*group, "_slice"], "left").select(
         *df.columns,
         *[
             (F.col(f"_l_{n}") + F.coalesce(F.col(f"_o_{n}"), F.col(f"_l_{n}") * 0)).alias(n)
             for n in running
         ],
-        *whole,
+        *[F.coalesce(f"_t_{n}", f"_s_{n}").alias(n) for n in whole],
     )
 
 

@@ -152,13 +152,44 @@ def _frame(d: Data):
     )
 
 
-@query("e12_isotonic_prediction")
+# the rising fit at a point: of all stretches that end at or behind it the least mean, of all starts the largest
+_ISO = dict(
+    pt="""SELECT score, row_number() OVER (ORDER BY score) AS i, y, w, sum(y) OVER o AS yy, sum(w) OVER o AS ww
+          FROM (SELECT score, sum(ordinal)::DOUBLE AS y, count(*)::DOUBLE AS w FROM frame GROUP BY 1) WINDOW o AS (ORDER BY score)""",
+    stretch="""SELECT l.i AS l, u.i AS u, min((u.yy - l.yy + l.y) / (u.ww - l.ww + l.w)) OVER
+               (PARTITION BY l.i ORDER BY u.i DESC ROWS UNBOUNDED PRECEDING) AS low FROM pt l JOIN pt u ON l.i <= u.i""",
+    iso="SELECT score, p AS predicted FROM pt JOIN (SELECT u AS i, max(low) AS p FROM stretch GROUP BY 1) USING (i)",
+    pf="SELECT frame.*, predicted FROM frame JOIN iso USING (score)",
+)
+
+
+@query(
+    "e12_isotonic_prediction",
+    cte("token_scores", **_FRAME, **_ISO) + "SELECT cvegeo, score, ordinal, predicted FROM pf",
+    "score predicted",
+)
 def _(d: Data):
     frame = _frame(d)
     return D.predict_isotonic(D.fit_isotonic(frame), frame).select("cvegeo", "score", "ordinal", "predicted")
 
 
-@query("e13_spread_knows_error")
+_KNOWS = dict(
+    er="""SELECT *, abs(predicted - ordinal) AS error FROM pf WHERE spread IS NOT NULL AND municipality IN
+          (SELECT municipality FROM frame GROUP BY 1 HAVING count(*) >= 20 AND count(DISTINCT ordinal) > 1)""",
+    kr=rho_sql("SELECT * FROM er", "error", "spread", "city, municipality"),
+    dr=draws_sql("SELECT city FROM kr", "city", 2000),
+    km="""SELECT replicate, sum(s * times) / sum(k * times) AS mean FROM dr JOIN
+          (SELECT city, sum(rho) AS s, count(*) AS k FROM kr WHERE rho IS NOT NULL GROUP BY 1) USING (city) GROUP BY 1""",
+)
+
+
+@query(
+    "e13_spread_knows_error",
+    cte("token_scores", **_FRAME, **_ISO, **_KNOWS)
+    + """SELECT count(rho) AS municipalities, avg(rho) AS rho_spread_error, (SELECT quantile_cont(mean, 0.025) FROM km) AS ci_low,
+ (SELECT quantile_cont(mean, 0.975) FROM km) AS ci_high FROM kr""",
+    "rho_spread_error ci_low ci_high",
+)
 def _(d: Data):
     frame = _frame(d)
     return D.spread_knows_error(D.predict_isotonic(D.fit_isotonic(frame), frame), 2000)
@@ -262,7 +293,31 @@ def _(d: Data):
     return D.best_and_median_city(D.city_audit(_frame(d)))
 
 
-@query("e17_classification_view")
+_VIEW = dict(
+    gr="SELECT *, greatest(0, least(4, round_even(predicted, 0)))::INT AS grade FROM pf",
+    cell="SELECT ordinal AS t, grade AS p, count(*)::DOUBLE AS o FROM gr GROUP BY 1, 2",
+    chance="""SELECT sum((a.t - b.p) * (a.t - b.p) * a.n * b.n) / (SELECT sum(o) FROM cell) AS e
+              FROM (SELECT t, sum(o) AS n FROM cell GROUP BY 1) a, (SELECT p, sum(o) AS n FROM cell GROUP BY 1) b""",
+    f1="""SELECT avg(2 * hit / m) AS f1 FROM (SELECT k, sum(CASE WHEN t = k AND p = k THEN o ELSE 0 END) AS hit,
+          sum(CASE WHEN t = k THEN o ELSE 0 END) + sum(CASE WHEN p = k THEN o ELSE 0 END) AS m
+          FROM cell, (SELECT unnest(range(5)) AS k) GROUP BY 1) WHERE m > 0""",
+)
+_VIEW_AREAS = "\n UNION ALL ".join(
+    f"SELECT 'auroc_ge_{k}' AS metric, auroc AS value FROM ({auc_sql('SELECT * FROM gr', 'score', f'ordinal >= {k}')})"
+    for k in (1, 2, 3, 4)
+)
+
+
+@query(
+    "e17_classification_view",
+    cte("token_scores", **_FRAME, **_ISO, **_VIEW)
+    + f"""SELECT 'kappa' AS metric, 1 - sum((t - p) * (t - p) * o) / (SELECT e FROM chance) AS value FROM cell
+ UNION ALL SELECT 'accuracy', avg(CASE WHEN ordinal = grade THEN 1.0 ELSE 0.0 END) FROM gr
+ UNION ALL SELECT 'f1_macro', f1 FROM f1
+ UNION ALL SELECT 'mae_ordinal', avg(abs(ordinal - grade)) FROM gr
+ UNION ALL {_VIEW_AREAS}""",
+    "value",
+)
 def _(d: Data):
     frame = _frame(d)
     return D.classification_view(frame, frame)
