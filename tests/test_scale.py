@@ -1,5 +1,6 @@
 """The split path must give what the plain window gives, with one group holding most rows."""
 
+import itertools
 from contextlib import contextmanager
 
 import numpy as np
@@ -104,21 +105,22 @@ def test_slices_agree_on_targeting(spark, rows):
         assert np.allclose(plain[column], split[column])
 
 
-def test_random_ties_match_the_full_simulation(spark, rows):
+@pytest.mark.parametrize("class_rows", [4096, 40, 1])
+def test_random_ties_match_the_full_simulation(spark, rows, class_rows):
     import hashlib
 
     group = rows[rows.city == "big"].assign(tie=lambda d: d.ordinal // 3)
     got = decide.reached_with_random_ties(
-        spark.createDataFrame(group), ["city"], "tie", "reached", [0.2], tie_draws=4
-    ).toPandas()
-    total = 0.0
-    for draw in range(4):
+        spark.createDataFrame(group), ["city"], "tie", "reached", [0.2, 0.25], tie_draws=4, class_rows=class_rows
+    ).toPandas().sort_values("budget")
+    total = [0.0, 0.0]
+    for draw, k in itertools.product(range(4), range(2)):
         key = [hashlib.md5(f"0|{draw}|{c}".encode()).hexdigest() for c in group.cvegeo]
         order = group.assign(key=key).sort_values(["tie", "key"], ascending=[False, True])
         before = order.population.cumsum() - order.population
-        share = ((order.population.sum() * 0.2 - before) / order.population).clip(0, 1)
-        total += (order.population * share * (order.ordinal >= 3)).sum()
-    assert got.reached[0] == pytest.approx(total / 4)
+        share = ((order.population.sum() * (0.2, 0.25)[k] - before) / order.population).clip(0, 1)
+        total[k] += (order.population * share * (order.ordinal >= 3)).sum()
+    assert got.reached.tolist() == pytest.approx([t / 4 for t in total])
 
 
 def test_one_group_of_a_million_rows_is_split(spark, monkeypatch):

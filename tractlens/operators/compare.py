@@ -16,12 +16,11 @@ from tractlens.operators.scale import settled
 DEPRIVATION_SIGN = {"built_surface": -1, "built_height": -1, "population": -1, "nightlights": -1}
 
 
-def paired_comparison(base: DataFrame, other: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
-    """Difference of two `within` tables on shared municipalities, per unit."""
+def paired_comparison(within: DataFrame, base: str, other: str, resamples: int = RESAMPLES) -> DataFrame:
+    """Difference of two systems of a `within` table on shared municipalities, per unit."""
     keys = ["city", "municipality"]
-    merged = base.select(*keys, F.col("token").alias("token_base"), F.col("tract").alias("tract_base")).join(
-        other.select(*keys, F.col("token").alias("token_other"), F.col("tract").alias("tract_other")), keys
-    )
+    picked = {f"{u}_{role}": F.max(F.when(F.col("system") == name, F.col(u))) for u in ("token", "tract") for role, name in (("base", base), ("other", other))}
+    merged = within.where(F.col("system").isin(base, other)).groupBy(*keys).agg(*[c.alias(n) for n, c in picked.items()])
     pairs = merged.select(
         *keys,
         F.explode(
@@ -67,12 +66,21 @@ def product_comparison(
     resamples: int = RESAMPLES,
 ) -> DataFrame:
     """Map and product against the grade on the identical tracts, as one row."""
-    frame = table.where(F.col(proxy).isNotNull()).withColumn("_proxy", F.col(proxy))
+    fallback = F.lit(0) if fallback_count is None else (F.col(fallback_count) == 0).cast("long")
     keys = ["city", "municipality"]
-    theirs = spearman(frame, "_proxy", "ordinal", keys, min_rows=min_tracts, min_x_levels=2)
-    ours = spearman(frame, "score", "ordinal", keys, min_rows=min_tracts)
+    sides = F.array(
+        F.struct(F.lit("ours").alias("side"), F.col("score").cast("double").alias("value")),
+        F.struct(F.lit("theirs").alias("side"), F.col(proxy).cast("double").alias("value")),
+    )
+    frame = settled(
+        table.where(F.col(proxy).isNotNull()).select(*keys, "ordinal", fallback.alias("fallback"), F.explode(sides).alias("s"))
+    ).select(*keys, "ordinal", "fallback", "s.*")
+    rhos = spearman(frame, "value", "ordinal", ["side", *keys], min_rows=min_tracts)
     both = settled(
-        theirs.select(*keys, F.col("rho").alias("theirs")).join(ours.select(*keys, F.col("rho").alias("ours")), keys)
+        rhos.groupBy(*keys)
+        .agg(*[F.max(F.when(F.col("side") == side, F.col("rho"))).alias(side) for side in ("ours", "theirs")])
+        # a product with one value in a municipality says nothing there
+        .where(F.col("theirs").isNotNull())
     )
     long = both.select(
         *keys,
@@ -98,15 +106,16 @@ def product_comparison(
         pick("difference", "members").alias("municipalities"),
     )
     above = F.col("ordinal") >= high
-    fallback = F.lit(0) if fallback_count is None else (F.col(fallback_count) == 0).cast("long")
-    facts = frame.agg(F.count("*").alias("tracts"), F.sum(fallback).cast("long").alias("interior_fallback"))
+    ours = frame.where("side = 'ours'")
+    facts = ours.agg(F.count("*").alias("tracts"), F.sum("fallback").cast("long").alias("interior_fallback"))
+    areas = settled(auroc(frame, "value", above, ["side"]))
     return wide.select(
         "*",
         long.where("what = 'difference'").agg(F.sum((F.col("v") > 0).cast("long"))).scalar().alias("wins"),
         facts.select("tracts").scalar().alias("tracts"),
         facts.select("interior_fallback").scalar().alias("interior_fallback"),
-        auroc(frame, "score", above).scalar().alias("ours_auc_high"),
-        auroc(frame, "_proxy", above).scalar().alias("proxy_auc_high"),
+        areas.where("side = 'ours'").select("auroc").scalar().alias("ours_auc_high"),
+        areas.where("side = 'theirs'").select("auroc").scalar().alias("proxy_auc_high"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tractlens.functions.hashing import hash_order
@@ -25,6 +26,8 @@ DISCARD_STEPS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5)
 COVERAGE = 0.90
 BUDGETS = (0.05, 0.10, 0.20, 0.30)
 TIE_DRAWS = 200
+CLASS_ROWS = 4096
+"""Rows of a tie class that one task puts in order; larger ones are narrowed down first."""
 MAUP_BINS = ((1, 3), (4, 9), (10, 19), (20, 49), (50, None))
 
 
@@ -217,9 +220,12 @@ def classification_view(frame: DataFrame, calibration: DataFrame) -> DataFrame:
 
 def maup_curve(scores: DataFrame, truth: DataFrame, bins=MAUP_BINS, min_tracts: int = 10) -> DataFrame:
     """Within-municipality correlation by how many tokens a tract holds."""
-    seeds = scores.agg(F.countDistinct("seed")).scalar()
-    per_tract = scores.groupBy("city", "municipality", "cvegeo").agg(
-        F.avg("score").alias("score"), F.count("*").alias("rows")
+    per_seed = settled(
+        scores.groupBy("seed", "city", "municipality", "cvegeo").agg(F.sum("score").alias("s"), F.count("*").alias("rows"))
+    )
+    seeds = per_seed.agg(F.countDistinct("seed")).scalar()
+    per_tract = per_seed.groupBy("city", "municipality", "cvegeo").agg(
+        (F.sum("s") / F.sum("rows")).alias("score"), F.sum("rows").alias("rows")
     )
     table = (
         per_tract.withColumn("tokens", F.floor(F.col("rows") / seeds))
@@ -230,7 +236,7 @@ def maup_curve(scores: DataFrame, truth: DataFrame, bins=MAUP_BINS, min_tracts:
     for i, (low, high) in enumerate(bins):
         inside = F.col("tokens") >= low if high is None else F.col("tokens").between(low, high)
         bin_of = F.when(inside, F.lit(i)).otherwise(bin_of)
-    binned = table.withColumn("bin", bin_of).where(F.col("bin").isNotNull())
+    binned = settled(table.withColumn("bin", bin_of).where(F.col("bin").isNotNull()))
     rhos = spearman(binned, "score", "ordinal", ["bin", "municipality"], min_rows=min_tracts)
     lows = F.array(*[F.lit(b[0]) for b in bins])
     highs = F.array(*[F.lit(b[1]).cast("int") for b in bins])  # the last bin is open
@@ -309,31 +315,49 @@ def _funded(room: Column, before: Column) -> Column:
 
 
 def reached(
-    tracts: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    name: str,
-    budgets: Sequence[float] = BUDGETS,
+    tracts: DataFrame, group: Sequence[str], orders: dict[str, Sequence[str]], budgets: Sequence[float] = BUDGETS
 ) -> DataFrame:
-    """Deprived people reached by funding the top of an ordering, one row per group and budget."""
+    """Deprived people reached by funding the top of each ordering: a row per group and budget.
+
+    `orders` names one or two columns, largest first, for every result column; ties go by key. All
+    orderings are walked at once.
+    """
+    group = list(group)
+    laid = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("_order"),
+                F.col(columns[0]).cast("double").alias("_o1"),
+                (F.col(columns[1]).cast("double") if len(columns) > 1 else F.lit(0.0)).alias("_o2"),
+            )
+            for name, columns in orders.items()
+        ]
+    )
+    long = tracts.select(*group, "cvegeo", "ordinal", "population", F.explode(laid).alias("_l")).select(
+        *group, "cvegeo", "ordinal", "population", "_l.*"
+    )
     walked = running_totals(
-        tracts, group, order, {"_cum": F.col("population")}, {"_all": F.col("population")}
+        long,
+        ["_order", *group],
+        [F.col("_o1").desc(), F.col("_o2").desc(), F.col("cvegeo").asc()],
+        {"_cum": F.col("population")},
+        {"_all": F.col("population")},
     )
-    deprived = F.when(F.col("ordinal") >= HIGH, F.col("population")).otherwise(0.0)
     before = F.col("_cum") - F.col("population")
     per_budget = [
-        F.struct(
-            F.lit(float(b)).alias("budget"),
-            F.sum(deprived * _funded(F.col("_all") * b, before)).alias("reached"),
-        )
+        F.struct(F.lit(float(b)).alias("budget"), F.sum(_deprived() * _funded(F.col("_all") * b, before)).alias("reached"))
         for b in budgets
     ]
-    wide = walked.groupBy(*group).agg(F.array(*per_budget).alias("_b"))
-    return wide.select(*group, F.explode("_b").alias("_b")).select(
-        *group, F.col("_b.budget").alias("budget"), F.col("_b.reached").alias(name)
+    wide = walked.groupBy(*group, "_order").agg(F.array(*per_budget).alias("_b")).select(*group, "_order", F.explode("_b").alias("_b"))
+    return wide.groupBy(*group, F.col("_b.budget").alias("budget")).agg(
+        *[F.max(F.when(F.col("_order") == name, F.col("_b.reached"))).alias(name) for name in orders]
     )
 
 
+def _deprived() -> Column:
+    return F.when(F.col("ordinal") >= HIGH, F.col("population")).otherwise(0.0)
+
+
 def reached_with_random_ties(
     tracts: DataFrame,
     group: Sequence[str],
@@ -342,47 +366,79 @@ def reached_with_random_ties(
     budgets: Sequence[float] = BUDGETS,
     tie_draws: int = TIE_DRAWS,
     seed: int = 0,
+    class_rows: int = CLASS_ROWS,
 ) -> DataFrame:
     """The same for an ordering with large ties, averaged over random orders inside them.
 
-    Tie classes wholly inside or outside the budget do not depend on the draw. Only the class
-    the budget ends in is drawn, so the draws multiply one class per budget and not the table.
+    Tie classes wholly inside or outside a budget do not depend on the draw. Only a class that a
+    budget ends in is drawn, once for all budgets that end in it. A row's place in a draw is a hash;
+    where a class holds more than `class_rows` rows, histograms of the hash, two digits at a time,
+    narrow down where each budget ends, and only rows with that beginning are put in order.
     """
     group = list(group)
-    deprived = F.when(F.col("ordinal") >= HIGH, F.col("population")).otherwise(0.0)
     classes = tracts.groupBy(*group, tie).agg(
-        F.sum("population").alias("_pop"), F.sum(deprived).alias("_dep")
+        F.sum("population").alias("_pop"), F.sum(_deprived()).alias("_dep"), F.count("*").alias("_rows")
     )
     walked = running_totals(
         classes, group, [F.col(tie).desc()], {"_cum": F.col("_pop")}, {"_all": F.col("_pop")}
     )
-    laid = walked.withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets]))).withColumn(
-        "_room", F.col("_all") * F.col("budget") - (F.col("_cum") - F.col("_pop"))
+    laid = settled(
+        walked.withColumn("budget", F.explode(F.array(*[F.lit(float(b)) for b in budgets]))).withColumn(
+            "_room", F.col("_all") * F.col("budget") - (F.col("_cum") - F.col("_pop"))
+        )
     )
     whole = laid.groupBy(*group, "budget").agg(
         F.sum(F.when(F.col("_room") >= F.col("_pop"), F.col("_dep")).otherwise(0.0)).alias("_whole")
     )
-    edge = laid.where((F.col("_room") > 0) & (F.col("_room") < F.col("_pop"))).select(
-        *group, tie, "budget", "_room"
-    )
+    edge = laid.where((F.col("_room") > 0) & (F.col("_room") < F.col("_pop")))
+    largest = edge.agg(F.max("_rows")).first()[0] or 0
+    draw = F.explode(F.sequence(F.lit(0), F.lit(tie_draws - 1))).alias("_draw")
+    here = [*group, tie, "_draw"]
     drawn = (
-        tracts.join(edge, [*group, tie])
-        .withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(tie_draws - 1))))
+        tracts.select(*group, tie, "cvegeo", "population", _deprived().alias("_dep"))
+        .join(edge.select(*group, tie).distinct(), [*group, tie])
+        .select("*", draw)
         .withColumn("_key", hash_order(seed, F.col("_draw"), F.col("cvegeo")))
     )
-    inside = running_totals(
-        drawn,
-        [*group, "budget", "_draw"],
-        [F.col("_key").asc(), F.col("cvegeo").asc()],
-        {"_cum": F.col("population")},
-    )
-    part = inside.groupBy(*group, "budget").agg(
-        (
-            F.sum(deprived * _funded(F.col("_room"), F.col("_cum") - F.col("population")))
-            / F.lit(float(tie_draws))
-        ).alias("_part")
+    open_cuts = edge.select(*group, tie, "budget", "_room", F.lit("").alias("_prefix"), draw)
+    parts = []
+    digits = 0
+    while largest > class_rows:
+        digits, largest = digits + 2, largest / 256
+        cuts = settled(open_cuts)
+        bins = (
+            drawn.withColumn("_prefix", F.substring("_key", 1, digits - 2))
+            .join(cuts.select(*here, "_prefix").distinct(), [*here, "_prefix"], "left_semi")
+            .groupBy(*here, "_prefix", F.substring("_key", 1, digits).alias("_next"))
+            .agg(F.sum("population").alias("_p"), F.sum("_dep").alias("_d"))
+        )
+        # at most 256 bins below a prefix
+        below = W.partitionBy(*here, "_prefix").orderBy("_next").rowsBetween(W.unboundedPreceding, W.currentRow)
+        met = settled(
+            bins.withColumn("_before", F.sum("_p").over(below) - F.col("_p")).join(cuts, [*here, "_prefix"])
+        )
+        inside = F.col("_before") + F.col("_p") <= F.col("_room")
+        parts.append(met.where(inside).select(*group, "budget", F.col("_d").alias("_part")))
+        open_cuts = met.where(~inside & (F.col("_before") < F.col("_room"))).select(
+            *group, tie, "budget", (F.col("_room") - F.col("_before")).alias("_room"), F.col("_next").alias("_prefix"), "_draw"
+        )
+    cuts = settled(open_cuts) if digits else open_cuts
+    last = drawn.withColumn("_prefix", F.substring("_key", 1, digits))
+    if digits:
+        last = last.join(cuts.select(*here, "_prefix").distinct(), [*here, "_prefix"], "left_semi")
+    # about `class_rows` rows at most
+    inside = W.partitionBy(*here, "_prefix").orderBy("_key", "cvegeo").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ordered = last.withColumn("_before", F.sum("population").over(inside) - F.col("population"))
+    parts.append(
+        ordered.join(cuts, [*here, "_prefix"]).select(
+            *group, "budget", (F.col("_dep") * _funded(F.col("_room"), F.col("_before"))).alias("_part")
+        )
     )
-    return whole.join(part, [*group, "budget"], "left").select(
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    drawn_mean = every.groupBy(*group, "budget").agg((F.sum("_part") / F.lit(float(tie_draws))).alias("_part"))
+    return whole.join(drawn_mean, [*group, "budget"], "left").select(
         *group, "budget", (F.col("_whole") + F.coalesce("_part", F.lit(0.0))).alias(name)
     )
 
@@ -401,10 +457,9 @@ def targeting(
     """Census, map and aggregate allocators per group and budget, with the gap closed."""
     keys = [*group, "budget"]
     table = settled(with_stats(tracts, ["municipality"], F.avg("ordinal").alias("aggregate_score")))
-    oracle = reached(table, group, [F.col("ordinal").desc(), F.col("cvegeo").asc()], "oracle", budgets)
-    by_map = reached(table, group, [F.col("score").desc(), F.col("cvegeo").asc()], "map", budgets)
+    known = reached(table, group, {"oracle": ["ordinal"], "map": ["score"]}, budgets)
     aggregate = reached_with_random_ties(table, group, "aggregate_score", "aggregate", budgets, tie_draws)
-    return _gap(oracle.join(by_map, keys).join(aggregate, keys))
+    return _gap(known.join(aggregate, keys))
 
 
 def pooled_gap(cells: DataFrame) -> DataFrame:
@@ -441,10 +496,9 @@ def targeting_by_municipality(
         F.countDistinct("cvegeo").alias("tracts"), F.min("ordinal").alias("a"), F.max("ordinal").alias("b")
     ).where((F.col("tracts") >= min_tracts) & (F.col("a") < F.col("b")))
     table = settled(tracts.join(good.select(*keys, "tracts"), keys).withColumn("_flat", F.lit(0)))
-    oracle = reached(table, keys, [F.col("ordinal").desc(), F.col("cvegeo").asc()], "oracle", budgets)
-    by_map = reached(table, keys, [F.col("score").desc(), F.col("cvegeo").asc()], "map", budgets)
+    known = reached(table, keys, {"oracle": ["ordinal"], "map": ["score"]}, budgets)
     aggregate = reached_with_random_ties(table, keys, "_flat", "aggregate", budgets, tie_draws)
-    joined = oracle.join(by_map, [*keys, "budget"]).join(aggregate, [*keys, "budget"])
+    joined = known.join(aggregate, [*keys, "budget"])
     return _gap(joined.join(table.groupBy(*keys).agg(F.max("tracts").alias("tracts")), keys))
 
 
@@ -453,14 +507,9 @@ def targeting_national(
 ) -> DataFrame:
     """One national budget spent by four orderings."""
     table = settled(with_stats(tracts, ["municipality"], F.avg("ordinal").alias("aggregate_score")))
-    last = F.col("cvegeo").asc()
-    census = reached(table, [], [F.col("ordinal").desc(), last], "census", budgets)
-    by_map = reached(table, [], [F.col("score").desc(), last], "map", budgets)
-    both = reached(
-        table, [], [F.col("aggregate_score").desc(), F.col("score").desc(), last], "aggregate_then_map", budgets
-    )
+    orders = {"aggregate_then_map": ["aggregate_score", "score"], "map": ["score"], "census": ["ordinal"]}
     aggregate = reached_with_random_ties(table, [], "aggregate_score", "aggregate", budgets, tie_draws)
-    joined = aggregate.join(both, "budget").join(by_map, "budget").join(census, "budget")
+    joined = aggregate.join(reached(table, [], orders, budgets), "budget")
     gap = F.col("census") - F.col("aggregate")
     return joined.select(
         "*",

@@ -34,26 +34,41 @@ def spearman(
     Groups below `min_rows` or with a single value of `y` are left out; a constant `x` gives null.
     """
     group = list(group)
+    return _rank_correlation(ranked_cells(df, x, y, group, weight), group, min_rows, min_x_levels)
+
+
+def ranked_cells(df: DataFrame, x: str, y: str, group: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Counts `_c` of distinct (`_x`, `_y`) with the average-tie ranks `_r_x`, `_r_y` of both sides.
+
+    Both sides are ranked in one walk.
+    """
+    group = list(group)
     size = F.lit(1) if weight is None else F.col(weight)
-    cells = (
+    cells = settled(
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*group, F.col(x).alias("_x"), F.col(y).alias("_y"))
         .agg(F.sum(size).cast("long").alias("_c"))
     )
-    cells = settled(cells)
-    # both sides are ranked in one walk
     sides = F.explode(F.array(*[F.struct(F.lit(v).alias("_side"), F.col(v).cast("double").alias("_v")) for v in ("_x", "_y")]))
     counts = (
         cells.select(*group, "_c", sides.alias("_s"))
         .groupBy(*group, F.col("_s._side").alias("_side"), F.col("_s._v").alias("_v"))
         .agg(F.sum("_c").alias("_k"))
     )
-    ranks = settled(mid_ranks(counts, [*group, "_side"], "_v", "_k", "_r").drop("_k"))
+    ranks = mid_ranks(counts, [*group, "_side"], "_v", "_k", "_r").drop("_k")
     ranked = cells
     for v in ("_x", "_y"):
         side = ranks.where(F.col("_side") == v).select(*group, F.col("_v").alias(f"_v{v}"), F.col("_r").alias(f"_r{v}"))
         ranked = ranked.withColumn(f"_v{v}", F.col(v).cast("double")).join(side, [*group, f"_v{v}"])
-    return _rank_correlation(ranked, group, min_rows, min_x_levels)
+    return ranked
+
+
+def auroc_of_ranks(positive: Column) -> Column:
+    """Area under the curve of `_x` in ranked cells, as an aggregate; null where a class is empty."""
+    c = F.col("_c").cast("double")
+    hits, rest = F.sum(F.when(positive, c).otherwise(0.0)), F.sum(F.when(positive, 0.0).otherwise(c))
+    ranks = F.sum(F.when(positive, c * F.col("_r_x")).otherwise(0.0))
+    return F.when((hits > 0) & (rest > 0), (ranks - hits * (hits + 1) / 2.0) / (hits * rest))
 
 
 def _rank_correlation(ranked: DataFrame, group: list[str], min_rows: int, min_x_levels: int) -> DataFrame:
@@ -251,18 +266,33 @@ def tract_seed_table(scores: DataFrame) -> DataFrame:
     )
 
 
-def within(scores: DataFrame, grades: DataFrame) -> DataFrame:
-    """Per municipality: rank correlation of token and of tract scores with the grade."""
-    tokens = token_means(scores).join(grades.select("cvegeo", "ordinal"), "cvegeo").where("ordinal IS NOT NULL")
-    keys = ["city", "municipality"]
-    token = spearman(tokens, "score", "ordinal", keys, min_rows=MIN_TOKENS).select(
-        *keys, F.col("rho").alias("token")
-    )
+def within(scores: DataFrame, grades: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per municipality: rank correlation of token and of tract scores with the grade.
+
+    `by` names further columns of `scores`, such as the map a score comes from; all are ranked in
+    the same walk.
+    """
+    keys = [*by, "city", "municipality"]
+    means = scores.groupBy(*keys, "cvegeo", "y0", "x0").agg(F.avg("score").alias("score"))
+    tokens = settled(means.join(grades.select("cvegeo", "ordinal"), "cvegeo").where("ordinal IS NOT NULL"))
     tracts = tokens.groupBy(*keys, "cvegeo").agg(F.avg("score").alias("score"), F.max("ordinal").alias("ordinal"))
-    tract = spearman(tracts, "score", "ordinal", keys, min_rows=MIN_TRACTS).select(
-        *keys, F.col("rho").alias("tract")
+    columns = [*keys, "score", "ordinal"]
+    both = tokens.select(F.lit("token").alias("unit"), *columns).unionByName(
+        tracts.select(F.lit("tract").alias("unit"), *columns)
+    )
+    rhos = spearman(both, "score", "ordinal", ["unit", *keys])
+    token = (F.col("unit") == "token") & (F.col("n") >= MIN_TOKENS)
+    tract = (F.col("unit") == "tract") & (F.col("n") >= MIN_TRACTS)
+    return (
+        rhos.groupBy(*keys)
+        .agg(
+            F.max(F.when(token, F.col("rho"))).alias("token"),
+            F.max(F.when(tract, F.col("rho"))).alias("tract"),
+            F.max(token).alias("_measured"),
+        )
+        .where("_measured")
+        .drop("_measured")
     )
-    return token.join(tract, keys, "left")
 
 
 def evaluate_map(tokens: DataFrame, bag_shares: DataFrame) -> DataFrame:
@@ -284,26 +314,48 @@ def evaluate_map(tokens: DataFrame, bag_shares: DataFrame) -> DataFrame:
         "ordinal",
         F.aggregate("shares", F.lit(0.0), lambda a, p: a + p).alias("score"),
     )
-    per_bag = spearman(scored, "score", "ordinal", ["municipality"], min_rows=MIN_TOKENS)
     tracts = scored.groupBy("municipality", "cvegeo").agg(
         F.avg("score").alias("score"), F.max("ordinal").alias("ordinal")
     )
-    # a bag enters the tract figure only if it entered the token figure
-    per_tract = spearman(
-        tracts.join(per_bag.select("municipality"), "municipality", "left_semi"),
-        "score",
-        "ordinal",
-        ["municipality"],
-        min_rows=MIN_TRACTS,
+    # tokens by bag, tracts by bag and all tokens are ranked in one walk
+    columns = ["municipality", "score", "ordinal"]
+    long = (
+        scored.select(F.lit("bag").alias("unit"), *columns)
+        .unionByName(tracts.select(F.lit("tract").alias("unit"), *columns))
+        .unionByName(scored.select(F.lit("all").alias("unit"), F.lit("").alias("municipality"), "score", "ordinal"))
+    )
+    keys = ["unit", "municipality"]
+    cells = settled(ranked_cells(long, "score", "ordinal", keys))
+    rhos = _rank_correlation(cells, keys, 2, 1)
+    is_bag = (F.col("unit") == "bag") & (F.col("n") >= MIN_TOKENS)
+    is_tract = (F.col("unit") == "tract") & (F.col("n") >= MIN_TRACTS)
+    per_bag = rhos.groupBy("municipality").agg(
+        F.max(F.when(is_bag, F.col("rho"))).alias("bag"),
+        F.max(is_bag).alias("bag_scored"),
+        F.max(F.when(is_tract, F.col("rho"))).alias("tract"),
+        # a bag enters the tract figure only if it entered the token figure
+        (F.max(is_bag) & F.max(is_tract)).alias("tract_scored"),
+        F.max(F.when(F.col("unit") == "all", F.col("rho"))).alias("pooled"),
+    )
+    summary = per_bag.agg(
+        F.max("pooled").alias("spearman_pooled"),
+        F.avg("bag").alias("spearman_within"),
+        F.avg(F.when(F.col("tract_scored"), F.col("tract"))).alias("spearman_within_tract"),
+        F.count_if("bag_scored").alias("bags_scored"),
+        F.count_if("tract_scored").alias("bags_scored_tract"),
+    )
+    whole = cells.where("unit = 'all'").agg(
+        auroc_of_ranks(F.col("_y") >= HIGH).alias("auroc_high"), F.coalesce(F.sum("_c"), F.lit(0)).alias("instances")
     )
-    return scored.agg(F.count("*").alias("instances")).select(
-        mae.scalar().alias("bag_mae"),
-        auroc(scored, "score", F.col("ordinal") >= HIGH).scalar().alias("auroc_high"),
-        spearman(scored, "score", "ordinal").select("rho").scalar().alias("spearman_pooled"),
-        per_bag.agg(F.avg("rho")).scalar().alias("spearman_within"),
-        per_tract.agg(F.avg("rho")).scalar().alias("spearman_within_tract"),
-        per_bag.agg(F.count("*")).scalar().alias("bags_scored"),
-        per_tract.agg(F.count("*")).scalar().alias("bags_scored_tract"),
+    # three tables of one row
+    return mae.crossJoin(whole).crossJoin(summary).select(
+        "bag_mae",
+        "auroc_high",
+        "spearman_pooled",
+        "spearman_within",
+        "spearman_within_tract",
+        "bags_scored",
+        "bags_scored_tract",
         "instances",
     )
 

@@ -12,7 +12,9 @@ from tractlens.plans.data import Data, cte
 from tractlens.plans.ranks import _SEEDS, auc_sql, draws_sql, rho_sql
 from tractlens.plans.registry import query
 
-TIES = 21
+TIES = D.TIE_DRAWS
+# means of 200 draws of money in hundredths fall on a grid that lies between the steps of fewer digits
+MONEY_DIGITS = 7
 _BUD = "(SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE]) AS budget)"
 
 
@@ -49,7 +51,7 @@ def _cells(d: Data):
     return D.targeting(d.tract_scores(), tie_draws=TIES)
 
 
-@query("e20_targeting_cells", cte("tract_scores", **_TARGET) + "SELECT * FROM cells", _FLOATS, 5)
+@query("e20_targeting_cells", cte("tract_scores", **_TARGET) + "SELECT * FROM cells", _FLOATS, MONEY_DIGITS)
 def _(d: Data):
     return _cells(d)
 
@@ -57,7 +59,7 @@ def _(d: Data):
 _POOL = "SELECT budget, aggregate, map, oracle, (map - aggregate) / (oracle - aggregate) AS gap_closed FROM (SELECT budget, sum(aggregate) AS aggregate, sum(map) AS map, sum(oracle) AS oracle FROM {} GROUP BY 1)"
 
 
-@query("e21_targeting_pooled", cte("tract_scores", **_TARGET) + _POOL.format("cells"), _FLOATS, 5)
+@query("e21_targeting_pooled", cte("tract_scores", **_TARGET) + _POOL.format("cells"), _FLOATS, MONEY_DIGITS)
 def _(d: Data):
     return D.pooled_gap(_cells(d))
 
@@ -82,7 +84,7 @@ def _(d: Data):
     )
     + _POOL.format("sub"),
     _FLOATS,
-    5,
+    MONEY_DIGITS,
 )
 def _(d: Data):
     return D.pooled_gap(D.in_several_municipalities(_cells(d), d.tokens()))
@@ -101,7 +103,7 @@ _MUNI = dict(
 )
 
 
-@query("e22_targeting_by_municipality", cte("tract_scores", **_MUNI) + "SELECT * FROM cells", _FLOATS, 5)
+@query("e22_targeting_by_municipality", cte("tract_scores", **_MUNI) + "SELECT * FROM cells", _FLOATS, MONEY_DIGITS)
 def _(d: Data):
     return D.targeting_by_municipality(d.tract_scores(), tie_draws=TIES)
 
@@ -113,7 +115,7 @@ def _(d: Data):
  (proportional_map - proportional_aggregate) / (proportional_census - proportional_aggregate) AS gap_closed_proportional
  FROM (SELECT budget, sum(aggregate) AS proportional_aggregate, sum(map) AS proportional_map, sum(oracle) AS proportional_census FROM cells GROUP BY 1)""",
     "proportional_aggregate proportional_map proportional_census gap_closed_proportional",
-    5,
+    MONEY_DIGITS,
 )
 def _(d: Data):
     return D.proportional_budget(D.targeting_by_municipality(d.tract_scores(), tie_draws=TIES))
@@ -132,7 +134,7 @@ def _(d: Data):
     + """SELECT budget, aggregate, aggregate_then_map, map, census, (aggregate_then_map - aggregate) / (census - aggregate) AS gap_closed_aggregate_then_map,
  (map - aggregate) / (census - aggregate) AS gap_closed_map FROM c JOIN m USING (budget) JOIN b USING (budget) JOIN g USING (budget)""",
     "aggregate aggregate_then_map map census gap_closed_aggregate_then_map gap_closed_map",
-    5,
+    MONEY_DIGITS,
 )
 def _(d: Data):
     return D.targeting_national(d.tract_scores(), tie_draws=TIES)
@@ -419,11 +421,11 @@ def _(d: Data):
     "base_within other_within difference ci_low ci_high",
 )
 def _(d: Data):
-    return C.paired_comparison(
-        R.within(d.tokens().drop("ordinal"), d.tracts()),
-        R.within(d.token_scores().drop("ordinal"), d.tracts()),
-        2000,
+    columns = ["city", "municipality", "cvegeo", "y0", "x0", "score"]
+    both = d.tokens().select(F.lit("base").alias("system"), *columns).unionByName(
+        d.token_scores().select(F.lit("other").alias("system"), *columns)
     )
+    return C.paired_comparison(R.within(both, d.tracts(), ["system"]), "base", "other", 2000)
 
 
 _PROD = dict(
