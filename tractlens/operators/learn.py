@@ -8,29 +8,32 @@ is shuffled and the driver only ever holds the weights.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tractlens.functions.hashing import hash_number
+from tractlens.operators import boost
 from tractlens.operators.labels import HIGH, inverse_frequency
 from tractlens.operators.ranks import MIN_TOKENS, auroc, ordinal_metrics, spearman
 from tractlens.operators.resample import metric_bootstrap
+from tractlens.operators.scale import settled
 from tractlens.operators.splits import cities_of, standardise_by_group
 from tractlens.operators.tokens import window_tokens
 from tractlens.operators.zonal import CLASSES
 
 THRESHOLDS = 4
+GRADES = 5
+MEASURES = ("kappa", "accuracy", "f1_macro", "spearman", "mae_ordinal")
 HEADS = ("independent", "shared", "softmax")
 DENSITY = ("mean", "std", "p10", "p50", "p90", "iqr")
 TEXTURES = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "entropy", "anisotropy")
@@ -318,87 +321,130 @@ def columns_of_set(columns: Sequence[str], name: str) -> list[str]:
     return sorted(found)
 
 
-def _stratified_draw(train: DataFrame, test: DataFrame, key: str, seed: int) -> DataFrame:
-    """A class drawn in proportion to the training counts, by a hash of the key."""
-    counts = [0] * 5
-    for row in train.groupBy("ordinal").count().collect():  # five rows
-        counts[row["ordinal"]] = row["count"]
-    edges = np.cumsum(counts) / max(sum(counts), 1)
-    u = hash_number(seed, F.col(key)) / float(2**32)
-    drawn = F.lit(4)
-    for k in range(3, -1, -1):
-        drawn = F.when(u < float(edges[k]), F.lit(k)).otherwise(drawn)
-    return test.withColumn("prediction", drawn.cast("int")).withColumn("score", F.col("prediction").cast("double"))
-
-
-def predict(model: str, train: DataFrame, test: DataFrame, columns: list[str], key: str = "cvegeo", rounds: int = 20, seed: int = 0) -> DataFrame:
-    """Adds `prediction` (0..4) and a `score` that orders, from one of four models."""
-    if model == "majority":
-        top = train.groupBy("ordinal").agg(F.count("*").alias("n")).agg(
-            F.min_by("ordinal", F.struct((-F.col("n")).alias("n"), "ordinal"))
-        )
-        return test.withColumn("prediction", top.scalar()).withColumn("score", F.col("prediction").cast("double"))
-    if model == "random":
-        return _stratified_draw(train, test, key, seed)
-    assembler = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
-    filled_train, filled_test = (assembler.transform(t.fillna(0.0, subset=columns)) for t in (train, test))
-    if model == "regressor":
-        fitted = GBTRegressor(labelCol="ordinal", maxIter=rounds, maxDepth=4, seed=seed).fit(filled_train)
-        raw = fitted.transform(filled_test).withColumnRenamed("prediction", "score")
-        hard = F.least(F.greatest(F.bround("score"), F.lit(0.0)), F.lit(4.0)).cast("int")
-        return raw.withColumn("prediction", hard).select(*test.columns, "prediction", "score")
-    if model == "classifier":
-        fitted = RandomForestClassifier(labelCol="ordinal", numTrees=rounds, maxDepth=6, seed=seed).fit(filled_train)
-        p = fitted.transform(filled_test).withColumn("_p", vector_to_array("probability"))
-        order = F.aggregate(F.transform("_p", lambda v, k: v * k), F.lit(0.0), lambda a, v: a + v)
-        return p.withColumn("score", order).withColumn("prediction", F.col("prediction").cast("int")).select(
-            *test.columns, "prediction", "score"
-        )
-    raise KeyError(f"unknown model {model!r}")
+def blind_predictions(table: DataFrame, key: str = "cvegeo", group: str = "city", seed: int = 0) -> DataFrame:
+    """What two models that see no feature say of each group, from the other groups' grades.
+
+    `majority` gives their most frequent grade, `random` draws by their shares with a hash of the key.
+    Rows: model, group, ordinal, prediction.
+    """
+    known = table.where(F.col("ordinal").isNotNull())
+    # one row per group and grade
+    cells = known.groupBy(group).agg(*[F.count_if(F.col("ordinal") == k).alias(f"n{k}") for k in range(GRADES)])
+    totals = cells.agg(*[F.sum(f"n{k}").alias(f"t{k}") for k in range(GRADES)])
+    others = cells.crossJoin(totals).select(group, *[(F.col(f"t{k}") - F.col(f"n{k}")).alias(f"o{k}") for k in range(GRADES)])
+    counts = [F.col(f"o{k}") for k in range(GRADES)]
+    size = sum(counts[1:], counts[0])
+    top = F.greatest(*counts)
+    majority = F.coalesce(*[F.when(counts[k] == top, k) for k in range(GRADES)])
+    u = hash_number(seed, F.col(key)) / float(2**32) * size
+    drawn, edge = F.lit(0), F.lit(0)
+    for k in range(GRADES - 1):
+        edge = edge + counts[k]
+        drawn = drawn + (u >= edge).cast("int")
+    both = F.array(
+        F.struct(F.lit("majority").alias("model"), majority.alias("prediction")),
+        F.struct(F.lit("random").alias("model"), drawn.alias("prediction")),
+    )
+    # groups without others have nothing to learn from
+    return known.join(others.where(size > 0), group).select(group, "ordinal", F.explode(both).alias("m")).select(
+        "m.model", group, "ordinal", "m.prediction"
+    )
+
+
+def fold_metrics(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ordinal metrics and rank correlation of every fold."""
+    rho = spearman(predictions, "ordinal", "prediction", keys).select(*keys, F.col("rho").alias("spearman"))
+    return ordinal_metrics(predictions, "ordinal", "prediction", keys).join(rho, list(keys), "left")
 
 
 def leave_one_city_out(
-    table: DataFrame, cities: Sequence[str], sets: Sequence[str], models: Sequence[str], *, standardise: bool = False, rounds: int = 20
+    table: DataFrame,
+    sets: Sequence[str] = ("cover", "intensity", "texture", "all"),
+    kinds: Sequence[str] = ("classifier", "regressor"),
+    *,
+    blind: bool = True,
+    standardise: bool = False,
+    key: str = "cvegeo",
+    **options,
 ) -> DataFrame:
-    """Metrics of every set, model and held-out city; blind models run once, without a set."""
-    predictions = None
-    for name in sets:
-        columns = columns_of_set(table.columns, name)
-        base = standardise_by_group(table, columns) if standardise else table
-        for model in models:
-            blind = model in ("random", "majority")
-            if blind and name != sets[0]:
-                continue
-            for city in cities:
-                test, train = base.where(F.col("city") == city), base.where(F.col("city") != city)
-                part = predict(model, train, test, columns, rounds=rounds).select(
-                    F.lit("none" if blind else name).alias("feature_set"),
-                    F.lit(model).alias("model"),
-                    F.lit(city).alias("test_city"),
-                    "ordinal",
-                    "prediction",
-                )
-                predictions = part if predictions is None else predictions.unionByName(part)
-    keys = ["feature_set", "model", "test_city"]
-    rho = spearman(predictions, "ordinal", "prediction", keys).select(*keys, F.col("rho").alias("spearman"))
-    return ordinal_metrics(predictions, "ordinal", "prediction", keys).join(rho, keys, "left")
+    """Metrics of every feature set, model and held-out city, one row each.
+
+    The boosted models of all sets, kinds and cities grow in the same passes; missing features stay
+    missing. `options` go to `boost.fit`.
+    """
+    known = table.where(F.col("ordinal").isNotNull())
+    chosen = {name: tuple(columns_of_set(table.columns, name)) for name in sets}
+    features = sorted({c for columns in chosen.values() for c in columns})
+    base = settled(standardise_by_group(known, features) if standardise else known)
+    # a model per city is asked for, so cities are few
+    cities = sorted(r["city"] for r in base.select("city").distinct().collect() if r["city"] is not None)
+    tasks, held = [], []
+    for name, kind, city in itertools.product(sets, kinds, cities if len(cities) > 1 else []):
+        tasks.append(boost.Task(name, kind, chosen[name], frozenset(cities) - {city}))
+        held.append(frozenset({city}))
+    edges = boost.bin_edges(base, features)
+    ensembles = boost.fit(base, "city", "ordinal", tasks, edges, **options)
+    names = F.array(*[F.struct(F.lit(t.feature_set).alias("feature_set"), F.lit(t.kind).alias("model"), F.lit(len(t.features)).alias("n_features")) for t in tasks])
+    predictions = boost.predict(base.select("city", "ordinal", *features), "city", ensembles, held, edges).select(
+        names[F.col("task")].alias("t"), "city", "ordinal", "prediction"
+    ).select("t.*", "city", "ordinal", "prediction")
+    if blind:
+        unseen = blind_predictions(base, key).select(
+            F.lit("none").alias("feature_set"), "model", F.lit(0).alias("n_features"), "city", "ordinal", "prediction"
+        )
+        predictions = predictions.unionByName(unseen)
+    keys = ["feature_set", "model", "n_features", "test_city"]
+    folds = fold_metrics(settled(predictions.withColumnRenamed("city", "test_city")), keys)
+    whole = base.agg(F.count("*")).scalar()
+    return folds.select(*keys[:2], "test_city", "n_features", (whole - F.col("n")).alias("n_train"), F.col("n").alias("n_test"), *MEASURES)
 
 
 def fold_summary(detail: DataFrame) -> DataFrame:
-    """Mean over folds, three decimals."""
-    names = ("kappa", "accuracy", "f1_macro", "spearman", "mae_ordinal")
-    return detail.groupBy("feature_set", "model").agg(*[F.bround(F.avg(n), 3).alias(n) for n in names])
+    """Means over the folds, to three decimals, best kappa first."""
+    means = {m: F.bround(F.avg(m), 3) for m in MEASURES}
+    return detail.groupBy("feature_set", "model").agg(*[v.alias(m) for m, v in means.items()]).orderBy(F.desc("kappa"), "feature_set", "model")
 
 
 def evaluate_partition(
-    table: DataFrame, partition: DataFrame, name: str, model: str, measure_on: str = "test", resamples: int = 400, rounds: int = 20
+    table: DataFrame,
+    partition: DataFrame,
+    name: str,
+    kind: str,
+    measure_on: str = "test",
+    *,
+    resamples: int = 400,
+    **options,
 ) -> DataFrame:
-    """Trains on the training cities, measures elsewhere; intervals by whole cities."""
+    """Trains on the training cities, measures on `val` or `test` ones.
+
+    One row per metric: its value, and for those that a resample of cities can be measured on, the
+    interval; beside it the numbers of rows and cities.
+    """
+    if measure_on not in ("val", "test"):
+        raise KeyError(f"cannot measure on {measure_on!r}")
     columns = columns_of_set(table.columns, name)
-    train = table.join(cities_of(partition, "train"), "city", "left_semi")
-    measured = table.join(cities_of(partition, measure_on), "city", "left_semi")
-    predicted = predict(model, train, measured, columns, rounds=rounds).persist()
-    return metric_bootstrap(predicted, "city", "ordinal", "prediction", "score", resamples=resamples)
+    split = {s: frozenset(r["city"] for r in cities_of(partition, s).collect()) for s in ("train", measure_on)}
+    base = settled(table.where(F.col("ordinal").isNotNull() & F.col("city").isin(*split["train"], *split[measure_on])))
+    task = boost.Task(name, kind, tuple(columns), split["train"])
+    edges = boost.bin_edges(base.where(F.col("city").isin(*split["train"])), columns)
+    ensembles = boost.fit(base, "city", "ordinal", [task], edges, **options)
+    measured = settled(boost.predict(base, "city", ensembles, [split[measure_on]], edges))
+    sizes = [base.where(F.col("city").isin(*split[s])).count() for s in ("train", measure_on)]
+    if not all(sizes):
+        raise ValueError(f"{sizes[0]} training rows and {sizes[1]} of {measure_on}: the partition and the table share no cities")
+    ends = metric_bootstrap(
+        measured, "city", "ordinal", "prediction", "score", probabilities="probabilities", resamples=resamples
+    )
+    points = ordinal_metrics(measured, "ordinal", "prediction")
+    bare = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "f1_macro", "mae_ordinal")])
+    none = F.lit(None).cast("double")
+    extra = points.select(F.explode(bare).alias("m")).select("m.*", none.alias("ci_low"), none.alias("ci_high"))
+    return ends.unionByName(extra).select(
+        "*",
+        F.lit(sizes[0]).alias("n_train"),
+        F.lit(sizes[1]).alias("n_measured"),
+        F.lit(len(split[measure_on])).alias("cities_measured"),
+    )
 
 
 # ---- encoder slot -------------------------------------------------------------------------

@@ -8,13 +8,17 @@ task redraws the same ones.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tractlens.functions.hashing import hash_index
-from tractlens.operators.ranks import auroc_cumulative, auroc_one_vs_rest, kappa_of_sums, spearman
+from tractlens.operators.ranks import kappa_of_sums, ordinal_sums, spearman
 from tractlens.operators.scale import numbered_of, settled
 
 RESAMPLES = 2000
@@ -123,6 +127,83 @@ def row_bootstrap(values: DataFrame, key: str, value: str, *, resamples: int = 1
     )
 
 
+def _times(slots: int, resamples: int, seed: int) -> np.ndarray:
+    """Multiplicity of each cluster (by number) in each replicate, as `draws` gives it, and 1 in a last column."""
+    out = np.zeros((slots, resamples + 1))
+    out[:, resamples] = 1.0
+    for replicate in range(resamples):
+        for slot in range(slots):
+            digest = hashlib.md5(f"{seed}|{replicate}|{slot}".encode()).hexdigest()
+            out[int(digest[:8], 16) % slots, replicate] += 1
+    return out
+
+
+def replicate_areas(marks: DataFrame, slots: int, resamples: int, seed: int = 0) -> DataFrame:
+    """Area under the curve of each series in every replicate: series, replicate, auroc.
+
+    `marks(series, mark, slot, pos, neg)` counts rows of a cluster (by number) with a mark. Each
+    range slice of (series, mark) multiplies its counts by the draw matrix in blocks and sends on
+    three sums per replicate, so neither rows nor distinct marks meet the replicates anywhere else.
+    Replicate number `resamples` takes every cluster once: the point value. The matrix holds
+    clusters times replicates; clusters are cities.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = None
+        held: dict[str, list[np.ndarray]] = {}
+        last: tuple[str, float] | None = None
+        tie = np.zeros((2, resamples + 1))
+
+        def close() -> None:
+            if last is not None:
+                sums = held.setdefault(last[0], [np.zeros(resamples + 1) for _ in range(3)])
+                sums[2] += tie[0] * (sums[1] + tie[1] / 2.0)
+                sums[0] += tie[0]
+                sums[1] += tie[1]
+
+        for batch in batches:
+            if times is None:
+                times = _times(slots, resamples, seed)
+            series, mark = batch.column("series").to_pylist(), batch.column("mark").to_numpy()
+            slot, pos, neg = (batch.column(c).to_numpy() for c in ("slot", "pos", "neg"))
+            for start in range(0, len(series), 2048):
+                part = slice(start, start + 2048)
+                names, values, drawn = series[part], mark[part], times[slot[part]]
+                p, q = drawn * pos[part, None], drawn * neg[part, None]
+                new = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1] or values[i] != values[i - 1]]
+                p, q = np.add.reduceat(p, new), np.add.reduceat(q, new)
+                for row, i in enumerate(new):
+                    if (names[i], values[i]) != last:
+                        close()
+                        last, tie = (names[i], values[i]), np.zeros((2, resamples + 1))
+                    tie = tie + np.stack([p[row], q[row]])
+        close()
+        for name, sums in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name])] + [pa.array([s], pa.list_(pa.float64())) for s in sums], ["series", "p", "q", "won"]
+            )
+
+    ranged = marks.repartitionByRange("series", "mark").sortWithinPartitions("series", "mark")
+    slices = settled(
+        ranged.select("series", F.col("mark").cast("double").alias("mark"), "slot", "pos", "neg")
+        .mapInArrow(run, "series string, p array<double>, q array<double>, won array<double>")
+        .withColumn("slice", F.spark_partition_id())
+    )
+    # a row per slice, series and replicate
+    long = slices.select("series", "slice", F.posexplode(F.arrays_zip("p", "q", "won")).alias("replicate", "v")).select(
+        "series", "slice", "replicate", "v.*"
+    )
+    before = W.partitionBy("series", "replicate").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    won = F.col("won") + F.col("p") * F.coalesce(F.sum("q").over(before), F.lit(0.0))
+    pairs = F.sum("p") * F.sum("q")
+    return (
+        long.select("series", "replicate", "p", "q", won.alias("won"))
+        .groupBy("series", "replicate")
+        .agg(F.when(pairs > 0, F.sum("won") / pairs).alias("auroc"))
+        .where("auroc IS NOT NULL")
+    )
+
+
 def metric_bootstrap(
     table: DataFrame,
     cluster: str,
@@ -130,58 +211,65 @@ def metric_bootstrap(
     prediction: str,
     score: str,
     *,
+    probabilities: str | None = None,
     resamples: int = 400,
     seed: int = 0,
+    classes: int = 5,
 ) -> DataFrame:
-    """Intervals of kappa, rank correlation and every area under the curve by whole clusters.
+    """Kappa, rank correlation and every area under the curve with intervals by whole clusters.
 
-    Kappa needs additive sums per cluster only. The rank metrics are recomputed per replicate
-    on counts of distinct (truth, prediction) and (truth, score) pairs weighted by the draw.
+    Returns metric, value, ci_low and ci_high. Kappa and rank correlation follow from the counts of
+    (truth, prediction) of each cluster. The evidence for class k against the rest is its entry of
+    `probabilities` where there are any, else the closeness of the score to k.
     """
-    drawn = draws(table, cluster, resamples, seed)
-    times = F.col("times")
-    t, p = F.col(truth).cast("double"), F.col(prediction).cast("double")
-    moments = table.groupBy(cluster).agg(
-        F.count("*").cast("double").alias("_n"),
-        F.sum(t).alias("_t"),
-        F.sum(p).alias("_p"),
-        F.sum(t * t).alias("_tt"),
-        F.sum(p * p).alias("_pp"),
-        F.sum((t - p) * (t - p)).alias("_dd"),
-        F.min(truth).alias("_lo"),
-        F.max(truth).alias("_hi"),
-    )
-    per_replicate = (
-        drawn.join(moments, cluster)
-        .groupBy("replicate")
-        .agg(
-            *[F.sum(F.col(c) * times).alias(c) for c in ("_n", "_t", "_p", "_tt", "_pp", "_dd")],
-            F.min("_lo").alias("_lo"),
-            F.max("_hi").alias("_hi"),
+    measures = [cluster, truth, prediction, score] + ([probabilities] if probabilities else [])
+    table = settled(table.select(*measures))
+    listed = settled(
+        numbered_of(table.select(cluster).distinct(), [], [F.col(cluster).asc()], "_i", "_k").select(
+            cluster, (F.col("_i") - 1).cast("int").alias("slot")
         )
-        .where("_lo < _hi")
     )
-    kappa = per_replicate.select("replicate", F.lit("kappa").alias("metric"), kappa_of_sums().alias("value"))
+    slots = listed.count()
+    point = listed.select(F.lit(resamples).alias("replicate"), cluster, F.lit(1).cast("long").alias("times"))
+    drawn = settled(draws(listed, cluster, resamples, seed).unionByName(point))
     hard = table.groupBy(cluster, truth, prediction).agg(F.count("*").alias("_c"))
-    rho = spearman(
-        drawn.join(hard, cluster).withColumn("_w", F.col("_c") * times), truth, prediction, ["replicate"], weight="_w"
-    ).select("replicate", F.lit("spearman").alias("metric"), F.col("rho").alias("value"))
-    soft = table.groupBy(cluster, truth, score).agg(F.count("*").alias("_c"))
-    weighted = drawn.join(soft, cluster).withColumn("_w", F.col("_c") * times)
-    cumulative = auroc_cumulative(weighted, score, truth, ["replicate"], weight="_w").select(
-        "replicate", F.concat(F.lit("auroc_ge_"), F.col("threshold").cast("string")).alias("metric"), F.col("auroc").alias("value")
-    )
-    one = auroc_one_vs_rest(weighted, score, truth, ["replicate"], weight="_w").select(
-        "replicate", F.concat(F.lit("auroc_is_"), F.col("class").cast("string")).alias("metric"), F.col("auroc").alias("value")
-    )
-    means = [
-        part.groupBy("replicate").agg(F.avg("value").alias("value")).select("replicate", F.lit(name).alias("metric"), "value")
-        for part, name in ((cumulative, "auroc_cumulative_mean"), (one, "auroc_macro"))
+    weighted = settled(
+        drawn.join(hard, cluster)
+        .groupBy("replicate", truth, prediction)
+        .agg(F.sum(F.col("_c") * F.col("times")).alias("_w"))
+    )
+    # replicates that drew one grade only say nothing
+    two = weighted.groupBy("replicate").agg(F.min(truth).alias("a"), F.max(truth).alias("b")).where("a < b").select("replicate")
+    sums = weighted.groupBy("replicate").agg(*ordinal_sums(truth, prediction, classes, F.col("_w")))
+    kappa = sums.select("replicate", F.lit("kappa").alias("metric"), kappa_of_sums().alias("value"))
+    rho = spearman(weighted, truth, prediction, ["replicate"], weight="_w").select(
+        "replicate", F.lit("spearman").alias("metric"), F.col("rho").alias("value")
+    )
+    t, s = F.col(truth), F.col(score).cast("double")
+    series = [
+        F.struct(F.lit(f"auroc_ge_{k}").alias("series"), s.alias("mark"), (t >= k).alias("hit")) for k in range(1, classes)
     ]
-    every = kappa
-    for part in (rho, cumulative, one, *means):
-        every = every.unionByName(part)
-    return _ends(every.where(F.col("value").isNotNull()), ["metric"], "value")
+    for k in range(classes):
+        mark = F.col(probabilities)[k] if probabilities else -F.abs(s - F.lit(float(k)))
+        if probabilities:
+            mark = F.coalesce(mark, -F.abs(s - F.lit(float(k))))
+        series.append(F.struct(F.lit(f"auroc_is_{k}").alias("series"), mark.alias("mark"), (t == k).alias("hit")))
+    marks = (
+        table.join(listed, cluster)
+        .select("slot", F.explode(F.array(*series)).alias("m"))
+        .groupBy("m.series", "m.mark", "slot")
+        .agg(F.count_if("m.hit").alias("pos"), F.count_if(~F.col("m.hit")).alias("neg"))
+    )
+    areas = settled(replicate_areas(marks, slots, resamples, seed)).select(
+        "replicate", F.col("series").alias("metric"), F.col("auroc").alias("value")
+    )
+    every = kappa.unionByName(rho).unionByName(areas)
+    for name, like in (("auroc_cumulative_mean", "auroc_ge_%"), ("auroc_macro", "auroc_is_%")):
+        mean = areas.where(F.col("metric").like(like)).groupBy("replicate").agg(F.avg("value").alias("value"))
+        every = every.unionByName(mean.select("replicate", F.lit(name).alias("metric"), "value"))
+    every = settled(every.where("value IS NOT NULL").join(two, "replicate", "left_semi"))
+    ends = _ends(every.where(F.col("replicate") < resamples), ["metric"], "value")
+    return every.where(F.col("replicate") == resamples).select("metric", "value").join(ends, "metric", "left")
 
 
 def sign_test(differences: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:

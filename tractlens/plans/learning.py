@@ -10,6 +10,7 @@ from tractlens.operators import learn as G
 from tractlens.operators import splits as S
 from tractlens.operators import tokens as T
 from tractlens.plans.data import Data, cte
+from tractlens.plans.ranks import rho_sql
 from tractlens.plans.registry import query
 from tractlens.plans.tokens import _B4, _PX, _VCTX, _b4, _px, tokens_sql, windows_sql
 
@@ -158,6 +159,8 @@ def _(d: Data):
 
 
 def _feature_table(d: Data):
+    """A tract in five has no texture."""
+    untextured = F.floor("population") % 5 == 0
     return d.tract_scores().select(
         "cvegeo",
         "city",
@@ -165,16 +168,38 @@ def _feature_table(d: Data):
         (F.col("score") / 125000.0).alias("s2red_mean"),
         (F.col("population") / 5000.0).alias("s2red_std"),
         (F.col("population") % 7 / 7.0).alias("wc_built"),
-        (F.col("score") % 11 / 11.0).alias("s2red_contrast_d1"),
+        F.when(~untextured, F.col("score") % 11 / 11.0).alias("s2red_contrast_d1"),
     )
 
 
 @query("g1_leave_one_city_out")
 def _(d: Data):
-    detail = G.leave_one_city_out(
-        _feature_table(d), ["r0", "r3"], ["cover", "all"], ["random", "majority", "regressor"], rounds=3
-    )
-    return G.fold_summary(detail)
+    return G.fold_summary(G.leave_one_city_out(_feature_table(d)))
+
+
+_BLIND = dict(
+    t="SELECT city, ordinal, cvegeo FROM tract_scores",
+    cells="SELECT city, k, sum(CASE WHEN ordinal = k THEN 1 ELSE 0 END) AS n FROM t, (SELECT unnest(range(5)) AS k) GROUP BY 1, 2",
+    others="SELECT a.city, a.k, sum(b.n) - a.n AS o FROM cells a JOIN cells b USING (k) GROUP BY a.city, a.k, a.n",
+    run="SELECT city, k, o, sum(o) OVER (PARTITION BY city ORDER BY k) AS edge, sum(o) OVER (PARTITION BY city) AS size FROM others",
+    major="SELECT city, arg_max(k, o * 10 - k) AS top FROM run GROUP BY 1",
+    u="SELECT *, ('0x' || substr(md5('0|' || cvegeo), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM t",
+    drawn="SELECT u.city, ordinal, cvegeo, least(4, count(CASE WHEN u.u * size >= edge THEN 1 END)) AS prediction FROM u JOIN run USING (city) GROUP BY 1, 2, 3",
+    pr="SELECT 'majority' AS model, city, ordinal, top AS prediction FROM t JOIN major USING (city) UNION ALL SELECT 'random', city, ordinal, prediction FROM drawn",
+    m="SELECT model, city, count(*) AS n, avg(CASE WHEN ordinal = prediction THEN 1.0 ELSE 0.0 END) AS accuracy, avg(abs(ordinal - prediction)) AS mae_ordinal FROM pr GROUP BY 1, 2",
+)
+
+
+@query(
+    "g1_blind_models",
+    cte("tract_scores", **_BLIND)
+    + f"""SELECT m.model, m.city, m.n, m.accuracy, m.mae_ordinal, r.rho AS spearman FROM m LEFT JOIN
+ ({rho_sql("SELECT * FROM pr", "ordinal", "prediction", "model, city")}) r ON r.model = m.model AND r.city = m.city""",
+    "accuracy mae_ordinal spearman",
+)
+def _(d: Data):
+    folds = G.fold_metrics(G.blind_predictions(_feature_table(d)), ["model", "city"])
+    return folds.select("model", "city", "n", "accuracy", "mae_ordinal", "spearman")
 
 
 @query("g2_partition_evaluation")
@@ -183,7 +208,7 @@ def _(d: Data):
     partition = table.select("city").distinct().withColumn(
         "split", F.when(F.col("city").isin("r0", "r1"), "test").otherwise("train")
     )
-    return G.evaluate_partition(table, partition, "all", "classifier", resamples=40, rounds=3)
+    return G.evaluate_partition(table, partition, "all", "classifier")
 
 
 @query(

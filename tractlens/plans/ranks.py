@@ -363,8 +363,8 @@ def _(d: Data):
 
 
 _E8 = dict(
-    v="SELECT city, ordinal, pred, round(score / 125000.0, 1) AS s FROM pr",
-    dr=draws_sql("SELECT city FROM v", "city", 60),
+    v="SELECT city, ordinal, pred, score / 125000.0 AS s FROM pr",
+    dr=draws_sql("SELECT city FROM v", "city", 400),
     rw="SELECT replicate, ordinal, pred, s FROM dr JOIN v USING (city), (SELECT unnest(range(1, 6)) AS copy) WHERE copy <= times",
     kap="""SELECT replicate, 1 - sum((ordinal - pred) * (ordinal - pred)) / (sum(ordinal * ordinal) + sum(pred * pred)
            - 2.0 * sum(ordinal) * sum(pred) / count(*)) AS value FROM rw GROUP BY 1""",
@@ -386,8 +386,8 @@ _E8 = dict(
     "value_low value_high",
 )
 def _(d: Data):
-    t = _predicted(d).withColumn("s", F.round(F.col("score") / 125000.0, 1))
-    out = B.metric_bootstrap(t, "city", "ordinal", "pred", "s", resamples=60)
+    t = _predicted(d).withColumn("s", F.col("score") / 125000.0)
+    out = B.metric_bootstrap(t, "city", "ordinal", "pred", "s")
     return out.select("metric", F.col("ci_low").alias("value_low"), F.col("ci_high").alias("value_high"))
 
 
@@ -396,7 +396,7 @@ def _(d: Data):
     cte(
         "tokens",
         v="SELECT municipality, avg(score) - 250000 AS delta FROM tokens GROUP BY 1",
-        dr=draws_sql("SELECT municipality FROM v", "municipality", 1000, 5),
+        dr=draws_sql("SELECT municipality FROM v", "municipality", 10000, 5),
         m="SELECT replicate, sum(delta * times) / sum(times) AS mean FROM dr JOIN v USING (municipality) GROUP BY 1",
     )
     + """SELECT (SELECT avg(delta) FROM v) AS mean, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high,
@@ -406,7 +406,7 @@ def _(d: Data):
 )
 def _(d: Data):
     v = d.tokens().groupBy("municipality").agg((F.avg("score") - 250000).alias("delta"))
-    return B.row_bootstrap(v, "municipality", "delta", resamples=1000, seed=5)
+    return B.row_bootstrap(v, "municipality", "delta", seed=5)
 
 
 @query(
