@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tractlens.operators import decide, isotonic, learn, resample
+from tractlens.operators import decide, heads, isotonic, learn, resample
 from tractlens.sources import census, reports, store
 
 
@@ -17,34 +17,78 @@ def bags(spark, n_bags=12, per=40, seed=0):
     return inst, spark.createDataFrame(shares, "bag string, shares array<double>")
 
 
-@pytest.mark.parametrize("kind", learn.HEADS)
-def test_bag_labels_alone_order_the_instances(spark, kind):
-    inst, labels = bags(spark)
-    blind = learn.start_head(kind, *learn.fit_scaler(inst))
-    head = learn.fit_proportions(inst, labels, kind=kind, rounds=12, rate=1.0)
-    assert learn.bag_mae(inst, labels, head) < learn.bag_mae(inst, labels, blind)
-    quality = learn.map_quality(learn.score_tokens(inst, {"s0": head})).first()
-    assert quality.auroc_high > 0.85
-
-
-def test_gradient_matches_a_finite_difference(spark):
-    inst, labels = bags(spark, 3, 8)
-    head = learn.start_head("independent", *learn.fit_scaler(inst))
-    x = {r.bag: np.array([v.vec for v in inst.where(F.col("bag") == r.bag).collect()]) for r in labels.collect()}
-    q = {r.bag: np.array(r.shares) for r in labels.collect()}
-
-    def loss(h):
-        total = 0.0
-        for b, xs in x.items():
-            m = h.units(xs).mean(axis=0)
-            total += -(q[b] * np.log(m) + (1 - q[b]) * np.log(1 - m)).mean()
-        return total
-
-    g = learn.gradient(inst, learn.bag_errors(learn.bag_means(inst, head), labels, "independent"), head)
-    w = head.weights.copy()
-    w[0, 1] += 1e-5
-    moved = learn.Head(head.kind, w, head.bias, head.centre, head.spread)
-    assert g[0, 1] == pytest.approx((loss(moved) - loss(head)) / 1e-5, rel=1e-3)
+def plain_training(inst, labels, train, run):
+    """The same rounds with all rows in memory."""
+    own = inst[inst.bag.isin(train)]
+    x, bag = np.stack(own.vec), own.bag.to_numpy()
+    centre, spread = x.mean(axis=0), x.std(axis=0, ddof=1)
+    head = run.start(centre, spread)
+    for _ in range(run.rounds):
+        grad, bias = np.zeros_like(head.weights), np.zeros_like(head.bias)
+        for b in train:
+            xs = x[bag == b]
+            u = head.units(xs)
+            e = heads.loss_slope(run.kind, u.mean(axis=0), heads.targets(run.kind, np.array(labels[b]))) / len(xs)
+            slope = u * (e - (e * u).sum(axis=1, keepdims=True)) if run.kind == "softmax" else e * u * (1 - u)
+            grad += ((xs - centre) / spread).T @ slope / len(train)
+            bias += slope.sum(axis=0) / len(train)
+        if run.kind == "shared":
+            grad = np.repeat(grad.sum(axis=1, keepdims=True), run.size, axis=1)
+        head = heads.Head(run.kind, head.weights - run.rate * (grad + run.decay * head.weights), head.bias - run.rate * bias, centre, spread)
+    return head
+
+
+def test_many_heads_in_one_job_equal_plain_training(spark):
+    inst, labels = bags(spark, 8, 30)
+    names = [f"b{i}" for i in range(8)]
+    runs = [heads.Run(kind, rounds=4, seed=seed) for kind in heads.HEADS for seed in (0, 2)]
+    lists = [names[i % 3 :] for i in range(len(runs))]
+    roles = spark.createDataFrame([(b, [int(b in own) for own in lists]) for b in names], "bag string, roles array<int>")
+    got = heads.fit_many(inst.repartition(5), labels, roles, runs)
+    rows, shares = inst.toPandas(), {r.bag: r.shares for r in labels.collect()}
+    for run, own, head in zip(runs, lists, got):
+        want = plain_training(rows, shares, own, run)
+        assert np.allclose(head.weights, want.weights) and np.allclose(head.bias, want.bias)
+
+
+def test_bag_labels_alone_order_unseen_instances(spark):
+    inst, labels = bags(spark, 16)
+    held = labels.where("bag in ('b3', 'b7', 'b11')")
+    stop = labels.where("bag in ('b2', 'b9', 'b14')").select("bag")
+    head = learn.fit_proportions(inst, labels.join(held, "bag", "left_anti"), validation=stop, rounds=12, rate=1.0)
+    blind = learn.Run().start(head.centre, head.spread)
+    assert heads.bag_error(inst, held, head) < heads.bag_error(inst, held, blind)
+    quality = learn.map_quality(learn.score_tokens(inst.join(held, "bag", "left_semi"), {"s0": head})).first()
+    assert quality.auroc_high > 0.85 and quality.bags_scored == 3
+
+
+def test_training_stops_when_held_bags_get_worse(spark):
+    inst, labels = bags(spark, 6, 20)
+    # labels of the stopping bags are turned round, so every step makes them worse
+    odd = F.col("bag").isin("b0", "b1")
+    turned = labels.withColumn("shares", F.when(odd, F.array(*[F.lit(v) for v in (0.9, 0.9, 0.9, 0.9)])).otherwise(F.array(*[F.lit(v) for v in (0.1, 0.1, 0.1, 0.1)])))
+    head = learn.fit_proportions(inst, turned, validation=turned.where(odd).select("bag"), rounds=30, patience=2, rate=2.0)
+    assert not head.weights.any()
+
+
+def test_folds_are_nested_and_never_see_their_own_bags(spark, monkeypatch):
+    inst, labels = bags(spark, 11, 20)
+    seen = []
+
+    def noted(instances, labels, roles, runs, weight=None):
+        seen.extend(r.roles for r in roles.collect())
+        return [r.start(np.zeros(2), np.ones(2)) for r in runs]
+
+    monkeypatch.setattr(learn, "fit_many", noted)
+    scored = learn.cross_validated_scores(inst, labels, folds=3, seeds=(1, 2), sizes=(4, None))
+    assert scored.count() == 2 * 11 * 20
+    roles = np.array(seen)
+    assert roles.shape == (11, 12)
+    short, full = roles[:, :6], roles[:, 6:]
+    assert (short.sum(axis=0) == 4).all() and (short <= full).all()
+    for s in (0, 3):
+        # each bag is held out once per seed
+        assert (full[:, s : s + 3].sum(axis=1) == 2).all()
 
 
 def test_softmax_shares_are_ordered(spark):

@@ -1,40 +1,31 @@
-"""Learning from bag labels, baselines by city, scoring at scale, and the encoder slot.
-
-The label-proportion head is linear in the token vector. One step of its training is two
-passes over the instances: the first yields the mean prediction of each bag, the second the
-gradient given each bag's error. Both leave a task as a few sums, so nothing but bag means
-is shuffled and the driver only ever holds the weights.
-"""
+"""Learning from bag labels, baselines by city, scoring at scale, and the encoder slot."""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tractlens.functions.hashing import hash_number
+from tractlens.functions.hashing import hash_number, hash_order
 from tractlens.operators import boost
+from tractlens.operators.heads import HEADS, TRAIN, VALIDATE, Head, Run, fit_many
 from tractlens.operators.labels import HIGH, inverse_frequency
-from tractlens.operators.ranks import MIN_TOKENS, auroc, ordinal_metrics, spearman
-from tractlens.operators.resample import metric_bootstrap
-from tractlens.operators.scale import settled
+from tractlens.operators.ranks import MIN_TOKENS, auroc_of_ranks, ordinal_metrics, rank_correlation, ranked_cells, spearman
+from tractlens.operators.resample import RESAMPLES, clustered_mean, metric_bootstrap
+from tractlens.operators.scale import numbered, settled
 from tractlens.operators.splits import cities_of, standardise_by_group
 from tractlens.operators.tokens import window_tokens
 from tractlens.operators.zonal import CLASSES
 
-THRESHOLDS = 4
 GRADES = 5
 MEASURES = ("kappa", "accuracy", "f1_macro", "spearman", "mae_ordinal")
-HEADS = ("independent", "shared", "softmax")
 DENSITY = ("mean", "std", "p10", "p50", "p90", "iqr")
 TEXTURES = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "entropy", "anisotropy")
 # fixed values: which measured quantity belongs to which set of features
@@ -48,174 +39,25 @@ SET_OF_FEATURE = (
 # ---- label-proportion head ----------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Head:
-    """Weights (features x units), biases and the input scaler."""
-
-    kind: str
-    weights: np.ndarray
-    bias: np.ndarray
-    centre: np.ndarray
-    spread: np.ndarray
-
-    def units(self, x: np.ndarray) -> np.ndarray:
-        """Per-instance outputs whose bag mean is compared with the label."""
-        z = (x - self.centre) / self.spread @ self.weights + self.bias
-        if self.kind == "softmax":
-            e = np.exp(z - z.max(axis=1, keepdims=True))
-            return e / e.sum(axis=1, keepdims=True)
-        return 1.0 / (1.0 + np.exp(-z))
-
-    def cumulative(self, x: np.ndarray) -> np.ndarray:
-        """Shares at grade k or above, k = 1..4."""
-        u = self.units(x)
-        return u[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:] if self.kind == "softmax" else u
-
-    def slope(self, x: np.ndarray, errors: np.ndarray) -> np.ndarray:
-        """Gradient rows of the outputs' inputs, given the error of each unit."""
-        u = self.units(x)
-        if self.kind == "softmax":
-            return u * (errors - (errors * u).sum(axis=1, keepdims=True))
-        return errors * u * (1.0 - u)
-
-
-def fit_scaler(instances: DataFrame, vec: str = "vec") -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample deviation of each feature: two vectors as long as one instance."""
-    v = array_to_vector(F.col(vec).cast("array<double>"))
-    row = instances.agg(
-        vector_to_array(Summarizer.mean(v)).alias("m"), vector_to_array(Summarizer.std(v)).alias("s")
-    ).first()
-    return np.array(row["m"]), np.maximum(np.array(row["s"]), 1e-6)
-
-
-def start_head(kind: str, centre: np.ndarray, spread: np.ndarray) -> Head:
-    units = THRESHOLDS + 1 if kind == "softmax" else THRESHOLDS
-    bias = np.linspace(1.0, -1.0, units) if kind == "shared" else np.zeros(units)
-    return Head(kind, np.zeros((len(centre), units)), bias, centre, spread)
-
-
-def bag_means(instances: DataFrame, head: Head, weight: str | None = None) -> DataFrame:
-    """Weighted mean output of each bag: bag, w, means. Only partial sums leave a task."""
-    units = head.bias.size
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            w = pdf["w"].to_numpy()
-            out = pd.DataFrame(head.units(np.stack(pdf["vec"])) * w[:, None])
-            out["w"], out["bag"] = w, pdf["bag"].to_numpy()
-            yield out.groupby("bag").sum().reset_index().set_axis(
-                ["bag", *[f"u{k}" for k in range(units)], "w"], axis=1
-            )
-
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    schema = "bag string, " + ", ".join(f"u{k} double" for k in range(units)) + ", w double"
-    part = instances.select("bag", F.col("vec").cast("array<double>").alias("vec"), w.alias("w")).mapInPandas(sums, schema)
-    return part.groupBy("bag").agg(
-        F.sum("w").alias("w"),
-        F.array(*[F.sum(f"u{k}") / F.sum("w") for k in range(units)]).alias("means"),
-    )
-
-
-def _targets(kind: str):
-    """Label shares in the units of the head."""
-    if kind != "softmax":
-        return F.col("shares")
-    left = F.concat(F.array(F.lit(1.0)), "shares")
-    right = F.concat("shares", F.array(F.lit(0.0)))
-    return F.zip_with(left, right, lambda a, b: a - b)
-
-
-def bag_errors(means: DataFrame, labels: DataFrame, kind: str) -> DataFrame:
-    """Derivative of the bag loss by each mean, over the bag's weight."""
-    near = lambda m: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), m))
-    if kind == "softmax":
-        slope = lambda m, q: -q / near(m)
-    else:
-        slope = lambda m, q: (m - q) / (near(m) * (1.0 - near(m))) / THRESHOLDS
-    return means.join(labels, "bag").select(
-        "bag", "w", F.zip_with("means", _targets(kind), slope).alias("errors")
-    ).select("bag", F.transform("errors", lambda e: e / F.col("w")).alias("errors"))
-
-
-def gradient(instances: DataFrame, errors: DataFrame, head: Head, weight: str | None = None) -> np.ndarray:
-    """Summed gradient (features + 1) x units; one matrix leaves each batch."""
-    size = (head.centre.size + 1) * head.bias.size
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((head.centre.size + 1, head.bias.size))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["vec"])
-            g = head.slope(x, np.stack(pdf["errors"])) * pdf["w"].to_numpy()[:, None]
-            total[:-1] += ((x - head.centre) / head.spread).T @ g
-            total[-1] += g.sum(axis=0)
-        yield pd.DataFrame({"g": [total.ravel()]})
-
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    rows = instances.select("bag", F.col("vec").cast("array<double>").alias("vec"), w.alias("w")).join(
-        errors, "bag"
-    )
-    part = rows.select("vec", "w", "errors").mapInPandas(sums, "g array<double>")
-    total = part.agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")).first()["g"]
-    flat = np.array(total if total is not None else np.zeros(size))
-    return flat.reshape(head.centre.size + 1, head.bias.size)
-
-
-def bag_mae(instances: DataFrame, labels: DataFrame, head: Head, weight: str | None = None) -> float:
-    """Mean absolute error of the bag shares."""
-    means = bag_means(instances, head, weight).join(labels, "bag")
-    gap = F.zip_with("means", _targets(head.kind), lambda m, q: F.abs(m - q))
-    row = means.select(F.aggregate(gap, F.lit(0.0), lambda a, v: a + v).alias("e")).agg(F.avg("e")).first()
-    return float(row[0]) / head.bias.size
-
-
 def fit_proportions(
     instances: DataFrame,
     labels: DataFrame,
     *,
-    kind: str = "independent",
-    rounds: int = 30,
-    rate: float = 0.5,
-    decay: float = 1e-4,
+    validation: DataFrame | None = None,
     weight: str | None = None,
-    validation: tuple[DataFrame, DataFrame] | None = None,
-    patience: int = 5,
-    start: Head | None = None,
+    **options,
 ) -> Head:
-    """Full-batch training against bag shares; stops early on the validation bags' error.
+    """One head trained against bag shares; stops early on the error of the bags in `validation`.
 
-    `instances(bag, vec)`, `labels(bag, shares)` with the four cumulative shares.
+    `instances(bag, vec)`, `labels(bag, shares)` with the four cumulative shares, `validation(bag)`;
+    `options` are those of `Run`.
     """
-    if kind not in HEADS:
-        raise ValueError(f"unknown head {kind!r}")
-    cached = instances.persist()
-    head = start or start_head(kind, *fit_scaler(cached))
-    bags = labels.count()
-    best, best_error, waited = head, float("inf"), 0
-    for _ in range(rounds):
-        errors = bag_errors(bag_means(cached, head, weight), labels, kind)
-        g = gradient(cached, errors, head, weight) / max(bags, 1)
-        slope = g[:-1]
-        if kind == "shared":
-            slope = np.repeat(slope.sum(axis=1, keepdims=True), head.bias.size, axis=1)
-        # the units of a shared head are one weight, which decays once
-        slope = slope + decay * head.weights
-        head = Head(kind, head.weights - rate * slope, head.bias - rate * g[-1], head.centre, head.spread)
-        if validation is None:
-            best = head
-            continue
-        error = bag_mae(*validation, head)
-        if error < best_error:
-            best, best_error, waited = head, error, 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
-    cached.unpersist()
-    return best
+    role = F.lit(TRAIN)
+    bags = labels.select("bag")
+    if validation is not None:
+        held = validation.select("bag").distinct().withColumn("_v", F.lit(VALIDATE))
+        bags, role = bags.join(held, "bag", "left"), F.coalesce("_v", F.lit(TRAIN))
+    return fit_many(instances, labels, bags.select("bag", F.array(role).alias("roles")), [Run(**options)], weight)[0]
 
 
 def score_tokens(tokens: DataFrame, heads: dict[str, Head], vec: str = "vec") -> DataFrame:
@@ -236,58 +78,127 @@ def score_tokens(tokens: DataFrame, heads: dict[str, Head], vec: str = "vec") ->
     )
 
 
-def map_quality(scored: DataFrame, group: str = "bag") -> DataFrame:
-    """Pooled and within-bag quality of scored instances with known ordinal."""
-    inside = spearman(scored, "score", "ordinal", [group], min_rows=MIN_TOKENS)
-    return scored.agg(F.count("*").alias("instances")).select(
-        auroc(scored, "score", F.col("ordinal") >= HIGH).scalar().alias("auroc_high"),
-        spearman(scored, "score", "ordinal").select("rho").scalar().alias("pooled"),
-        inside.agg(F.avg("rho")).scalar().alias("within"),
-        inside.agg(F.count("*")).scalar().alias("bags_scored"),
-        "instances",
+def map_quality(scored: DataFrame, group: str = "bag", by: Sequence[str] = ()) -> DataFrame:
+    """Pooled and within-bag quality of scored instances with known ordinal.
+
+    `by` names further columns, such as the run a score comes from; everything is ranked in one walk.
+    """
+    by = list(by)
+    known = scored.where("ordinal IS NOT NULL").select(*by, F.col(group).cast("string").alias("_bag"), "score", "ordinal")
+    sides = F.array(F.struct(F.lit("bag").alias("_unit"), F.col("_bag").alias("_name")), F.struct(F.lit("all").alias("_unit"), F.lit("").alias("_name")))
+    long = known.select(*by, "score", "ordinal", F.explode(sides).alias("_u")).select(*by, "score", "ordinal", "_u.*")
+    keys = [*by, "_unit", "_name"]
+    cells = settled(ranked_cells(long, "score", "ordinal", keys))
+    rhos = rank_correlation(cells, keys)
+    bag = (F.col("_unit") == "bag") & (F.col("n") >= MIN_TOKENS)
+    inside = rhos.groupBy(*by).agg(
+        F.max(F.when(F.col("_unit") == "all", F.col("rho"))).alias("pooled"),
+        F.avg(F.when(bag, F.col("rho"))).alias("within"),
+        F.count_if(bag).alias("bags_scored"),
+    )
+    whole = cells.where("_unit = 'all'").groupBy(*by).agg(
+        auroc_of_ranks(F.col("_y") >= HIGH).alias("auroc_high"), F.sum("_c").alias("instances")
     )
+    joined = whole.join(inside, by, "left") if by else whole.crossJoin(inside)  # one row each
+    return joined.select(*by, "auroc_high", "pooled", "within", "bags_scored", "instances")
 
 
-def sweep(
-    configs: Sequence[dict], train: Callable[[dict], tuple[DataFrame, DataFrame]], measured: DataFrame
+def within_bags(scored: DataFrame, by: Sequence[str] = (), group: str = "bag") -> DataFrame:
+    """Rank correlation inside each bag that is large enough."""
+    return spearman(scored, "score", "ordinal", [*by, group], min_rows=MIN_TOKENS)
+
+
+def study(
+    instances: DataFrame, labels: DataFrame, roles: DataFrame, runs: Sequence[Run], measured: DataFrame, weight: str | None = None
 ) -> DataFrame:
-    """One row per configuration: trains a head, scores the measured instances.
+    """Trains all runs together and measures their maps: a row per run with its tags.
 
-    Serves the supply curve, the granularity curve, the hyper-parameter sweep and the head
-    ablation; a configuration names its bags through `train`.
+    Serves the supply curve, the granularity curve, the hyper-parameter sweep and the head ablation.
     """
-    out = None
-    for config in configs:
-        instances, labels = train(config)
-        options = {k: v for k, v in config.items() if k in ("kind", "rounds", "rate", "decay")}
-        head = fit_proportions(instances, labels, **options)
-        tags = [F.lit(v).alias(k) for k, v in config.items()]
-        row = map_quality(score_tokens(measured, {"s0": head})).select(*tags, "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    heads = fit_many(instances, labels, roles, runs, weight)
+    scored = score_tokens(measured, {f"r{i}": h for i, h in enumerate(heads)})
+    marks = F.array(*[F.struct(F.lit(i).alias("run"), F.col(f"score_r{i}").alias("score")) for i in range(len(runs))])
+    long = scored.select("bag", "ordinal", F.explode(marks).alias("m")).select("bag", "ordinal", "m.*")
+    names = list(runs[0].tags)
+    tags = F.array(*[F.struct(*[F.lit(r.tags[n]).alias(n) for n in names]) for r in runs])
+    return map_quality(long, by=["run"]).withColumn("t", tags[F.col("run")]).select("t.*", "auroc_high", "pooled", "within", "bags_scored", "instances")
+
+
+def over_seeds(detail: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean and deviation over the seeds of each configuration."""
+    measures = ("auroc_high", "pooled", "within")
+    return detail.groupBy(*keys).agg(
+        F.count("*").alias("seeds"),
+        *[F.avg(m).alias(m) for m in measures],
+        *[F.stddev_samp(m).alias(f"{m}_sd") for m in measures],
+    )
+
+
+def seeded_folds(bags: DataFrame, count: int, seeds: Sequence[int]) -> DataFrame:
+    """Order and fold of each bag under every seed: bag, seed, place (from 0), fold."""
+    each = bags.select("bag").distinct().select("bag", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    dealt = numbered(each, ["seed"], [hash_order(F.col("seed"), F.col("bag")).asc()], "_i")
+    place = F.col("_i") - 1
+    return dealt.select("bag", "seed", place.alias("place"), F.pmod(place, F.lit(count)).cast("int").alias("fold"))
 
 
 def cross_validated_scores(
-    instances: DataFrame, labels: DataFrame, folds: DataFrame, count: int, size: int | None = None, **options
+    instances: DataFrame,
+    labels: DataFrame,
+    *,
+    folds: int = 5,
+    seeds: Sequence[int] = (1, 2, 3),
+    sizes: Sequence[int | None] = (None,),
+    **options,
 ) -> DataFrame:
-    """Score of each instance from a head trained on the other folds' bags.
+    """Score of each instance from heads of the other folds, averaged over seeds: a row per size.
 
-    `folds(bag, fold, place)`; with `size` a training list is cut to its first bags by place.
+    A size keeps the first training bags of a fold in the seed's order, so the lists of a seed are
+    nested. All folds, seeds and sizes are trained together.
     """
-    out = None
-    for fold in range(count):
-        others = folds.where(F.col("fold") != fold)
-        if size is not None:
-            others = others.orderBy("place").limit(size)
-        head = fit_proportions(
-            instances.join(others.select("bag"), "bag", "left_semi"),
-            labels.join(others.select("bag"), "bag", "left_semi"),
-            **options,
-        )
-        held = instances.join(folds.where(F.col("fold") == fold).select("bag"), "bag", "left_semi")
-        part = score_tokens(held, {"s0": head}).drop("score_s0").withColumn("fold", F.lit(fold))
-        out = part if out is None else out.unionByName(part)
-    return out
+    dealt = settled(seeded_folds(labels, folds, seeds))
+    plan = [(s, seed, fold) for s in range(len(sizes)) for seed in seeds for fold in range(folds)]
+    runs = [Run(seed=seed, **options) for _, seed, _ in plan]
+    per_bag = dealt.groupBy("bag").agg(
+        *[F.max(F.when(F.col("seed") == seed, F.col(c))).alias(f"{c}_{seed}") for seed in seeds for c in ("place", "fold")]
+    )
+    roles = []
+    for s, seed, fold in plan:
+        place = F.col(f"place_{seed}")
+        # bags of the held fold stand at every count-th place
+        earlier = F.floor((place + folds - 1 - fold) / folds)
+        used = F.col(f"fold_{seed}") != fold
+        if sizes[s] is not None:
+            used = used & (place - earlier < sizes[s])
+        roles.append(F.when(used, TRAIN).otherwise(0))
+    heads = fit_many(instances, labels, per_bag.select("bag", F.array(*roles).alias("roles")), runs)
+    own = per_bag.select(F.col("bag"), F.array(*[F.col(f"fold_{seed}") for seed in seeds]).alias("_folds"))
+    scored = score_tokens(instances, {f"r{i}": h for i, h in enumerate(heads)})
+    every = F.array(*[F.col(f"score_r{i}") for i in range(len(runs))])
+    means = F.array(
+        *[
+            F.struct(
+                F.lit(size).cast("int").alias("size"),
+                (
+                    sum(
+                        (every[F.lit((s * len(seeds) + k) * folds) + F.col("_folds")[k]] for k in range(len(seeds))),
+                        F.lit(0.0),
+                    )
+                    / float(len(seeds))
+                ).alias("score"),
+            )
+            for s, size in enumerate(sizes)
+        ]
+    )
+    return scored.join(own, "bag").select(*instances.columns, F.explode(means).alias("m")).select(*instances.columns, "m.size", "m.score")
+
+
+def transfer_quality(scored: DataFrame, by: Sequence[str] = ("size",), resamples: int = RESAMPLES) -> DataFrame:
+    """Quality of cross-validated scores, with the interval of the mean within bags over drawn bags."""
+    by = list(by)
+    known = settled(scored.select(*[F.coalesce(F.col(b), F.lit(-1)).alias(b) for b in by], "bag", "ordinal", "score"))
+    ends = clustered_mean(within_bags(known, by), "bag", "rho", by, resamples=resamples).select(*by, "ci_low", "ci_high")
+    return map_quality(known, by=by).join(ends, by, "left")
 
 
 # ---- supervised ceiling and baselines -----------------------------------------------------

@@ -34,7 +34,7 @@ def spearman(
     Groups below `min_rows` or with a single value of `y` are left out; a constant `x` gives null.
     """
     group = list(group)
-    return _rank_correlation(ranked_cells(df, x, y, group, weight), group, min_rows, min_x_levels)
+    return rank_correlation(ranked_cells(df, x, y, group, weight), group, min_rows, min_x_levels)
 
 
 def ranked_cells(df: DataFrame, x: str, y: str, group: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -71,7 +71,8 @@ def auroc_of_ranks(positive: Column) -> Column:
     return F.when((hits > 0) & (rest > 0), (ranks - hits * (hits + 1) / 2.0) / (hits * rest))
 
 
-def _rank_correlation(ranked: DataFrame, group: list[str], min_rows: int, min_x_levels: int) -> DataFrame:
+def rank_correlation(ranked: DataFrame, group: Sequence[str], min_rows: int = 2, min_x_levels: int = 1) -> DataFrame:
+    """Correlation of the ranks of `ranked_cells`, per group."""
     c, rx, ry = F.col("_c").cast("double"), F.col("_r_x"), F.col("_r_y")
     sums = ranked.groupBy(*group).agg(
         F.sum("_c").alias("n"),
@@ -326,7 +327,7 @@ def evaluate_map(tokens: DataFrame, bag_shares: DataFrame) -> DataFrame:
     )
     keys = ["unit", "municipality"]
     cells = settled(ranked_cells(long, "score", "ordinal", keys))
-    rhos = _rank_correlation(cells, keys, 2, 1)
+    rhos = rank_correlation(cells, keys)
     is_bag = (F.col("unit") == "bag") & (F.col("n") >= MIN_TOKENS)
     is_tract = (F.col("unit") == "tract") & (F.col("n") >= MIN_TRACTS)
     per_bag = rhos.groupBy("municipality").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tractlens.functions.hashing import hash_number
 from tractlens.operators import learn as G
+from tractlens.operators.heads import TRAIN, VALIDATE
 from tractlens.operators import splits as S
 from tractlens.operators import tokens as T
 from tractlens.plans.data import Data, cte
@@ -14,7 +15,7 @@ from tractlens.plans.ranks import rho_sql
 from tractlens.plans.registry import query
 from tractlens.plans.tokens import _B4, _PX, _VCTX, _b4, _px, tokens_sql, windows_sql
 
-ROUNDS = 4
+SEEDS = (1, 2, 3)
 
 
 def _bagged(d: Data):
@@ -31,26 +32,86 @@ def _bagged(d: Data):
     return inst, labels
 
 
+def _split(bag: str = "bag"):
+    """Of ten bags six train, two stop the training and two are measured."""
+    turn = F.pmod(hash_number(7, F.col(bag)), F.lit(10))
+    return F.when(turn < 6, "train").when(turn < 8, "stop").otherwise("measure")
+
+
+def _roles(labels, runs: int):
+    role = F.when(_split() == "train", TRAIN).when(_split() == "stop", VALIDATE).otherwise(0)
+    return labels.select("bag", F.array_repeat(role, runs).alias("roles"))
+
+
 @query("g3_label_proportion_head")
 def _(d: Data):
     inst, labels = _bagged(d)
-    head = G.fit_proportions(inst, labels, rounds=ROUNDS)
-    return G.map_quality(G.score_tokens(inst, {"s0": head}))
+    runs = [G.Run(seed=s, tags={"seed": s}) for s in SEEDS]
+    return G.study(inst, labels, _roles(labels, len(runs)), runs, inst.where(_split() == "measure"))
+
+
+_ROUND = dict(
+    i="SELECT 'b' || CAST(vec_id // 25 AS VARCHAR) AS bag, vec_id, label % 5 AS ordinal, embedding FROM embeddings",
+    q="SELECT bag, count(*) AS n, k, avg(CASE WHEN ordinal >= k THEN 1.0 ELSE 0.0 END) AS q FROM i, (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY bag, k",
+    x="SELECT bag, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS j FROM i",
+)
+
+
+def _round_sql(folds: str, rate: float = 0.5) -> dict[str, str]:
+    """One step from zero weights, unrolled: all outputs are a half, so a bag's error is half less its label."""
+    return _ROUND | dict(
+        f=folds,
+        h="SELECT DISTINCT fold AS held FROM f",
+        tr="SELECT h.held, f.bag FROM h JOIN f ON f.fold <> h.held",
+        sc="SELECT held, j, avg(x) AS c, stddev_samp(x) AS s FROM tr JOIN x USING (bag) GROUP BY 1, 2",
+        bm="SELECT bag, j, avg(x) AS m FROM x GROUP BY 1, 2",
+        nb="SELECT held, count(*) AS b FROM tr GROUP BY 1",
+        w=f"""SELECT held, k, j, -{rate} * sum((0.5 - q) * 0.25 * (m - c) / s) / any_value(b) AS w FROM tr JOIN q USING (bag)
+              JOIN bm USING (bag) JOIN sc USING (held, j) JOIN nb USING (held) GROUP BY 1, 2, 3""",
+        bi=f"SELECT held, k, -{rate} * avg((0.5 - q) * 0.25) AS bias FROM tr JOIN q USING (bag) GROUP BY 1, 2",
+        z="""SELECT vec_id, w.held, k, sum(w * (x - c) / s) AS z FROM x JOIN f USING (bag) JOIN sc ON sc.held = f.fold AND sc.j = x.j
+             JOIN w ON w.held = f.fold AND w.j = x.j GROUP BY 1, 2, 3""",
+        sr="SELECT vec_id, sum(1 / (1 + exp(-(z + bias)))) AS score FROM z JOIN bi USING (held, k) GROUP BY 1",
+    )
+
+
+@query(
+    "g9_first_round",
+    cte("vectors", **_round_sql("SELECT bag, (row_number() OVER (ORDER BY md5('0|' || bag)) - 1) % 5 AS fold FROM (SELECT DISTINCT bag FROM i)"))
+    + "SELECT vec_id, ordinal, score FROM i JOIN sr USING (vec_id)",
+    "score",
+)
+def _(d: Data):
+    inst, labels = _bagged(d)
+    return G.cross_validated_scores(inst, labels, seeds=(0,), rounds=1).select("vec_id", "ordinal", "score")
+
+
+@query(
+    "g3_first_round",
+    cte("vectors", **_round_sql("SELECT bag, 0 AS fold FROM (SELECT DISTINCT bag FROM i)") | dict(tr="SELECT 0 AS held, bag FROM f"))
+    + "SELECT vec_id, ordinal, score FROM i JOIN sr USING (vec_id)",
+    "score",
+)
+def _(d: Data):
+    inst, labels = _bagged(d)
+    head = G.fit_proportions(inst, labels, rounds=1)
+    return G.score_tokens(inst, {"s0": head}).select("vec_id", "ordinal", "score")
 
 
 @query("g4_head_variants")
 def _(d: Data):
     inst, labels = _bagged(d)
-    configs = [{"kind": k, "rounds": 3} for k in G.HEADS]
-    return G.sweep(configs, lambda c: (inst, labels), inst)
+    runs = [G.Run(kind=k, seed=s, tags={"kind": k, "seed": s}) for k in G.HEADS for s in SEEDS]
+    detail = G.study(inst, labels, _roles(labels, len(runs)), runs, inst.where(_split() == "measure"))
+    return G.over_seeds(detail, ["kind"])
 
 
 @query("g4_weighted_bag_mean")
 def _(d: Data):
     inst, labels = _bagged(d)
     inst = inst.withColumn("people", F.col("vec_id") % 7 + 1)
-    head = G.fit_proportions(inst, labels, rounds=3, weight="people")
-    return G.map_quality(G.score_tokens(inst, {"s0": head}))
+    runs = [G.Run(tags={"weight": "people"})]
+    return G.study(inst, labels, _roles(labels, 1), runs, inst.where(_split() == "measure"), "people")
 
 
 def _fixed_heads(width: int = 64) -> dict[str, G.Head]:
@@ -107,55 +168,65 @@ def _(d: Data):
 @query("g7_supervised_ceiling")
 def _(d: Data):
     inst, _labels = _bagged(d)
-    return G.map_quality(G.supervised_ceiling(inst, inst, 15))
+    held = _split() == "measure"
+    return G.map_quality(G.supervised_ceiling(inst.where(~held), inst.where(held)))
 
 
 @query("g8_supply_curve")
 def _(d: Data):
+    """Nested lists of training bags by size and seed, measured on the same held bags."""
     inst, labels = _bagged(d)
-    order = S.nested_sample(
-        labels.select(F.col("bag").alias("municipality"), F.bround(F.col("shares")[1] * 4).cast("int").alias("ordinal"))
-    ).select(F.col("municipality").alias("bag"), "place")
-
-    def train(config):
-        bags = order.where(F.col("place") <= config["bags"]).select("bag")
-        return inst.join(bags, "bag", "left_semi"), labels.join(bags, "bag", "left_semi")
-
-    return G.sweep([{"bags": n, "rounds": 3} for n in (6, 12)], train, inst)
+    pool = labels.where(_split() == "train").select(
+        F.col("bag").alias("municipality"), F.bround(F.col("shares")[1] * 4).cast("int").alias("ordinal")
+    )
+    orders = labels.select("bag")
+    for seed in SEEDS:
+        place = S.nested_sample(pool, seed).select(F.col("municipality").alias("bag"), F.col("place").alias(f"p{seed}"))
+        orders = orders.join(place, "bag", "left")
+    plan = [(size, seed) for size in (4, 8, None) for seed in SEEDS]
+    chosen = [
+        F.when(F.col(f"p{seed}").isNotNull() & (F.lit(size is None) | (F.col(f"p{seed}") <= F.lit(size))), TRAIN)
+        .when(_split() == "stop", VALIDATE)
+        .otherwise(0)
+        for size, seed in plan
+    ]
+    runs = [G.Run(seed=seed, tags={"bags": size or -1, "seed": seed}) for size, seed in plan]
+    roles = orders.select("bag", F.array(*chosen).alias("roles"))
+    return G.over_seeds(G.study(inst, labels, roles, runs, inst.where(_split() == "measure")), ["bags"])
 
 
 @query("g8_granularity_curve")
 def _(d: Data):
+    """The same bags labelled by themselves, by their group of four and by the whole."""
     inst, labels = _bagged(d)
-    national = inst.agg(
-        F.array(*[F.avg((F.col("ordinal") >= k).cast("double")) for k in (1, 2, 3, 4)]).alias("s")
-    )
-    coarse = labels.select("bag", national.scalar().alias("shares"))
-    by_level = {"municipality": labels, "national": coarse}
-    return G.sweep(
-        [{"level": n, "rounds": 2} for n in by_level], lambda c: (inst, by_level[c["level"]]), inst
-    )
+    wide = inst.withColumn("state", F.expr("vec_id div 100"))
+    share = F.array(*[F.avg((F.col("ordinal") >= k).cast("double")) for k in (1, 2, 3, 4)])
+    state = wide.groupBy("state").agg(share.alias("state_shares"))
+    of_bag = wide.groupBy("bag").agg(F.min("state").alias("state")).join(state, "state").select("bag", "state_shares")
+    national = inst.agg(share.alias("s")).scalar()
+    levels = ("municipality", "state", "national")
+    sets = labels.join(of_bag, "bag").select("bag", F.concat("shares", "state_shares", national).alias("shares"))
+    runs = [G.Run(seed=s, labels=i, tags={"level": n, "seed": s}) for i, n in enumerate(levels) for s in SEEDS]
+    detail = G.study(inst, sets, _roles(labels, len(runs)), runs, inst.where(_split() == "measure"))
+    return G.over_seeds(detail, ["level"])
 
 
 @query("g9_cross_validated_scores")
 def _(d: Data):
+    """Five folds, three seeds and two lengths of the training lists."""
     inst, labels = _bagged(d)
-    folds = S.plain_folds(labels, "bag", 2).withColumn("place", hash_number(0, F.col("bag")))
-    scored = G.cross_validated_scores(inst, labels, folds, 2, rounds=2)
-    return scored.select("bag", "vec_id", "ordinal", "score", "fold")
+    return G.transfer_quality(G.cross_validated_scores(inst, labels, seeds=SEEDS, sizes=(8, None)))
 
 
 @query("g9_spatial_cell_folds")
 def _(d: Data):
     cell = S.spatial_cell(F.lit("k"), F.expr("vec_id div 32 * 16"), F.expr("vec_id % 32 * 16"), 160)
-    inst, labels = _bagged(d)
+    inst, _labels = _bagged(d)
     inst = inst.withColumn("bag", cell)
     labels = inst.groupBy("bag").agg(
         F.array(*[F.avg((F.col("ordinal") >= k).cast("double")) for k in (1, 2, 3, 4)]).alias("shares")
     )
-    folds = S.plain_folds(labels, "bag", 2).withColumn("place", hash_number(0, F.col("bag")))
-    scored = G.cross_validated_scores(inst, labels, folds, 2, rounds=2)
-    return G.map_quality(scored)
+    return G.transfer_quality(G.cross_validated_scores(inst, labels, seeds=SEEDS))
 
 
 def _feature_table(d: Data):
