@@ -8,8 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.compute as pc
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tractlens.llm.common import settled
 from tractlens.llm import bpe, common, fertility, hilbert, mixing, packing, wordblocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -59,13 +62,29 @@ def test_hilbert_keys_visit_neighbours():
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=80) | st.text(alphabet="a'sé1 \n\t\u3000<|endoftext|>", max_size=80))
+def test_merge_ranks_give_the_ids_of_the_library(text):
+    from tokenizers import Tokenizer
+
+    cache = packing.process_cache()
+    if "plain" not in cache:
+        cache["plain"] = Tokenizer.from_file(packing.byte_bpe_path())
+        cache["plain"].encode_special_tokens = True
+    assert packing._ranked(packing.byte_bpe_path()) is not None if "checked" not in cache else True
+    cache["checked"] = True
+    encode, _ = packing._encoder(packing.byte_bpe_path())
+    assert encode(text).tolist() == cache["plain"].encode(text, add_special_tokens=False).ids
+
+
 def test_packing_is_gapless_and_keeps_every_id(spark, docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.byte_bpe_path())
     tokenizer.encode_special_tokens = True
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    found = packing.packed(docs, packing.byte_bpe_path(), length=64).toPandas()
+    pieces = settled(packing.packed(docs, packing.byte_bpe_path(), length=64))
+    found = pieces.toPandas()
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = Counter()
     for row in docs.collect():
