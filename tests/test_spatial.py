@@ -65,12 +65,67 @@ def test_components_of_a_long_chain(spark):
     assert got.select("component").distinct().collect() == [(0,)]
 
 
-def test_outline_distance():
-    a = [0, 0, 1, 0, 1, 0, 1, 1, 1, 1, 0, 1, 0, 1, 0, 0]
-    b = [x + 3 if i % 2 == 0 else x for i, x in enumerate(a)]
-    assert P._outline_distance(np.array(a, float), np.array(b, float)) == pytest.approx(2.0)
-    inner = np.array(a, float) * 0.2 + 0.3
-    assert P._outline_distance(np.array(a, float), inner) == 0.0
+def test_close_pairs_of_outlines(spark):
+    items = [("a", 0.0, 0.0, 1.0), ("b", 3.0, 0.0, 1.0), ("inner", 0.4, 0.4, 0.2), ("cross", 0.8, 0.9, 0.5), ("far", 9.0, 9.0, 1.0)]
+    rings = P.polygon_rings(square(spark, items))
+
+    def pairs(reach):
+        return {(r.a, r.b) for r in P._close_pairs(rings, rings, reach).where("a < b").collect()}
+
+    assert pairs(0.01) == {("a", "inner"), ("a", "cross")}
+    assert pairs(2.0) == {("a", "inner"), ("a", "cross"), ("a", "b"), ("b", "cross"), ("cross", "inner")}
+    assert pairs(1.99) == pairs(2.0) - {("a", "b")}
+
+
+def star(corners, rng):
+    """A jagged ring around a centre, with corners at random distances."""
+    angle = np.sort(rng.uniform(0, 2 * np.pi, corners))
+    away = rng.uniform(2, 6, corners)
+    return np.column_stack([away * np.cos(angle), away * np.sin(angle)])
+
+
+def ring_rows(key, corners):
+    return [(key, *map(float, a), *map(float, b)) for a, b in zip(corners, np.roll(corners, -1, axis=0))]
+
+
+@pytest.mark.parametrize("cell", [0.31, 1.0, 7.0, 40.0])
+def test_lattice_equals_the_crossing_rule(spark, cell):
+    rng = np.random.default_rng(8)
+    shapes = {"s": star(40, rng), "t": star(9, rng) * 0.5 + 3.0}
+    # a grid of whole numbers puts corners, edges and points on cell borders
+    shapes["u"] = np.array([(-4, -4), (4, -4), (4, -2), (-2, -2), (-2, 4), (-4, 4)], float)
+    edges = spark.createDataFrame(
+        [r for k, c in shapes.items() for r in ring_rows(k, c)], "poly_id string, x1 double, y1 double, x2 double, y2 double"
+    )
+    pts = np.vstack([rng.uniform(-7, 7, (300, 2)), np.stack(np.meshgrid(np.arange(-5, 6), np.arange(-5, 6)), -1).reshape(-1, 2)])
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "k long, x double, y double")
+    got = {(r.k, r.poly_id) for r in P._meet(points, P.polygon_rings(edges), cell, ["poly_id"]).collect()}
+    want = set()
+    for name, c in shapes.items():
+        (x1, y1), (x2, y2) = c.T, np.roll(c, -1, axis=0).T
+        for i, (x, y) in enumerate(pts):
+            spans = (y1 > y) != (y2 > y)
+            at = (x2 - x1) * (y - y1) / np.where(spans, y2 - y1, 1.0) + x1
+            if (spans & (x < at)).sum() % 2:
+                want.add((i, name))
+    assert got == want
+
+
+def test_a_ring_of_a_hundred_thousand_edges(spark):
+    n = 100_000
+    k = F.col("id") * (2 * np.pi / n)
+    step = 2 * np.pi / n
+    edges = spark.range(n).select(
+        F.lit("disc").alias("poly_id"), F.cos(k).alias("x1"), F.sin(k).alias("y1"), F.cos(k + step).alias("x2"), F.sin(k + step).alias("y2")
+    )
+    rng = np.random.default_rng(2)
+    pts = rng.uniform(-1.2, 1.2, (2000, 2))
+    pts = pts[np.abs(np.hypot(*pts.T) - 1) > 1e-6]
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "k long, x double, y double")
+    found = {r.k for r in P.point_in_polygon(points, P.polygon_rings(edges), ["k"], 0.05).collect()}
+    assert found == set(np.flatnonzero(np.hypot(*pts.T) < 1).tolist())
+    lattice = P.edge_lattice(P.polygon_rings(edges), 0.05)
+    assert lattice.agg(F.max(F.size("_near"))).first()[0] < n / 20
 
 
 def test_dissolve_drops_shared_edges(spark):

@@ -1,9 +1,10 @@
 """Polygon predicates as bucketed equi-joins over edge tables.
 
 A polygon layer is a table of directed edges; `polygon_rings` folds it to one row per polygon
-with its edge array and bounding box. Both sides of a spatial join are laid on a square
-lattice and meet by cell, so Catalyst sees an equi-join and adaptive execution can split a
-crowded cell. The exact test is an expression over the edge array.
+with its edge array and bounding box. A spatial join lays the edges on a square lattice: a cell
+holds the edges that pass through it and whether its centre is inside. Points meet the polygons by
+cell, so Catalyst sees an equi-join and adaptive execution can split a crowded cell, and no edge is
+carried to a cell that it does not touch.
 """
 
 from __future__ import annotations
@@ -11,12 +12,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tractlens.operators.scale import top_k
 from tractlens.session import ensure_checkpoint_dir
@@ -35,57 +33,108 @@ def polygon_rings(edges: DataFrame, keys: Sequence[str] = ("poly_id",)) -> DataF
     )
 
 
-def inside(x: Column, y: Column, edges: Column) -> Column:
-    """Even-odd rule with half-open edges, so a shared vertex counts once."""
-    crossed = F.filter(
-        edges,
-        lambda e: ((e["y1"] > y) != (e["y2"] > y))
-        & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]),
-    )
-    return F.size(crossed) % 2 == 1
-
+def _between(low: Column, high: Column, value: Column) -> Column:
+    """Whether a value lies between two others, half-open, so that a shared corner counts once."""
+    return (low > value) != (high > value)
 
-def distance_to_edges(x: Column, y: Column, edges: Column) -> Column:
-    """Distance from a point to the nearest edge."""
 
-    def one(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        long = dx * dx + dy * dy
-        t = F.when(long > 0, ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / long).otherwise(0.0)
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        ex, ey = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
-        return F.sqrt(ex * ex + ey * ey)
-
-    return F.array_min(F.transform(edges, one))
+def _edge_distance(x: Column, y: Column, e) -> Column:
+    """Distance from a point to an edge."""
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    long = dx * dx + dy * dy
+    t = F.when(long > 0, ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / long).otherwise(0.0)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    ex, ey = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
+    return F.sqrt(ex * ex + ey * ey)
 
 
 def _cell(v: Column, cell: float) -> Column:
     return F.floor(v / cell)
 
 
-def _laid(polygons: DataFrame, cell: float, reach: float = 0.0) -> DataFrame:
-    """Polygon rows repeated over the cells their (grown) box touches."""
-    return polygons.withColumn(
-        "_cx", F.explode(F.sequence(_cell(F.col("xmin") - reach, cell), _cell(F.col("xmax") + reach, cell)))
-    ).withColumn(
-        "_cy", F.explode(F.sequence(_cell(F.col("ymin") - reach, cell), _cell(F.col("ymax") + reach, cell)))
+def _edges_of(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return polygons.select(*keys, F.explode("edges").alias("_e")).select(*keys, "_e.x1", "_e.y1", "_e.x2", "_e.y2")
+
+
+def _touched(edges: DataFrame, cell: float, reach: float = 0.0) -> DataFrame:
+    """Edges repeated over the cells that they, grown by `reach`, may pass through."""
+    slack = reach + 1e-9 * cell
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.withColumn("_cy", F.explode(F.sequence(_cell(low - slack, cell), _cell(high + slack, cell))))
+    slope = F.when(F.col("y1") != F.col("y2"), (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+
+    def at(height: Column) -> Column:
+        return F.col("x1") + slope * (F.greatest(low, F.least(high, height)) - F.col("y1"))
+
+    # the part of the edge inside the row of cells
+    ends = at(F.col("_cy") * cell - slack), at((F.col("_cy") + 1) * cell + slack)
+    left = F.coalesce(F.least(*ends), F.least("x1", "x2"))
+    right = F.coalesce(F.greatest(*ends), F.greatest("x1", "x2"))
+    return rows.withColumn("_cx", F.explode(F.sequence(_cell(left - slack, cell), _cell(right + slack, cell))))
+
+
+def edge_lattice(polygons: DataFrame, cell: float, keys: Sequence[str] = ("poly_id",)) -> DataFrame:
+    """Cells that a polygon reaches: keys, _cx, _cy, `_inside` (the cell's centre), `_near` (its edges).
+
+    Only edges that pass through a cell are kept with it. The centres of a row of cells are decided
+    by the edges that cross the row's middle line: between two crossings all centres are alike, so a
+    cell without edges needs no test.
+    """
+    keys = list(keys)
+    edges = _edges_of(polygons, keys)
+    near = _touched(edges, cell).groupBy(*keys, "_cx", "_cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_near"))
+    middle = (F.col("_cy") + 0.5) * cell
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    crossing = (
+        edges.withColumn("_cy", F.explode(F.sequence(_cell(low, cell), _cell(high, cell))))
+        .where(_between(F.col("y1"), F.col("y2"), middle))
+        .withColumn("_at", (F.col("x2") - F.col("x1")) * (middle - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+        # the last cell whose centre lies left of the crossing
+        .groupBy(*keys, "_cy", (F.ceil(F.col("_at") / cell - 0.5) - 1).alias("_last"))
+        .agg(F.count("*").alias("_n"))
     )
+    # at most one row per cell of the row
+    rightward = W.partitionBy(*keys, "_cy").orderBy(F.desc("_last"))
+    runs = crossing.select(
+        *keys,
+        "_cy",
+        "_last",
+        F.sum("_n").over(rightward.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_crossed"),
+        F.lead("_last").over(rightward).alias("_next"),
+    ).where((F.col("_crossed") % 2 == 1) & (F.col("_next") < F.col("_last")))
+    within = runs.select(
+        *keys, F.explode(F.sequence(F.col("_next") + 1, F.col("_last"))).alias("_cx"), "_cy", F.lit(True).alias("_inside")
+    )
+    return near.join(within, [*keys, "_cx", "_cy"], "full").withColumn("_inside", F.coalesce("_inside", F.lit(False)))
+
 
+def _held(x: Column, y: Column, cell: float) -> Column:
+    """Whether a point lies in the polygon of its lattice row: the way to the centre changes sides at edges."""
+    cx, cy = (F.col("_cx") + 0.5) * cell, (F.col("_cy") + 0.5) * cell
 
-def _meet(points: DataFrame, polygons: DataFrame, cell: float, on: Sequence[str], reach: float = 0.0) -> DataFrame:
+    def crosses(e: Column) -> Column:
+        at_x = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+        at_y = (e["y2"] - e["y1"]) * (cx - e["x1"]) / (e["x2"] - e["x1"]) + e["y1"]
+        along = F.when(_between(e["y1"], e["y2"], y), ((x < at_x) != (cx < at_x)).cast("int")).otherwise(0)
+        up = F.when(_between(e["x1"], e["x2"], cx), ((y < at_y) != (cy < at_y)).cast("int")).otherwise(0)
+        return along + up
+
+    crossed = F.aggregate(F.coalesce("_near", F.array()), F.lit(0), lambda n, e: n + crosses(e))
+    return F.col("_inside") != (crossed % 2 == 1)
+
+
+def _meet(points: DataFrame, polygons: DataFrame, cell: float, keys: Sequence[str], on: Sequence[str] = ()) -> DataFrame:
+    """Points with the polygons that hold them."""
     placed = points.withColumn("_cx", _cell(F.col("x"), cell)).withColumn("_cy", _cell(F.col("y"), cell))
-    sides = _laid(polygons, cell, reach)
-    return placed.join(sides, [*on, "_cx", "_cy"]).where(
-        F.col("x").between(F.col("xmin") - reach, F.col("xmax") + reach)
-        & F.col("y").between(F.col("ymin") - reach, F.col("ymax") + reach)
-    )
+    lattice = edge_lattice(polygons, cell, [*keys, *on])
+    return placed.join(lattice, [*on, "_cx", "_cy"]).where(_held(F.col("x"), F.col("y"), cell)).drop("_cx", "_cy", "_near", "_inside")
 
 
 def point_in_polygon(
     points: DataFrame, polygons: DataFrame, key: Sequence[str], cell: float, on: Sequence[str] = ()
 ) -> DataFrame:
     """First polygon (by key) holding each point; points outside all are dropped."""
-    hits = _meet(points, polygons, cell, on).where(inside(F.col("x"), F.col("y"), F.col("edges")))
+    hits = _meet(points, polygons, cell, ["poly_id"], on)
     return hits.groupBy(*key).agg(F.min("poly_id").alias("poly_id"))
 
 
@@ -104,12 +153,19 @@ def nearest_polygon(
     points: DataFrame, polygons: DataFrame, key: Sequence[str], reach: float, cell: float | None = None
 ) -> DataFrame:
     """Nearest polygon within `reach` of each point, 0 inside; ties go to the first key."""
-    near = _meet(points, polygons, cell or max(reach, 1e-9), (), reach)
-    x, y, e = F.col("x"), F.col("y"), F.col("edges")
-    dist = F.when(inside(x, y, e), F.lit(0.0)).otherwise(distance_to_edges(x, y, e))
-    return (
-        near.withColumn("distance", dist)
+    size = cell or max(reach, 1e-9)
+    x, y = F.col("x"), F.col("y")
+    holding = _meet(points, polygons, size, ["poly_id"]).select(*key, "poly_id", F.lit(0.0).alias("distance"))
+    placed = points.withColumn("_cx", _cell(x, size)).withColumn("_cy", _cell(y, size))
+    around = _touched(_edges_of(polygons, ["poly_id"]), size, reach)
+    edge = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+    close = (
+        placed.join(around, ["_cx", "_cy"])
+        .select(*key, "poly_id", _edge_distance(x, y, edge).alias("distance"))
         .where(F.col("distance") <= reach)
+    )
+    return (
+        holding.unionByName(close)
         .groupBy(*key)
         .agg(F.min(F.struct("distance", "poly_id")).alias("_m"))
         .select(*key, "_m.poly_id", "_m.distance")
@@ -184,7 +240,7 @@ def pixels_in_polygons(pixels: DataFrame, grids: DataFrame, polygons: DataFrame,
         (gt(0) * col + gt(1) * row + gt(2)).alias("x"),
         (gt(3) * col + gt(4) * row + gt(5)).alias("y"),
     )
-    hits = _meet(placed, polygons, cell, ()).where(inside(F.col("x"), F.col("y"), F.col("edges")))
+    hits = _meet(placed, polygons, cell, ["poly_id", "xmin", "xmax"])
     # adjacent polygons do not overlap, so a pixel meets one polygon; the half-open rule decides on edges
     return hits.select(*pixels.columns, "poly_id", "x", "y", ((F.col("xmin") + F.col("xmax")) / 2.0).alias("mid_x"))
 
@@ -271,84 +327,56 @@ def dissolve(edges: DataFrame, key: str) -> DataFrame:
 # ---- urban mass ---------------------------------------------------------------------------
 
 
-def _flat(edges: Column) -> Column:
-    return F.flatten(F.transform(edges, lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
-
-
-def _to_segments(px, py, seg):
-    """Distances from points to segments, one row per point."""
-    x1, y1, x2, y2 = seg.T
-    dx, dy = x2 - x1, y2 - y1
-    long = np.where(dx * dx + dy * dy > 0, dx * dx + dy * dy, 1.0)
-    t = np.clip(((px[:, None] - x1) * dx + (py[:, None] - y1) * dy) / long, 0.0, 1.0)
-    return np.hypot(px[:, None] - (x1 + t * dx), py[:, None] - (y1 + t * dy))
-
-
-def _holds(x, y, seg) -> bool:
-    x1, y1, x2, y2 = seg.T
-    straddles = (y1 > y) != (y2 > y)
-    at = (x2 - x1) * (y - y1) / np.where(straddles, y2 - y1, 1.0) + x1
-    return bool((straddles & (x < at)).sum() % 2)
-
+def _segment_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Distance of two edges, 0 where they cross."""
 
-def _outline_distance(a, b) -> float:
-    """Distance of two outlines, 0 where they cross or one holds the other."""
-    a, b = np.reshape(a, (-1, 4)), np.reshape(b, (-1, 4))
-    if _holds(a[0, 0], a[0, 1], b) or _holds(b[0, 0], b[0, 1], a):
-        return 0.0
+    def side(p: dict[str, Column], x: Column, y: Column) -> Column:
+        return (p["x2"] - p["x1"]) * (y - p["y1"]) - (p["y2"] - p["y1"]) * (x - p["x1"])
 
-    def side(p, q, x, y):
-        return (q[:, 0] - p[:, 0]) * (y - p[:, 1]) - (q[:, 1] - p[:, 1]) * (x - p[:, 0])
-
-    ap, aq = a[:, None, :2].repeat(len(b), 1).reshape(-1, 2), a[:, None, 2:].repeat(len(b), 1).reshape(-1, 2)
-    bp, bq = np.tile(b[:, :2], (len(a), 1)), np.tile(b[:, 2:], (len(a), 1))
-    one = side(ap, aq, bp[:, 0], bp[:, 1]) * side(ap, aq, bq[:, 0], bq[:, 1]) < 0
-    two = side(bp, bq, ap[:, 0], ap[:, 1]) * side(bp, bq, aq[:, 0], aq[:, 1]) < 0
-    if (one & two).any():
-        return 0.0
-    # segments that do not cross are nearest at an end point of one of them
-    return float(min(_to_segments(a[:, 0], a[:, 1], b).min(), _to_segments(b[:, 0], b[:, 1], a).min()))
-
-
-@F.pandas_udf(DoubleType())
-def polygon_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_outline_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    one = side(a, b["x1"], b["y1"]) * side(a, b["x2"], b["y2"]) < 0
+    two = side(b, a["x1"], a["y1"]) * side(b, a["x2"], a["y2"]) < 0
+    # edges that do not cross are nearest at an end of one of them
+    ends = [_edge_distance(p[f"x{i}"], p[f"y{i}"], q) for p, q in ((a, b), (b, a)) for i in (1, 2)]
+    return F.when(one & two, F.lit(0.0)).otherwise(F.least(*ends))
 
 
 def _close_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
-    """Pairs of polygons no farther apart than `reach`.
+    """Pairs (a, b) of polygons no farther apart than `reach`.
 
-    Candidates share a cell of that size and have boxes no farther apart; a polygon has as many
-    as fit around it, since polygons do not overlap.
+    Edges meet by cell, one side grown by `reach`, and a pair of polygons is kept once by its least
+    distance. A polygon that lies inside another without a near edge is found by one of its corners.
     """
-    cell = max(reach, 1e-9)
-    box = ("xmin", "ymin", "xmax", "ymax")
+    cell = max(2.0 * reach, 1e-9)
+    names = ("x1", "y1", "x2", "y2")
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return _laid(df, cell, reach / 2.0).select(
-            "_cx", "_cy", F.col("poly_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in box]
+    def side(df: DataFrame, name: str, grown: float) -> DataFrame:
+        return _touched(_edges_of(df, ["poly_id"]), cell, grown).select(
+            "_cx", "_cy", F.col("poly_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in names]
         )
 
-    def gap(low: str, high: str) -> Column:
-        return F.greatest(F.col(f"a_{low}") - F.col(f"b_{high}"), F.col(f"b_{low}") - F.col(f"a_{high}"), F.lit(0.0))
-
-    gx, gy = gap("xmin", "xmax"), gap("ymin", "ymax")
-    candidates = (
-        side(left, "a")
-        .join(side(right, "b"), ["_cx", "_cy"])
-        .where((F.col("a") != F.col("b")) & (gx * gx + gy * gy <= reach * reach))
-        .select("a", "b")
-        .distinct()
-    )
-    rings_a = left.select(F.col("poly_id").alias("a"), _flat(F.col("edges")).alias("ea"))
-    rings_b = right.select(F.col("poly_id").alias("b"), _flat(F.col("edges")).alias("eb"))
-    return (
-        candidates.join(rings_a, "a")
-        .join(rings_b, "b")
-        .where(polygon_distance(F.col("ea"), F.col("eb")) <= reach)
+    one, two = ({c: F.col(f"{n}_{c}") for c in names} for n in ("a", "b"))
+    beside = (
+        side(left, "a", reach)
+        .join(side(right, "b", 0.0), ["_cx", "_cy"])
+        .where(F.col("a") != F.col("b"))
+        .select("a", "b", _segment_distance(one, two).alias("_d"))
+        .groupBy("a", "b")
+        .agg(F.min("_d").alias("_d"))
+        .where(F.col("_d") <= reach)
         .select("a", "b")
     )
 
+    def held(inner: DataFrame, outer: DataFrame, small: str, large: str) -> DataFrame:
+        corner = F.col("edges")[0]
+        points = inner.select(F.col("poly_id").alias(small), corner["x1"].alias("x"), corner["y1"].alias("y"))
+        box = (F.col("xmax") - F.col("xmin") + F.col("ymax") - F.col("ymin")) / 2.0
+        # cells about as large as a polygon
+        wide = max(outer.agg(F.percentile_approx(box, 0.5)).first()[0] or cell, cell)
+        hits = _meet(points, outer, wide, ["poly_id"]).select(small, F.col("poly_id").alias(large))
+        return hits.where(F.col(small) != F.col(large)).select("a", "b")
+
+    return beside.unionByName(held(left, right, "a", "b")).unionByName(held(right, left, "b", "a")).distinct()
+
 
 def near_core(rings: DataFrame, core: Column, reach: float) -> DataFrame:
     """Polygons of the core and those within `reach` of it."""
