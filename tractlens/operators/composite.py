@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tractlens.functions.expr import masked
 from tractlens.operators.scale import exact_percentiles, nth_value, settled, top_k
 
+# fixed values: limits of a composite
+MAX_SCENES = 36
 MIN_SCENE_COVERAGE = 0.05
 TILE_COVERAGE = 0.02
 FAILURE_FRACTION = 0.3
@@ -58,24 +60,46 @@ def _cells(grids: DataFrame) -> DataFrame:
     return grids.select("box", (F.col("h") * F.col("w")).cast("double").alias("cells"))
 
 
-def scene_coverage(pixels: DataFrame, grids: DataFrame, seen: Column, name: str = "share") -> DataFrame:
-    """Share of a box's cells a scene sees; scenes without pixels are absent."""
-    per = pixels.groupBy("box", "scene_id").agg(
-        F.countDistinct(F.when(seen, F.struct("r", "c"))).alias("_k")
+def scene_coverage(pixels: DataFrame, grids: DataFrame, by: str = "scene_id", **seen: Column) -> DataFrame:
+    """Shares of a box's cells that a scene sees, one per named condition; scenes without pixels are absent.
+
+    `by` names what stands for a scene.
+
+    A task keeps the cells it met as bits of the cell's number, so what is shuffled does not grow with
+    bands or repeated pixels.
+    """
+    number = F.col("r") * F.col("w") + F.col("c")
+    per = (
+        pixels.join(grids.select("box", "w"), "box")
+        .select("box", by, number.alias("_n"), *[s.alias(f"_s_{n}") for n, s in seen.items()])
+        .groupBy("box", by, F.bitmap_bucket_number("_n").alias("_part"))
+        # a null position sets no bit
+        .agg(*[F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(F.when(F.col(f"_s_{n}"), F.col("_n"))))).alias(n) for n in seen])
+        .groupBy("box", by)
+        .agg(*[F.sum(n).alias(n) for n in seen])
+    )
+    return per.join(_cells(grids), "box").select("box", by, *[(F.col(n) / F.col("cells")).alias(n) for n in seen])
+
+
+def optical_coverage(pixels: DataFrame, grids: DataFrame) -> DataFrame:
+    """What every scene sees of its box, and what of it is usable, from one scan."""
+    return settled(
+        scene_coverage(pixels, grids, seen=F.col("scl") > 0, usable=masked(F.lit(1), F.col("scl")).isNotNull())
     )
-    return per.join(_cells(grids), "box").select("box", "scene_id", (F.col("_k") / F.col("cells")).alias(name))
 
 
 def useful_tiles(
-    scenes: DataFrame, pixels: DataFrame, grids: DataFrame, samples: int = 2, minimum: float = TILE_COVERAGE
+    scenes: DataFrame, coverage: DataFrame, samples: int = 2, minimum: float = TILE_COVERAGE
 ) -> DataFrame:
-    """Scenes of the tiles that reach the box, judged by each tile's clearest scenes."""
+    """Scenes of the tiles that reach the box, judged by each tile's clearest scenes.
+
+    `coverage(box, scene_id, seen)` as `optical_coverage` gives it.
+    """
     probes = clearest(scenes, ["box", "tile"], samples).select("box", "tile", "scene_id")
-    probed = pixels.join(probes.select("box", "scene_id"), ["box", "scene_id"], "left_semi")
     reach = (
-        probes.join(scene_coverage(probed, grids, F.col("scl") > 0), ["box", "scene_id"])
+        probes.join(coverage, ["box", "scene_id"])
         .groupBy("box", "tile")
-        .agg(F.max("share").alias("coverage"))
+        .agg(F.max("seen").alias("coverage"))
         .where(F.col("coverage") >= minimum)
     )
     return scenes.join(reach.select("box", "tile"), ["box", "tile"], "left_semi")
@@ -84,17 +108,14 @@ def useful_tiles(
 # ---- composites ---------------------------------------------------------------------------
 
 
-def selected_scenes(
-    scenes: DataFrame, pixels: DataFrame, grids: DataFrame, max_scenes: int = 36, samples: int = 2
-) -> DataFrame:
-    return settled(clearest(useful_tiles(scenes, pixels, grids, samples), ["box", "tile"], max_scenes).drop("place"))
+def selected_scenes(scenes: DataFrame, coverage: DataFrame, max_scenes: int = MAX_SCENES, samples: int = 2) -> DataFrame:
+    return settled(clearest(useful_tiles(scenes, coverage, samples), ["box", "tile"], max_scenes).drop("place"))
 
 
-def used_scenes(selected: DataFrame, pixels: DataFrame, grids: DataFrame, minimum: float = MIN_SCENE_COVERAGE) -> DataFrame:
+def used_scenes(selected: DataFrame, coverage: DataFrame, minimum: float = MIN_SCENE_COVERAGE) -> DataFrame:
     """Selected scenes whose usable share of the box is large enough."""
-    mine = pixels.join(selected.select("box", "scene_id"), ["box", "scene_id"], "left_semi")
-    valid = masked(F.lit(1), F.col("scl")).isNotNull()
-    return scene_coverage(mine, grids, valid).where(F.col("share") >= minimum).select("box", "scene_id")
+    good = coverage.where(F.col("usable") >= minimum).select("box", "scene_id")
+    return good.join(selected.select("box", "scene_id"), ["box", "scene_id"], "left_semi")
 
 
 def median_composite(pixels: DataFrame, used: DataFrame, value: Column) -> DataFrame:
@@ -108,10 +129,10 @@ def median_composite(pixels: DataFrame, used: DataFrame, value: Column) -> DataF
 
 
 def optical_composite(
-    scenes: DataFrame, pixels: DataFrame, grids: DataFrame, max_scenes: int = 36, samples: int = 2
+    scenes: DataFrame, pixels: DataFrame, grids: DataFrame, max_scenes: int = MAX_SCENES, samples: int = 2
 ) -> DataFrame:
-    selected = selected_scenes(scenes, pixels, grids, max_scenes, samples)
-    used = settled(used_scenes(selected, pixels, grids))
+    coverage = optical_coverage(pixels, grids)
+    used = settled(used_scenes(selected_scenes(scenes, coverage, max_scenes, samples), coverage))
     return median_composite(pixels, used, masked(F.col("value"), F.col("scl")))
 
 
@@ -124,10 +145,11 @@ def depth_stats(composite: DataFrame, band: str) -> DataFrame:
 
 
 def composite_meta(
-    scenes: DataFrame, pixels: DataFrame, grids: DataFrame, band: str, max_scenes: int = 36, samples: int = 2
+    scenes: DataFrame, pixels: DataFrame, grids: DataFrame, band: str, max_scenes: int = MAX_SCENES, samples: int = 2
 ) -> DataFrame:
-    selected = selected_scenes(scenes, pixels, grids, max_scenes, samples)
-    used = settled(used_scenes(selected, pixels, grids))
+    coverage = optical_coverage(pixels, grids)
+    selected = selected_scenes(scenes, coverage, max_scenes, samples)
+    used = settled(used_scenes(selected, coverage))
     composite = median_composite(pixels, used, masked(F.col("value"), F.col("scl")))
     return (
         selected.groupBy("box")
@@ -149,7 +171,7 @@ def orbit_coverage(
     band = pixels.where(F.col("band") == probe_band).join(
         probes.select("box", "scene_id"), ["box", "scene_id"], "left_semi"
     )
-    seen = scene_coverage(band, grids, F.col("value").isNotNull())
+    seen = scene_coverage(band, grids, share=F.col("value").isNotNull())
     means = probes.join(seen, ["box", "scene_id"], "left").groupBy(*orbits).agg(
         F.coalesce(F.avg("share"), F.lit(0.0)).alias("coverage")
     )
@@ -181,13 +203,7 @@ def zone_code(props_epsg: Column, props_code: Column) -> Column:
 def zone_coverage(scenes: DataFrame, pixels: DataFrame, grids: DataFrame, samples: int = 2) -> DataFrame:
     """Share of the box that the clearest scenes of a zone's tiles see together."""
     probes = clearest(scenes, ["box", "zone", "tile"], samples).select("box", "zone", "scene_id")
-    seen = (
-        pixels.where(F.col("scl") > 0)
-        .join(probes, ["box", "scene_id"])
-        .groupBy("box", "zone")
-        .agg(F.countDistinct(F.struct("r", "c")).alias("_k"))
-    )
-    shares = seen.join(_cells(grids), "box").select("box", "zone", (F.col("_k") / F.col("cells")).alias("coverage"))
+    shares = scene_coverage(pixels.join(probes, ["box", "scene_id"]), grids, "zone", coverage=F.col("scl") > 0)
     counts = scenes.groupBy("box", "zone").agg(F.count("*").alias("scenes"))
     return counts.join(shares, ["box", "zone"], "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
 

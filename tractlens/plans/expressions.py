@@ -13,13 +13,13 @@ _ACC = f"lower(translate(name, '{X.ACCENTED}', '{X.PLAIN}'))"
 
 @query(
     "b8_slug_keys",
-    f"""WITH n AS (SELECT doc_id, split_part(text, '.', 1) AS name FROM documents), s AS (SELECT doc_id, regexp_replace({_ACC}, '[^a-z0-9]', '', 'g') AS slug FROM n)
+    f"""WITH n AS (SELECT doc_id, text AS name FROM documents), s AS (SELECT doc_id, regexp_replace({_ACC}, '[^a-z0-9]', '', 'g') AS slug FROM n)
  SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY slug) > 1 THEN slug || CAST(doc_id AS VARCHAR) ELSE slug END AS key FROM s""",
 )
 def _(d: Data):
     from tractlens.operators.scale import with_stats
 
-    named = d.table("documents").select("doc_id", X.slug(F.split_part(F.col("text"), F.lit("."), F.lit(1))).alias("slug"))
+    named = d.table("documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
     counted = with_stats(named, ["slug"], F.count("*").alias("n"))
     return counted.select(
         "doc_id", F.when(F.col("n") > 1, F.concat("slug", F.col("doc_id").cast("string"))).otherwise(F.col("slug")).alias("key")
@@ -163,7 +163,7 @@ def _(d: Data):
 
 @query(
     "b18_decoded_bags",
-    cte("tract_scores", q=_CUM, v="SELECT vec_id, embedding[1:5] AS e FROM embeddings")
+    cte("tract_scores", q=_CUM, v="SELECT vec_id, embedding AS e FROM embeddings")
     + """SELECT 'classes' AS objective, CAST(vec_id AS VARCHAR) AS bag, CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS prediction FROM v
  UNION ALL SELECT 'cumulative', cvegeo, CAST(len(list_filter(s, lambda x : x >= 0.5)) AS INTEGER) FROM q""",
 )
@@ -171,7 +171,7 @@ def _(d: Data):
     logits = d.table("embeddings").select(
         F.lit("classes").alias("objective"),
         F.col("vec_id").cast("string").alias("bag"),
-        X.decode_classes(F.slice("embedding", 1, 5)).alias("prediction"),
+        X.decode_classes(F.col("embedding")).alias("prediction"),
     )
     shares = _shares(d).select(
         F.lit("cumulative").alias("objective"),

@@ -46,7 +46,7 @@ _TILE = dict(
     cov="""SELECT box, tile, max(k) AS coverage FROM (SELECT box, tile, scene_id, count(DISTINCT CASE WHEN scl > 0 THEN r * 1000 + c END) / 256.0::DOUBLE AS k
            FROM pr JOIN pixels USING (box, scene_id) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
     useful="SELECT sc.* FROM sc JOIN cov USING (box, tile) WHERE coverage >= 0.02",
-    sel="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY box, tile ORDER BY cloud, scene_id) AS rn FROM useful) WHERE rn <= 3",
+    sel="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY box, tile ORDER BY cloud, scene_id) AS rn FROM useful) WHERE rn <= 36",
     used="""SELECT box, scene_id FROM sel JOIN pixels USING (box, scene_id) GROUP BY 1, 2
             HAVING count(DISTINCT CASE WHEN scl IN (4, 5, 6, 7) THEN r * 1000 + c END) / 256.0::DOUBLE >= 0.05""",
     comp="""SELECT box, band, r, c, median(CASE WHEN scl IN (4, 5, 6, 7) THEN value END) AS value,
@@ -56,7 +56,7 @@ _TILE = dict(
 
 @query("d1_optical_composite", cte("pixels", **_TILE) + "SELECT * FROM comp", "value", 4)
 def _(d: Data):
-    return K.optical_composite(scenes(d), d.pixels(), grids(d), 3)
+    return K.optical_composite(scenes(d), d.pixels(), grids(d))
 
 
 _DEPTH = """SELECT box, CAST(floor(median(depth)) AS BIGINT) AS median_depth, CAST(floor(quantile_cont(depth, 0.05)) AS BIGINT) AS minimum_depth
@@ -71,12 +71,12 @@ _DEPTH = """SELECT box, CAST(floor(median(depth)) AS BIGINT) AS median_depth, CA
  (SELECT box, count(*) AS scenes_used FROM used GROUP BY 1) USING (box) JOIN dep USING (box)""",
 )
 def _(d: Data):
-    return K.composite_meta(scenes(d), d.pixels(), grids(d), "A", 3)
+    return K.composite_meta(scenes(d), d.pixels(), grids(d), "A")
 
 
 @query("d3_useful_tiles", cte("pixels", **_TILE) + "SELECT box, tile, scene_id, cloud FROM useful", "cloud")
 def _(d: Data):
-    return K.useful_tiles(scenes(d), d.pixels(), grids(d)).select("box", "tile", "scene_id", "cloud")
+    return K.useful_tiles(scenes(d), K.optical_coverage(d.pixels(), grids(d))).select("box", "tile", "scene_id", "cloud")
 
 
 _ORB = dict(
@@ -181,7 +181,7 @@ def _(d: Data):
     "value",
 )
 def _(d: Data):
-    comp = K.optical_composite(scenes(d), d.pixels(), grids(d), 3)
+    comp = K.optical_composite(scenes(d), d.pixels(), grids(d))
     reads = scenes(d).select("box", (F.col("cloud") > 50.1).alias("failed"))
     return K.composite_checks(comp, grids(d), reads, depth_band="A", min_depth=2)
 

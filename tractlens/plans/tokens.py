@@ -249,8 +249,9 @@ _PART = "SELECT bag, y0, x0, [vec[1], vec[2]] AS vec FROM vectors"
 @query(
     "c3_position_join",
     cte("vectors", o="SELECT o_orderkey // 32 * 16 AS y0, o_orderkey % 32 * 16 AS x0, [o_totalprice] AS w FROM orders")
-    + "SELECT bag, y0, x0, vec[1]::DOUBLE AS v1, vec[64]::DOUBLE AS v64, w[1] AS v65 FROM vectors JOIN o USING (y0, x0)",
-    "v1 v64 v65",
+    + """SELECT bag, y0, x0, CAST(generate_subscripts(v, 1) AS INTEGER) AS entry, unnest(v) AS value
+ FROM (SELECT bag, y0, x0, list_concat(vec::DOUBLE[], w::DOUBLE[]) AS v FROM vectors JOIN o USING (y0, x0))""",
+    "value",
 )
 def _(d: Data):
     other = d.table("orders").select(
@@ -260,7 +261,8 @@ def _(d: Data):
     )
     base = d.vectors().withColumn("vec", F.col("vec").cast("array<double>"))
     out = T.join_by_position(base, other, ["y0", "x0"])
-    return out.select("bag", "y0", "x0", F.col("vec")[0].alias("v1"), F.col("vec")[63].alias("v64"), F.col("vec")[64].alias("v65"))
+    entries = out.select("bag", "y0", "x0", F.posexplode("vec").alias("entry", "value"))
+    return entries.withColumn("entry", F.col("entry") + 1)
 
 
 @query(
@@ -282,11 +284,11 @@ def _(d: Data):
     "d29_vector_scaler",
     cte("vectors", s="SELECT *, row_number() OVER (PARTITION BY bag ORDER BY md5('0|' || CAST(vec_id AS VARCHAR)), vec_id) AS i FROM vectors")
     + """SELECT CAST(k - 1 AS INTEGER) AS feature, avg(vec[k]::DOUBLE) AS centre, stddev_pop(vec[k]::DOUBLE) AS spread
- FROM (SELECT * FROM s WHERE i <= 30), (SELECT unnest(range(1, 65)) AS k) GROUP BY 1""",
+ FROM (SELECT * FROM s WHERE i <= 200), (SELECT unnest(range(1, 65)) AS k) GROUP BY 1""",
     "centre spread",
 )
 def _(d: Data):
-    return T.vector_scaler(d.vectors(), ["bag"], "vec_id", per_bag=30)
+    return T.vector_scaler(d.vectors(), ["bag"], "vec_id")
 
 
 @query(
