@@ -183,3 +183,62 @@ def test_nested_results_flatten_to_paths(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"a": {"b": {"c": 1.5}, "d": 2}, "name": "x"}')
     got = {r.path: r.value for r in reports.read_results(spark, str(tmp_path / "r.json")).collect()}
     assert got == {"a.b.c": 1.5, "a.d": 2.0}
+
+
+def test_results_of_four_levels_come_back(spark, tmp_path):
+    rows = [(f"run{k}", f"a.b{i % 3}.c{i % 5}.d{i}", float(i + k) / 7) for k in range(20) for i in range(40)] + [("run0", "top", 1.0)]
+    values = spark.createDataFrame(rows, "run string, path string, value double")
+    reports.write_results(values, str(tmp_path / "out"), ["run"])
+    back = reports.read_results(spark, str(tmp_path / "out"), ["run"], lines=True)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    clash = spark.createDataFrame([("a", 1.0), ("a.b", 2.0)], "path string, value double")
+    with pytest.raises(Exception, match="two results at one path"):
+        reports.nested_results(clash).collect()
+
+
+def test_a_faulty_composite_is_refused_and_the_old_one_stays(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    grids = spark.createDataFrame([("x", "s2", 4, 4)], "box string, sensor string, h int, w int")
+    schema = "box string, sensor string, band string, r int, c int, value double"
+
+    def pixels(rows=4, value=1.0, bands="AB", box="x"):
+        return spark.createDataFrame(
+            [(box, "s2", b, r, c, value) for b in bands for r in range(rows) for c in range(4)], schema
+        )
+
+    def held():
+        return {r.value for r in store.load_composite(spark, folder, schema).collect()}
+
+    with pytest.raises(FileNotFoundError):
+        held()
+    store.save_composite(pixels(), grids, folder, {"scenes": "12"})
+    mixed = pixels(bands="A").unionByName(pixels(rows=3, bands="B"))
+    for bad, reason in ((pixels(rows=3), "off grid"), (mixed, "mixed shapes"), (pixels().limit(0), "no bands"), (pixels().unionByName(pixels(box="y")), "no grid")):
+        with pytest.raises(store.RefusedWrite, match=reason):
+            store.save_composite(bad, grids, folder)
+        assert held() == {1.0}
+    assert store.tags_of(spark, folder) == {"scenes": "12"}
+    assert store.save_composite(pixels(value=2.0), grids, folder) == 2 and held() == {2.0}
+
+
+def test_vectors_must_stand_for_their_instances(spark, tmp_path):
+    folder = str(tmp_path / "vectors")
+    instances = spark.createDataFrame([(i,) for i in range(6)], "k long")
+    schema = "k long, vec array<float>, bag string"
+
+    def vectors(keys=range(6), width=3, last=3):
+        return spark.createDataFrame([(i, [0.5] * (last if i == 5 else width), f"b{i % 2}") for i in keys], schema)
+
+    store.save_vectors(vectors(), instances, ["k"], folder)
+    assert store.load_vectors(spark, folder, schema, instances, ["k"]).count() == 6
+    for bad, reason in (
+        (vectors(range(5)), "no vector"),
+        (vectors(range(7)), "no instance"),
+        (vectors(last=2), "different length"),
+        (vectors([0, 1, 2, 3, 4, 5, 5]), "repeated keys"),
+        (vectors([]), "no vectors"),
+    ):
+        with pytest.raises(store.RefusedWrite, match=reason):
+            store.save_vectors(bad, instances, ["k"], folder)
+    with pytest.raises(ValueError, match="no vector: 1 rows"):
+        store.load_vectors(spark, folder, schema, instances.unionByName(spark.createDataFrame([(9,)], "k long")), ["k"])

@@ -105,7 +105,8 @@ def _(d: Data):
         .withColumn("sensor", F.lit("s2"))
     )
     folder = O.scratch_folder(d.spark, "composites")
-    O.save_composite(px, folder)
+    grids = px.select("box", "sensor").distinct().select("box", "sensor", F.lit(16).alias("h"), F.lit(16).alias("w"))
+    O.save_composite(px, grids, folder)
     back = O.load_composite(
         d.spark, folder, "band string, r bigint, c bigint, value double, box string, sensor string"
     )
@@ -167,8 +168,10 @@ def _(d: Data):
 )
 def _(d: Data):
     folder = O.scratch_folder(d.spark, "vectors")
-    d.vectors().write.mode("overwrite").partitionBy("bag").option("compression", "zstd").parquet(folder)
-    back = d.spark.read.schema("y0 bigint, x0 bigint, vec array<float>, vec_id bigint, bag string").parquet(folder)
+    instances = d.table("embeddings").select("vec_id")
+    O.save_vectors(d.vectors(), instances, ["vec_id"], folder)
+    schema = "y0 bigint, x0 bigint, vec array<float>, vec_id bigint, bag string"
+    back = O.load_vectors(d.spark, folder, schema, instances, ["vec_id"])
     entries = back.select("vec_id", F.posexplode("vec").alias("entry", "value"))
     return entries.select("vec_id", (F.col("entry") + 1).alias("entry"), F.col("value").cast("double").alias("value"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tractlens.operators.scale import numbered
+from tractlens.operators.scale import numbered, settled
 
 DASH = "--"
 
@@ -30,26 +30,61 @@ def _leaves(schema: T.StructType, path: str = "", col: Column | None = None):
             yield here, value
 
 
-def flatten_results(nested: DataFrame) -> DataFrame:
-    """(path, value) of every number of a nested result document."""
-    rows = [F.struct(F.lit(p).alias("path"), v.cast("double").alias("value")) for p, v in _leaves(nested.schema)]
-    return nested.select(F.explode(F.array(*rows)).alias("e")).select("e.path", "e.value").where("value IS NOT NULL")
-
-
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """A result file is one small JSON document, so its shape is read from it."""
-    return flatten_results(spark.read.json(path, multiLine=True))
-
-
-def write_results(values: DataFrame, folder: str) -> None:
-    """Two-level document block -> name -> value from paths of two parts; paths are few."""
-    block, name = F.split_part("path", F.lit("."), F.lit(1)), F.split_part("path", F.lit("."), F.lit(2))
-    blocks = values.groupBy(block.alias("block")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("k"), F.col("value").alias("v"))))).alias("m")
-    )
-    blocks.agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("block", "m")))).alias("value")
-    ).write.mode("overwrite").text(folder)
+def flatten_results(nested: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, path, value) of every number of nested result documents, one document a row."""
+    inner = nested.drop(*keys).schema
+    rows = [F.struct(F.lit(p).alias("path"), v.cast("double").alias("value")) for p, v in _leaves(inner)]
+    long = nested.select(*keys, F.explode(F.array(*rows)).alias("e"))
+    return long.select(*keys, "e.path", "e.value").where("value IS NOT NULL")
+
+
+def read_results(spark: SparkSession, path: str, keys: Sequence[str] = (), lines: bool = False) -> DataFrame:
+    """Result documents: one per file, or one per line."""
+    return flatten_results(spark.read.json(path, multiLine=not lines), keys)
+
+
+def nested_results(values: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Documents of any depth from paths: keys and `document`, a JSON text.
+
+    Paths are folded from the deepest level up, all documents at once: the entries of a parent become
+    its text. A path that is both a number and a parent is an error.
+    """
+    keys = list(keys)
+    parts = values.select(*keys, F.split("path", r"\.").alias("parts"), F.col("value").cast("string").alias("text"))
+    parts = settled(parts.where(F.col("text").isNotNull()))
+    depth = parts.agg(F.max(F.size("parts"))).first()[0] or 0
+    rows = parts
+    for level in range(depth, 0, -1):
+        here, above = rows.where(F.size("parts") == level), rows.where(F.size("parts") < level)
+        name = F.to_json(F.array(F.element_at("parts", -1)))
+        # a JSON text of the name without the brackets of its array
+        entry = F.concat(F.substring(name, F.lit(2), F.length(name) - 2), F.lit(":"), F.col("text"))
+        folded = (
+            here.groupBy(*keys, F.slice("parts", 1, level - 1).alias("parts"))
+            .agg(
+                F.array_sort(F.collect_list(entry)).alias("entries"),
+                F.count("*").alias("n"),
+                F.countDistinct(F.element_at("parts", -1)).alias("names"),
+            )
+            .withColumn(
+                "text",
+                F.when(F.col("n") == F.col("names"), F.concat(F.lit("{"), F.array_join("entries", ","), F.lit("}"))).otherwise(
+                    F.raise_error(F.concat(F.lit("two results at one path below: "), F.array_join("parts", ".")))
+                ),
+            )
+        )
+        rows = folded.select(*keys, "parts", "text").unionByName(above)
+    return rows.select(*keys, F.col("text").alias("document"))
+
+
+def write_results(values: DataFrame, folder: str, keys: Sequence[str] = ()) -> None:
+    """One document a line; the keys become members of each document."""
+    documents = nested_results(values, keys)
+    if keys:
+        names = F.to_json(F.struct(*keys))
+        body = F.substring("document", F.lit(2), F.length("document"))
+        documents = documents.select(F.concat(F.substring(names, F.lit(1), F.length(names) - 1), F.lit(","), body).alias("document"))
+    documents.select("document").write.mode("overwrite").text(folder)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

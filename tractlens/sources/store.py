@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,20 +32,111 @@ def composite_faults(pixels: DataFrame, grids: DataFrame) -> DataFrame:
     return joined.select("box", "sensor", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-def save_composite(pixels: DataFrame, folder: str) -> None:
-    """Pixels by box and sensor, sorted so that row and column ranges prune inside a file."""
-    (
-        pixels.repartition("box", "sensor", F.expr("r div 1024"))
-        .sortWithinPartitions("box", "sensor", "band", "r", "c")
-        .write.mode("overwrite")
-        .partitionBy("box", "sensor")
-        .parquet(folder)
-    )
+class RefusedWrite(ValueError):
+    """What was to be saved is faulty; the store still holds what it held."""
+
+
+def publish(staged: DataFrame, folder: str, faults, partition_by: Sequence[str] = (), tags: dict[str, str] | None = None) -> int:
+    """Writes a version beside the others, checks what was written, and only then names it in the manifest.
+
+    `faults` maps the version as read back to a table of faults, empty where all is well. A reader
+    takes the newest version of the manifest, so it never meets a half-written or faulty one; a
+    refused version stays unnamed. Versions of two writers at once get the same number, and the one
+    whose folder sorts last counts.
+    """
+    spark = staged.sparkSession
+    name = uuid.uuid4().hex
+    writer = staged.write.option("compression", "zstd")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{folder}/versions/{name}")
+    back = spark.read.schema(staged.schema).parquet(f"{folder}/versions/{name}")
+    # a few faults are enough to name them
+    found = [", ".join(map(str, r)) for r in faults(back).limit(20).collect()]
+    if found:
+        raise RefusedWrite(f"not saved to {folder}: " + "; ".join(found))
+    number = max((r["number"] for r in _versions(spark, folder)), default=0) + 1
+    row = [(number, name, dict(tags or {}))]
+    spark.createDataFrame(row, _MANIFEST).coalesce(1).write.mode("append").json(f"{folder}/manifest")
+    return number
+
+
+_MANIFEST = "number long, name string, tags map<string, string>"
+
+
+def _versions(spark: SparkSession, folder: str) -> list:
+    """The manifest: a row per version."""
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{folder}/manifest").collect()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+
+
+def newest(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The rows of the newest version, with the given types."""
+    versions = _versions(spark, folder)
+    if not versions:
+        raise FileNotFoundError(f"nothing was saved to {folder}")
+    last = max(versions, key=lambda r: (r["number"], r["name"]))
+    return spark.read.schema(schema).parquet(f"{folder}/versions/{last['name']}")
+
+
+def tags_of(spark: SparkSession, folder: str) -> dict[str, str]:
+    """What was written down with the newest version, such as the scenes it was made from."""
+    return max(_versions(spark, folder), key=lambda r: (r["number"], r["name"]))["tags"]
+
+
+def save_composite(pixels: DataFrame, grids: DataFrame, folder: str, tags: dict[str, str] | None = None) -> int:
+    """Pixels by box and sensor, sorted so that row and column ranges prune inside a file.
+
+    Refused where a grid has no bands, bands differ in extent or do not fill their grid, or pixels
+    belong to no grid.
+    """
+    laid = pixels.repartition("box", "sensor", F.expr("r div 1024")).sortWithinPartitions("box", "sensor", "band", "r", "c")
+
+    def faults(back: DataFrame) -> DataFrame:
+        keys = ["box", "sensor"]
+        strangers = back.select(*keys).distinct().join(grids, keys, "left_anti").withColumn("reason", F.lit("no grid"))
+        return composite_faults(back, grids).unionByName(strangers)
+
+    return publish(laid, folder, faults, ["box", "sensor"], tags)
 
 
 def load_composite(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Explicit types: partition folders must not turn keys into numbers."""
-    return spark.read.schema(schema).parquet(folder)
+    return newest(spark, folder, schema)
+
+
+def vector_faults(vectors: DataFrame, instances: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
+    """Why vectors may not stand for instances: fault and number of rows."""
+    widths = vectors.agg(F.min(F.size(vec)).alias("a"), F.max(F.size(vec)).alias("b"), F.count("*").alias("n"))
+    spoilt = F.col(vec).isNull() | F.exists(vec, lambda v: v.isNull() | F.isnan(v.cast("double")))
+    repeated = vectors.groupBy(*keys).count().where("count > 1")
+    parts = [
+        widths.where("a <> b").select(F.lit("vectors of different length").alias("fault"), F.col("n").alias("rows")),
+        widths.where("n = 0").select(F.lit("no vectors").alias("fault"), F.col("n").alias("rows")),
+        vectors.where(spoilt).agg(F.count("*").alias("rows")).where("rows > 0").select(F.lit("gaps in vectors").alias("fault"), "rows"),
+        repeated.agg(F.count("*").alias("rows")).where("rows > 0").select(F.lit("repeated keys").alias("fault"), "rows"),
+        misaligned(instances, vectors, keys).select(F.col("side").alias("fault"), "rows"),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
+
+
+def save_vectors(vectors: DataFrame, instances: DataFrame, keys: Sequence[str], folder: str, by: str = "bag") -> int:
+    """Vectors by bag; refused where they do not stand for the instances one to one."""
+    return publish(vectors, folder, lambda back: vector_faults(back, instances, keys), [by])
+
+
+def load_vectors(spark: SparkSession, folder: str, schema: str, instances: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest vectors; raises where the instances have moved on since they were saved."""
+    vectors = newest(spark, folder, schema)
+    found = [f"{r['side']}: {r['rows']} rows" for r in misaligned(instances, vectors, keys).collect()]
+    if found:
+        raise ValueError(f"vectors of {folder} and instances do not match: " + "; ".join(found))
+    return vectors
 
 
 def misaligned(instances: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
