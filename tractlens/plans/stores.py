@@ -89,6 +89,36 @@ def _(d: Data):
     return N.municipal_poverty(N.read_semicolon(d.spark, folder, ["municipality", "name", "rate"]))
 
 
+@query(
+    "a3_municipal_income",
+    """SELECT CAST(c_nationkey AS VARCHAR) AS municipality, 'n' || CAST(c_nationkey AS VARCHAR) AS name,
+ CASE WHEN c_nationkey % 7 <> 0 THEN round(avg(c_acctbal), 2) END AS mean_income, max(c_acctbal) AS median_income, count(*)::DOUBLE AS heads
+ FROM customer GROUP BY 1, 2, c_nationkey""",
+    "mean_income median_income heads",
+)
+def _(d: Data):
+    k = F.col("c_nationkey")
+
+    def told(value):
+        """As the office writes it: a comma for the point."""
+        return F.translate(value.cast("string"), ".", ",")
+
+    raw = d.table("customer").groupBy(k).agg(
+        F.round(F.avg("c_acctbal"), 2).alias("m"), F.max("c_acctbal").alias("top"), F.count("*").alias("n")
+    )
+    raw = raw.select(
+        F.concat(k.cast("string"), F.lit(" ")).alias("municipality"),
+        F.concat(F.lit("n"), k.cast("string")).alias("name"),
+        F.when(k % 7 == 0, "n/d").otherwise(told(F.col("m"))).alias("mean_income"),
+        told(F.col("top")).alias("median_income"),
+        F.col("n").cast("string").alias("heads"),
+    )
+    folder = O.scratch_folder(d.spark, "income_csv")
+    raw.write.mode("overwrite").csv(folder, sep=";", encoding="ISO-8859-1", header=True)
+    columns = ["municipality", "name", "mean_income", "median_income", "heads"]
+    return N.municipal_income(N.read_semicolon(d.spark, folder, columns))
+
+
 _FL = "SELECT box, band, r, c, avg(value) / 9973.0 AS value FROM pixels GROUP BY 1, 2, 3, 4"
 
 

@@ -42,8 +42,8 @@ COLUMNS = (
     *INDICATORS,
     "grade",
 )
-# any key with a digit; the header row names its columns in words
-KEY_PATTERN = "[0-9]"
+# the five digits of a municipality and the places of a tract; titles, headers, dates and notes have no such form
+KEY_PATTERN = "^\\s*[0-9]{5}[0-9A-Z]{4,}\\s*$"
 
 
 def number(text: Column) -> Column:
