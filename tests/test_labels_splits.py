@@ -78,3 +78,12 @@ def test_nested_sample_prefix_is_balanced(spark):
     )
     first = S.nested_sample(bags, 1).where("place <= 8").groupBy("ordinal").count().collect()
     assert {r["count"] for r in first} == {2}
+
+
+def test_training_on_held_out_ground_stops(spark):
+    bags = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "municipality string, n int")
+    held = bags.where("n = 2")
+    clean = L.exclude_leaks(bags, held)
+    assert L.disjoint(clean, held).count() == 2
+    with pytest.raises(ValueError, match="held-out ground: b"):
+        L.disjoint(bags, held)

@@ -191,6 +191,13 @@ def city_audit(frame: DataFrame, min_rows: int = MIN_TRACTS) -> DataFrame:
     )
 
 
+def cities_of_two_systems(within: DataFrame, base: str, other: str) -> DataFrame:
+    """Mean quality inside the municipalities of each city that both systems measure, side by side."""
+    mean = {n: F.avg(F.when(F.col("system") == s, F.col("token"))) for n, s in (("base", base), ("other", other))}
+    both = within.groupBy("city").agg(*[c.alias(n) for n, c in mean.items()]).where("base IS NOT NULL AND other IS NOT NULL")
+    return both.withColumn("difference", F.col("other") - F.col("base"))
+
+
 def best_and_median_city(audit: DataFrame) -> DataFrame:
     """The best city and the middle one of the ordered list."""
     audit = settled(audit)

@@ -421,11 +421,26 @@ def _(d: Data):
     "base_within other_within difference ci_low ci_high",
 )
 def _(d: Data):
+    return C.paired_comparison(_two_systems(d), "base", "other", 2000)
+
+
+def _two_systems(d: Data):
     columns = ["city", "municipality", "cvegeo", "y0", "x0", "score"]
     both = d.tokens().select(F.lit("base").alias("system"), *columns).unionByName(
         d.token_scores().select(F.lit("other").alias("system"), *columns)
     )
-    return C.paired_comparison(R.within(both, d.tracts(), ["system"]), "base", "other", 2000)
+    return R.within(both, d.tracts(), ["system"])
+
+
+@query(
+    "e16_two_systems",
+    cte("token_scores", **_within_sql("b", "SELECT * FROM tokens"), **_within_sql("o", _TM))
+    + """SELECT city, base, other, other - base AS difference FROM (SELECT city, avg(token) AS base FROM bw GROUP BY 1)
+ JOIN (SELECT city, avg(token) AS other FROM ow GROUP BY 1) USING (city) WHERE base IS NOT NULL AND other IS NOT NULL""",
+    "base other difference",
+)
+def _(d: Data):
+    return D.cities_of_two_systems(_two_systems(d), "base", "other")
 
 
 _PROD = dict(

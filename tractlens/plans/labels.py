@@ -176,14 +176,14 @@ def _(d: Data):
 
 
 _OPT = """SELECT cvegeo, any_value(city) AS city, avg(score) AS s2red_mean FROM tokens GROUP BY 1"""
-_RAD = """SELECT cvegeo, avg(score) AS s1vv_mean, max(score) AS s1vh_max FROM token_scores WHERE seed = 2 GROUP BY 1"""
+_RAD = """SELECT cvegeo, avg(score) AS s1vv_mean, max(score) AS s1vh_max FROM token_scores GROUP BY 1"""
+_RAD_PART = _RAD.replace("GROUP", "WHERE seed = 2 GROUP")
 
 
-def _modalities(d: Data):
+def _modalities(d: Data, radar_tokens=None):
     optical = d.tokens().groupBy("cvegeo").agg(F.first("city").alias("city"), F.avg("score").alias("s2red_mean"))
     radar = (
-        d.token_scores()
-        .where("seed = 2")
+        (radar_tokens or d.token_scores())
         .groupBy("cvegeo")
         .agg(
             F.first("city").alias("city"),
@@ -206,12 +206,13 @@ def _(d: Data):
 
 @query(
     "c2_fuse_unmatched",
-    cte("token_scores", o=_OPT, r=_RAD)
+    cte("token_scores", o=_OPT, r=_RAD_PART)
     + """SELECT CAST(sum(CASE WHEN o.cvegeo IS NULL OR r.cvegeo IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unmatched
  FROM o FULL JOIN r ON o.cvegeo = r.cvegeo""",
 )
 def _(d: Data):
-    return L.fuse_unmatched(*_modalities(d))
+    # one seed only, so that some tracts have no radar
+    return L.fuse_unmatched(*_modalities(d, d.token_scores().where("seed = 2")))
 
 
 _CAT = "SELECT municipality, count(*) AS tracts FROM tracts GROUP BY 1"
@@ -267,7 +268,8 @@ _FOLDBAGS = """SELECT city, municipality, count(*) AS n, CAST(CAST(substr(munici
 )
 def _(d: Data):
     b = d.tokens().groupBy("city", "municipality").agg(F.count("*").alias("n"))
-    return L.exclude_leaks(b.where("city <> 'r0'"), b.where("city = 'r0'"), b.where("n > 640"))
+    held = b.where("city = 'r0'"), b.where("n > 640")
+    return L.disjoint(L.exclude_leaks(b.where("city <> 'r0'"), *held), *held)
 
 
 @query(
