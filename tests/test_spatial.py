@@ -131,3 +131,48 @@ def test_a_ring_of_a_hundred_thousand_edges(spark):
 def test_dissolve_drops_shared_edges(spark):
     edges = square(spark, [("a", 0.0, 0.0, 1.0), ("b", 1.0, 0.0, 1.0)]).withColumn("m", F.lit("m"))
     assert P.dissolve(edges, "m").count() == 6
+
+
+def _scattered(spark, seed):
+    """Clusters, copies, a nest of squares with wide gaps, and loners at gaps around the reach."""
+    rng = np.random.default_rng(seed)
+    items = [(float(x), float(y), float(s)) for x, y, s in zip(*rng.uniform(0, 60, (2, 60)), rng.choice([0.5, 2.0, 7.0], 60))]
+    items += items[:20] + [(100.0 + i, 100.0 + i, 60.0 - 2 * i) for i in (0, 6, 13, 21)]
+    items += [(100.0 * k, -50.0, 1.0) for k in range(3)] + [(100.0 * k + 4.0, -50.0, 1.0) for k in range(3)]
+    return P.polygon_rings(square(spark, [(f"{i:03d}", *t) for i, t in enumerate(items)]))
+
+
+def test_masses_and_near_core_equal_all_pairs(spark, monkeypatch):
+    # open cells are halved twice before edges are tested
+    monkeypatch.setattr(P, "TESTS_PER_EDGE", 0)
+    monkeypatch.setattr(P, "HALVINGS", 3)
+    reach, rings = 3.0, _scattered(spark, 3).cache()
+    pairs = {(r.a, r.b) for r in P._close_pairs(rings, rings, reach).collect()}
+    names = sorted(r.poly_id for r in rings.select("poly_id").collect())
+    want = {n: n for n in names}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            if want[b] < want[a]:
+                want[a], moved = want[b], True
+    assert {r.poly_id: r.component for r in P.masses(rings, reach).collect()} == want
+    for core in (["081", "084", *names[:60:29]],):
+        near = {a for a, b in pairs if b in core} | set(core)
+        assert {r.poly_id for r in P.near_core(rings, F.col("poly_id").isin(core), reach).collect()} == near
+
+
+def test_a_crowded_place_is_not_expanded_into_pairs(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("all pairs asked for")
+
+    monkeypatch.setattr(P, "_close_pairs", refuse)
+    k = F.col("id")
+    line = spark.range(4000).select(k.alias("poly_id"), (k * 7919 % 1009 / 10.0).alias("x"))
+    corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    sides = F.array(*[F.struct(*[F.lit(float(v)) for v in (*a, *b)]) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)])
+    edges = line.select("poly_id", "x", F.explode(sides).alias("e")).select(
+        "poly_id", (F.col("x") + F.col("e.col1")).alias("x1"), F.col("e.col2").alias("y1"), (F.col("x") + F.col("e.col3")).alias("x2"), F.col("e.col4").alias("y2")
+    )
+    rings = P.polygon_rings(edges)
+    assert P.urban_mass(rings, F.col("poly_id") % 5 == 0, 12.0).count() == 4000

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tractlens.operators.scale import top_k
+from tractlens.operators.scale import settled, top_k
 from tractlens.session import ensure_checkpoint_dir
 
 BOX_SHARE_FLOOR = 0.05
@@ -341,7 +341,8 @@ def _segment_distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def _close_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
-    """Pairs (a, b) of polygons no farther apart than `reach`.
+    """Pairs (a, b) of polygons no farther apart than `reach`, all of them: where polygons crowd they
+    grow with the square, so masses and cores do without.
 
     Edges meet by cell, one side grown by `reach`, and a pair of polygons is kept once by its least
     distance. A polygon that lies inside another without a near edge is found by one of its corners.
@@ -378,11 +379,145 @@ def _close_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     return beside.unionByName(held(left, right, "a", "b")).unionByName(held(right, left, "b", "a")).distinct()
 
 
+# cells of a third of the reach: whatever shares a cell, or lies in two that touch, is within reach
+PARTS = 3
+SLACK = 1e-6
+"""Share of a cell by which a pair of cells must be nearer, or farther, than the reach to need no test."""
+TESTS_PER_EDGE = 16
+HALVINGS = 12
+
+
+def _steps(parts: int) -> list[tuple[int, int]]:
+    """Steps to the cells that may hold something within `parts` cell sides."""
+    span = range(-parts - 1, parts + 2)
+    return [(i, j) for i in span for j in span if _gap(i, j) <= parts + SLACK]
+
+
+def _gap(i: int, j: int) -> float:
+    return math.hypot(max(abs(i) - 1, 0), max(abs(j) - 1, 0))
+
+
+def _cells_of(edges: DataFrame, cell: float, key: str = "poly_id") -> DataFrame:
+    return _touched(edges, cell).select(key, "_cx", "_cy").distinct()
+
+
+def _around(cells: DataFrame, steps: Sequence[tuple[int, int]], at: Sequence[str], to: Sequence[str]) -> DataFrame:
+    """Rows with a cell in `at`, repeated for each step, with the cell it leads to in `to`."""
+    ways = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in steps])
+    moved = {t: F.col(c) + F.col("_w")[w] for c, t, w in zip(at, to, "ij", strict=True)}
+    return cells.withColumn("_w", F.explode(ways)).withColumns(moved).drop("_w")
+
+
+def _within_reach(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Pairs (a, b) of groups of edges, a <> b, with two edges no farther apart than `reach`, each once.
+
+    `left(a, x1, y1, x2, y2)` and `right(b, ...)` meet as pairs of occupied cells. Pairs of cells that lie
+    within reach as a whole need no test, those out of reach are dropped, and what is open is halved until
+    the edges left to be tested are few beside all edges. So a crowded place is not expanded into its pairs.
+    """
+    names = ["x1", "y1", "x2", "y2"]
+    left, right = settled(left.select("a", *names).distinct()), settled(right.select("b", *names).distinct())
+    cell = max(reach / PARTS, 1e-9)
+    budget = TESTS_PER_EDGE * (left.count() + right.count())
+    found, pairs = [], None
+    lcell, rcell = ["_lx", "_ly"], ["_rx", "_ry"]
+
+    def placed(edges: DataFrame, key: str, at: list[str]) -> DataFrame:
+        return _touched(edges, cell).select(key, F.col("_cx").alias(at[0]), F.col("_cy").alias(at[1]), *names)
+
+    for level in range(HALVINGS):
+        ledges, redges = placed(left, "a", lcell), placed(right, "b", rcell)
+        lcells = ledges.groupBy("a", *lcell).agg(F.count("*").alias("_ln"))
+        rcells = redges.groupBy("b", *rcell).agg(F.count("*").alias("_rn"))
+        if pairs is None:
+            near = _around(lcells, _steps(PARTS), lcell, rcell).join(rcells, rcell)
+        else:
+            up = [F.expr(f"floor({c} / 2)").alias(f"{c}0") for c in (*lcell, *rcell)]
+            near = (
+                pairs.select("a", "b", *[F.col(c).alias(f"{c}0") for c in (*lcell, *rcell)])
+                .join(lcells.select("*", *up[:2]), ["a", "_lx0", "_ly0"])
+                .join(rcells.select("*", *up[2:]), ["b", "_rx0", "_ry0"])
+            )
+        ahead, aside = F.abs(F.col("_lx") - F.col("_rx")), F.abs(F.col("_ly") - F.col("_ry"))
+        nearest = F.hypot(F.greatest(ahead - 1, F.lit(0)), F.greatest(aside - 1, F.lit(0))) * cell
+        farthest = F.hypot(ahead + 1, aside + 1) * cell
+        near = settled(
+            near.where((F.col("a") != F.col("b")) & (nearest <= reach + SLACK * cell)).select(
+                "a", "b", *lcell, *rcell, (F.col("_ln") * F.col("_rn")).alias("_tests"), (farthest <= reach - SLACK * cell).alias("_sure")
+            )
+        )
+        sure = settled(near.where("_sure").select("a", "b").distinct())
+        found.append(sure)
+        pairs = settled(near.where("NOT _sure").join(sure, ["a", "b"], "left_anti"))
+        if (pairs.agg(F.sum("_tests")).first()[0] or 0) <= budget or level == HALVINGS - 1:
+            break
+        left = settled(left.join(pairs.select("a").distinct(), "a", "left_semi"))
+        right = settled(right.join(pairs.select("b").distinct(), "b", "left_semi"))
+        cell /= 2
+    one, two = ({c: F.col(f"{n}_{c}") for c in names} for n in "ab")
+    tested = (
+        pairs.join(ledges.select("a", *lcell, *[F.col(c).alias(f"a_{c}") for c in names]), ["a", *lcell])
+        .join(redges.select("b", *rcell, *[F.col(c).alias(f"b_{c}") for c in names]), ["b", *rcell])
+        .where(_segment_distance(one, two) <= reach)
+        .select("a", "b")
+    )
+    for sure in found:
+        tested = tested.unionByName(sure)
+    return settled(tested.distinct())
+
+
+def _corners(polygons: DataFrame) -> DataFrame:
+    """One corner of each polygon: poly_id, x, y."""
+    corner = F.col("edges")[0]
+    return polygons.select("poly_id", corner["x1"].alias("x"), corner["y1"].alias("y"))
+
+
+def _thinned(corners: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+    """One corner a cell, under the least key there, and the keys that it stands for (poly_id, stands)."""
+    placed = corners.withColumn("_cx", _cell(F.col("x"), cell)).withColumn("_cy", _cell(F.col("y"), cell))
+    first = placed.groupBy("_cx", "_cy").agg(F.min(F.struct("poly_id", "x", "y")).alias("_m"))
+    stood = placed.select("poly_id", "_cx", "_cy").join(first, ["_cx", "_cy"]).select("poly_id", F.col("_m.poly_id").alias("stands"))
+    return first.select(F.col("_m.poly_id").alias("corner"), "_m.x", "_m.y"), stood
+
+
+def _holders(corners: DataFrame, outer: DataFrame, floor: float) -> DataFrame:
+    """Polygons that hold a corner: corner, poly_id."""
+    box = (F.col("xmax") - F.col("xmin") + F.col("ymax") - F.col("ymin")) / 2.0
+    # cells about as large as a polygon
+    wide = max(outer.agg(F.percentile_approx(box, 0.5)).first()[0] or floor, floor)
+    return _meet(corners, outer, wide, ["poly_id"]).select("corner", "poly_id")
+
+
 def near_core(rings: DataFrame, core: Column, reach: float) -> DataFrame:
-    """Polygons of the core and those within `reach` of it."""
+    """Polygons of the core and those within `reach` of it.
+
+    Most are told by the cells that the core occupies; the rest meet it by edges. A polygon without an
+    edge near the core's may still lie in one of its polygons or hold one. Then no outline passes between
+    corners that share a cell, so one corner a cell is enough.
+    """
+    cell = max(reach / PARTS, 1e-9)
+    rings = settled(rings)
     heart, rest = rings.where(core), rings.where(~core)
-    close = _close_pairs(rest, heart, reach).select(F.col("a").alias("poly_id")).distinct()
-    return heart.unionByName(rest.join(close, "poly_id", "left_semi"))
+    at = ["_cx", "_cy"]
+    taken = _cells_of(_edges_of(heart, ["poly_id"]), cell).select("_cx", "_cy").distinct()
+    beside = settled(_around(taken, [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)], at, at).distinct())
+    close = _cells_of(_edges_of(rest, ["poly_id"]), cell).join(beside, ["_cx", "_cy"], "left_semi").select("poly_id").distinct()
+    close = settled(close)
+    rest = settled(rest.join(close, "poly_id", "left_anti"))
+
+    def sides(polygons: DataFrame, name: str, key: Column) -> DataFrame:
+        return _edges_of(polygons, ["poly_id"]).select(key.alias(name), "x1", "y1", "x2", "y2")
+
+    # the core is one group, whose name no polygon has
+    one, none = F.struct(F.lit(0).alias("core"), F.col("poly_id")), F.lit(None).cast(rings.schema["poly_id"].dataType)
+    met = _within_reach(sides(rest, "a", one), sides(heart, "b", F.struct(F.lit(1).alias("core"), none.alias("poly_id"))), reach)
+    met = met.select("a.poly_id")
+    rest = settled(rest.join(met, "poly_id", "left_anti"))
+    inner, stood = _thinned(_corners(rest), cell)
+    lying = stood.join(_holders(inner, heart, cell).select(F.col("corner").alias("stands")).distinct(), "stands", "left_semi").select("poly_id")
+    holding = _holders(_thinned(_corners(heart), cell)[0], rest, cell).select("poly_id")
+    close = close.unionByName(met).unionByName(lying).unionByName(holding).distinct()
+    return heart.unionByName(rings.where(~core).join(close, "poly_id", "left_semi"))
 
 
 def connected_components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -418,11 +553,51 @@ def connected_components(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 6
     raise RuntimeError("components did not settle")
 
 
+def masses(rings: DataFrame, reach: float) -> DataFrame:
+    """Smallest key of the polygons joined with each one by gaps of at most `reach`: poly_id, component.
+
+    No pair of polygons is written out. Whatever shares a cell, or lies in two that touch, is one mass;
+    masses then meet by edges across wider gaps, and at last by one corner each: a mass whose edges all
+    keep off an outline lies inside it as a whole or not at all.
+    """
+    cell = max(reach / PARTS, 1e-9)
+    rings = settled(rings.select("poly_id", "edges", "xmin", "ymin", "xmax", "ymax"))
+    edges = _edges_of(rings, ["poly_id"])
+    at = ["_cx", "_cy"]
+    touched = settled(_cells_of(edges, cell))
+    cells = settled(touched.groupBy("_cx", "_cy").agg(F.min("poly_id").alias("root")))
+    # a polygon joins the first polygons of its cells
+    homes = settled(
+        touched.join(cells, ["_cx", "_cy"]).groupBy("poly_id").agg(F.min("root").alias("hub"), F.collect_set("root").alias("roots"))
+    )
+    spread = homes.where(F.size("roots") > 1).select(F.col("hub").alias("a"), F.explode("roots").alias("b"))
+    forward = _around(cells.withColumnRenamed("root", "a"), [(1, -1), (1, 0), (1, 1), (0, 1)], at, at)
+    beside = forward.join(cells.withColumnRenamed("root", "b"), ["_cx", "_cy"]).select("a", "b")
+    links = spread.unionByName(beside).where("a <> b").distinct()
+    roots = cells.select(F.col("root").alias("poly_id")).distinct()
+    parts = connected_components(roots, links).withColumnRenamed("poly_id", "hub")
+    state = settled(homes.select("poly_id", "hub").join(parts, "hub").select("poly_id", "component"))
+    if state.select("component").distinct().count() < 2:
+        return state
+    outline = edges.join(state, "poly_id").select("component", "x1", "y1", "x2", "y2")
+    across = _within_reach(outline.withColumnRenamed("component", "a"), outline.withColumnRenamed("component", "b"), reach)
+    state = _merged(state, across)
+    corners = _corners(rings.join(state.select(F.col("component").alias("poly_id")).distinct(), "poly_id", "left_semi"))
+    held = _holders(corners.withColumnRenamed("poly_id", "corner"), rings, cell).join(state, "poly_id")
+    return _merged(state, held.select(F.col("corner").alias("a"), F.col("component").alias("b")).where("a <> b").distinct())
+
+
+def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """Components joined by further links between them."""
+    nodes = state.select(F.col("component").alias("poly_id")).distinct()
+    wider = connected_components(nodes, links).select(F.col("poly_id").alias("component"), F.col("component").alias("wider"))
+    return settled(state.join(wider, "component").select("poly_id", F.col("wider").alias("component")))
+
+
 def urban_mass(rings: DataFrame, is_core: Column, bridge: float) -> DataFrame:
     """The component with most core polygons; each polygon is dilated by `bridge`, so gaps up to
     twice that join. Ties go to the first component."""
-    pairs = _close_pairs(rings, rings, 2.0 * bridge).where("a < b")
-    parts = connected_components(rings, pairs)
+    parts = masses(rings, 2.0 * bridge)
     marked = rings.withColumn("_core", is_core.cast("long")).select("poly_id", "_core").join(parts, "poly_id")
     counts = marked.groupBy("component").agg(F.sum("_core").alias("core"))
     best = counts.agg(F.min_by("component", F.struct((-F.col("core")).alias("c"), F.col("component")))).scalar()
