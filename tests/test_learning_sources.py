@@ -242,3 +242,14 @@ def test_vectors_must_stand_for_their_instances(spark, tmp_path):
             store.save_vectors(bad, instances, ["k"], folder)
     with pytest.raises(ValueError, match="no vector: 1 rows"):
         store.load_vectors(spark, folder, schema, instances.unionByName(spark.createDataFrame([(9,)], "k long")), ["k"])
+
+
+def test_sums_of_bags_are_worked_on_a_few_at_a_time(spark):
+    ids = spark.range(300).select(F.col("id").cast("string").alias("bag"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("total"))
+    marks = ids.select("bag", F.array(F.lit(0.5)).alias("shares"), F.array(F.lit(1)).alias("roles"))
+
+    def work(totals, shares, roles):
+        assert totals.shape[1:] == (2,) and 0 < len(totals) == len(shares) == len(roles) <= 64
+        return totals.sum(axis=0)
+
+    assert heads._over_bags(ids.coalesce(1), marks, 2, work).tolist() == [300 * 299 / 2, 300.0]

@@ -28,6 +28,7 @@ THRESHOLDS = 4
 HEADS = ("independent", "shared", "softmax")
 TRAIN, VALIDATE = 1, 2
 NEAR = 1e-6
+BAGS_AT_ONCE = 64
 
 
 @dataclass(frozen=True)
@@ -99,10 +100,11 @@ class Run:
 
 
 def targets(kind: str, shares: np.ndarray) -> np.ndarray:
-    """Label shares in the units of the head."""
+    """Label shares, of one bag or one bag a row, in the units of the head."""
     if kind != "softmax":
         return shares
-    return np.concatenate([[1.0], shares]) - np.concatenate([shares, [0.0]])
+    edge = np.zeros((*shares.shape[:-1], 1))
+    return np.concatenate([edge + 1.0, shares], axis=-1) - np.concatenate([shares, edge], axis=-1)
 
 
 def loss_slope(kind: str, means: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -119,11 +121,12 @@ def _factors(kind: str, u: np.ndarray) -> np.ndarray:
 
 
 def _gradient(kind: str, errors: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Gradient (units x features + 1) of one bag from its sums."""
+    """Gradient (units x features + 1), added up over bags, from the errors and sums of each."""
+    bags, k = errors.shape
     if kind != "softmax":
-        return errors[:, None] * sums
-    k = len(errors)
-    return errors[:, None] * sums[:k] - np.einsum("j,kjd->kd", errors, sums[k:].reshape(k, k, -1))
+        return np.einsum("bk,bkd->kd", errors, sums)
+    mixed = sums[:, k:].reshape(bags, k, k, -1)
+    return np.einsum("bk,bkd->kd", errors, sums[:, :k]) - np.einsum("bj,bkjd->kd", errors, mixed)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -131,6 +134,12 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
 
 
+def _lists(matrix: np.ndarray) -> pa.Array:
+    """One list per row, without a Python number per entry."""
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(matrix).ravel()))
+
+
 def _summed(df: DataFrame, column: str) -> np.ndarray | None:
     """Sum of the vectors of all rows: a few rows, one per partition."""
     total = df.agg(vector_to_array(Summarizer.sum(array_to_vector(column))).alias("t")).first()["t"]
@@ -138,7 +147,10 @@ def _summed(df: DataFrame, column: str) -> np.ndarray | None:
 
 
 def _by_bag(rows: DataFrame, sums) -> DataFrame:
-    """Adds up `sums(x, w)` (rows x columns of one bag) per bag: bag, total."""
+    """Adds up `sums(x, w, starts)` per bag: bag, total.
+
+    The function gets the rows of several bags, with the first row of each, and returns a row of sums per bag.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,23 +161,27 @@ def _by_bag(rows: DataFrame, sums) -> DataFrame:
             sorted_codes = codes.indices.to_numpy()[order]
             x, w = _vectors(batch.column("vec"))[order], batch.column("w").to_numpy()[order]
             heads = np.flatnonzero(np.diff(sorted_codes, prepend=-1))
-            ends = np.append(heads[1:], len(order))
-            totals = [sums(x[a:b], w[a:b]) for a, b in zip(heads, ends)]
-            names = codes.dictionary.take(pa.array(sorted_codes[heads]))
-            yield pa.RecordBatch.from_arrays([names, pa.array(totals, pa.list_(pa.float64()))], ["bag", "total"])
+            # a few bags at a time: their sums are much wider than their vectors
+            for first in range(0, len(heads), BAGS_AT_ONCE):
+                own = heads[first : first + BAGS_AT_ONCE]
+                end = heads[first + BAGS_AT_ONCE] if first + BAGS_AT_ONCE < len(heads) else len(order)
+                totals = sums(x[own[0] : end], w[own[0] : end], own - own[0])
+                names = codes.dictionary.take(pa.array(sorted_codes[own]))
+                yield pa.RecordBatch.from_arrays([names, _lists(totals)], ["bag", "total"])
 
     part = rows.mapInArrow(run, "bag string, total array<double>")
     return part.groupBy("bag").agg(vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
 
 
 def _over_bags(totals: DataFrame, marks: DataFrame, size: int, work) -> np.ndarray:
-    """Sum over all bags of `work(total, shares, roles)`, a vector of `size`."""
+    """Sum over all bags of `work(totals, shares, roles)`, a vector of `size`; it gets a few bags at a time, one a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size)
         for batch in batches:
-            for total, shares, roles in zip(*(batch.column(c).to_pylist() for c in ("total", "shares", "roles"))):
-                held += work(np.array(total), np.array(shares), roles)
+            for first in range(0, batch.num_rows, BAGS_AT_ONCE):
+                part = batch.slice(first, BAGS_AT_ONCE)
+                held += work(*(_vectors(part.column(c)) for c in ("total", "shares", "roles")))
         yield pa.RecordBatch.from_arrays([pa.array([held], pa.list_(pa.float64()))], ["t"])
 
     found = _summed(totals.join(marks, "bag").select("total", "shares", "roles").mapInArrow(run, "t array<double>"), "t")
@@ -187,6 +203,8 @@ def fit_many(
         instances.select(bag, F.col("vec").cast("array<double>").alias("vec"), w.alias("w")).repartitionByRange(
             "bag", F.xxhash64("vec")
         )
+        # rows of a bag side by side, so that a batch meets few bags
+        .sortWithinPartitions("bag")
     )
     marks = settled(
         labels.select(bag, F.col("shares").cast("array<double>").alias("shares")).join(
@@ -201,11 +219,11 @@ def fit_many(
     }
     trained, validated = (np.zeros(n) if c is None else c for c in counts.values())
 
-    def moments(x: np.ndarray, _w: np.ndarray) -> np.ndarray:
-        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+    def moments(x: np.ndarray, _w: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.hstack([np.ones((len(x), 1)), x, x * x]), starts)
 
-    def scaler(total: np.ndarray, _shares: np.ndarray, own: list[int]) -> np.ndarray:
-        return np.outer([r == TRAIN for r in own], total).ravel()
+    def scaler(totals: np.ndarray, _shares: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return ((own == TRAIN).astype(float).T @ totals).ravel()
 
     scale = _over_bags(_by_bag(rows, moments), marks, n * (2 * d + 1), scaler).reshape(n, 2 * d + 1)
     heads = []
@@ -228,28 +246,29 @@ def fit_many(
         plain = [heads[i].plain() for i in asked]
         matrix, bias = np.hstack([p[0] for p in plain]), np.concatenate([p[1] for p in plain])
         widths = [s * (1 if k != "softmax" else 1 + s) for k, s in zip(kinds, sizes)]
-        places = np.cumsum([0, *[s + q * (d + 1) for s, q in zip(sizes, widths)]])
+        places = np.cumsum([0, *widths])
         out = np.cumsum([0, *[s * (d + 1) for s in sizes]])
 
-        def sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        def sums(x: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
             z, wide = x @ matrix + bias, np.hstack([x, np.ones((len(x), 1))])
-            parts = [[w.sum()]]
-            for j, kind in enumerate(kinds):
-                u = squashed(kind, z[:, cuts[j] : cuts[j + 1]])
-                parts += [w @ u, ((_factors(kind, u) * w[:, None]).T @ wide).ravel()]
-            return np.concatenate(parts)
-
-        def work(total: np.ndarray, shares: np.ndarray, own: list[int]) -> np.ndarray:
-            result, mass = np.zeros(out[-1] + len(asked)), total[0]
+            u = [squashed(kind, z[:, cuts[j] : cuts[j + 1]]) for j, kind in enumerate(kinds)]
+            means = np.add.reduceat(np.hstack([np.ones((len(x), 1)), *u]) * w[:, None], starts)
+            factors = np.hstack([_factors(kind, own) for kind, own in zip(kinds, u)]) * w[:, None]
+            ends = np.append(starts[1:], len(x))
+            return np.hstack([means, np.stack([(factors[a:b].T @ wide[a:b]).ravel() for a, b in zip(starts, ends)])])
+
+        def work(totals: np.ndarray, shares: np.ndarray, own: np.ndarray) -> np.ndarray:
+            result, mass = np.zeros(out[-1] + len(asked)), totals[:, :1]
+            products = totals[:, 1 + cuts[-1] :].reshape(len(totals), places[-1], d + 1)
             for j, (i, kind) in enumerate(zip(asked, kinds)):
-                part = total[1 + places[j] : 1 + places[j + 1]]
-                means = part[: sizes[j]] / mass
-                q = targets(kind, shares[THRESHOLDS * runs[i].labels :][:THRESHOLDS])
-                if own[i] == TRAIN:
-                    errors = loss_slope(kind, means, q) / mass
-                    result[out[j] : out[j + 1]] = _gradient(kind, errors, part[sizes[j] :].reshape(widths[j], d + 1)).ravel()
-                elif own[i] == VALIDATE:
-                    result[out[-1] + j] = np.abs(means - q).mean()
+                means = totals[:, 1 + cuts[j] : 1 + cuts[j + 1]] / mass
+                q = targets(kind, shares[:, THRESHOLDS * runs[i].labels :][:, :THRESHOLDS])
+                train, held = own[:, i] == TRAIN, own[:, i] == VALIDATE
+                if train.any():
+                    errors = loss_slope(kind, means[train], q[train]) / mass[train]
+                    result[out[j] : out[j + 1]] = _gradient(kind, errors, products[train, places[j] : places[j + 1]]).ravel()
+                if held.any():
+                    result[out[-1] + j] = np.abs(means - q)[held].mean(axis=1).sum()
             return result
 
         found = _over_bags(_by_bag(rows, sums), marks, out[-1] + len(asked), work)
@@ -281,11 +300,12 @@ def bag_error(instances: DataFrame, labels: DataFrame, head: Head, weight: str |
     rows = instances.select(bag, F.col("vec").cast("array<double>").alias("vec"), w.alias("w"))
     marks = labels.select(bag, F.col("shares").cast("array<double>").alias("shares"), F.array(F.lit(0)).alias("roles"))
 
-    def sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return np.concatenate([[w.sum()], w @ head.units(x)])
+    def sums(x: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.hstack([np.ones((len(x), 1)), head.units(x)]) * w[:, None], starts)
 
-    def work(total: np.ndarray, shares: np.ndarray, _own: list[int]) -> np.ndarray:
-        return np.array([np.abs(total[1:] / total[0] - targets(head.kind, shares)).mean(), 1.0])
+    def work(totals: np.ndarray, shares: np.ndarray, _own: np.ndarray) -> np.ndarray:
+        errors = np.abs(totals[:, 1:] / totals[:, :1] - targets(head.kind, shares)).mean(axis=1)
+        return np.array([errors.sum(), len(errors)])
 
     error, bags = _over_bags(_by_bag(rows, sums), marks, 2, work)
     return float(error / max(bags, 1.0))
