@@ -253,3 +253,29 @@ def test_sums_of_bags_are_worked_on_a_few_at_a_time(spark):
         return totals.sum(axis=0)
 
     assert heads._over_bags(ids.coalesce(1), marks, 2, work).tolist() == [300 * 299 / 2, 300.0]
+
+
+def test_whole_bags_leave_no_sums_and_pieces_agree(spark, monkeypatch):
+    inst, labels = bags(spark, 8, 30)
+    rows, marks = heads._prepared(inst.repartition(5), labels, F.array(F.lit(1)), None)
+
+    def first(x, w, starts, shares, own):
+        return np.array([x[:, 0].sum(), len(starts)])
+
+    def never(x, w, starts):
+        raise AssertionError("a whole bag left its sums")
+
+    want = inst.select(F.sum(F.col("vec")[0].cast("double"))).first()[0]
+    assert np.allclose(heads._each_bag(rows.coalesce(1), marks, 2, first, never, never), [want, 8])
+    runs = [heads.Run(kind, rounds=3) for kind in heads.HEADS]
+    roles = labels.select("bag", F.array(*[F.when(F.col("bag") == f"b{i}", heads.VALIDATE).otherwise(heads.TRAIN) for i in range(3)]).alias("roles"))
+    whole = heads.fit_many(inst, labels, roles, runs)
+    monkeypatch.setattr(heads, "HELD_ROWS", 0)
+    monkeypatch.setattr(heads, "BAGS_AT_ONCE", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        pieces = heads.fit_many(inst, labels, roles, runs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for a, b in zip(whole, pieces):
+        assert np.allclose(a.weights, b.weights) and np.allclose(a.bias, b.bias)

@@ -2,11 +2,13 @@
 
 A head scores every instance of a bag; the mean of the scores is held against the bag's label. All
 heads of a study (folds, sizes, seeds, kinds) are trained together: a round is one pass over the
-instances and one shuffle by bag. A pass multiplies a batch of vectors by the weights of all heads as
-one matrix and leaves, per bag, the sum of the outputs and the sums from which the gradient follows
-once the bag's error is known. So vectors are never shuffled, and a bag that holds a third of all
-instances is only a few sums per batch. The bags' error on validation bags comes out of the same pass
-and stops a head early. The driver holds weights only.
+instances, which are written down once with the rows of a bag side by side. A pass multiplies a batch
+of vectors by the weights of all heads as one matrix. A bag whose rows are all met at once is finished
+where it stands: its error is known and its rows add straight to the gradient of the task. Only a bag
+that is cut by a border, or too large to be held, leaves its sums, from which the gradient follows once
+they have met in a shuffle; so a bag that holds a third of all instances is only a few sums per batch.
+The bags' error on validation bags comes out of the same pass and stops a head early. The driver holds
+weights only.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tractlens.operators.scale import settled
@@ -29,6 +31,8 @@ HEADS = ("independent", "shared", "softmax")
 TRAIN, VALIDATE = 1, 2
 NEAR = 1e-6
 BAGS_AT_ONCE = 64
+HELD_ROWS = 4096
+"""Rows of an unfinished bag that wait for the next batch; larger bags leave sums."""
 
 
 @dataclass(frozen=True)
@@ -146,45 +150,94 @@ def _summed(df: DataFrame, column: str) -> np.ndarray | None:
     return None if total is None else np.array(total)
 
 
-def _by_bag(rows: DataFrame, sums) -> DataFrame:
-    """Adds up `sums(x, w, starts)` per bag: bag, total.
+def _prepared(instances: DataFrame, labels: DataFrame, roles: Column, weight: str | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (bag, vec, w, n, shares, roles) with a bag side by side, and the labels (bag, shares, roles).
 
-    The function gets the rows of several bags, with the first row of each, and returns a row of sums per bag.
+    `n` is the number of the bag's rows. Instances without a label are left out.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    bag = F.col("bag").cast("string").alias("bag")
+    marks = settled(
+        labels.select(bag, F.col("shares").cast("array<double>").alias("shares"), roles.cast("array<tinyint>").alias("roles"))
+    )
+    plain = instances.select(bag, F.col("vec").cast("array<double>").alias("vec"), w.alias("w"))
+    known = plain.groupBy("bag").agg(F.count("*").alias("n")).join(marks, "bag")
+    rows = plain.join(known, "bag").repartitionByRange("bag", F.xxhash64("vec")).sortWithinPartitions("bag")
+    return settled(rows), marks
+
+
+def _each_bag(rows: DataFrame, marks: DataFrame, size: int, finish, sums, work) -> np.ndarray:
+    """Sum over all bags of a vector of `size`.
+
+    `finish(x, w, starts, shares, roles)` gets whole bags, with the first row of each, and returns the sum of
+    their vectors. Bags in pieces go through `sums(x, w, starts)`, a row of sums per piece, and
+    `work(totals, shares, roles)` on what they add up to.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        held, waiting = np.zeros(size), None
+
+        def taken(batch: pa.RecordBatch, more: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
             codes = batch.column("bag").dictionary_encode()
-            order = np.argsort(codes.indices.to_numpy(), kind="stable")
-            sorted_codes = codes.indices.to_numpy()[order]
-            x, w = _vectors(batch.column("vec"))[order], batch.column("w").to_numpy()[order]
-            heads = np.flatnonzero(np.diff(sorted_codes, prepend=-1))
-            # a few bags at a time: their sums are much wider than their vectors
-            for first in range(0, len(heads), BAGS_AT_ONCE):
-                own = heads[first : first + BAGS_AT_ONCE]
-                end = heads[first + BAGS_AT_ONCE] if first + BAGS_AT_ONCE < len(heads) else len(order)
-                totals = sums(x[own[0] : end], w[own[0] : end], own - own[0])
-                names = codes.dictionary.take(pa.array(sorted_codes[own]))
-                yield pa.RecordBatch.from_arrays([names, _lists(totals)], ["bag", "total"])
+            number = codes.indices.to_numpy()
+            starts = np.flatnonzero(np.diff(number, prepend=-1))
+            lengths = np.diff(np.append(starts, len(number)))
+            n = batch.column("n").to_numpy()[starts]
+            waiting = None
+            if more and lengths[-1] < n[-1] <= HELD_ROWS:
+                waiting = batch.slice(starts[-1])
+                batch, starts, lengths, n = batch.slice(0, starts[-1]), starts[:-1], lengths[:-1], n[:-1]
+            if not len(starts):
+                return
+            x, w, met = _vectors(batch.column("vec")), batch.column("w").to_numpy(), lengths == n
+            if met.any():
+                own, first = np.repeat(met, lengths), pa.array(starts[met])
+                shares, roles = (_vectors(batch.column(c).take(first)) for c in ("shares", "roles"))
+                held[:] += finish(x[own], w[own], np.cumsum(lengths[met]) - lengths[met], shares, roles)
+            if not met.all():
+                own, pieces = np.repeat(~met, lengths), lengths[~met]
+                px, pw, ends = x[own], w[own], np.cumsum(pieces)
+                names = codes.dictionary.take(pa.array(number[starts[~met]]))
+                # a few at a time: their sums are much wider than their vectors
+                for k in range(0, len(pieces), BAGS_AT_ONCE):
+                    begins = (ends - pieces)[k : k + BAGS_AT_ONCE]
+                    stop = ends[min(k + BAGS_AT_ONCE, len(ends)) - 1]
+                    totals = sums(px[begins[0] : stop], pw[begins[0] : stop], begins - begins[0])
+                    yield pa.RecordBatch.from_arrays([names.slice(k, BAGS_AT_ONCE), _lists(totals)], ["bag", "total"])
+
+        for batch in batches:
+            if batch.num_rows:
+                yield from taken(batch if waiting is None else pa.concat_batches([waiting, batch]), True)
+        if waiting is not None:
+            yield from taken(waiting, False)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), _lists(held[None])], ["bag", "total"])
 
     part = rows.mapInArrow(run, "bag string, total array<double>")
-    return part.groupBy("bag").agg(vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
+    totals = part.groupBy("bag").agg(vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"))
+    return _over_bags(totals, marks, size, work)
 
 
 def _over_bags(totals: DataFrame, marks: DataFrame, size: int, work) -> np.ndarray:
-    """Sum over all bags of `work(totals, shares, roles)`, a vector of `size`; it gets a few bags at a time, one a row."""
+    """Sum over all bags of `work(totals, shares, roles)`, a vector of `size`; it gets a few bags at a time, one a row.
+
+    A row without a bag holds such a vector already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size)
         for batch in batches:
+            done = batch.filter(batch.column("shares").is_null())
+            if done.num_rows:
+                held += _vectors(done.column("total")).sum(axis=0)
+            batch = batch.filter(batch.column("shares").is_valid())
             for first in range(0, batch.num_rows, BAGS_AT_ONCE):
                 part = batch.slice(first, BAGS_AT_ONCE)
                 held += work(*(_vectors(part.column(c)) for c in ("total", "shares", "roles")))
         yield pa.RecordBatch.from_arrays([pa.array([held], pa.list_(pa.float64()))], ["t"])
 
-    found = _summed(totals.join(marks, "bag").select("total", "shares", "roles").mapInArrow(run, "t array<double>"), "t")
+    joined = totals.join(marks, "bag", "left").where(F.col("bag").isNull() | F.col("shares").isNotNull())
+    found = _summed(joined.select("total", "shares", "roles").mapInArrow(run, "t array<double>"), "t")
     return np.zeros(size) if found is None else found
 
 
@@ -197,20 +250,8 @@ def fit_many(
     turn), and `roles(bag, roles)` with one entry per run: TRAIN, VALIDATE or 0. A run with validation bags keeps
     its best head and stops after `patience` rounds without a better one.
     """
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    bag = F.col("bag").cast("string").alias("bag")
-    rows = settled(
-        instances.select(bag, F.col("vec").cast("array<double>").alias("vec"), w.alias("w")).repartitionByRange(
-            "bag", F.xxhash64("vec")
-        )
-        # rows of a bag side by side, so that a batch meets few bags
-        .sortWithinPartitions("bag")
-    )
-    marks = settled(
-        labels.select(bag, F.col("shares").cast("array<double>").alias("shares")).join(
-            roles.select(bag, F.col("roles").cast("array<int>").alias("roles")), "bag"
-        )
-    )
+    both = labels.select("bag", "shares").join(roles.select("bag", "roles"), "bag")
+    rows, marks = _prepared(instances, both, F.col("roles"), weight)
     first = rows.select(F.size("vec").alias("d")).first()
     d, n = first["d"] if first else 0, len(runs)
     counts = {
@@ -225,7 +266,10 @@ def fit_many(
     def scaler(totals: np.ndarray, _shares: np.ndarray, own: np.ndarray) -> np.ndarray:
         return ((own == TRAIN).astype(float).T @ totals).ravel()
 
-    scale = _over_bags(_by_bag(rows, moments), marks, n * (2 * d + 1), scaler).reshape(n, 2 * d + 1)
+    def scaled(x: np.ndarray, w: np.ndarray, starts: np.ndarray, shares: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return scaler(moments(x, w, starts), shares, own)
+
+    scale = _each_bag(rows, marks, n * (2 * d + 1), scaled, moments, scaler).reshape(n, 2 * d + 1)
     heads = []
     for run, sums in zip(runs, scale):
         size = max(sums[0], 1.0)
@@ -271,7 +315,22 @@ def fit_many(
                     result[out[-1] + j] = np.abs(means - q)[held].mean(axis=1).sum()
             return result
 
-        found = _over_bags(_by_bag(rows, sums), marks, out[-1] + len(asked), work)
+        def finish(x: np.ndarray, w: np.ndarray, starts: np.ndarray, shares: np.ndarray, own: np.ndarray) -> np.ndarray:
+            z, wide = x @ matrix + bias, np.hstack([x, np.ones((len(x), 1))])
+            mass = np.add.reduceat(w, starts)[:, None]
+            lengths, held_errors, slopes = np.diff(np.append(starts, len(x))), np.zeros(len(asked)), np.zeros_like(z)
+            for j, (i, kind) in enumerate(zip(asked, kinds)):
+                u = squashed(kind, z[:, cuts[j] : cuts[j + 1]])
+                means = np.add.reduceat(u * w[:, None], starts) / mass
+                q = targets(kind, shares[:, THRESHOLDS * runs[i].labels :][:, :THRESHOLDS])
+                errors = np.where(own[:, [i]] == TRAIN, loss_slope(kind, means, q) / mass, 0.0)
+                e = np.repeat(errors, lengths, axis=0)
+                inner = u * (e - (e * u).sum(axis=1, keepdims=True)) if kind == "softmax" else u * (1 - u) * e
+                slopes[:, cuts[j] : cuts[j + 1]] = inner * w[:, None]
+                held_errors[j] = np.abs(means - q)[own[:, i] == VALIDATE].mean(axis=1).sum()
+            return np.concatenate([(slopes.T @ wide).ravel(), held_errors])
+
+        found = _each_bag(rows, marks, out[-1] + len(asked), finish, sums, work)
         for j, i in enumerate(asked):
             run, head = runs[i], heads[i]
             if validated[i]:
@@ -295,10 +354,7 @@ def fit_many(
 
 def bag_error(instances: DataFrame, labels: DataFrame, head: Head, weight: str | None = None) -> float:
     """Mean absolute error of the bag shares."""
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    bag = F.col("bag").cast("string").alias("bag")
-    rows = instances.select(bag, F.col("vec").cast("array<double>").alias("vec"), w.alias("w"))
-    marks = labels.select(bag, F.col("shares").cast("array<double>").alias("shares"), F.array(F.lit(0)).alias("roles"))
+    rows, marks = _prepared(instances, labels, F.array(F.lit(0)), weight)
 
     def sums(x: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.add.reduceat(np.hstack([np.ones((len(x), 1)), head.units(x)]) * w[:, None], starts)
@@ -307,5 +363,8 @@ def bag_error(instances: DataFrame, labels: DataFrame, head: Head, weight: str |
         errors = np.abs(totals[:, 1:] / totals[:, :1] - targets(head.kind, shares)).mean(axis=1)
         return np.array([errors.sum(), len(errors)])
 
-    error, bags = _over_bags(_by_bag(rows, sums), marks, 2, work)
+    def finish(x: np.ndarray, w: np.ndarray, starts: np.ndarray, shares: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return work(sums(x, w, starts), shares, own)
+
+    error, bags = _each_bag(rows, marks, 2, finish, sums, work)
     return float(error / max(bags, 1.0))

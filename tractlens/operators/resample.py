@@ -25,16 +25,24 @@ RESAMPLES = 2000
 LOW, HIGH_END = 0.025, 0.975
 
 
-def draws(clusters: DataFrame, cluster: str, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
-    """Drawn clusters with their multiplicity: replicate, cluster, times."""
+def draws(clusters: DataFrame, cluster: str, resamples: int = RESAMPLES, seed: int = 0, counted: bool = True) -> DataFrame:
+    """Drawn clusters with their multiplicity: replicate, cluster, times.
+
+    Where they are only summed up once, `counted` = False leaves every draw a row, which saves their shuffle.
+    """
     listed = numbered_of(
         clusters.select(cluster).distinct(), [], [F.col(cluster).asc()], "_i", "_k"
     ).withColumn("_i", F.col("_i") - 1)
-    rolled = listed.select(
+    # few rows, but each is drawn for every replicate: a fixed number of tasks shares them
+    slices = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rolled = listed.repartition(slices, "_i").select(
         F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate"), "_i", "_k"
     ).select("replicate", hash_index(F.col("_k"), seed, F.col("replicate"), F.col("_i")).alias("_i"))
-    counted = rolled.groupBy("replicate", "_i").agg(F.count("*").alias("times"))
-    return counted.join(listed.drop("_k"), "_i").select("replicate", cluster, "times")
+    if counted:
+        rolled = rolled.groupBy("replicate", "_i").agg(F.count("*").alias("times"))
+    else:
+        rolled = rolled.withColumn("times", F.lit(1).cast("long"))
+    return rolled.join(listed.drop("_k"), "_i").select("replicate", cluster, "times")
 
 
 def _ends(replicates: DataFrame, group: Sequence[str], value: str, prefix: str = "ci") -> DataFrame:
@@ -75,7 +83,7 @@ def clustered_mean(
 ) -> DataFrame:
     """Mean with the percentile interval of a cluster bootstrap, per group on shared draws."""
     sums = settled(cluster_sums(values, cluster, value, group))
-    drawn = draws(sums, cluster, resamples, seed) if drawn is None else drawn
+    drawn = draws(sums, cluster, resamples, seed, counted=False) if drawn is None else drawn
     ends = _ends(replicate_means(sums, cluster, drawn, group), group, "mean")
     point = sums.groupBy(*group).agg(
         (F.sum("_s") / F.sum("_n")).alias("mean"), F.sum("_n").alias("members")
@@ -95,7 +103,7 @@ def clustered_ratio(
     sums = settled(
         both.groupBy(cluster).agg(F.sum(top).alias("_a"), F.sum(bottom).alias("_b"), F.count("*").alias("_n"))
     )
-    drawn = draws(sums, cluster, resamples, seed)
+    drawn = draws(sums, cluster, resamples, seed, counted=False)
     ratios = (
         drawn.join(sums, cluster)
         .groupBy("replicate")
