@@ -142,3 +142,22 @@ def test_partition_has_points_inside_intervals(spark, rows):
     assert got.n_measured.iloc[0] == measured
     with pytest.raises(ValueError, match="share no cities"):
         learn.evaluate_partition(t, partition.where("split = 'test'"), "all", "regressor", rounds=1)
+
+
+def test_small_sets_are_counted_and_agree_with_rows(spark, rows, monkeypatch):
+    t = table(spark, rows)
+    edges = boost.bin_edges(t, NAMES, 4)
+    tasks = [boost.Task("two", kind, NAMES[:2], frozenset("abc")) for kind in ("regressor", "classifier")]
+    sizes, settled = [], boost.settled
+    monkeypatch.setattr(boost, "settled", lambda df: sizes.append(settled(df)) or sizes[-1])
+    options = dict(rounds=3, min_rows=9)
+    once = boost.fit(t, "city", "ordinal", tasks, edges, **options)
+    five = t.select("city", "ordinal", *NAMES, F.explode(F.sequence(F.lit(1), F.lit(5))))
+    boost.fit(five, "city", "ordinal", tasks, edges, **options)
+    monkeypatch.setattr(boost, "COUNTED_FEATURES", 0)
+    plain = boost.fit(t, "city", "ordinal", tasks, edges, **options)
+    counts = [df.count() for df in sizes]
+    assert counts[0] == counts[1] < counts[2] == 400
+    bins = np.array([(a, b) for a in range(6) for b in range(6)], np.uint8)
+    for a, b in zip(once, plain):
+        assert np.allclose(a.margins(bins), b.margins(bins))

@@ -5,6 +5,9 @@ rows yields the gradient histograms of every open node of every model, Spark add
 best cut of each node is found in the node's summed histogram. Only histograms are shuffled; their size
 depends on models, nodes, features and bins, never on rows. The driver holds the trees.
 
+Rows are only known by their bins. Models of one or two features need no rows at all: their group, target
+and bins are counted first, and the passes go over these counts, whose number does not grow with the rows.
+
 A missing value, null or NaN, is bin 0. For each cut both sides are tried for it; where a node saw none
 it follows the larger side.
 """
@@ -27,6 +30,8 @@ ROUNDS = 20
 RATE = 0.1
 MIN_ROWS = 20
 CLASSES = 5
+COUNTED_FEATURES = 2
+"""Feature sets up to this size are trained on counts of their bins, larger ones on rows."""
 KEPT_ROUNDS = 10
 """Rounds whose trees are walked again by each pass before the sums are written down."""
 
@@ -62,14 +67,23 @@ class Tree:
         return cls(np.full(inner, -1), np.zeros(inner, int), np.zeros(inner, bool), np.zeros(leaves))
 
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        """Node of each row after `levels` cuts, counted from the first node of that level."""
-        at, rows = np.zeros(len(bins), int), np.arange(len(bins))
+        """Node of each row after `levels` cuts, counted from the first node of that level.
+
+        Every node says for each bin whether it goes right, so a row is looked up, never compared. Quickest
+        where the bins of a feature lie side by side in memory.
+        """
+        at = np.zeros(len(bins), np.uint8 if levels < 8 else np.int64)
         for level in range(levels):
-            node = at + 2**level - 1
-            feature = self.feature[node]
-            b = bins[rows, np.maximum(feature, 0)]
-            left = np.where(feature < 0, True, np.where(b == 0, self.missing_left[node], b <= self.cut[node]))
-            at = 2 * at + ~left
+            right = np.zeros(len(bins), bool)
+            for node in range(2**level):
+                k = node + 2**level - 1
+                if self.feature[k] < 0:
+                    continue
+                side = np.arange(256) > self.cut[k]
+                side[0] = not self.missing_left[k]
+                goes = side[bins[:, self.feature[k]]]
+                right |= goes & (at == node) if level else goes
+            at = 2 * at + right
         return at
 
 
@@ -84,6 +98,7 @@ class Ensemble:
     def margins(self, bins: np.ndarray, first: int = 0) -> np.ndarray:
         depth = int(np.log2(len(self.rounds[0][0].value))) if self.rounds else 0
         total = np.zeros((len(bins), len(self.base)))
+        bins = np.asfortranarray(bins)
         for trees in self.rounds[first:]:
             for k, tree in enumerate(trees):
                 total[:, k] += tree.value[tree.nodes(bins, depth)]
@@ -211,34 +226,62 @@ def fit(
         base = np.array([share @ np.arange(CLASSES)]) if task.kind == "regressor" else np.log(share)
         ensembles.append(Ensemble(task, base))
     widths = [len(e.base) for e in ensembles]
-    starts = np.cumsum([0, *widths])
-
-    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = np.concatenate([e.base for e in ensembles]) if ensembles else np.zeros(0)
-        for batch in batches:
-            bins = _binned(_feature_matrix(batch, features), cuts)
-            code = [groups.get(g, -1) for g in batch.column("_g").to_pylist()]
-            margins = first.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(code, pa.int32()),
-                    batch.column("_y").cast(pa.float64()),
-                    pa.array([b.tobytes() for b in bins], pa.binary()),
-                    pa.array([margins] * len(bins), pa.binary()),
-                ],
-                ["code", "y", "bins", "margins"],
-            )
+    sets = sorted({t.features for t in tasks})
+    columns = [np.array([features.index(f) for f in own]) for own in sets]
+    # the tasks of a set, and where the outputs of each begin among the set's
+    members = [[t for t, task in enumerate(tasks) if task.features == own] for own in sets]
+    starts = [np.cumsum([0, *[widths[t] for t in own]]) for own in members]
+
+    def prepare(chosen: list[int], counted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                code = np.array([groups.get(g, -1) for g in batch.column("_g").to_pylist()], np.int64)
+                used = np.flatnonzero(code >= 0)
+                bins = _binned(_feature_matrix(batch, features), cuts)[used]
+                code, y = code[used], batch.column("_y").cast(pa.float64()).to_numpy()[used]
+                for s in chosen if len(used) else []:
+                    own, n, kept = np.ascontiguousarray(bins[:, columns[s]]), np.ones(len(used), np.int64), slice(None)
+                    if counted:
+                        whole = np.column_stack([code, y, own])
+                        kept, n = np.unique(whole, axis=0, return_index=True, return_counts=True)[1:]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(n), s), pa.int32()),
+                            pa.array(code[kept], pa.int32()),
+                            pa.array(y[kept]),
+                            pa.array([b.tobytes() for b in own[kept]], pa.binary()),
+                            pa.array(n),
+                            pa.nulls(len(n), pa.binary()),
+                        ],
+                        ["set", "code", "y", "bins", "n", "margins"],
+                    )
 
-    def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n = batch.num_rows
-        bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(n, len(features))
-        margins = np.frombuffer(b"".join(batch.column("margins").to_pylist())).reshape(n, starts[-1])
-        return batch.column("code").to_numpy(), batch.column("y").to_numpy(), bins, margins
+        return run
+
+    def unpack(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """The rows of each set: its number, their places, groups, targets, bins, counts and margins."""
+        number = batch.column("set").to_numpy()
+        for s in np.unique(number).tolist():
+            at = np.flatnonzero(number == s)
+            own = batch if len(at) == len(number) else batch.take(pa.array(at))
+            bins = np.frombuffer(b"".join(own.column("bins").to_pylist()), np.uint8).reshape(len(at), len(sets[s]))
+            if own.column("margins").null_count:
+                margins = np.tile(np.concatenate([ensembles[t].base for t in members[s]]), (len(at), 1))
+            else:
+                margins = np.frombuffer(b"".join(own.column("margins").to_pylist())).reshape(len(at), starts[s][-1])
+            n = own.column("n").to_numpy().astype(float)
+            yield s, at, own.column("code").to_numpy(), own.column("y").to_numpy(), bins, n, margins
 
-    schema = "code int, y double, bins binary, margins binary"
+    schema = "set int, code int, y double, bins binary, n long, margins binary"
     named = known.select(F.col(group).alias("_g"), F.col(target).alias("_y"), *features)
-    rows = settled(named.mapInArrow(prepare, schema))
-    places = [np.array([features.index(f) for f in t.features]) for t in tasks]
+    few = [s for s, own in enumerate(sets) if len(own) <= COUNTED_FEATURES]
+    many = [s for s, own in enumerate(sets) if len(own) > COUNTED_FEATURES]
+    rows = named.mapInArrow(prepare(many, False), schema)
+    if few:
+        same = ["set", "code", "y", "bins"]
+        counted = named.mapInArrow(prepare(few, True), schema).groupBy(*same).agg(F.sum("n").alias("n"), F.first("margins").alias("margins"))
+        rows = rows.unionByName(counted) if many else counted
+    rows = settled(rows)
     written = 0
     for number in range(rounds):
         growing = [[Tree.empty(depth) for _ in range(w)] for w in widths]
@@ -249,22 +292,24 @@ def fit(
             def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held: dict[tuple[int, int], np.ndarray] = {}
                 for batch in batches:
-                    code, y, bins, margins = unpack(batch)
-                    for t, ensemble in enumerate(ensembles):
-                        own = np.flatnonzero((code >= 0) & trains[t, code])
-                        if not len(own):
-                            continue
-                        b = bins[own]
-                        now = margins[own, starts[t] : starts[t + 1]] + ensemble.margins(b, written)
-                        g, h = ensemble.slopes(y[own], now)
-                        for k in range(widths[t]):
-                            total = held.setdefault((t, k), np.zeros((*shape, 3)))
-                            node = growing[t][k].nodes(b, level)
-                            for f in places[t]:
-                                at = node * shape[2] + b[:, f]
+                    for s, _, code, y, bins, n, margins in unpack(batch):
+                        for i, t in enumerate(members[s]):
+                            own = np.flatnonzero(trains[t, code])
+                            if not len(own):
+                                continue
+                            b, count = np.asfortranarray(bins[own]), n[own]
+                            # trees look at the columns of their own set
+                            now = margins[own, starts[s][i] : starts[s][i + 1]] + ensembles[t].margins(b, written)
+                            g, h = ensembles[t].slopes(y[own], now)
+                            for k in range(widths[t]):
+                                total = held.setdefault((t, k), np.zeros((*shape, 3)))
+                                node = growing[t][k].nodes(b, level).astype(np.int64) * shape[2]
                                 size = shape[0] * shape[2]
-                                for c, w in enumerate((g[:, k], h[:, k], None)):
-                                    total[:, f, :, c] += np.bincount(at, w, size).reshape(shape[0], shape[2])
+                                weights = g[:, k] * count, h[:, k] * count, count
+                                for j, f in enumerate(columns[s]):
+                                    at = node + b[:, j]
+                                    for c, w in enumerate(weights):
+                                        total[:, f, :, c] += np.bincount(at, w, size).reshape(shape[0], shape[2])
                 for (t, k), total in held.items():
                     node, f, b = np.nonzero(total[..., 2])
                     cells = total[node, f, b]
@@ -280,7 +325,8 @@ def fit(
             # one row per open node
             for r in best_cuts(found, len(features), min_rows, ridge).collect():
                 tree, node = growing[r.task][r.output], r.node + 2**level - 1
-                tree.feature[node], tree.cut[node], tree.missing_left[node] = r.feature, r.bin, r.gap_left
+                place = tasks[r.task].features.index(features[r.feature])
+                tree.feature[node], tree.cut[node], tree.missing_left[node] = place, r.bin, r.gap_left
                 for side, g, h in ((0, r.g_left, r.h_left), (1, r.g_right, r.h_right)):
                     sums[r.task, r.output, 2 * node + 1 + side] = g, h
         for (t, k, node), (g, h) in sums.items():
@@ -298,10 +344,11 @@ def fit(
 
             def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    _, _, bins, margins = unpack(batch)
-                    now = margins + np.hstack([e.margins(bins, written) for e in ensembles])
-                    last = pa.array([m.tobytes() for m in now], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], last], batch.schema.names)
+                    last = np.empty(batch.num_rows, object)
+                    for s, at, _, _, bins, _, margins in unpack(batch):
+                        now = margins + np.hstack([ensembles[t].margins(bins, written) for t in members[s]])
+                        last[at] = [m.tobytes() for m in now]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(last, pa.binary())], batch.schema.names)
 
             rows = settled(rows.mapInArrow(advance, schema))
             written = number + 1
@@ -318,6 +365,7 @@ def predict(
     """
     features = sorted({f for e in ensembles for f in e.task.features})
     cuts = [np.array(edges[f]) for f in features]
+    places = [[features.index(f) for f in e.task.features] for e in ensembles]
     columns = table.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +376,7 @@ def predict(
                 own = np.flatnonzero([n in groups for n in names])
                 if not len(own):
                     continue
-                margins = ensemble.base + ensemble.margins(bins[own])
+                margins = ensemble.base + ensemble.margins(bins[np.ix_(own, places[t])])
                 if ensemble.task.kind == "regressor":
                     score, shares = margins[:, 0], pa.nulls(len(own), pa.list_(pa.float64()))
                     hard = np.clip(np.round(score), 0, CLASSES - 1)
