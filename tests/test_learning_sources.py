@@ -279,3 +279,11 @@ def test_whole_bags_leave_no_sums_and_pieces_agree(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for a, b in zip(whole, pieces):
         assert np.allclose(a.weights, b.weights) and np.allclose(a.bias, b.bias)
+
+
+def test_draws_left_as_rows_sum_to_the_counted_ones(spark):
+    from tractlens.operators.resample import draws
+
+    clusters = spark.createDataFrame([(f"c{i}",) for i in range(9)], "bag string")
+    one = draws(clusters, "bag", 12, counted=False).groupBy("replicate", "bag").agg(F.sum("times").alias("times"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, draws(clusters, "bag", 12).collect()))
