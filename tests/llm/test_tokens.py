@@ -311,3 +311,14 @@ def test_sequence_counts_match_a_plain_version(stored, monkeypatch):
             for key, count in zip(np.cumsum(mixing.unpack_numbers(keys), dtype=np.uint64).tolist(), mixing.unpack_numbers(counts).tolist()):
                 assert got.setdefault(key, count) == count
     assert got == dict(want)
+
+
+def test_scoring_leaves_no_shuffle_files_and_the_setting_as_it_was(docs, spark):
+    def shuffle_files():
+        kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in kept.mkString("\n").split("\n") if "shuffle_" in n}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(), spark.conf.get(name, None)
+    mixing.scored(docs.withColumn("train", (~common.held_out(2, 7)).cast("long")))
+    assert not shuffle_files() - before and spark.conf.get(name, None) == setting

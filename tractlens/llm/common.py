@@ -6,6 +6,7 @@ import re
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tractlens.operators.scale import settled
 
-__all__ = ["table", "settled", "units", "text_groups", "UnitTable", "process_cache", "held_out", "partitions"]
+__all__ = ["table", "settled", "units", "text_groups", "UnitTable", "process_cache", "held_out", "partitions", "freed_shuffles"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a step are deleted as soon as it is written.
+
+    Steps that read each other's results from stored tables need no older shuffle, and the disk
+    then holds one step's shuffles at a time. The session's own setting comes back afterwards.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def held_out(remainder: int, modulus: int, column: str = "doc_id"):
     """Whether crc32 of the id's decimal text leaves `remainder`; false for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -40,6 +40,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractlens.llm.common import held_out, partitions, settled, table
+from tractlens.llm.common import freed_shuffles, held_out, partitions, settled, table
 from tractlens.llm.wordblocks import TEXTS, blocks, gathered_rows, pack_numbers, pack_strings, unpack_numbers, unpack_strings
 
 HEAD = 4
@@ -156,16 +157,27 @@ class Spelled:
         }
 
 
-def _inputs(events: dict[str, np.ndarray], tables: np.ndarray, without_own: bool) -> tuple[np.ndarray, np.ndarray]:
+def slot_odds(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of every slot (order x way x slot) and the evidence of the slots of the last order.
+
+    The ways: all counts, without one zero, without one one.
+    """
+    zeros, ones = tables
+    ways = ((zeros, ones), (np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0)))
+    odds = np.stack([np.log((o + np.float32(PRIOR)) / (z + np.float32(PRIOR))) for z, o in ways], axis=1)
+    return odds, ones[-1] + zeros[-1]
+
+
+def _inputs(events: dict[str, np.ndarray], odds: tuple[np.ndarray, np.ndarray], without_own: bool) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of all predictors (predictor x byte x bit) and the gate of every bit."""
     bit = events["bit"]
     own = 1.0 if without_own else 0.0
     x = np.empty((_INPUTS, *bit.shape), np.float32)
-    for order in range(ORDERS):
-        zeros, ones = tables[0, order][events["slots"][order]], tables[1, order][events["slots"][order]]
-        ones, zeros = ones - own * bit, zeros - own * (1 - bit)
-        x[order] = np.log((np.maximum(ones, 0) + PRIOR) / (np.maximum(zeros, 0) + PRIOR))
-    evidence = ones + zeros
+    way = (bit.astype(np.int32) << SLOT_BITS) if without_own else 0
+    for order, slots in enumerate(events["slots"]):
+        ways = odds[0][order, 1:] if without_own else odds[0][order, 0]
+        x[order] = ways.ravel()[slots + way]
+    evidence = odds[1][events["slots"][-1]] - own
     deep = events["deep"][:, None]
     ones = np.maximum(events["ones"] - own * bit, 0)
     zeros = np.maximum(events["total"] - events["ones"] - own * (1 - bit), 0)
@@ -278,9 +290,9 @@ def context_tables(merged: DataFrame) -> np.ndarray:
     return flat.reshape(2, ORDERS, 1 << SLOT_BITS)
 
 
-def trained(merged: DataFrame, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trained(merged: DataFrame, odds: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Mixing weights (gate x predictor) and the adaptive map (evidence x cell), as log-odds."""
-    shared = merged.sparkSession.sparkContext.broadcast(tables)
+    shared = merged.sparkSession.sparkContext.broadcast(odds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = first_weights()
@@ -335,20 +347,22 @@ def spelled_log10(
     spelled: Spelled, tables: np.ndarray, weights: np.ndarray, refinement: np.ndarray, without_own: bool = False
 ) -> np.ndarray:
     """log10 probability of every token, in the order the tokens were given in."""
-    return _spelled_log10s(spelled, tables, weights, refinement, [without_own])[0]
+    return _spelled_log10s(spelled, slot_odds(tables), weights, refinement, [without_own])[0]
 
 
-def _spelled_log10s(spelled: Spelled, tables: np.ndarray, weights: np.ndarray, refinement: np.ndarray, own: list[bool]) -> np.ndarray:
+def _spelled_log10s(
+    spelled: Spelled, odds: tuple[np.ndarray, np.ndarray], weights: np.ndarray, refinement: np.ndarray, own: list[bool]
+) -> np.ndarray:
     """One row for each of `own`: whether a token's own occurrence is taken out."""
     result = np.zeros((len(own), len(spelled.words)))
     for chosen in spelled.chunks():
         events = spelled.bits(chosen)
         stops = np.cumsum(events["lengths"])
         for k, without in enumerate(own):
-            x, gate = _inputs(events, tables, without_own=without)
+            x, gate = _inputs(events, odds, without_own=without)
             logit = refined(_mixed(x, gate, weights), gate, refinement)
             # log of the probability of the bit that is there
-            cost = np.logaddexp(0, np.where(events["bit"] > 0, -logit, logit)).sum(axis=1, dtype=np.float64)
+            cost = np.log1p(np.exp(np.where(events["bit"] > 0, -logit, logit))).sum(axis=1, dtype=np.float64)
             result[k, spelled.order[chosen]] = -np.add.reduceat(cost, stops - events["lengths"]) / np.log(10)
     return result
 
@@ -386,23 +400,20 @@ def sequences(docs: DataFrame, buckets: int, train: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
         for number, held in enumerate(gathered_rows(batches)):
-            known: dict[bytes, int] = {}
-            places, sizes = [], []
-            for b in held:
-                for text in b.column("text").to_pylist():
-                    words = tokens_of(text or "")
-                    for w in set(words).difference(known):
-                        known[w] = len(known)
-                    places.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                    sizes.append(len(words))
-            sizes = np.array(sizes, np.int64)
+            texts = [tokens_of(text or "") for b in held for text in b.column("text").to_pylist()]
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            words = pa.array(chain.from_iterable(texts), pa.binary()).dictionary_encode()
             flags = np.concatenate([b.column(train).to_numpy() for b in held]) != 0
-            two, three = sequence_keys(word_hashes(list(known))[np.concatenate(places)], sizes)
+            two, three = sequence_keys(word_hashes(words.dictionary.to_pylist())[words.indices.to_numpy()], sizes)
             longer = np.ones(len(two), bool)
             longer[np.cumsum(sizes) - sizes] = False
             weight = np.repeat(flags, sizes)
-            keys, at = np.unique(np.concatenate((two, three)), return_inverse=True)
-            counts = np.bincount(at, np.concatenate((weight, weight & longer)), len(keys)).astype(np.int64)
+            # the training mark rides behind the key, so that one plain sort brings equal keys together
+            marked = np.concatenate((two << np.uint64(1) | weight, three << np.uint64(1) | weight & longer))
+            marked.sort()
+            first = np.flatnonzero(np.concatenate(([True], marked[1:] >> np.uint64(1) != marked[:-1] >> np.uint64(1))))
+            keys = marked[first] >> np.uint64(1)
+            counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
             which = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
             begins = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
             ends = np.append(begins[1:], len(keys))
@@ -433,14 +444,12 @@ def summed_sequences(group: pa.Table) -> pa.Table:
     counts = np.concatenate([unpack_numbers(c) for c in group.column("sizes").to_pylist()])
     keys, at = np.unique(np.concatenate(asked), return_inverse=True)
     totals = np.bincount(at, counts, len(keys)).astype(np.int64)[at]
-    nothing = pa.array([None] * group.num_rows, pa.binary())
     return pa.table(
         {
             "partition": group.column("partition"),
             "block": group.column("block"),
             "bucket": group.column("bucket"),
             "counts": pa.array([pack_numbers(t) for t in np.split(totals, np.cumsum([len(a) for a in asked])[:-1])], pa.binary()),
-            **dict.fromkeys(("logs", "own_logs", "hashes", "lengths"), nothing),
         }
     )
 
@@ -452,12 +461,16 @@ def in_context(logs: np.ndarray, pair: np.ndarray, one: np.ndarray, triple: np.n
     and `two` their contexts.
     """
     p0, met = 10.0**logs, pair > 0
+    out2 = [np.log10(two + b) for b in CONCENTRATIONS]
     for a in CONCENTRATIONS:
-        p1, out1 = (pair + a * p0) / (one + a), np.log10(a / (one + a))
-        for b in CONCENTRATIONS:
-            # a long new word's spelling may be too small for a float
-            new = logs + out1 + np.log10(b / (two + b))
-            yield np.where(met, np.log10((triple + b * p1) / (two + b), where=met, out=np.zeros(len(p1))), new)
+        p1 = (pair + a * p0) / (one + a)
+        # a long new word's spelling may be too small for a float
+        new = (logs + np.log10(a / (one + a)))[~met]
+        for b, out in zip(CONCENTRATIONS, out2):
+            known = np.zeros(len(p1))
+            known[met] = np.log10((triple + b * p1)[met])
+            known[~met] = new + np.log10(b)
+            yield known - out
 
 
 def scored(docs: DataFrame, train: str = "train") -> DataFrame:
@@ -465,17 +478,26 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
 
     `train` is 0 or 1.
     """
+    spark = docs.sparkSession
+    with freed_shuffles(spark):
+        return _scored(docs, train)
+
+
+def _scored(docs: DataFrame, train: str) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
+    # a step of its own, so the largest shuffle is gone before the answers travel
+    found = sequences(docs, parts, train).repartition(parts, "bucket").groupBy("bucket")
+    found = settled(found.applyInArrow(summed_sequences, "partition int, block int, bucket int, counts binary"))
     packed = settled(blocks(docs, tokens_of, 4 * parts, head_buckets, train))
     merged = settled(merged_words(packed, parts))
     sizes = merged.agg(F.sum("tokens"), F.sum("types")).first()
     seen, types = int(sizes[0] or 0), int(sizes[1] or 0)
     # rows are bucket-wide already; they are dealt evenly before each pass over them
     dealt = merged.repartition(parts, "bucket")
-    tables = context_tables(dealt)
-    weights, refinement = trained(dealt, tables)
-    shared = spark.sparkContext.broadcast((tables, weights, refinement))
+    odds = slot_odds(context_tables(dealt))
+    weights, refinement = trained(dealt, odds)
+    shared = spark.sparkContext.broadcast((odds, weights, refinement))
 
     def score_bucket(group: pa.Table) -> pa.Table:
         lists = [unpack_strings(w) for w in group.column("words").to_pylist()]
@@ -506,7 +528,6 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
     words = packed.where(F.col("bucket") != TEXTS).select("partition", "block", "bucket", "words", "sizes")
     answer = "partition int, block int, bucket int, counts binary, logs binary, own_logs binary, hashes binary, lengths binary"
     answers = words.repartition(parts, "bucket").groupBy("bucket").applyInArrow(score_bucket, answer)
-    found = sequences(docs, parts, train).repartition(parts, "bucket").groupBy("bucket").applyInArrow(summed_sequences, answer)
     texts = packed.where(F.col("bucket") == TEXTS).select("partition", "block", F.col("words").alias("flags"), "ids", "sizes", "places")
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -533,15 +554,14 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
         one[0] = counts[places[-1]]
         triple[begins], two[begins] = 0, 0
         scores = np.array([np.add.reduceat(v, begins) for v in in_context(logs[places].astype(np.float64), pair, one, triple, two)])
-        fits = np.zeros_like(scores)
+        fits = np.zeros(len(scores))
         learnt = np.repeat(flags != 0, sizes)
         if learnt.any():
             ones = (pair - 1, one - 1, np.maximum(triple - 1, 0), np.maximum(two - 1, 0))
             left_out = in_context(own_logs[places].astype(np.float64)[learnt], *(v[learnt] for v in ones))
-            inner = sizes[flags != 0]
-            fits[:, flags != 0] = [np.add.reduceat(v, np.cumsum(inner) - inner) for v in left_out]
+            fits = np.array([v.sum() for v in left_out])
         sums = [np.add.reduceat(v[places], begins) for v in ((counts > 0).astype(np.int64), lengths, base)]
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.T.ravel()), len(scores)).cast(pa.list_(pa.float64())) for v in (scores, fits)]
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(scores.T.ravel()), len(scores)).cast(pa.list_(pa.float64()))
         return pa.table(
             {
                 "doc_id": left.column("ids").chunk(0).flatten(),
@@ -549,15 +569,16 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
                 "n_known": pa.array(sums[0], pa.int64()),
                 "n_bytes": pa.array(sums[1], pa.int64()),
                 "base_score": pa.array(sums[2], pa.float64()),
-                "scores": lists[0],
-                "fits": lists[1],
+                "scores": lists,
+                # only their sum is asked for: the block's first row holds it
+                "fits": pa.array([fits.tolist(), *[None] * (len(sizes) - 1)], pa.list_(pa.float64())),
             }
         )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keys = ("partition", "block")
     fields = f"doc_id {id_type}, n_tokens long, n_known long, n_bytes long, base_score double, scores array<double>, fits array<double>"
-    result = settled(texts.groupBy(*keys).cogroup(answers.unionByName(found).groupBy(*keys)).applyInArrow(add_up, fields))
+    result = settled(texts.groupBy(*keys).cogroup(answers.unionByName(found, allowMissingColumns=True).groupBy(*keys)).applyInArrow(add_up, fields))
     total = result.agg(*[F.sum(F.col("fits")[k]) for k in range(len(CONCENTRATIONS) ** 2)]).first()
     best = int(np.argmax([t or 0 for t in total]))
     return result.select(
