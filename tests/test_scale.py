@@ -123,6 +123,17 @@ def test_random_ties_match_the_full_simulation(spark, rows, class_rows):
     assert got.reached.tolist() == pytest.approx([t / 4 for t in total])
 
 
+
+def test_random_ties_are_drawn_in_as_many_tasks_as_the_session_asks_for(spark, rows):
+    one_task = spark.createDataFrame(rows[rows.city == "big"].assign(tie=0)).coalesce(1)
+    got = decide.reached_with_random_ties(one_task, ["city"], "tie", "reached", [0.2], tie_draws=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # of every branch, what feeds the rows of the draws
+    below = plan.split("Generate explode(sequence")[1:] or plan.split("explode(")[1:]
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    assert any("hashpartitioning(cvegeo" in part and f", {asked}), REPARTITION_BY_NUM" in part for part in below)
+
+
 def test_one_group_of_a_million_rows_is_split(spark, monkeypatch):
     written = []
 

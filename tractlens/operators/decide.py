@@ -401,9 +401,13 @@ def reached_with_random_ties(
     largest = edge.agg(F.max("_rows")).first()[0] or 0
     draw = F.explode(F.sequence(F.lit(0), F.lit(tie_draws - 1))).alias("_draw")
     here = [*group, tie, "_draw"]
+    # a small stored table lies in a few tasks, and every row of it becomes `tie_draws` rows; adaptive
+    # execution keeps a number of partitions that is asked for
+    parts = int(tracts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = (
         tracts.select(*group, tie, "cvegeo", "population", _deprived().alias("_dep"))
         .join(edge.select(*group, tie).distinct(), [*group, tie])
+        .repartition(parts, "cvegeo")
         .select("*", draw)
         .withColumn("_key", hash_order(seed, F.col("_draw"), F.col("cvegeo")))
     )
@@ -413,10 +417,11 @@ def reached_with_random_ties(
     while largest > class_rows:
         digits, largest = digits + 2, largest / 256
         cuts = settled(open_cuts)
+        begun = drawn.withColumn("_prefix", F.substring("_key", 1, digits - 2))
+        if digits > 2:  # before the first two digits every draw is open
+            begun = begun.join(cuts.select(*here, "_prefix").distinct(), [*here, "_prefix"], "left_semi")
         bins = (
-            drawn.withColumn("_prefix", F.substring("_key", 1, digits - 2))
-            .join(cuts.select(*here, "_prefix").distinct(), [*here, "_prefix"], "left_semi")
-            .groupBy(*here, "_prefix", F.substring("_key", 1, digits).alias("_next"))
+            begun.groupBy(*here, "_prefix", F.substring("_key", 1, digits).alias("_next"))
             .agg(F.sum("population").alias("_p"), F.sum("_dep").alias("_d"))
         )
         # at most 256 bins below a prefix
