@@ -322,3 +322,31 @@ def test_scoring_leaves_no_shuffle_files_and_the_setting_as_it_was(docs, spark):
     before, setting = shuffle_files(), spark.conf.get(name, None)
     mixing.scored(docs.withColumn("train", (~common.held_out(2, 7)).cast("long")))
     assert not shuffle_files() - before and spark.conf.get(name, None) == setting
+
+
+def test_sums_in_context_over_runs_equal_one_logarithm_a_token():
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 40, 12, 13, 300, 2])
+    n, begins = sizes.sum(), np.cumsum(sizes) - sizes
+    logs, pair = -8 * rng.random(n), rng.integers(0, 3, n).astype(float)
+    logs[3], pair[3] = -700, 0  # a long new word
+    triple, one, two = np.minimum(pair, rng.integers(0, 2, n)), pair + rng.integers(0, 10**9, n), rng.integers(2, 9, n).astype(float)
+    got, k = mixing.in_context(logs, pair, one, triple, two, begins), 0
+    for a in mixing.CONCENTRATIONS:
+        for b in mixing.CONCENTRATIONS:
+            new = logs + np.log10(a / (one + a)) + np.log10(b) - np.log10(two + b)
+            known = np.log10((triple + b * (pair + a * 10.0**logs) / (one + a)) / (two + b), where=pair > 0, out=new.copy())
+            assert np.allclose(got[k], np.add.reduceat(np.where(pair > 0, known, new), begins), rtol=1e-12)
+            k += 1
+
+
+def test_scoring_cuts_every_text_into_tokens_once(docs, spark, monkeypatch):
+    cut = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        cut.add(1)
+        return [*text.encode("utf-8", "replace").lower().split(), b""]
+
+    monkeypatch.setattr(mixing, "tokens_of", counted)
+    mixing.scored(docs.withColumn("train", (~common.held_out(2, 7)).cast("long"))).collect()
+    assert cut.value == docs.count()

@@ -23,7 +23,8 @@ times log2(10), over the bytes spelled (tokens with their closing spaces), is it
    While training, a token's own occurrence is taken out of all counts it meets, so a context seen
    once teaches nothing about itself.
 4. Tokens are spelled once each and the answers travel back to their blocks.
-5. Blocks send their distinct pairs and triples of neighbouring tokens, as 48 bits of a hash with the
+5. The texts' places and their words' hashes stay in the stored blocks, so no text is cut twice. Blocks
+   send their distinct pairs and triples of neighbouring tokens, as 48 bits of a hash with the
    block's training count, dealt by that hash: a frequent pair is one entry per block and a frequent
    context is spread over all buckets. c(h) needs no rows of its own: it is the count of the shorter
    sequence. The sums travel back and every text is put together in its block.
@@ -40,16 +41,14 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractlens.llm.common import freed_shuffles, held_out, partitions, settled, table
-from tractlens.llm.wordblocks import TEXTS, blocks, gathered_rows, pack_numbers, pack_strings, unpack_numbers, unpack_strings
+from tractlens.llm.wordblocks import TEXTS, blocks, pack_numbers, pack_strings, plain_numbers, unpack_numbers, unpack_strings
 
 HEAD = 4
 ORDERS = 5
@@ -65,6 +64,9 @@ SLICES = 64
 CONCENTRATIONS = (1.0, 8.0, 64.0, 512.0)
 KEY_BITS = 48
 _CHUNK_BYTES = 16_000
+# a factor is 1e-24 at least while a corpus has fewer than 1e12 tokens, so a product of so many is no zero
+_FACTORS = 12
+_PIECES = 1 << 10
 _INPUTS = ORDERS + 2
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
@@ -173,28 +175,31 @@ def _inputs(events: dict[str, np.ndarray], odds: tuple[np.ndarray, np.ndarray],
     bit = events["bit"]
     own = 1.0 if without_own else 0.0
     x = np.empty((_INPUTS, *bit.shape), np.float32)
-    way = (bit.astype(np.int32) << SLOT_BITS) if without_own else 0
+    way = (bit.astype(np.int32) << SLOT_BITS) if without_own else None
     for order, slots in enumerate(events["slots"]):
         ways = odds[0][order, 1:] if without_own else odds[0][order, 0]
-        x[order] = ways.ravel()[slots + way]
-    evidence = odds[1][events["slots"][-1]] - own
+        # every slot is in range; clipping only spares numpy a copy
+        np.take(ways.ravel(), slots + way if without_own else slots, out=x[order], mode="clip")
+    evidence = np.take(odds[1], events["slots"][-1], mode="clip") - np.float32(own)
     deep = events["deep"][:, None]
     ones = np.maximum(events["ones"] - own * bit, 0)
     zeros = np.maximum(events["total"] - events["ones"] - own * (1 - bit), 0)
     x[ORDERS] = np.where(deep, np.log((ones + PRIOR) / (zeros + PRIOR)), 0)
     x[ORDERS + 1] = 0.3
     evidence = np.where(deep, ones + zeros, evidence)
-    level = np.minimum(np.log2(np.maximum(evidence, 0) + 1), EVIDENCE - 1).astype(np.int32)
+    # the exponent of a float is the floor of its logarithm
+    exponent = ((np.maximum(evidence, 0) + np.float32(1)).astype(np.float32).view(np.int32) >> 23) - 127
+    level = np.minimum(exponent, EVIDENCE - 1)
     gate = (level + EVIDENCE * deep) * 8 + np.arange(8)
     return x, gate
 
 
 def _mixed(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Log-odds of the mixture."""
-    chosen = weights[gate]
-    total = chosen[..., 0] * x[0]
+    columns = np.ascontiguousarray(weights.T)
+    total = np.take(columns[0], gate, mode="clip") * x[0]
     for k in range(1, _INPUTS):
-        total += chosen[..., k] * x[k]
+        total += np.take(columns[k], gate, mode="clip") * x[k]
     return np.clip(total, -12, 12)
 
 
@@ -216,7 +221,7 @@ def refined(logit: np.ndarray, gate: np.ndarray, refinement: np.ndarray) -> np.n
     low, share = _cell(logit)
     row = (gate >> 3) * CELLS + low
     flat = refinement.ravel()
-    return (logit + (1 - share) * flat[row] + share * flat[row + 1]) / 2
+    return (logit + (1 - share) * np.take(flat, row, mode="clip") + share * np.take(flat, row + 1, mode="clip")) / 2
 
 
 def table_chunks(rows: DataFrame) -> DataFrame:
@@ -361,8 +366,9 @@ def _spelled_log10s(
         for k, without in enumerate(own):
             x, gate = _inputs(events, odds, without_own=without)
             logit = refined(_mixed(x, gate, weights), gate, refinement)
-            # log of the probability of the bit that is there
-            cost = np.log1p(np.exp(np.where(events["bit"] > 0, -logit, logit))).sum(axis=1, dtype=np.float64)
+            # log of the probability of the bits that are there, one logarithm for a byte's eight
+            odds_against = np.exp(np.where(events["bit"] > 0, -logit, logit))
+            cost = np.log((1 + odds_against.astype(np.float64)).prod(axis=1))
             result[k, spelled.order[chosen]] = -np.add.reduceat(cost, stops - events["lengths"]) / np.log(10)
     return result
 
@@ -392,44 +398,53 @@ def sequence_keys(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
 
 
 def sequences(docs: DataFrame, buckets: int, train: str) -> DataFrame:
-    """Distinct pairs and triples of every block of `blocks`, sorted, with their training counts.
+    """Distinct pairs and triples of every block of `blocks`, sorted, with their training counts."""
+    return block_sequences(blocks(docs, tokens_of, buckets, head_buckets, train, only="texts", mark=word_hashes), buckets)
+
+
+def block_sequences(packed: DataFrame, buckets: int) -> DataFrame:
+    """The same from the packed texts of `blocks`, whose words are marked with their hashes.
 
     Buckets are ranges of keys and are numbered -2, -3 and so on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition = TaskContext.get().partitionId()
-        for number, held in enumerate(gathered_rows(batches)):
-            texts = [tokens_of(text or "") for b in held for text in b.column("text").to_pylist()]
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            words = pa.array(chain.from_iterable(texts), pa.binary()).dictionary_encode()
-            flags = np.concatenate([b.column(train).to_numpy() for b in held]) != 0
-            two, three = sequence_keys(word_hashes(words.dictionary.to_pylist())[words.indices.to_numpy()], sizes)
-            longer = np.ones(len(two), bool)
-            longer[np.cumsum(sizes) - sizes] = False
-            weight = np.repeat(flags, sizes)
-            # the training mark rides behind the key, so that one plain sort brings equal keys together
-            marked = np.concatenate((two << np.uint64(1) | weight, three << np.uint64(1) | weight & longer))
-            marked.sort()
-            first = np.flatnonzero(np.concatenate(([True], marked[1:] >> np.uint64(1) != marked[:-1] >> np.uint64(1))))
-            keys = marked[first] >> np.uint64(1)
-            counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
-            which = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
-            begins = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
-            ends = np.append(begins[1:], len(keys))
-            rows = range(len(begins))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([partition] * len(rows), pa.int32()),
-                    pa.array([number] * len(rows), pa.int32()),
-                    pa.array(-2 - which[begins].astype(np.int64), pa.int32()),
-                    pa.array([pack_numbers(_steps(keys[begins[k] : ends[k]])) for k in rows], pa.binary()),
-                    pa.array([pack_numbers(counts[begins[k] : ends[k]]) for k in rows], pa.binary()),
-                ],
-                ["partition", "block", "bucket", "keys", "sizes"],
-            )
-
-    return docs.select("doc_id", "text", train).mapInArrow(run, "partition int, block int, bucket int, keys binary, sizes binary")
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sizes, places, flags = (unpack_numbers(batch.column(c)[row].as_py()) for c in ("sizes", "places", "flags"))
+                hashes = unpack_numbers(batch.column("marks")[row].as_py())
+                two, three = sequence_keys(hashes[places], sizes)
+                longer = np.ones(len(two), bool)
+                longer[np.cumsum(sizes) - sizes] = False
+                weight = np.repeat(flags != 0, sizes)
+                # the training mark rides behind the key, so that one plain sort brings equal keys together
+                marked = np.concatenate((two << np.uint64(1) | weight, three << np.uint64(1) | weight & longer))
+                marked.sort()
+                keys = marked >> np.uint64(1)
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                keys = keys[first]
+                counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
+                which = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+                begins = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+                ends = np.append(begins[1:], len(keys))
+                rows = range(len(begins))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch.column("partition")[row].as_py()] * len(rows), pa.int32()),
+                        pa.array([batch.column("block")[row].as_py()] * len(rows), pa.int32()),
+                        pa.array(-2 - which[begins].astype(np.int64), pa.int32()),
+                        # steps of a hash hold next to nothing to compress
+                        pa.array([plain_numbers(_steps(keys[begins[k] : ends[k]])) for k in rows], pa.binary()),
+                        pa.array([pack_numbers(counts[begins[k] : ends[k]]) for k in rows], pa.binary()),
+                    ],
+                    ["partition", "block", "bucket", "keys", "sizes"],
+                )
+
+    return _texts(packed, "sizes", "places", "marks").mapInArrow(run, "partition int, block int, bucket int, keys binary, sizes binary")
+
+
+def _texts(packed: DataFrame, *columns: str) -> DataFrame:
+    return packed.where(F.col("bucket") == TEXTS).select("partition", "block", F.col("words").alias("flags"), *columns)
 
 
 def _steps(keys: np.ndarray) -> np.ndarray:
@@ -454,23 +469,37 @@ def summed_sequences(group: pa.Table) -> pa.Table:
     )
 
 
-def in_context(logs: np.ndarray, pair: np.ndarray, one: np.ndarray, triple: np.ndarray, two: np.ndarray) -> Iterator[np.ndarray]:
-    """log10 probabilities in context, for every pair of concentrations.
+def in_context(
+    logs: np.ndarray, pair: np.ndarray, one: np.ndarray, triple: np.ndarray, two: np.ndarray, begins: np.ndarray
+) -> np.ndarray:
+    """Sums of the log10 probabilities in context over runs of tokens: a row per pair of concentrations.
 
     `logs` are the spellings'; `pair` and `triple` count the sequences that end in the token, `one`
-    and `two` their contexts.
+    and `two` their contexts. A run goes from one of `begins` to the next.
     """
-    p0, met = 10.0**logs, pair > 0
-    out2 = [np.log10(two + b) for b in CONCENTRATIONS]
-    for a in CONCENTRATIONS:
-        p1 = (pair + a * p0) / (one + a)
-        # a long new word's spelling may be too small for a float
-        new = (logs + np.log10(a / (one + a)))[~met]
-        for b, out in zip(CONCENTRATIONS, out2):
-            known = np.zeros(len(p1))
-            known[met] = np.log10((triple + b * p1)[met])
-            known[~met] = new + np.log10(b)
-            yield known - out
+    met = pair > 0
+    # a long new word's spelling may be too small for a float, so a new token's spelling is added as a logarithm
+    p0 = np.where(met, 10.0**logs, 1.0)
+    sums = np.tile(np.add.reduceat(np.where(met, 0, logs), begins), (len(CONCENTRATIONS) ** 2, 1))
+    sizes = np.diff(begins, append=len(logs))
+    pieces = -(-sizes // _FACTORS)
+    ends = np.cumsum(pieces)
+    starts = np.repeat(begins, pieces) + (np.arange(ends[-1]) - np.repeat(ends - pieces, pieces)) * _FACTORS
+    found = np.empty((len(sums), len(starts)))
+    # some texts' worth of pieces at a time stays in the processor's cache
+    for at in range(0, len(starts), _PIECES):
+        here = starts[at : at + _PIECES]
+        part = slice(here[0], starts[at + _PIECES] if at + _PIECES < len(starts) else len(logs))
+        known, spelling, longer, cut = pair[part], p0[part], triple[part], here - here[0]
+        share = [1 / (two[part] + b) for b in CONCENTRATIONS]
+        k = 0
+        for a in CONCENTRATIONS:
+            p1 = (known + a * spelling) / (one[part] + a)
+            for b, each in zip(CONCENTRATIONS, share):
+                # fewer logarithms: one for the product of a few tokens
+                found[k, at : at + len(here)] = np.multiply.reduceat((longer + b * p1) * each, cut)
+                k += 1
+    return sums + np.add.reduceat(np.log10(found), ends - pieces, axis=1)
 
 
 def scored(docs: DataFrame, train: str = "train") -> DataFrame:
@@ -486,10 +515,11 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
 def _scored(docs: DataFrame, train: str) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
+    # the texts are cut into tokens once; whatever follows reads places and hashes
+    packed = settled(blocks(docs, tokens_of, 4 * parts, head_buckets, train, mark=word_hashes))
     # a step of its own, so the largest shuffle is gone before the answers travel
-    found = sequences(docs, parts, train).repartition(parts, "bucket").groupBy("bucket")
+    found = block_sequences(packed, parts).repartition(parts, "bucket").groupBy("bucket")
     found = settled(found.applyInArrow(summed_sequences, "partition int, block int, bucket int, counts binary"))
-    packed = settled(blocks(docs, tokens_of, 4 * parts, head_buckets, train))
     merged = settled(merged_words(packed, parts))
     sizes = merged.agg(F.sum("tokens"), F.sum("types")).first()
     seen, types = int(sizes[0] or 0), int(sizes[1] or 0)
@@ -509,7 +539,6 @@ def _scored(docs: DataFrame, train: str) -> DataFrame:
         counts = np.fromiter(totals.values(), np.int64, len(words))
         number = dict(zip(words, range(len(words))))
         logs, own = _spelled_log10s(Spelled(words, counts), *shared.value, [False, True]).astype(np.float32)
-        hashes = word_hashes(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         at = [np.fromiter(map(number.__getitem__, one), np.int64, len(one)) for one in lists]
         return pa.table(
@@ -518,17 +547,16 @@ def _scored(docs: DataFrame, train: str) -> DataFrame:
                 "block": group.column("block"),
                 "bucket": group.column("bucket"),
                 "counts": pa.array([pack_numbers(counts[k]) for k in at], pa.binary()),
-                "logs": pa.array([pack_numbers(logs[k]) for k in at], pa.binary()),
-                "own_logs": pa.array([pack_numbers(own[k]) for k in at], pa.binary()),
-                "hashes": pa.array([pack_numbers(hashes[k]) for k in at], pa.binary()),
+                "logs": pa.array([plain_numbers(logs[k]) for k in at], pa.binary()),
+                "own_logs": pa.array([plain_numbers(own[k]) for k in at], pa.binary()),
                 "lengths": pa.array([pack_numbers(lengths[k]) for k in at], pa.binary()),
             }
         )
 
     words = packed.where(F.col("bucket") != TEXTS).select("partition", "block", "bucket", "words", "sizes")
-    answer = "partition int, block int, bucket int, counts binary, logs binary, own_logs binary, hashes binary, lengths binary"
+    answer = "partition int, block int, bucket int, counts binary, logs binary, own_logs binary, lengths binary"
     answers = words.repartition(parts, "bucket").groupBy("bucket").applyInArrow(score_bucket, answer)
-    texts = packed.where(F.col("bucket") == TEXTS).select("partition", "block", F.col("words").alias("flags"), "ids", "sizes", "places")
+    texts = _texts(packed, "ids", "sizes", "places", "marks")
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         bucket = right.column("bucket").to_numpy()
@@ -538,12 +566,12 @@ def _scored(docs: DataFrame, train: str) -> DataFrame:
 
         order = np.argsort(bucket, kind="stable")
         order = order[bucket[order] >= 0]
-        counts, logs, own_logs, hashes, lengths = (joined(c, order) for c in ("counts", "logs", "own_logs", "hashes", "lengths"))
+        counts, logs, own_logs, lengths = (joined(c, order) for c in ("counts", "logs", "own_logs", "lengths"))
         base = np.log10((counts + 1) / (seen + types + 1))
         # ranges of keys are numbered downwards
         order = np.argsort(-bucket, kind="stable")
         answered = joined("counts", order[bucket[order] < 0])
-        sizes, places, flags = (unpack_numbers(left.column(c)[0].as_py()) for c in ("sizes", "places", "flags"))
+        sizes, places, flags, hashes = (unpack_numbers(left.column(c)[0].as_py()) for c in ("sizes", "places", "flags", "marks"))
         # every text has its end token, so no run is empty
         begins = np.cumsum(sizes) - sizes
         pairs, triples = sequence_keys(hashes[places], sizes)
@@ -553,13 +581,13 @@ def _scored(docs: DataFrame, train: str) -> DataFrame:
         # a text begins after an end token, and its first token has no context of two
         one[0] = counts[places[-1]]
         triple[begins], two[begins] = 0, 0
-        scores = np.array([np.add.reduceat(v, begins) for v in in_context(logs[places].astype(np.float64), pair, one, triple, two)])
+        scores = in_context(logs[places].astype(np.float64), pair, one, triple, two, begins)
         fits = np.zeros(len(scores))
         learnt = np.repeat(flags != 0, sizes)
         if learnt.any():
             ones = (pair - 1, one - 1, np.maximum(triple - 1, 0), np.maximum(two - 1, 0))
-            left_out = in_context(own_logs[places].astype(np.float64)[learnt], *(v[learnt] for v in ones))
-            fits = np.array([v.sum() for v in left_out])
+            left_out = own_logs[places].astype(np.float64), *ones
+            fits = in_context(*(v[learnt] for v in left_out), np.zeros(1, np.int64))[:, 0]
         sums = [np.add.reduceat(v[places], begins) for v in ((counts > 0).astype(np.int64), lengths, base)]
         lists = pa.FixedSizeListArray.from_arrays(pa.array(scores.T.ravel()), len(scores)).cast(pa.list_(pa.float64()))
         return pa.table(

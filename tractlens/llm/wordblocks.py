@@ -48,7 +48,15 @@ def pack_numbers(numbers: np.ndarray) -> bytes:
     return wide.dtype.char.encode() + zlib.compress(planes.tobytes(), 1)
 
 
+def plain_numbers(numbers: np.ndarray) -> bytes:
+    """The same for numbers that do not compress, such as hashes."""
+    wide = numbers.astype(numbers.dtype.newbyteorder("<"))
+    return b"=" + wide.dtype.char.encode() + wide.tobytes()
+
+
 def unpack_numbers(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"=":
+        return np.frombuffer(blob[2:], np.dtype(blob[1:2].decode()))
     kind = np.dtype(blob[:1].decode())
     planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(kind.itemsize, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
@@ -65,6 +73,7 @@ def blocks(
     deal: Callable[[list[bytes], int], np.ndarray] = hash_buckets,
     extra: str | None = None,
     only: str | None = None,
+    mark: Callable[[list[bytes]], np.ndarray] | None = None,
 ) -> DataFrame:
     """The packed rows of all documents: partition, block, bucket, words, and for texts ids and places.
 
@@ -74,7 +83,8 @@ def blocks(
     `extra` names an integer column of the documents; words get the number of their
     occurrences in documents where it is not zero, and the row of texts holds its values instead of
     words. `only` asks for the rows of "words" or of "texts"
-    alone; two such calls over one stored table cut the same blocks.
+    alone; two such calls over one stored table cut the same blocks. `mark` gives a number for every
+    word; the row of texts then holds those of its list as `marks`.
     """
     columns = ["doc_id", "text", *([extra] if extra else [])]
 
@@ -106,6 +116,8 @@ def blocks(
                 texts |= {"ids": ids, "sizes": pack_numbers(sizes), "places": pack_numbers(flat)}
                 if extra:
                     texts["words"] = pack_numbers(flags.astype(np.int64))
+                if mark:
+                    texts["marks"] = plain_numbers(mark([words[k] for k in order]))
                 yield _batch([texts], ids.type)
             number += 1
             if only == "texts":
@@ -127,12 +139,12 @@ def blocks(
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(*columns).mapInArrow(
         run,
-        f"partition int, block int, bucket int, words binary, ids array<{id_type}>, sizes binary, places binary",
+        f"partition int, block int, bucket int, words binary, ids array<{id_type}>, sizes binary, places binary, marks binary",
     )
 
 
 def _row(partition: int, block: int, bucket: int) -> dict:
-    return dict.fromkeys(("words", "ids", "places", "sizes")) | {"partition": partition, "block": block, "bucket": bucket}
+    return dict.fromkeys(("words", "ids", "places", "sizes", "marks")) | {"partition": partition, "block": block, "bucket": bucket}
 
 
 def _batch(rows: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
@@ -142,8 +154,8 @@ def _batch(rows: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(whole))
 
     number = {c: pa.array([r[c] for r in rows], pa.int32()) for c in ("partition", "block", "bucket")}
-    blob = {c: pa.array([r[c] for r in rows], pa.binary()) for c in ("words", "sizes", "places")}
-    names = ["partition", "block", "bucket", "words", "ids", "sizes", "places"]
+    blob = {c: pa.array([r[c] for r in rows], pa.binary()) for c in ("words", "sizes", "places", "marks")}
+    names = ["partition", "block", "bucket", "words", "ids", "sizes", "places", "marks"]
     arrays = number | blob | {"ids": lists([r["ids"] for r in rows])}
     return pa.RecordBatch.from_arrays([arrays[n] for n in names], names)
 
