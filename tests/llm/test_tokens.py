@@ -350,3 +350,12 @@ def test_scoring_cuts_every_text_into_tokens_once(docs, spark, monkeypatch):
     monkeypatch.setattr(mixing, "tokens_of", counted)
     mixing.scored(docs.withColumn("train", (~common.held_out(2, 7)).cast("long"))).collect()
     assert cut.value == docs.count()
+
+
+def test_steps_of_keys_travel_in_fewer_bytes_than_they_fill():
+    keys = np.sort(np.random.default_rng(2).integers(1 << 47, 1 << 48, 200_000, dtype=np.uint64))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    for plain in range(9):
+        assert (wordblocks.unpack_numbers(wordblocks.pack_numbers(steps, plain)) == steps).all()
+    assert len(wordblocks.unpack_numbers(wordblocks.pack_numbers(steps[:0], 3))) == 0
+    assert len(wordblocks.pack_numbers(steps, plain=3)) < 4.5 * len(steps)

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tractlens.llm.common import freed_shuffles, held_out, partitions, settled, table
-from tractlens.llm.wordblocks import TEXTS, blocks, pack_numbers, pack_strings, plain_numbers, unpack_numbers, unpack_strings
+from tractlens.llm.wordblocks import TEXTS, blocks, pack_numbers, pack_strings, unpack_numbers, unpack_strings
 
 HEAD = 4
 ORDERS = 5
@@ -433,8 +433,8 @@ def block_sequences(packed: DataFrame, buckets: int) -> DataFrame:
                         pa.array([batch.column("partition")[row].as_py()] * len(rows), pa.int32()),
                         pa.array([batch.column("block")[row].as_py()] * len(rows), pa.int32()),
                         pa.array(-2 - which[begins].astype(np.int64), pa.int32()),
-                        # steps of a hash hold next to nothing to compress
-                        pa.array([plain_numbers(_steps(keys[begins[k] : ends[k]])) for k in rows], pa.binary()),
+                        # the low bytes of a hash's steps hold nothing to compress
+                        pa.array([pack_numbers(_steps(keys[begins[k] : ends[k]]), plain=3) for k in rows], pa.binary()),
                         pa.array([pack_numbers(counts[begins[k] : ends[k]]) for k in rows], pa.binary()),
                     ],
                     ["partition", "block", "bucket", "keys", "sizes"],
@@ -547,8 +547,8 @@ def _scored(docs: DataFrame, train: str) -> DataFrame:
                 "block": group.column("block"),
                 "bucket": group.column("bucket"),
                 "counts": pa.array([pack_numbers(counts[k]) for k in at], pa.binary()),
-                "logs": pa.array([plain_numbers(logs[k]) for k in at], pa.binary()),
-                "own_logs": pa.array([plain_numbers(own[k]) for k in at], pa.binary()),
+                "logs": pa.array([pack_numbers(logs[k], plain=2) for k in at], pa.binary()),
+                "own_logs": pa.array([pack_numbers(own[k], plain=2) for k in at], pa.binary()),
                 "lengths": pa.array([pack_numbers(lengths[k]) for k in at], pa.binary()),
             }
         )

@@ -41,24 +41,27 @@ def unpack_strings(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts, ends.tolist())]
 
 
-def pack_numbers(numbers: np.ndarray) -> bytes:
-    """Integers or floats, byte planes apart, compressed."""
-    wide = numbers.astype(numbers.dtype.newbyteorder("<"))
-    planes = np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), wide.dtype.itemsize).T
-    return wide.dtype.char.encode() + zlib.compress(planes.tobytes(), 1)
-
+def pack_numbers(numbers: np.ndarray, plain: int = 0) -> bytes:
+    """Integers or floats, byte planes apart, compressed.
 
-def plain_numbers(numbers: np.ndarray) -> bytes:
-    """The same for numbers that do not compress, such as hashes."""
+    The lowest `plain` planes are kept as they are: those of hashes and fractions do not compress.
+    """
     wide = numbers.astype(numbers.dtype.newbyteorder("<"))
-    return b"=" + wide.dtype.char.encode() + wide.tobytes()
+    planes = np.ascontiguousarray(wide).view(np.uint8).reshape(len(wide), wide.dtype.itemsize).T
+    head = wide.dtype.char.encode()
+    if not plain:
+        return head + zlib.compress(planes.tobytes(), 1)
+    low = np.uint32(planes[:plain].size).tobytes()
+    return b"=" + head + low + planes[:plain].tobytes() + zlib.compress(planes[plain:].tobytes(), 1)
 
 
 def unpack_numbers(blob: bytes) -> np.ndarray:
     if blob[:1] == b"=":
-        return np.frombuffer(blob[2:], np.dtype(blob[1:2].decode()))
-    kind = np.dtype(blob[:1].decode())
-    planes = np.frombuffer(zlib.decompress(blob[1:]), np.uint8).reshape(kind.itemsize, -1)
+        kind, low = np.dtype(blob[1:2].decode()), 6 + int(np.frombuffer(blob, "<u4", 1, 2)[0])
+        raw = blob[6:low] + zlib.decompress(blob[low:])
+    else:
+        kind, raw = np.dtype(blob[:1].decode()), zlib.decompress(blob[1:])
+    planes = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
@@ -117,7 +120,7 @@ def blocks(
                 if extra:
                     texts["words"] = pack_numbers(flags.astype(np.int64))
                 if mark:
-                    texts["marks"] = plain_numbers(mark([words[k] for k in order]))
+                    texts["marks"] = pack_numbers(mark([words[k] for k in order]), plain=8)
                 yield _batch([texts], ids.type)
             number += 1
             if only == "texts":
