@@ -287,3 +287,36 @@ def test_draws_left_as_rows_sum_to_the_counted_ones(spark):
     clusters = spark.createDataFrame([(f"c{i}",) for i in range(9)], "bag string")
     one = draws(clusters, "bag", 12, counted=False).groupBy("replicate", "bag").agg(F.sum("times").alias("times"))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, draws(clusters, "bag", 12).collect()))
+
+
+def test_long_files_are_digested_piece_by_piece(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    noise = np.random.default_rng(3).bytes(200_000)
+    files = {
+        "noise": noise,
+        "closed": noise[:90_000] + b"\n",
+        "marked": b"\xef\xbb\xbf" + noise[:90_001],
+        "marked closed": b"\xef\xbb\xbf" + noise[:70_000] + b"\r\n",
+        "ends": b"\r\n\n" * 30_000,
+        "one line": b"a" * 130_000,
+        "short": b"abc",
+        "packed.gz": noise[:80_000],
+    }
+    for name, content in files.items():
+        (tmp_path / f"{name}.bin").write_bytes(content) if name != "packed.gz" else (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(reports, "PIECE", 50_000)
+    monkeypatch.setattr(reports, "_ROW_BYTES", 3_000)
+    largest = []
+    chain = reports._chain
+    monkeypatch.setattr(reports, "_chain", lambda states, left: largest.append(len(states)) or chain(states, left))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "25000")
+    try:
+        got = {r.file: (r.length, r.sha256) for r in reports.manifest(spark, f"{tmp_path}/*").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {n if n == "packed.gz" else f"{n}.bin": (len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
+    assert got == want
+    # the longest file goes through four tasks, one after the other
+    assert len(largest) == 4

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import codecs
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tractlens.functions.digests import sha256_end, sha256_step, sha256_steps
 from tractlens.operators.scale import numbered, settled
+from tractlens.session import scratch_folder
 
 DASH = "--"
+PIECE = 128 << 20
+_ROW_BYTES = 64 << 10
 
 
 def write_panel(df: DataFrame, folder: str, name: str, tag: str = "") -> str:
@@ -88,10 +95,99 @@ def write_results(values: DataFrame, folder: str, keys: Sequence[str] = ()) -> N
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of each packaged file."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256")
+    """SHA-256 and size of each packaged file.
+
+    A file of at most `PIECE` bytes is one row. The digest of a longer one is a chain over its bytes:
+    it is cut into pieces, a task reads one of them, and the state of the digest goes on to the next
+    task. All long files take each step together.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    entry = F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length"
+    digest = F.sha2("content", 256).alias("sha256")
+    packed = F.lower("path").rlike(r"\.(gz|bz2|zst|zstd|xz|lz4|snappy|deflate)$")  # a text reader would unpack it
+    names = "path", F.col("_metadata.file_path").alias("where"), "length", packed.alias("packed")
+    long = files.where(F.col("length") > PIECE).select(*names).collect() if sha256_steps() else []
+    chained = [r for r in long if not r["packed"]]
+    if not chained:
+        return files.select(*entry, digest)
+    # the reader knows the length of a file before it opens it
+    found = files.where(F.col("length") <= PIECE).select(*entry, digest)
+    if len(chained) < len(long):
+        found = found.unionByName(spark.read.format("binaryFile").load([r["path"] for r in long if r["packed"]]).select(*entry, digest))
+    digests = _chained_digests(_settled_pieces(spark, [r["path"] for r in chained]), {r["where"]: r["length"] for r in chained})
+    rows = [(r["path"], r["length"], digests[r["where"]]) for r in chained]
+    return found.unionByName(spark.createDataFrame(rows, "path string, length long, sha256 string").select(*entry, "sha256"))
+
+
+def _chained_digests(pieces: DataFrame, lengths: dict[str, int]) -> dict[str, str]:
+    """SHA-256 of long files, by path."""
+    found = {r["path"]: r["n"] for r in pieces.groupBy("path").agg(F.sum(F.length("bytes")).alias("n")).collect()}
+    # every line was closed, also a last one that is open; and the reader drops the mark of a text in UTF-8
+    marked = {p for p, n in lengths.items() if n - found[p] in (2, 3)}
+    left = {p: n - (len(codecs.BOM_UTF8) if p in marked else 0) for p, n in lengths.items()}
+    if any(found[p] - n not in (0, 1) for p, n in left.items()):
+        raise ValueError("a file changed while it was read")
+    states = {p: sha256_step(None, codecs.BOM_UTF8 if p in marked else b"") for p in lengths}
+    for (step,) in pieces.select("step").distinct().orderBy("step").collect():
+        here = pieces.where(F.col("step") == step).select("path", "block", "number", "bytes")
+        here = here.repartition(len(lengths), "path").sortWithinPartitions("path", "block", "number")
+        for r in here.mapInArrow(_chain(states, left), "path string, state binary, n long").collect():
+            states[r["path"]] = bytes(r["state"])
+            left[r["path"]] -= r["n"]
+    return {p: sha256_end(s) for p, s in states.items()}
+
+
+def _chain(states: dict[str, bytes], left: dict[str, int]):
+    """Leads the digests on over the pieces of one step; no digest takes more bytes than are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[str, tuple[bytes, int]] = {}
+        for batch in batches:
+            for path, part in zip(batch.column("path").to_pylist(), batch.column("bytes")):
+                state, taken = now.get(path, (states[path], 0))
+                data = part.as_py()[: left[path] - taken]
+                now[path] = sha256_step(state, data), taken + len(data)
+        rows = [(p, s, n) for p, (s, n) in now.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["path", "state", "n"])
+
+    return run
+
+
+def _settled_pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, block, number, bytes, step of files: their bytes in order, with a line feed behind the last line.
+
+    Spark's reader of text cuts a file at line feeds, so its tasks share the file; no other byte counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lines():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("path", "block", "line")))
+
+        for (path, block), group in groupby(lines(), key=lambda r: r[:2]):
+            held, size, number = [], 0, 0
+            for _, _, line in group:
+                held.append(line)
+                size += len(line) + 1
+                if size >= _ROW_BYTES:
+                    yield piece(path, block, number, held)
+                    held, size, number = [], 0, number + 1
+            if held:
+                yield piece(path, block, number, held)
+
+    def piece(path, block, number, held):
+        columns = [pa.array([path]), pa.array([block]), pa.array([number], pa.int32()), pa.array([b"\n".join([*held, b""])])]
+        return pa.RecordBatch.from_arrays(columns, ["path", "block", "number", "bytes"])
+
+    text = spark.read.option("lineSep", "\n").text(paths)
+    lines = text.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line")
     )
+    cut = lines.mapInArrow(run, "path string, block long, number int, bytes binary")
+    folder = scratch_folder(spark, "pieces")
+    cut.withColumn("step", F.floor(F.col("block") / PIECE)).write.partitionBy("step").parquet(folder)
+    return spark.read.schema("path string, block long, number int, bytes binary, step long").parquet(folder)
 
 
 def split_listing(partition: DataFrame) -> DataFrame:
