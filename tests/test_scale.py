@@ -161,3 +161,17 @@ def test_a_cluster_needs_a_shared_folder():
     cluster = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(cluster)
+
+
+def test_tokens_alone_are_correlated_as_beside_tracts(spark):
+    from tractlens.operators import ranks
+
+    rows = [(s, "c", f"m{i % 3}", f"t{i % 18}", i, i % 5, (i * 37 % 101) / 7.0) for s in ("a", "b") for i in range(150)]
+    scores = spark.createDataFrame(rows, "system string, city string, municipality string, cvegeo string, y0 int, x0 int, score double")
+    grades = spark.createDataFrame([(f"t{i}", i % 5) for i in range(17)], "cvegeo string, ordinal int")
+    both = ranks.within(scores, grades, ["system"])
+    alone = ranks.within(scores, grades, ["system"], tracts=False)
+    keys = ["system", "city", "municipality"]
+    assert alone.columns == [*keys, "token"]
+    want = {(r.system, r.municipality): round(r.token, 12) for r in both.collect()}
+    assert want and {(r.system, r.municipality): round(r.token, 12) for r in alone.collect()} == want

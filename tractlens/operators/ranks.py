@@ -267,19 +267,24 @@ def tract_seed_table(scores: DataFrame) -> DataFrame:
     )
 
 
-def within(scores: DataFrame, grades: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def within(scores: DataFrame, grades: DataFrame, by: Sequence[str] = (), tracts: bool = True) -> DataFrame:
     """Per municipality: rank correlation of token and of tract scores with the grade.
 
     `by` names further columns of `scores`, such as the map a score comes from; all are ranked in
-    the same walk.
+    the same walk. Without `tracts` only tokens are ranked, from one pass over them, and the
+    correlation of tracts is left out.
     """
     keys = [*by, "city", "municipality"]
     means = scores.groupBy(*keys, "cvegeo", "y0", "x0").agg(F.avg("score").alias("score"))
-    tokens = settled(means.join(grades.select("cvegeo", "ordinal"), "cvegeo").where("ordinal IS NOT NULL"))
-    tracts = tokens.groupBy(*keys, "cvegeo").agg(F.avg("score").alias("score"), F.max("ordinal").alias("ordinal"))
+    tokens = means.join(grades.select("cvegeo", "ordinal"), "cvegeo").where("ordinal IS NOT NULL")
+    if not tracts:
+        rhos = spearman(tokens, "score", "ordinal", keys)
+        return rhos.where(F.col("n") >= MIN_TOKENS).select(*keys, F.col("rho").alias("token"))
+    tokens = settled(tokens)
+    by_tract = tokens.groupBy(*keys, "cvegeo").agg(F.avg("score").alias("score"), F.max("ordinal").alias("ordinal"))
     columns = [*keys, "score", "ordinal"]
     both = tokens.select(F.lit("token").alias("unit"), *columns).unionByName(
-        tracts.select(F.lit("tract").alias("unit"), *columns)
+        by_tract.select(F.lit("tract").alias("unit"), *columns)
     )
     rhos = spearman(both, "score", "ordinal", ["unit", *keys])
     token = (F.col("unit") == "token") & (F.col("n") >= MIN_TOKENS)

@@ -432,12 +432,12 @@ def _(d: Data):
     return C.paired_comparison(_two_systems(d), "base", "other", 2000)
 
 
-def _two_systems(d: Data):
+def _two_systems(d: Data, tracts: bool = True):
     columns = ["city", "municipality", "cvegeo", "y0", "x0", "score"]
     both = d.tokens().select(F.lit("base").alias("system"), *columns).unionByName(
         d.token_scores().select(F.lit("other").alias("system"), *columns)
     )
-    return R.within(both, d.tracts(), ["system"])
+    return R.within(both, d.tracts(), ["system"], tracts)
 
 
 @query(
@@ -448,7 +448,7 @@ def _two_systems(d: Data):
     "base other difference",
 )
 def _(d: Data):
-    return D.cities_of_two_systems(_two_systems(d), "base", "other")
+    return D.cities_of_two_systems(_two_systems(d, tracts=False), "base", "other")
 
 
 _PROD = dict(
