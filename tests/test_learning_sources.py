@@ -320,3 +320,18 @@ def test_long_files_are_digested_piece_by_piece(spark, tmp_path, monkeypatch):
     assert got == want
     # the longest file goes through four tasks, one after the other
     assert len(largest) == 4
+
+
+def test_classification_view_makes_its_frame_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"t{i}", (i * 37 % 101) / 25.0, i % 5) for i in range(200)]
+    frame = spark.createDataFrame(rows, "cvegeo string, score double, ordinal int")
+    frame = frame.mapInArrow(counted, frame.schema)
+    assert decide.classification_view(frame, frame).count() == 8
+    assert made.value == 200

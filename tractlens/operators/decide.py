@@ -208,9 +208,12 @@ def best_and_median_city(audit: DataFrame) -> DataFrame:
 
 def classification_view(frame: DataFrame, calibration: DataFrame) -> DataFrame:
     """Ordinal metrics and threshold areas of the isotonic grade."""
-    predicted = predict_isotonic(fit_isotonic(calibration), frame).withColumn(
+    # the fit, the prediction and every metric read them, so each is made once
+    same, frame = calibration is frame, settled(frame)
+    predicted = predict_isotonic(fit_isotonic(frame if same else calibration), frame).withColumn(
         "grade", F.least(F.greatest(F.bround("predicted"), F.lit(0.0)), F.lit(4.0)).cast("int")
     )
+    predicted = settled(predicted)
     areas = auroc_cumulative(predicted, "score", "ordinal").select(
         F.concat(F.lit("auroc_ge_"), F.col("threshold").cast("string")).alias("metric"), F.col("auroc").alias("value")
     )
